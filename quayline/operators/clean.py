@@ -79,17 +79,22 @@ def agency(stg: DataFrame):
 
 
 # --------------------------------------------------------------------------- T05-T07
-def stations_and_platforms(stg: DataFrame):
-    loc = blank_to_null("location_type").try_cast("int")
-    stops = stg.withColumn("_loc", loc)
-    station = stops.filter(F.col("_loc") == 1).select(
+def _location_type() -> F.Column:
+    return blank_to_null("location_type").try_cast("int")
+
+
+def stations(stg: DataFrame) -> DataFrame:
+    return stg.filter(_location_type() == 1).select(
         _t("stop_id").alias("station_id"),
         _t("stop_name").alias("station_name"),
         blank_to_null("stop_lat").try_cast("double").alias("latitude"),
         blank_to_null("stop_lon").try_cast("double").alias("longitude"),
         code_or_default("wheelchair_boarding").alias("wheelchair_boarding"),
     )
-    candidates = stops.filter(F.col("_loc") == 0).withColumn("_parent", _t("parent_station"))
+
+
+def platforms(stg: DataFrame, station: DataFrame):
+    candidates = stg.filter(_location_type() == 0).withColumn("_parent", _t("parent_station"))
     parents = station.select(F.col("station_id").alias("_parent"), F.lit(1).alias("_has_parent"))
     screened = candidates.join(parents, "_parent", "left")
     platform = screened.filter(F.col("_has_parent") == 1).select(
@@ -106,12 +111,13 @@ def stations_and_platforms(stg: DataFrame):
         "location_type=0 row references a parent_station that is not in the feed",
         _payload(stop_id=F.col("stop_id"), parent_station=F.col("parent_station"), stop_name=F.col("stop_name")),
     )
+    loc = _location_type()
     other = _reject(
-        stops.filter(F.col("_loc").isNull() | ~F.col("_loc").isin(0, 1)), "stops",
+        stg.filter(loc.isNull() | ~loc.isin(0, 1)), "stops",
         "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL", "location_type is blank, unknown or not a station/platform",
         _payload(stop_id=F.col("stop_id"), location_type=F.col("location_type")),
     )
-    return station, platform, orphan.unionByName(other)
+    return platform, orphan.unionByName(other)
 
 
 # --------------------------------------------------------------------------- T08
@@ -371,23 +377,52 @@ def translations(stg: DataFrame):
 
 
 # --------------------------------------------------------------------------- all
-def clean(members: dict[str, DataFrame]) -> Cleaned:
-    """Run every rule; returns core tables and the unioned quarantine."""
-    agency_df, r_agency = agency(members["agency"])
-    station, platform, r_stops = stations_and_platforms(members["stops"])
-    route, r_routes = routes(members["routes"], agency_df)
-    service, r_cal = services(members["calendar"])
-    service_date, r_cd = service_dates(members["calendar_dates"], service)
-    trip, r_trips = trips(members["trips"], route, service)
-    screened = screen_stop_times(members["stop_times"], trip, platform)
-    stop_time = accepted_stop_times(screened)
-    transfer, r_tr = transfers(members["transfers"], platform, trip)
-    translation, r_tl = translations(members["translations"])
-    rejected = r_agency
-    for r in (r_stops, r_routes, r_cal, r_cd, r_trips, rejected_stop_times(screened), r_tr, r_tl):
-        rejected = rejected.unionByName(r)
+def _keep(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def clean(members: dict[str, DataFrame], put=_keep) -> Cleaned:
+    """Run every rule in dependency order.
+
+    ``put(name, df)`` may write a table and return it read back; later rules
+    then join against the written dimension instead of re-running its plan.
+    The screened calls (every staged call with its reject rule) are put once
+    and split into the fact and its quarantine.
+    """
+    rej = []
+    agency_df, r = agency(members["agency"])
+    agency_df = put("agency", agency_df)
+    rej.append(r)
+    station = put("station", stations(members["stops"]))
+    platform, r = platforms(members["stops"], station)
+    platform = put("platform", platform)
+    rej.append(r)
+    route, r = routes(members["routes"], agency_df)
+    route = put("route", route)
+    rej.append(r)
+    service, r = services(members["calendar"])
+    service = put("service", service)
+    rej.append(r)
+    service_date, r = service_dates(members["calendar_dates"], service)
+    service_date = put("service_date", service_date)
+    rej.append(r)
+    trip, r = trips(members["trips"], route, service)
+    trip = put("trip", trip)
+    rej.append(r)
+    screened = put("stop_time_screened", screen_stop_times(members["stop_times"], trip, platform))
+    stop_time = put("stop_time", accepted_stop_times(screened))
+    rej.append(rejected_stop_times(screened))
+    transfer, r = transfers(members["transfers"], platform, trip)
+    transfer = put("transfer", transfer)
+    rej.append(r)
+    translation, r = translations(members["translations"])
+    translation = put("text_translation", translation)
+    rej.append(r)
+    rejected = rej[0]
+    for x in rej[1:]:
+        rejected = rejected.unionByName(x)
     tables = {
-        "feed_info": feed_info(members["feed_info"]),
+        "feed_info": put("feed_info", feed_info(members["feed_info"])),
         "agency": agency_df,
         "station": station,
         "platform": platform,
@@ -399,4 +434,4 @@ def clean(members: dict[str, DataFrame]) -> Cleaned:
         "transfer": transfer,
         "text_translation": translation,
     }
-    return Cleaned(tables, rejected)
+    return Cleaned(tables, put("rejected_row", rejected))

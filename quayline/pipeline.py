@@ -28,15 +28,17 @@ LAYOUT = {
 _CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-def build_core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy plans of every core table, the quarantine, realtime log and views."""
+def build_core(spark: SparkSession, sf_dir: str, put=None) -> dict[str, DataFrame]:
+    """Core tables, quarantine, realtime log; written through ``put`` when given."""
+    put = put or (lambda name, df: df)
     members = driver_tables.staged_members(spark, sf_dir)
-    out = cleaning.clean(members)
+    out = cleaning.clean(members, put)
     t = dict(out.tables)
     t["rejected_row"] = out.rejected
     for name, df in members.items():
         t[f"stg_{name}"] = df
-    t.update(driver_tables.realtime_from_events(spark, sf_dir))
+    for name, df in driver_tables.realtime_from_events(spark, sf_dir).items():
+        t[name] = put(name, df)
     return t
 
 
@@ -62,35 +64,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-MATERIALISED = [
-    "station", "platform", "route", "agency", "service", "service_date", "trip", "stop_time",
-    "text_translation", "transfer", "feed_info", "rejected_row",
-    "rt_snapshot", "rt_trip_update", "rt_stop_time_update", "rt_alert", "rt_alert_text",
-]
-STAGED = ["stg_stops", "stg_trips", "stg_stop_times", "stg_calendar", "stg_calendar_dates", "stg_routes",
-          "stg_agency", "stg_translations", "stg_feed_info", "stg_transfers"]
-
-
-def materialise(spark: SparkSession, t: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+def materialise(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
     """Write the core and the two heavy views; return DataFrames reading them back."""
-    written: dict[str, DataFrame] = {}
 
-    def put(name: str, df: DataFrame) -> None:
+    def put(name: str, df: DataFrame) -> DataFrame:
         path = f"{root}/{name}"
-        w = df
-        if name in LAYOUT:
-            w = df.sortWithinPartitions(*LAYOUT[name])
+        w = df.sortWithinPartitions(*LAYOUT[name]) if name in LAYOUT else df
         w.write.mode("overwrite").parquet(path)
-        written[name] = spark.read.parquet(path)
+        return spark.read.parquet(path)
 
-    for name in MATERIALISED:
-        put(name, t[name])
-    for name in STAGED:
-        written[name] = t[name]
-    base = dict(written)
-    put("v_departure", views.departures(base))
-    put("v_trip_service_days", views.trip_service_days(base))
-    return written
+    t = build_core(spark, sf_dir, put)
+    t["v_departure"] = put("v_departure", views.departures(t))
+    t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
+    return t
 
 
 def core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -98,7 +84,7 @@ def core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _CACHE:
         root = f"{checkpoint_root(spark)}/quayline-core/{uuid.uuid4().hex}"
-        _CACHE[key] = add_views(materialise(spark, build_core(spark, sf_dir), root))
+        _CACHE[key] = add_views(materialise(spark, sf_dir, root))
     return _CACHE[key]
 
 

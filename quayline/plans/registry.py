@@ -2,8 +2,45 @@
 
 from __future__ import annotations
 
-from quayline.plans import peak
+from quayline.plans import amenity, frequency, hub, morning, peak, platform
 
 QUERIES = {
     "a01_annualised_departures_by_hour": peak.a01_annualised_departures_by_hour,
+    "a02_naive_timetable_rows_by_hour": peak.a02_naive_timetable_rows_by_hour,
+    "a03_rank_divergence": peak.a03_rank_divergence,
+    "a04_peak_by_daytype": peak.a04_peak_by_daytype,
+    "a05_peak_hour_headline": peak.a05_peak_hour_headline,
+    "a06_platform_ranking": platform.a06_platform_ranking,
+    "a07_platform_top3": platform.a07_platform_top3,
+    "a08_unallocated_platform_calls": platform.a08_unallocated_platform_calls,
+    "a09_platform_hourly_congestion": platform.a09_platform_hourly_congestion,
+    "a10_platform_peak_pressure": platform.a10_platform_peak_pressure,
+    "a11_hub_comparison": platform.a11_hub_comparison,
+    "a12_morning_destinations_ranked": morning.a12_morning_destinations_ranked,
+    "a13_top3_destinations": morning.a13_top3_destinations,
+    "a14_morning_vs_afternoon": morning.a14_morning_vs_afternoon,
+    "a15_morning_departure_profile": morning.a15_morning_departure_profile,
+    "a16_morning_destinations_multilingual": morning.a16_morning_destinations_multilingual,
+    "a17_calendar_flags": frequency.a17_calendar_flags,
+    "a18_frequency_classification": frequency.a18_frequency_classification,
+    "a19_days_per_week_distribution": frequency.a19_days_per_week_distribution,
+    "a20_active_service_only": frequency.a20_active_service_only,
+    "a21_trip_weighted": frequency.a21_trip_weighted,
+    "a22_weekday_coverage": frequency.a22_weekday_coverage,
+    "a23_definition_sensitivity": frequency.a23_definition_sensitivity,
+    "a24_network_amenity_coverage": amenity.a24_network_amenity_coverage,
+    "a25_amenity_by_mode": amenity.a25_amenity_by_mode,
+    "a26_route_amenity_ratios": amenity.a26_route_amenity_ratios,
+    "a27_worst_routes_all_sizes": amenity.a27_worst_routes_all_sizes,
+    "a28_worst_routes_by_exposure": amenity.a28_worst_routes_by_exposure,
+    "a29_amenity_by_route_category": amenity.a29_amenity_by_route_category,
+    "a30_station_accessibility_gap": amenity.a30_station_accessibility_gap,
+    "a31_hub_structural_leaderboard": hub.a31_hub_structural_leaderboard,
+    "a32_hub_hourly_shape": hub.a32_hub_hourly_shape,
+    "a33_hub_composite_score": hub.a33_hub_composite_score,
+    "a34_realtime_coverage": hub.a34_realtime_coverage,
+    "a35_hub_punctuality": hub.a35_hub_punctuality,
+    "a36_punctuality_all_stations": hub.a36_punctuality_all_stations,
+    "a37_delay_distribution": hub.a37_delay_distribution,
+    "a38_active_service_alerts": hub.a38_active_service_alerts,
 }

@@ -244,17 +244,18 @@ def staged_stop_times(spark, sf_dir):
 
 def staged_translations(spark, sf_dir):
     n = read_table(spark, sf_dir, "nation")
-    langs = spark.createDataFrame([(i, x) for i, x in enumerate(LANGUAGES_STAGED)], ["lang_no", "language"])
     k = F.col("n_nationkey")
-    rows = n.crossJoin(F.broadcast(langs)).select(
+    langs = F.explode(F.array(*[F.struct(F.lit(i).alias("lang_no"), F.lit(x).alias("language"))
+                                for i, x in enumerate(LANGUAGES_STAGED)]))
+    rows = n.select("n_nationkey", "n_name", langs.alias("l")).select(
         F.lit("stops").alias("table_name"),
         F.lit("stop_name").alias("field_name"),
-        F.col("language"),
-        F.when((k % 6 == 5) & (F.col("language") == "de"), F.lit(""))
-        .otherwise(F.concat(F.upper(F.col("language")), F.lit(" "), F.col("n_name")))
+        F.col("l.language").alias("language"),
+        F.when((k % 6 == 5) & (F.col("l.language") == "de"), F.lit(""))
+        .otherwise(F.concat(F.upper(F.col("l.language")), F.lit(" "), F.col("n_name")))
         .alias("translation"),
         F.col("n_name").alias("field_value"),
-        (k * 10 + F.col("lang_no") + 2).alias("src_line_no"),
+        (k * 10 + F.col("l.lang_no") + 2).alias("src_line_no"),
     )
     return _member(rows, "translations")
 
