@@ -46,11 +46,15 @@ def add_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     t = dict(t)
     t.setdefault("v_departure", views.departures(t))
     t.setdefault("v_trip_service_days", views.trip_service_days(t))
-    t["v_trip_origin"] = views.trip_origin(t["v_departure"])
-    t["v_service_frequency"] = views.service_frequency(t)
-    t["v_trip_amenity"] = views.trip_amenity(t)
-    t["v_station_daily_departures"] = views.station_daily_departures(t, t["v_departure"], t["v_trip_service_days"])
-    t["v_rt_departure_performance"] = views.rt_departure_performance(t, t)
+    t.setdefault("service_days", views.service_days(t))
+    t.setdefault("v_trip_origin", views.trip_origin(t["v_departure"]))
+    t.setdefault("v_service_frequency", views.service_frequency(t))
+    t.setdefault("v_trip_amenity", views.trip_amenity(t))
+    t.setdefault(
+        "v_station_daily_departures",
+        views.station_daily_departures(t, t["v_departure"], t["v_trip_service_days"]),
+    )
+    t.setdefault("v_rt_departure_performance", views.rt_departure_performance(t, t))
     return t
 
 
@@ -76,6 +80,12 @@ def materialise(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFr
     t = build_core(spark, sf_dir, put)
     t["v_departure"] = put("v_departure", views.departures(t))
     t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
+    t["service_days"] = put("service_days", views.service_days(t))
+    # the rest of the semantic layer: small, reused by many analyses
+    t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
+    t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
+    t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
+    t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
     return t
 
 

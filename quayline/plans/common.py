@@ -25,7 +25,8 @@ def weighted(dep: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     Joining on the service grain is the same as joining on the trip grain (a trip
     inherits its service's days) but the build side has one row per service.
     """
-    return dep.join(views.service_days(t).select("service_id", "operating_days"), "service_id")
+    days = t["service_days"] if "service_days" in t else views.service_days(t)
+    return dep.join(days.select("service_id", "operating_days"), "service_id")
 
 
 def morning_origins(t: dict[str, DataFrame], headsign_required: bool = True) -> DataFrame:

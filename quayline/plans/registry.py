@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.plans import amenity, frequency, hub, morning, peak, platform
+from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, semantic
 
 QUERIES = {
     "a01_annualised_departures_by_hour": peak.a01_annualised_departures_by_hour,
@@ -43,4 +43,30 @@ QUERIES = {
     "a36_punctuality_all_stations": hub.a36_punctuality_all_stations,
     "a37_delay_distribution": hub.a37_delay_distribution,
     "a38_active_service_alerts": hub.a38_active_service_alerts,
+    "v01_departures": semantic.v01_departures,
+    "v02_trip_service_days": semantic.v02_trip_service_days,
+    "v03_trip_origin": semantic.v03_trip_origin,
+    "v04_service_frequency": semantic.v04_service_frequency,
+    "v05_trip_amenity": semantic.v05_trip_amenity,
+    "v06_station_daily_departures": semantic.v06_station_daily_departures,
+    "v07_rt_departure_performance": semantic.v07_rt_departure_performance,
+    "t21_reject_counts": semantic.t21_reject_counts,
+    "b01_boardable_calls_by_hour": explore.b01_boardable_calls_by_hour,
+    "b02_boardable_calls_at_stop": explore.b02_boardable_calls_at_stop,
+    "b03_service_days_by_weekday": explore.b03_service_days_by_weekday,
+    "b04_annualised_by_hour_base_tables": explore.b04_annualised_by_hour_base_tables,
+    "b05_station_platform_calls": explore.b05_station_platform_calls,
+    "b06_table_sizes": explore.b06_table_sizes,
+    "d01_feed_provenance": explore.d01_feed_provenance,
+    "d03_headline_counts": explore.d03_headline_counts,
+    "d04_method_comparison": explore.d04_method_comparison,
+    "d05_morning_trip_span": explore.d05_morning_trip_span,
+    "d06_station_picker": explore.d06_station_picker,
+    "d07_station_platform_ranking": explore.d07_station_platform_ranking,
+    "d08_station_hour_platform": explore.d08_station_hour_platform,
+    "d09_station_coverage": explore.d09_station_coverage,
+    "d10_dq_evidence": explore.d10_dq_evidence,
+    "d11_feed_characteristics": explore.d11_feed_characteristics,
+    "d12_rejected_rows": explore.d12_rejected_rows,
+    "d13_fk_violations": explore.d13_fk_violations,
 }
