@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions import blank_to_null, clock_secs, code_or_default, gtfs_date, is_digits
@@ -175,15 +175,16 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
     s = d.join(keys, "_sid", "left")
     exc = _t("exception_type").try_cast("int")
     good = (F.col("_ok") == 1) & F.col("_date").isNotNull() & exc.isNotNull()
-    first = Window.partitionBy("_sid", "_date").orderBy("src_line_no")
+    # First wins per (service, date) as an aggregate: copies of a hot key collapse
+    # map-side (partial aggregation) instead of meeting in one window task.
     kept = (
         s.filter(good)
-        .withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") == 1)
+        .groupBy("_sid", "_date")
+        .agg(F.min(F.struct("src_line_no", exc.alias("exception_type"))).alias("_first"))
         .select(
             F.col("_sid").alias("service_id"),
             F.col("_date").alias("service_date"),
-            exc.alias("exception_type"),
+            F.col("_first.exception_type").alias("exception_type"),
             (F.dayofweek("_date") - 1).alias("day_of_week"),
         )
     )
@@ -251,11 +252,10 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
 def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame) -> DataFrame:
     """Parse, look up and rank every staged call; ``reject_rule`` NULL = accepted.
 
-    The existence look-ups are left joins on key projections. The duplicate rank
-    is partitioned by (trip_id, stop_sequence) and computed before the other
-    rules, as the reference does (a rejected first copy still outranks a good
-    second copy). Its partitioning on ``trip_id`` is the same exchange the trip
-    look-up already needs, so the window adds no shuffle.
+    The existence look-ups are left joins on key projections. "Duplicate" means
+    "not the first staged line of its (trip_id, stop_sequence)" and is decided
+    before the other rules, as the reference does (a rejected first copy still
+    outranks a good second copy).
     """
     parsed = stg.select(
         "src_line_no",
@@ -273,13 +273,20 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
     )
     trips_k = trip_df.select("trip_id", F.lit(1).alias("fk_trip"))
     plats_k = platform_df.select("stop_id", F.lit(1).alias("fk_platform"))
+    # First line per (trip, sequence) as an aggregate (copies collapse map-side),
+    # joined back null-safely; AQE splits a hot key's partition in that join.
+    firsts = parsed.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
+    f = firsts.alias("f")
+    p = parsed.alias("p")
+    keyed = p.join(
+        f,
+        F.col("p.trip_id").eqNullSafe(F.col("f.trip_id")) & F.col("p.stop_sequence").eqNullSafe(F.col("f.stop_sequence")),
+        "left",
+    ).select("p.*", "f._first_line")
     screened = (
-        parsed.join(trips_k, "trip_id", "left")
+        keyed.join(trips_k, "trip_id", "left")
         .join(plats_k, "stop_id", "left")
-        .withColumn(
-            "dup_rank",
-            F.row_number().over(Window.partitionBy("trip_id", "stop_sequence").orderBy("src_line_no")),
-        )
+        .withColumn("dup_rank", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2))
     )
     conds = [
         F.col("fk_trip").isNull(),
@@ -359,10 +366,13 @@ def translations(stg: DataFrame):
     good = F.coalesce(good, F.lit(False))
     key = ["table_name", "field_name", "field_value", "language"]
     typed = stg.select("src_line_no", *[_t(c).alias(c) for c in [*key, "translation"]], good.alias("_good"))
-    ranked = typed.filter("_good").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*key).orderBy("src_line_no"))
+    firsts = typed.filter("_good").groupBy(*key).agg(
+        F.min(F.struct("src_line_no", "translation")).alias("_first")
     )
-    core = ranked.filter(F.col("_rn") == 1).select(*key, "translation")
+    core = firsts.select(*key, F.col("_first.translation").alias("translation"))
+    ranked = typed.filter("_good").join(
+        firsts.select(*key, F.col("_first.src_line_no").alias("_first_line")), key
+    ).withColumn("_rn", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2))
     rej = _reject(
         typed.filter(~F.col("_good")), "translations", "DQ-07-TRANSLATION-FILTERED-QL",
         "blank value or translation, or language/table outside the whitelist",

@@ -7,7 +7,7 @@ nor no (amenity codes go through the code list, not a boolean).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions import frequency_class
@@ -181,10 +181,15 @@ def rt_departure_performance(t: dict[str, DataFrame], rt: dict[str, DataFrame])
         .join(rt["rt_snapshot"].select("snapshot_id", "feed_timestamp_epoch", "fetched_at_utc"), "snapshot_id")
         .filter(F.col("trip_id").isNotNull())
     )
-    latest = Window.partitionBy("trip_id", "start_date", "stop_sequence").orderBy(
-        F.col("feed_timestamp_epoch").desc(), F.col("fetched_at_utc").desc(), F.col("rt_entity_id").desc()
+    # Latest wins as an aggregate: max of (feed ts, fetch time, entity, payload)
+    # per call; repeated observations of a hot call collapse map-side.
+    payload = ["stop_id", "departure_delay_s", "arrival_delay_s", "schedule_relationship"]
+    o = (
+        obs.groupBy("trip_id", "start_date", "stop_sequence")
+        .agg(F.max(F.struct("feed_timestamp_epoch", "fetched_at_utc", "rt_entity_id", *payload)).alias("_l"))
+        .select("trip_id", "start_date", "stop_sequence", *[F.col(f"_l.{c}").alias(c) for c in
+                                                            ["fetched_at_utc", *payload]])
     )
-    o = obs.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") == 1)
     ssr = ref_stop_schedule_relationship(spark).select(
         F.col("code").alias("schedule_relationship"), F.col("label").alias("stop_status"), "is_cancellation"
     )

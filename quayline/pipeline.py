@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quayline.operators import clean as cleaning
 from quayline.operators import views
@@ -68,11 +70,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def materialise(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
-    """Write the core and the two heavy views; return DataFrames reading them back."""
+def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """Write the core, quarantine and semantic layer; return DataFrames reading them back.
+
+    Quarantine rows are stamped with ``run_id``; one run-log row is appended to
+    ``<root>/../ingestion_run`` once every table is written (status ``success``).
+    """
+    run_id = run_id or uuid.uuid4().hex
+    started = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def put(name: str, df: DataFrame) -> DataFrame:
         path = f"{root}/{name}"
+        if name == "rejected_row":
+            df = df.withColumn("run_id", F.lit(run_id))
         w = df.sortWithinPartitions(*LAYOUT[name]) if name in LAYOUT else df
         w.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
@@ -86,9 +96,23 @@ def materialise(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFr
     t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
     t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
     t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
+    t["ingestion_run"] = log_run(spark, t, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started)
     return t
 
 
+def log_run(spark, t, path, run_id, source, started) -> DataFrame:
+    """Append one run-log row (a handful of scalar counts read from Parquet footers)."""
+    loaded = sum(t[n].count() for n in ("station", "platform", "route", "service", "service_date", "trip",
+                                          "stop_time", "transfer", "text_translation", "agency", "feed_info"))
+    rejected = t["rejected_row"].count()
+    finished = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    row = [(run_id, source, started, finished, "success", loaded, rejected)]
+    schema = ("run_id string, source string, started_at_utc string, finished_at_utc string, status string, "
+              "rows_loaded long, rows_rejected long")
+    spark.createDataFrame(row, schema).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Materialised core + views for ``sf_dir``, built once per Spark application."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, semantic
+from quayline.operators import checks
+from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, profile, semantic
 
 QUERIES = {
     "a01_annualised_departures_by_hour": peak.a01_annualised_departures_by_hour,
@@ -69,4 +70,12 @@ QUERIES = {
     "d11_feed_characteristics": explore.d11_feed_characteristics,
     "d12_rejected_rows": explore.d12_rejected_rows,
     "d13_fk_violations": explore.d13_fk_violations,
+    "x01_x21_integrity_checks": checks.check_table,
+    "x18_x20_run_log_checks": checks.run_log_checks,
 }
+
+QUERIES.update({
+    name: getattr(profile, name)
+    for name in sorted(dir(profile))
+    if name[:1] == "p" and name[1:3].isdigit() and callable(getattr(profile, name))
+})

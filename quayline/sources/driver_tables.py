@@ -13,6 +13,7 @@ expressions, so every downstream job grows with the input tables:
 * calendar_dates  <- events        one staged line per event (duplicates on purpose)
 * trips           <- orders        service = (o_custkey div 10, priority digit)
 * stop_times      <- lineitem      trip = order, sequence = line number, stop = supplier
+* transfers       <- supplier      platform -> platform with the next key
 * translations    <- nation x language
 * feed_info       <- events        one row, first/last event date
 * realtime        <- events        30-minute snapshots (see ``realtime_from_events``)
@@ -277,9 +278,25 @@ def staged_feed_info(spark, sf_dir):
 
 
 def staged_transfers(spark, sf_dir):
-    """Optional member absent from the driver tables: zero rows."""
-    cols = ", ".join(f"{c} string" for c in MEMBER_COLUMNS["transfers"])
-    return spark.createDataFrame([], f"{cols}, src_line_no long")
+    """Each platform to the platform with the next key: one row per supplier, no
+    grouping at all. Every 11th is a self-transfer, every 6th is trip-scoped, every
+    17th (and the last key) points at a platform that does not exist."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    sk = F.col("s_suppkey")
+    to_key = F.when(sk % 11 == 0, sk).when(sk % 17 == 0, sk + 1000000).otherwise(sk + 1)
+    ttype = sk % 4
+    return _member(
+        s.select(
+            F.concat(F.lit("P"), _text(sk)).alias("from_stop_id"),
+            F.concat(F.lit("P"), _text(to_key)).alias("to_stop_id"),
+            _text(ttype).alias("transfer_type"),
+            F.when(ttype == 2, _text((sk % 5 + 1) * 60)).otherwise(F.lit("")).alias("min_transfer_time"),
+            F.when(sk % 6 == 0, F.concat(F.lit("T"), _text(sk))).otherwise(F.lit("")).alias("from_trip_id"),
+            F.lit("").alias("to_trip_id"),
+            (sk + 2).alias("src_line_no"),
+        ),
+        "transfers",
+    )
 
 
 def staged_members(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
