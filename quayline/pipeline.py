@@ -44,6 +44,22 @@ def build_core(spark: SparkSession, sf_dir: str, put=None) -> dict[str, DataFram
     return t
 
 
+def feed_core(spark: SparkSession, path: str, put=None) -> dict[str, DataFrame]:
+    """Core model from a schedule feed on storage (zip archives or extracted members)."""
+    from quayline.sources import gtfs_feed
+
+    put = put or (lambda name, df: df)
+    members, report, listing = gtfs_feed.staged_members(spark, path)
+    out = cleaning.clean(members, put)
+    t = dict(out.tables)
+    t["rejected_row"] = out.rejected
+    t["member_report"] = report
+    t["unknown_columns"] = listing["unknown_columns"]
+    for name, df in members.items():
+        t[f"stg_{name}"] = df
+    return t
+
+
 def add_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     t = dict(t)
     t.setdefault("v_departure", views.departures(t))
@@ -56,7 +72,8 @@ def add_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "v_station_daily_departures",
         views.station_daily_departures(t, t["v_departure"], t["v_trip_service_days"]),
     )
-    t.setdefault("v_rt_departure_performance", views.rt_departure_performance(t, t))
+    if "rt_stop_time_update" in t:
+        t.setdefault("v_rt_departure_performance", views.rt_departure_performance(t, t))
     return t
 
 

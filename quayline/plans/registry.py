@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quayline.operators import checks
+from quayline.streaming import snapshots
 from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, profile, semantic
 
 QUERIES = {
@@ -72,6 +73,7 @@ QUERIES = {
     "d13_fk_violations": explore.d13_fk_violations,
     "x01_x21_integrity_checks": checks.check_table,
     "x18_x20_run_log_checks": checks.run_log_checks,
+    "r05_delay_history": snapshots.delay_history,
 }
 
 QUERIES.update({
