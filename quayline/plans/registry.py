@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayline.operators import checks
+from quayline.operators import checks, constraints
 from quayline.streaming import snapshots
 from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, profile, semantic
 
@@ -74,6 +74,7 @@ QUERIES = {
     "x01_x21_integrity_checks": checks.check_table,
     "x18_x20_run_log_checks": checks.run_log_checks,
     "r05_delay_history": snapshots.delay_history,
+    "t25_constraint_report": constraints.constraint_report,
 }
 
 QUERIES.update({

@@ -161,3 +161,32 @@ def test_quoted_newline_counts_records(spark, tmp_path):
     assert rows["S2"]["src_line_no"] == 3  # records, not physical lines
     assert rows["S1"]["stop_name"] == "Alpha\nNorth"
     assert df.filter("_shape_mismatch").count() == 1
+
+
+def test_constraint_catalogue_holds(feed_tables):
+    from quayline.operators import constraints
+
+    rep = constraints.constraint_report(feed_tables)
+    assert rep.count() > 40
+    assert rep.filter(F.col("violations") > 0).count() == 0
+    constraints.enforce(feed_tables)
+
+
+def test_constraint_violation_is_reported(spark, feed_tables):
+    from quayline.operators import constraints
+
+    t = dict(feed_tables)
+    t["trip"] = t["trip"].unionByName(t["trip"].limit(1))  # a duplicated primary key
+    bad = constraints.constraint_report(t).filter(F.col("violations") > 0).collect()
+    assert [(r.table_name, r.constraint_name, r.violations) for r in bad] == [("trip", "unique (trip_id)", 1)]
+    with pytest.raises(ValueError):
+        constraints.enforce(t)
+
+
+def test_result_csv_sink(spark, feed_tables, tmp_path):
+    from quayline.plans import peak, publish
+
+    counts = publish.publish_all({"a02": peak.a02_naive_timetable_rows_by_hour}, feed_tables, str(tmp_path))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "a02"))
+    assert back.count() == counts["a02"] and "pct_of_rows" in back.columns
+    assert len([p for p in (tmp_path / "a02").iterdir() if p.name.endswith(".csv")]) == 1
