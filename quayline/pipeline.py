@@ -26,6 +26,12 @@ LAYOUT = {
     "v_departure": ["station_name", "departure_hour"],
     "service_date": ["service_id", "service_date"],
 }
+# name -> range-partitioning keys: files then cover disjoint key ranges, so an
+# equality filter on the first key skips whole files. The second key splits a
+# hot first key (one busy station) over several files instead of one.
+RANGE_LAYOUT = {
+    "v_departure": ["station_name", "trip_id"],
+}
 
 _CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
@@ -34,6 +40,11 @@ def build_core(spark: SparkSession, sf_dir: str, put=None) -> dict[str, DataFram
     """Core tables, quarantine, realtime log; written through ``put`` when given."""
     put = put or (lambda name, df: df)
     members = driver_tables.staged_members(spark, sf_dir)
+    # The two large members are read by several rules (the first-line aggregate
+    # and the screening pass, the kept dates and the duplicate summary); staging
+    # them once means one scan and one shuffle of the source instead of two.
+    for big in ("stop_times", "calendar_dates"):
+        members[big] = put(f"stg_{big}", members[big])
     out = cleaning.clean(members, put)
     t = dict(out.tables)
     t["rejected_row"] = out.rejected
@@ -100,7 +111,11 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
         path = f"{root}/{name}"
         if name == "rejected_row":
             df = df.withColumn("run_id", F.lit(run_id))
-        w = df.sortWithinPartitions(*LAYOUT[name]) if name in LAYOUT else df
+        w = df
+        if name in RANGE_LAYOUT:
+            w = w.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *RANGE_LAYOUT[name])
+        if name in LAYOUT:
+            w = w.sortWithinPartitions(*LAYOUT[name])
         w.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
