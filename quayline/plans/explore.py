@@ -112,6 +112,11 @@ def d01_feed_provenance(t):
     )
 
 
+def d02_ingestion_runs(t):
+    """Run log, newest first (our own log; no oracle can see it)."""
+    return t["ingestion_run"].orderBy(F.col("started_at_utc").desc(), F.col("run_id").desc())
+
+
 def d03_headline_counts(t):
     counts = _one_row(t, {
         "stations": ("station", None), "platforms": ("platform", None),
@@ -260,14 +265,7 @@ def d12_rejected_rows(t):
 
 
 def foreign_keys(t) -> list[tuple[str, str, DataFrame, str, DataFrame, str]]:
-    """(child, column, child_df, parent, parent_df, parent_column) for every declared FK."""
-    spark = t["station"].sparkSession
-
-    def codes(rows, name):
-        return spark.createDataFrame([(r[0],) for r in rows], [name])
-
-    acc, rtype = codes(ACCESSIBILITY, "code"), codes(ROUTE_TYPES, "code")
-    exc, pd_ = codes(EXCEPTION_TYPES, "code"), codes(PICKUP_DROP, "code")
+    """(child, column, child_df, parent, parent_df, parent_column) for every table-to-table FK."""
     return [
         ("platform", "station_id", t["platform"], "station", t["station"], "station_id"),
         ("route", "agency_id", t["route"], "agency", t["agency"], "agency_id"),
@@ -278,18 +276,23 @@ def foreign_keys(t) -> list[tuple[str, str, DataFrame, str, DataFrame, str]]:
         ("stop_time", "stop_id", t["stop_time"], "platform", t["platform"], "stop_id"),
         ("transfer", "from_stop_id", t["transfer"], "platform", t["platform"], "stop_id"),
         ("transfer", "to_stop_id", t["transfer"], "platform", t["platform"], "stop_id"),
-        ("station", "wheelchair_boarding", t["station"], "ref_accessibility", acc, "code"),
-        ("trip", "bikes_allowed", t["trip"], "ref_accessibility", acc, "code"),
-        ("trip", "wheelchair_accessible", t["trip"], "ref_accessibility", acc, "code"),
-        ("route", "route_type", t["route"], "ref_route_type", rtype, "code"),
-        ("service_date", "exception_type", t["service_date"], "ref_exception_type", exc, "code"),
-        ("stop_time", "pickup_type", t["stop_time"], "ref_pickup_drop", pd_, "code"),
-        ("stop_time", "drop_off_type", t["stop_time"], "ref_pickup_drop", pd_, "code"),
     ]
 
 
+# FKs onto fixed code lists: a membership test on the column, no join needed.
+CODE_FKS = [
+    ("station", "wheelchair_boarding", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
+    ("trip", "bikes_allowed", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
+    ("trip", "wheelchair_accessible", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
+    ("route", "route_type", "ref_route_type", [c for c, _ in ROUTE_TYPES]),
+    ("service_date", "exception_type", "ref_exception_type", [c for c, _ in EXCEPTION_TYPES]),
+    ("stop_time", "pickup_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
+    ("stop_time", "drop_off_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
+]
+
+
 def d13_fk_violations(t):
-    """One row per violating child value, for every FK: anti joins, unioned."""
+    """One row per violating child value, for every FK: anti joins / code tests, unioned."""
     parts = []
     for child, col, cdf, parent, pdf, pcol in foreign_keys(t):
         keys = pdf.select(F.col(pcol).cast("string").alias("_k"))
@@ -298,6 +301,11 @@ def d13_fk_violations(t):
             F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"), F.lit(parent).alias("parent_table"),
             F.col("_k").alias("value"),
         ))
+    for child, col, parent, codes in CODE_FKS:
+        parts.append(t[child].filter(F.col(col).isNotNull() & ~F.col(col).isin(*codes)).select(
+            F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"), F.lit(parent).alias("parent_table"),
+            F.col(col).cast("string").alias("value"),
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 
