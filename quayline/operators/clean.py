@@ -212,6 +212,28 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
     return kept, orphan.unionByName(invalid).unionByName(dup)
 
 
+def expand_weekly_patterns(service_df: DataFrame, service_date_df: DataFrame) -> DataFrame:
+    """Option for §2.13 #18: dates from the weekly pattern, minus removed, plus added.
+
+    Each service's [start_date, end_date] is exploded with ``sequence`` (one row
+    per calendar day of that service, bounded by its own date range) and kept
+    where the weekday flag is set. Explicit exceptions then win: exception 2
+    removes a date, exception 1 adds one. Result rows all carry exception 1.
+    """
+    flags = F.array(*[F.col(d) for d in WEEKDAYS])  # Monday first
+    days = service_df.filter(F.col("has_weekday_pattern") == 1).select(
+        "service_id", F.explode(F.sequence("start_date", "end_date")).alias("service_date"), flags.alias("_flags")
+    )
+    # dayofweek: 1 = Sunday ... 7 = Saturday -> Monday-first index 1..7
+    monday_first = F.pmod(F.dayofweek("service_date") + 5, F.lit(7)) + 1
+    weekly = days.filter(F.element_at("_flags", monday_first.cast("int")) == 1).select("service_id", "service_date")
+    removed = service_date_df.filter(F.col("exception_type") == 2).select("service_id", "service_date")
+    added = service_date_df.filter(F.col("exception_type") == 1).select("service_id", "service_date")
+    dates = weekly.join(removed, ["service_id", "service_date"], "left_anti").unionByName(added).distinct()
+    return dates.select("service_id", "service_date", F.lit(1).alias("exception_type"),
+                        (F.dayofweek("service_date") - 1).alias("day_of_week"))
+
+
 # --------------------------------------------------------------------------- T13-T14
 def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
     r = route_df.select(F.col("route_id").alias("_rid"), F.lit(1).alias("_rok"))
@@ -249,13 +271,16 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
 
 
 # --------------------------------------------------------------------------- T15-T21
-def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame) -> DataFrame:
+def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame,
+                      rank_after_screening: bool = False) -> DataFrame:
     """Parse, look up and rank every staged call; ``reject_rule`` NULL = accepted.
 
     The existence look-ups are left joins on key projections. "Duplicate" means
     "not the first staged line of its (trip_id, stop_sequence)" and is decided
     before the other rules, as the reference does (a rejected first copy still
-    outranks a good second copy).
+    outranks a good second copy). ``rank_after_screening`` instead looks for the
+    first line only among copies that pass every other rule, so a bad first copy
+    no longer takes a good second copy down with it.
     """
     parsed = stg.select(
         "src_line_no",
@@ -273,21 +298,30 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
     )
     trips_k = trip_df.select("trip_id", F.lit(1).alias("fk_trip"))
     plats_k = platform_df.select("stop_id", F.lit(1).alias("fk_platform"))
+    looked_up = parsed.join(trips_k, "trip_id", "left").join(plats_k, "stop_id", "left")
+    # strict (reference order): every staged copy competes, so the aggregate can
+    # read the parsed rows directly; otherwise only copies passing the other rules
+    candidates = parsed
+    if rank_after_screening:
+        candidates = looked_up.filter(_other_rules(with_duplicate=False).isNull())
     # First line per (trip, sequence) as an aggregate (copies collapse map-side),
     # joined back null-safely; AQE splits a hot key's partition in that join.
-    firsts = parsed.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
+    firsts = candidates.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
     f = firsts.alias("f")
-    p = parsed.alias("p")
+    p = looked_up.alias("p")
     keyed = p.join(
         f,
         F.col("p.trip_id").eqNullSafe(F.col("f.trip_id")) & F.col("p.stop_sequence").eqNullSafe(F.col("f.stop_sequence")),
         "left",
     ).select("p.*", "f._first_line")
-    screened = (
-        keyed.join(trips_k, "trip_id", "left")
-        .join(plats_k, "stop_id", "left")
-        .withColumn("dup_rank", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2))
+    screened = keyed.withColumn(
+        "dup_rank", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2)
     )
+    return screened.withColumn("reject_rule", _other_rules(with_duplicate=True))
+
+
+def _other_rules(with_duplicate: bool) -> F.Column:
+    """The first-match cascade; without the duplicate rule when ranking after screening."""
     conds = [
         F.col("fk_trip").isNull(),
         F.col("fk_platform").isNull(),
@@ -298,9 +332,12 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         F.col("dup_rank") > 1,
     ]
     rule = None
-    for cond, (code, _) in zip(conds, STOP_TIME_RULES):
+    pairs = list(zip(conds, STOP_TIME_RULES))
+    if not with_duplicate:
+        pairs = pairs[:-1]
+    for cond, (code, _) in pairs:
         rule = F.when(cond, F.lit(code)) if rule is None else rule.when(cond, F.lit(code))
-    return screened.withColumn("reject_rule", rule)
+    return rule
 
 
 def accepted_stop_times(screened: DataFrame) -> DataFrame:
@@ -391,7 +428,8 @@ def _keep(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def clean(members: dict[str, DataFrame], put=_keep) -> Cleaned:
+def clean(members: dict[str, DataFrame], put=_keep, rank_after_screening: bool = False,
+          expand_calendar: bool = False) -> Cleaned:
     """Run every rule in dependency order.
 
     ``put(name, df)`` may write a table and return it read back; later rules
@@ -414,12 +452,15 @@ def clean(members: dict[str, DataFrame], put=_keep) -> Cleaned:
     service = put("service", service)
     rej.append(r)
     service_date, r = service_dates(members["calendar_dates"], service)
+    if expand_calendar:
+        service_date = expand_weekly_patterns(service, service_date)
     service_date = put("service_date", service_date)
     rej.append(r)
     trip, r = trips(members["trips"], route, service)
     trip = put("trip", trip)
     rej.append(r)
-    screened = put("stop_time_screened", screen_stop_times(members["stop_times"], trip, platform))
+    screened = put("stop_time_screened",
+                   screen_stop_times(members["stop_times"], trip, platform, rank_after_screening))
     stop_time = put("stop_time", accepted_stop_times(screened))
     rej.append(rejected_stop_times(screened))
     transfer, r = transfers(members["transfers"], platform, trip)

@@ -190,3 +190,42 @@ def test_result_csv_sink(spark, feed_tables, tmp_path):
     back = spark.read.option("header", "true").csv(str(tmp_path / "a02"))
     assert back.count() == counts["a02"] and "pct_of_rows" in back.columns
     assert len([p for p in (tmp_path / "a02").iterdir() if p.name.endswith(".csv")]) == 1
+
+
+def _variant_feed(spark, tmp_path, **options):
+    from quayline import pipeline
+    from quayline.operators import clean as cleaning
+    from tests.conftest import MINI_FEED, write_feed
+
+    members = dict(MINI_FEED)
+    # first copy of (T4, 2) is itself rejected (no time), the second copy is good
+    members["stop_times.txt"] = MINI_FEED["stop_times.txt"] + ",,0,0,,,P2a,9,T4\n10:00:00,10:00:00,0,0,,,P2a,9,T4\n"
+    members["calendar.txt"] = MINI_FEED["calendar.txt"].replace(
+        "20250112,0,0,0,WK,20250106,0,0,0,0", "20250119,1,1,0,WK,20250106,0,1,1,1")
+    members["calendar_dates.txt"] = MINI_FEED["calendar_dates.txt"] + "20250115,2,WK\n20250118,1,WK\n"
+    tmp_path.mkdir(parents=True, exist_ok=True)
+    write_feed(tmp_path / "variant.zip", members)
+    staged, _, _ = __import__("quayline.sources.gtfs_feed", fromlist=["x"]).staged_members(spark, str(tmp_path))
+    out = cleaning.clean(staged, **options)
+    return pipeline.add_views(dict(out.tables, rejected_row=out.rejected))
+
+
+def test_duplicate_rank_strict_vs_after_screening(spark, tmp_path):
+    strict = _variant_feed(spark, tmp_path / "a")
+    key = (F.col("trip_id") == "T4") & (F.col("stop_sequence") == 9)
+    assert strict["stop_time"].filter(key).count() == 0  # both copies lost, as the reference does
+    relaxed = _variant_feed(spark, tmp_path / "b", rank_after_screening=True)
+    rows = relaxed["stop_time"].filter(key).collect()
+    assert len(rows) == 1 and rows[0]["departure_time"] == "10:00:00"
+
+
+def test_expand_calendar_option(spark, tmp_path):
+    base = _variant_feed(spark, tmp_path / "c")
+    wk = base["service_date"].filter((F.col("service_id") == "WK") & (F.col("exception_type") == 1))
+    assert wk.count() == 6  # calendar_dates only: 5 Mon-Fri + the added Saturday 18th; the weekly pattern is ignored
+    expanded = _variant_feed(spark, tmp_path / "d", expand_calendar=True)
+    dates = sorted(str(r["service_date"]) for r in expanded["service_date"].filter(F.col("service_id") == "WK")
+                   .collect())
+    # Mon-Fri 6-10 Jan and 13-17 Jan from the pattern, minus removed 15th, plus added Saturday 18th
+    assert dates == ["2025-01-06", "2025-01-07", "2025-01-08", "2025-01-09", "2025-01-10",
+                     "2025-01-13", "2025-01-14", "2025-01-16", "2025-01-17", "2025-01-18"]
