@@ -8,6 +8,7 @@ instead of re-running the cleaning jobs, and lineage is cut at that point.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -145,12 +146,84 @@ def log_run(spark, t, path, run_id, source, started) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def core(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Materialised core + views for ``sf_dir``, built once per Spark application."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+def _list_inputs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    """(name, size, modification time) of every input file, through the Hadoop FS (any store)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for st in fs.listStatus(path):
+        out.append((st.getPath().getName(), int(st.getLen()), int(st.getModificationTime())))
+    return sorted(out)
+
+
+def _code_version() -> str:
+    h = hashlib.sha1()
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    for dirpath, _, files in sorted(os.walk(pkg)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode())
+                    h.update(fh.read())
+    return h.hexdigest()
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h.update(repr(_list_inputs(spark, sf_dir)).encode())
+    h.update(_code_version().encode())
+    return h.hexdigest()[:24]
+
+
+def _published(spark: SparkSession, base: str, fp: str) -> dict | None:
+    ptr = f"{base}/_published/{fp}"
+    try:
+        row = spark.read.json(ptr).first()
+    except Exception:  # noqa: BLE001 - no pointer yet
+        return None
+    return {"root": row["root"], "tables": list(row["tables"])} if row else None
+
+
+def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: list[str]) -> None:
+    """Point the fingerprint at a finished build (written only after every table is)."""
+    spark.createDataFrame([(root, tables)], "root string, tables array<string>").coalesce(1).write.mode(
+        "overwrite").json(f"{base}/_published/{fp}")
+
+
+def _load(spark: SparkSession, sf_dir: str, pub: dict, base: str) -> dict[str, DataFrame]:
+    t: dict[str, DataFrame] = {}
+    for name, df in driver_tables.staged_members(spark, sf_dir).items():
+        t[f"stg_{name}"] = df
+    for name in pub["tables"]:
+        t[name] = spark.read.parquet(f"{pub['root']}/{name}")
+    t["ingestion_run"] = spark.read.parquet(f"{base}/ingestion_run")
+    return t
+
+
+def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, DataFrame]:
+    """Materialised core + views for ``sf_dir``.
+
+    A build is keyed by a fingerprint of the input files and of this package's
+    code; it is written into a fresh folder and then published by a small
+    pointer table, so a later session (or process) reads the finished build
+    instead of rebuilding, and a half-written build is never read.
+    ``reuse=False`` always builds (the benchmark does).
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), reuse)
     if key not in _CACHE:
-        root = f"{checkpoint_root(spark)}/quayline-core/{uuid.uuid4().hex}"
-        _CACHE[key] = add_views(materialise(spark, sf_dir, root))
+        base = f"{checkpoint_root(spark)}/quayline-core"
+        fp = fingerprint(spark, sf_dir)
+        pub = _published(spark, base, fp) if reuse else None
+        if pub is not None:
+            t = _load(spark, sf_dir, pub, base)
+        else:
+            root = f"{base}/{uuid.uuid4().hex}"
+            t = materialise(spark, sf_dir, root)
+            written = [n for n in t if not n.startswith("stg_") and n != "ingestion_run"]
+            written += ["stg_stop_times", "stg_calendar_dates"]
+            _publish(spark, base, fp, root, sorted(set(written)))
+        _CACHE[key] = add_views(t)
     return _CACHE[key]
 
 
