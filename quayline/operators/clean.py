@@ -298,28 +298,34 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
     )
     trips_k = trip_df.select("trip_id", F.lit(1).alias("fk_trip"))
     plats_k = platform_df.select("stop_id", F.lit(1).alias("fk_platform"))
-    looked_up = parsed.join(trips_k, "trip_id", "left").join(plats_k, "stop_id", "left")
-    # strict (reference order): every staged copy competes, so the aggregate can
-    # read the parsed rows directly; otherwise only copies passing the other rules
-    candidates = parsed
     if rank_after_screening:
-        candidates = looked_up.filter(_other_rules(with_duplicate=False).isNull())
-    # First line per (trip, sequence) as an aggregate (copies collapse map-side),
-    # joined back null-safely; AQE splits a hot key's partition in that join.
-    firsts = candidates.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
-    f = firsts.alias("f")
-    p = looked_up.alias("p")
-    keyed = p.join(
-        f,
-        F.col("p.trip_id").eqNullSafe(F.col("f.trip_id")) & F.col("p.stop_sequence").eqNullSafe(F.col("f.stop_sequence")),
-        "left",
-    ).select("p.*", "f._first_line")
+        # the other rules must be known before the first line can be chosen
+        looked_up = parsed.join(trips_k, "trip_id", "left").join(plats_k, "stop_id", "left")
+        firsts = (looked_up.filter(_other_rules(with_duplicate=False).isNull())
+                  .groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line")))
+        keyed = _join_firsts(looked_up, firsts, extra=[])
+    else:
+        # Strict (reference order): every staged copy competes. The first line per
+        # (trip, sequence) is an aggregate (copies collapse map-side); the trip
+        # look-up rides on that one-row-per-key table, so the wide staged rows are
+        # shuffled once, for the single null-safe join back (AQE splits a hot key).
+        firsts = (parsed.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
+                  .join(trips_k, "trip_id", "left"))
+        keyed = _join_firsts(parsed, firsts, extra=["fk_trip"]).join(plats_k, "stop_id", "left")
     screened = keyed.withColumn(
         "dup_rank", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2)
     )
     return screened.withColumn("reject_rule", _other_rules(with_duplicate=True))
 
 
+def _join_firsts(rows: DataFrame, firsts: DataFrame, extra: list[str]) -> DataFrame:
+    f = firsts.alias("f")
+    p = rows.alias("p")
+    cond = F.col("p.trip_id").eqNullSafe(F.col("f.trip_id")) & F.col("p.stop_sequence").eqNullSafe(
+        F.col("f.stop_sequence"))
+    return p.join(f, cond, "left").select("p.*", "f._first_line", *[f"f.{c}" for c in extra])
+
+
 def _other_rules(with_duplicate: bool) -> F.Column:
     """The first-match cascade; without the duplicate rule when ranking after screening."""
     conds = [
