@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import pct
-from quayline.plans.common import everything, long
+from quayline.plans.common import everything, long, weighted
 from quayline.schemas import ref_accessibility, ref_route_type
 
 WORST_ROUTES = 30
@@ -114,8 +114,8 @@ def a27_worst_routes_all_sizes(t):
 
 
 def a28_worst_routes_by_exposure(t, top: int = EXPOSURE_ROUTES):
-    # Days per trip arrive as one value per trip (V02); no call-level fan-out.
-    j = t["v_trip_amenity"].join(t["v_trip_service_days"].select("trip_id", "operating_days"), "trip_id")
+    # Days arrive per service (a trip runs on its service's days): a small build side.
+    j = weighted(t["v_trip_amenity"], t)
     agg = j.groupBy("route_id", "route_short_name", "route_long_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("operating_days").alias("annual"),
         F.sum("guarantees_any_amenity").alias("ga"),

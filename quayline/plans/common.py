@@ -20,7 +20,9 @@ def everything():
 
 
 def weighted(dep: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Departures carrying ``operating_days`` of their service (inner: no dates, no row).
+    """Rows (departures, origins, trips) carrying ``operating_days`` of their service.
+
+    Inner join: a trip whose service has no added date has no row, as in V02.
 
     Joining on the service grain is the same as joining on the trip grain (a trip
     inherits its service's days) but the build side has one row per service.
@@ -30,7 +32,7 @@ def weighted(dep: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 
 def morning_origins(t: dict[str, DataFrame], headsign_required: bool = True) -> DataFrame:
-    o = t["v_trip_origin"].join(t["v_trip_service_days"].select("trip_id", "operating_days"), "trip_id")
+    o = weighted(t["v_trip_origin"], t)
     cond = (F.col("departure_secs") < MORNING_SECS) & (F.col("day_offset") == 0)
     if headsign_required:
         cond = cond & F.col("trip_headsign").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import hour_band, pct, ratio
-from quayline.plans.common import MORNING_SECS, everything, long, morning_origins, rank_desc
+from quayline.plans.common import MORNING_SECS, everything, long, morning_origins, rank_desc, weighted
 
 TOP_DESTINATIONS = 25
 TOP_SPLIT = 20
@@ -53,10 +53,7 @@ def a13_top3_destinations(t):
 
 
 def a14_morning_vs_afternoon(t, min_trips: int = SPLIT_MIN_TRIPS, top: int = TOP_SPLIT):
-    o = (
-        t["v_trip_origin"].join(t["v_trip_service_days"].select("trip_id", "operating_days"), "trip_id")
-        .filter((F.col("day_offset") == 0) & F.col("trip_headsign").isNotNull())
-    )
+    o = weighted(t["v_trip_origin"], t).filter((F.col("day_offset") == 0) & F.col("trip_headsign").isNotNull())
     morning = F.when(F.col("departure_secs") < MORNING_SECS, 1).otherwise(0)
     agg = o.groupBy("trip_headsign").agg(
         F.sum(F.col("operating_days") * morning).alias("am"),

@@ -187,10 +187,11 @@ def staged_trips(spark, sf_dir):
             F.when(ok % 19 == 0, F.lit("")).otherwise(F.col("n_name")).alias("trip_headsign"),
             _text(ok).alias("trip_short_name"),
             _text(ok % 2).alias("direction_id"),
-            F.when(ok % 7 == 0, F.lit("")).otherwise(_text(ok % 3)).alias("bikes_allowed"),
-            F.when(ok % 11 == 0, F.lit("")).otherwise(_text((ok / 3).cast("long") % 3)).alias(
-                "wheelchair_accessible"
-            ),
+            # brands 7, 14 and 21 promise nothing: bikes refused, wheelchair unknown
+            F.when(ok % 26 % 7 == 0, F.lit("2")).when(ok % 7 == 0, F.lit("")).otherwise(_text(ok % 3))
+            .alias("bikes_allowed"),
+            F.when((ok % 26 % 7 == 0) | (ok % 11 == 0), F.lit("")).otherwise(_text((ok / 3).cast("long") % 3))
+            .alias("wheelchair_accessible"),
             (ok + 2).alias("src_line_no"),
         ),
         "trips",
