@@ -207,7 +207,7 @@ def rt_departure_performance(t: dict[str, DataFrame], rt: dict[str, DataFrame])
         .join(sched, ["trip_id", "stop_sequence"], "left")
         .join(ssr, "schedule_relationship", "left")
     )
-    skipped = F.coalesce(F.col("is_cancellation"), F.lit(0))
+    skipped = F.coalesce(F.col("is_cancellation"), F.lit(0)).cast("int")
     delay = F.col("departure_delay_s")
     return df.select(
         "trip_id", "start_date", "stop_sequence", "stop_id", "station_id", "station_name", "platform_code",
