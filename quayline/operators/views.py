@@ -20,16 +20,17 @@ def departures(t: dict[str, DataFrame]) -> DataFrame:
     """One row per boardable call with a departure time."""
     spark = t["stop_time"].sparkSession
     st = t["stop_time"].filter((F.col("is_boardable") == 1) & F.col("departure_secs").isNotNull())
-    place = t["platform"].select("stop_id", "station_id", "platform_code", "has_platform_code").join(
-        t["station"].select("station_id", "station_name"), "station_id"
-    )
+    # Dimensions meet the fact one at a time, each a plain scan with exact size
+    # statistics, so Spark's size check picks the dimension (not the fact) to broadcast.
+    platform = t["platform"].select("stop_id", "station_id", "platform_code", "has_platform_code")
+    station = t["station"].select("station_id", "station_name")
     line = (
         t["trip"].select("trip_id", "route_id", "service_id", "trip_headsign", "trip_short_name",
                          "bikes_allowed", "wheelchair_accessible")
         .join(t["route"].select("route_id", "route_short_name", "route_long_name", "route_type"), "route_id")
         .join(ref_route_type(spark).withColumnRenamed("label", "route_type_label"), "route_type")
     )
-    return st.join(place, "stop_id").join(line, "trip_id").select(
+    return st.join(platform, "stop_id").join(station, "station_id").join(line, "trip_id").select(
         "trip_id", "stop_sequence", "stop_id", "station_id", "station_name", "platform_code", "has_platform_code",
         "departure_time", "departure_secs", "departure_hour", "day_offset", "pickup_type", "drop_off_type",
         "route_id", "service_id", "trip_headsign", "trip_short_name", "bikes_allowed", "wheelchair_accessible",

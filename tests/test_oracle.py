@@ -39,6 +39,9 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 
@@ -55,6 +58,8 @@ def test_matches_oracle(spark, con, label):
     cur = con.execute(ORACLE[label])
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
+    otypes = {d[0]: str(d[1]) for d in cur.description}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == otypes
     idx = [ocols.index(c) for c in df.columns]
     orows = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=_key)
     assert srows == orows
