@@ -28,6 +28,12 @@ def facts(df) -> list[str]:
             line = re.sub(r"#\d+L?", "", line)
             line = re.sub(r", \[plan_id=\d+\]", "", line)
             out.append(line[:190])
+            if "FileScan" in line:
+                pad = " " * (len(line) - len(line.lstrip()) + 6)
+                for key in ("PushedFilters", "ReadSchema"):
+                    m = re.search(key + r": (\[[^\]]*\]|struct<[^ ]*)", line)
+                    if m:
+                        out.append(f"{pad}{key}: {m.group(1)[:150]}")
     return out
 
 
