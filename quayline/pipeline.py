@@ -120,26 +120,32 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
         w.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    t = build_core(spark, sf_dir, put)
-    t["v_departure"] = put("v_departure", views.departures(t))
-    t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
-    t["service_days"] = put("service_days", views.service_days(t))
-    # the rest of the semantic layer: small, reused by many analyses
-    t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
-    t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
-    t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
-    t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
+    try:
+        t = build_core(spark, sf_dir, put)
+        t["v_departure"] = put("v_departure", views.departures(t))
+        t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
+        t["service_days"] = put("service_days", views.service_days(t))
+        # the rest of the semantic layer: small, reused by many analyses
+        t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
+        t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
+        t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
+        t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
+    except Exception:
+        log_run(spark, None, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started, "failed")
+        raise
     t["ingestion_run"] = log_run(spark, t, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started)
     return t
 
 
-def log_run(spark, t, path, run_id, source, started) -> DataFrame:
+def log_run(spark, t, path, run_id, source, started, status: str = "success") -> DataFrame:
     """Append one run-log row (a handful of scalar counts read from Parquet footers)."""
-    loaded = sum(t[n].count() for n in ("station", "platform", "route", "service", "service_date", "trip",
-                                          "stop_time", "transfer", "text_translation", "agency", "feed_info"))
-    rejected = t["rejected_row"].count()
+    loaded = rejected = None
+    if t is not None:
+        loaded = sum(t[n].count() for n in ("station", "platform", "route", "service", "service_date", "trip",
+                                              "stop_time", "transfer", "text_translation", "agency", "feed_info"))
+        rejected = t["rejected_row"].count()
     finished = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    row = [(run_id, source, started, finished, "success", loaded, rejected)]
+    row = [(run_id, source, started, finished, status, loaded, rejected)]
     schema = ("run_id string, source string, started_at_utc string, finished_at_utc string, status string, "
               "rows_loaded long, rows_rejected long")
     spark.createDataFrame(row, schema).write.mode("append").parquet(path)

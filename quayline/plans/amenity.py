@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import pct
-from quayline.plans.common import everything, long, weighted
+from quayline.plans.common import long, weighted
 from quayline.schemas import ref_accessibility, ref_route_type
 
 WORST_ROUTES = 30
@@ -156,5 +156,3 @@ def a30_station_accessibility_gap(t):
         pct("n", "total", 2).alias("pct_of_stations"),
     ).orderBy(F.col("stations").desc(), "wheelchair_boarding")
 
-
-_ = everything

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import hour_band, pct
 from quayline.plans import platform as platform_plans
-from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, everything, long, weighted
+from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, long, weighted
 from quayline.schemas import ACCESSIBILITY, EXCEPTION_TYPES, PICKUP_DROP, ROUTE_TYPES
 
 EXPLORER_STATION = HUBS[2]
@@ -308,5 +308,3 @@ def d13_fk_violations(t):
         ))
     return reduce(DataFrame.unionByName, parts)
 
-
-_ = everything

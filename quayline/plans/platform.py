@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import half_up, hour_band, pct, ratio
-from quayline.operators import views
 from quayline.plans.common import FOCUS_STATION, HUBS, everything, long, rank_desc, weighted
 
 
@@ -136,5 +135,3 @@ def a11_hub_comparison(t, hubs=HUBS):
         F.rank().over(Window.orderBy(per_platform.desc())).cast("long").alias("pressure_rank"),
     ).orderBy(F.col("calls_per_platform").desc(), "station_name")
 
-
-_ = views  # re-exported for callers composing their own station filters

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.functions import frequency_class, pct, ratio
+from quayline.functions import frequency_class, ratio
 from quayline.plans.common import FOCUS_STATION, long
 from quayline.plans.explore import LOOKUP_STOP
 from quayline.schemas import MEMBER_COLUMNS, TRANSLATION_LANGUAGES, WEEKDAYS
@@ -355,5 +355,3 @@ def p41_column_profile(t, table: str = "stop_time"):
         "x.min_value", "x.max_value", ratio("x.s", "x.populated", 4).alias("mean_value"),
     )
 
-
-_ = pct

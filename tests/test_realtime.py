@@ -148,3 +148,11 @@ def test_delay_history_stream(spark, tmp_path):
     rows = spark.sql("SELECT * FROM ql_delay_hist").collect()
     assert sum(r["observations"] for r in rows) == 5
     assert sum(r["on_time"] for r in rows) == 2  # delays 0 and 119; 120 is late, e2 is skipped
+
+
+def test_match_rate_is_observed_not_enforced(spark, tmp_path, feed_tables):
+    write(tmp_path / "m", "s1.json", TRIP_DOC)
+    metrics = snapshots.append_snapshots(docs(spark, str(tmp_path / "m")), "trip-update", str(tmp_path / "log"),
+                                         trips=feed_tables["trip"])
+    assert metrics["trip_updates"] == 2 and metrics["matched"] == 1  # UNKNOWN is kept in the log
+    assert snapshots.read_tables(spark, str(tmp_path / "log"))["rt_trip_update"].count() == 2
