@@ -114,7 +114,7 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
             df = df.withColumn("run_id", F.lit(run_id))
         w = df
         if name in RANGE_LAYOUT:
-            w = w.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *RANGE_LAYOUT[name])
+            w = w.repartitionByRange(*RANGE_LAYOUT[name])  # count left to AQE (coalesces small outputs)
         if name in LAYOUT:
             w = w.sortWithinPartitions(*LAYOUT[name])
         w.write.mode("overwrite").parquet(path)
