@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayline.functions import hour_band, pct
 from quayline.plans import platform as platform_plans
 from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, long, weighted
-from quayline.schemas import ACCESSIBILITY, EXCEPTION_TYPES, PICKUP_DROP, ROUTE_TYPES
+from quayline.schemas import ACCESSIBILITY, EXCEPTION_TYPES, MEMBER_COLUMNS, PICKUP_DROP, ROUTE_TYPES
 
 EXPLORER_STATION = HUBS[2]
 LOOKUP_STOP = "P1"
@@ -99,6 +99,23 @@ def b06_table_sizes(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+def s07_feed_roundtrip(t):
+    """S01-S07 on volume: export the staged members as a feed, read it back with the
+    feed reader (by header name, record numbers, shape check) and report per member."""
+    import uuid
+
+    from quayline import pipeline
+    from quayline.sources import gtfs_feed
+
+    spark = t["trip"].sparkSession
+    members = {m: t[f"stg_{m}"] for m in MEMBER_COLUMNS}
+    root = f"{pipeline.checkpoint_root(spark)}/quayline-feed-export/{uuid.uuid4().hex}"
+    gtfs_feed.export_feed(members, root)
+    _, report, _ = gtfs_feed.staged_members(spark, root)
+    return report.select("member", "staged_rows", F.coalesce("shape_mismatches", F.lit(0).cast("long"))
+                         .alias("shape_mismatches"))
+
+
 # ----------------------------------------------------------------------------- D
 def d01_feed_provenance(t):
     first_agency = t["agency"].agg(F.min_by(F.struct("agency_name", "agency_timezone"), "agency_id").alias("a"))

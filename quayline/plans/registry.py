@@ -59,6 +59,7 @@ QUERIES = {
     "b04_annualised_by_hour_base_tables": explore.b04_annualised_by_hour_base_tables,
     "b05_station_platform_calls": explore.b05_station_platform_calls,
     "b06_table_sizes": explore.b06_table_sizes,
+    "s07_feed_roundtrip": explore.s07_feed_roundtrip,
     "d01_feed_provenance": explore.d01_feed_provenance,
     "d02_ingestion_runs": explore.d02_ingestion_runs,
     "d03_headline_counts": explore.d03_headline_counts,

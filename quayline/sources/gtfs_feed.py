@@ -7,7 +7,8 @@
 * S04 ``src_line_no`` is the record number (header = 1, data from 2);
 * S05 a UTF-8 byte-order mark on the header is stripped;
 * S06 required members must be present, extra members are reported, an absent
-  optional member yields zero rows;
+  optional member yields zero rows (a member may also be a Spark-written
+  ``<member>.txt/`` directory of CSV parts, each part with its own header);
 * S07 staged row counts per member.
 
 Spark has no zip codec, so each archive is expanded by one ``mapInPandas`` task
@@ -61,8 +62,12 @@ def _expand(batches):
                         for chunk in _records(path, member, z.read(info)):
                             yield pd.DataFrame(chunk, columns=cols)
             else:
-                member = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                archive = path.rsplit("/", 1)[0]
+                parent, name = path.rsplit("/", 1)
+                if parent.lower().endswith(".txt"):
+                    # a member written by Spark: <member>.txt/part-*.csv, each part with its own header
+                    member, archive = parent.rsplit("/", 1)[-1][:-4], path
+                else:
+                    member, archive = name.rsplit(".", 1)[0], parent
                 for chunk in _records(archive, member, bytes(content)):
                     yield pd.DataFrame(chunk, columns=cols)
 
@@ -73,12 +78,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .filter(F.lower("path").endswith(".zip") | F.lower("path").endswith(".txt"))
+        .filter(F.lower("path").endswith(".zip") | F.lower("path").endswith(".txt")
+                | (F.lower("path").contains(".txt/") & F.lower("path").endswith(".csv")))
         .select("path", "content")
     )
     return files.mapInPandas(_expand, RECORD_SCHEMA)
 
 
+def export_feed(members: dict[str, DataFrame], root: str) -> None:
+    """Write staged members as a feed: ``<root>/<member>.txt/part-*.csv`` with headers.
+
+    Each member keeps its declared column order; values are written as text (NULL
+    as an empty field), so reading the feed back stages the same rows.
+    """
+    for member, df in members.items():
+        cols = [c for c in MEMBER_COLUMNS[member] if c in df.columns]
+        (df.select(*cols).write.mode("overwrite").option("header", "true").option("emptyValue", "")
+         .csv(f"{root}/{member}.txt"))
+
+
 def member_listing(records: DataFrame) -> DataFrame:
     """Header row per (archive, member): tiny, one row per member file."""
     return records.filter(F.col("record_no") == 1).select(
