@@ -116,6 +116,37 @@ def s07_feed_roundtrip(t):
                          .alias("shape_mismatches"))
 
 
+def s08_s19_shred_roundtrip(t):
+    """S08-S19 on volume: one trip-update document per entity of the realtime log
+    (derived from events) is written as JSON Lines, read back, registered (S19)
+    and shredded (S08-S10, S16-S18); the counts show every quirk was handled."""
+    import uuid
+
+    from quayline import pipeline
+    from quayline.sources import driver_tables
+    from quayline.sources import realtime_json as rj
+
+    spark = t["trip"].sparkSession
+    path = f"{pipeline.checkpoint_root(spark)}/quayline-rt-export/{uuid.uuid4().hex}"
+    rj.export_documents(driver_tables.trip_update_documents(t["rt_trip_update"], t["rt_stop_time_update"]), path)
+    snaps = rj.register_snapshots(rj.parse_documents(rj.read_documents(spark, path, lines=True), "trip-update"), None)
+    out = rj.shred(snaps, "trip-update")
+    tu, stu = out["rt_trip_update"], out["rt_stop_time_update"]
+    expected = F.lit(driver_tables.DOC_EPOCH) + F.regexp_extract("rt_entity_id", r"(\d+)$", 1).cast("long")
+    parts = [
+        out["rt_snapshot"].agg(F.count(F.lit(1)).alias("snapshots")),
+        tu.agg(F.count(F.lit(1)).alias("trip_updates"),
+               F.sum(F.when(F.col("timestamp_epoch") == expected, 1).otherwise(0)).alias("decoded_timestamps")),
+        stu.agg(F.count(F.lit(1)).alias("stop_time_updates"),
+                F.sum(F.when(F.col("stop_sequence") < 0, 1).otherwise(0)).alias("synthetic_sequences"),
+                F.sum(F.when(F.col("schedule_relationship") == 2, 1).otherwise(0)).alias("no_data_updates")),
+    ]
+    one = reduce(lambda a, b: a.crossJoin(b), parts)
+    return one.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in [
+        "snapshots", "trip_updates", "decoded_timestamps", "stop_time_updates", "synthetic_sequences",
+        "no_data_updates"]])
+
+
 # ----------------------------------------------------------------------------- D
 def d01_feed_provenance(t):
     first_agency = t["agency"].agg(F.min_by(F.struct("agency_name", "agency_timezone"), "agency_id").alias("a"))

@@ -60,6 +60,7 @@ QUERIES = {
     "b05_station_platform_calls": explore.b05_station_platform_calls,
     "b06_table_sizes": explore.b06_table_sizes,
     "s07_feed_roundtrip": explore.s07_feed_roundtrip,
+    "s08_s19_shred_roundtrip": explore.s08_s19_shred_roundtrip,
     "d01_feed_provenance": explore.d01_feed_provenance,
     "d02_ingestion_runs": explore.d02_ingestion_runs,
     "d03_headline_counts": explore.d03_headline_counts,

@@ -397,3 +397,40 @@ def realtime_from_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         "rt_alert": alert_rows.select("snapshot_id", "rt_entity_id", "cause", "effect"),
         "rt_alert_text": texts,
     }
+
+
+# ---------------------------------------------------------------------------
+# Realtime documents derived from events (for the shredder on volume)
+# ---------------------------------------------------------------------------
+DOC_EPOCH = 1700000000  # header timestamp = DOC_EPOCH + event_id: one snapshot per event
+
+
+def trip_update_documents(tu: DataFrame, stu: DataFrame) -> DataFrame:
+    """One trip-update document per realtime entity of the log derived from events,
+    as JSON text in column ``doc``.
+
+    Quirks on purpose: the entity timestamp is a protobuf Long object on even
+    ids and a plain number on odd ids; every 7th update has no stopSequence;
+    every 5th entity repeats its sequence in a second update; no-data updates
+    carry no departure."""
+    j = stu.join(tu.select("snapshot_id", "rt_entity_id", "trip_id", "start_date"), ["snapshot_id", "rt_entity_id"])
+    eid = F.col("rt_entity_id").try_cast("long")
+    ts = F.lit(DOC_EPOCH) + eid
+    rel = F.col("schedule_relationship")
+    seq_part = F.when(eid % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(',"stopSequence":'), _text(F.col("stop_sequence"))))
+    dep_part = F.when(F.col("departure_delay_s").isNull(), F.lit("")).otherwise(
+        F.concat(F.lit(',"departure":{"delay":'), _text(F.col("departure_delay_s")), F.lit("}")))
+    first = F.concat(F.lit('{"stopId":"'), F.col("stop_id"), F.lit('"'), seq_part, dep_part,
+                     F.lit(',"scheduleRelationship":'), _text(rel), F.lit("}"))
+    second = F.when(eid % 5 == 0, F.concat(F.lit(',{"stopId":"P0"'), seq_part,
+                                           F.lit(',"departure":{"delay":0},"scheduleRelationship":0}')))
+    long_obj = F.concat(F.lit('{"low":'), _text(ts % 4294967296), F.lit(',"high":'),
+                        _text((ts / 4294967296).cast("long")), F.lit(',"unsigned":true}'))
+    stamp = F.when(eid % 2 == 0, long_obj).otherwise(_text(ts))
+    doc = F.concat(
+        F.lit('{"header":{"gtfsRealtimeVersion":"2.0","timestamp":'), _text(ts), F.lit('},"entity":[{"id":"'),
+        F.col("rt_entity_id"), F.lit('","tripUpdate":{"trip":{"tripId":"'), F.coalesce(F.col("trip_id"), F.lit("")),
+        F.lit('","startDate":"'), F.regexp_replace(F.col("start_date"), "-", ""), F.lit('"},"timestamp":'), stamp,
+        F.lit(',"stopTimeUpdate":['), first, F.coalesce(second, F.lit("")), F.lit("]}}]}"),
+    )
+    return j.select(doc.alias("doc"))

@@ -70,15 +70,23 @@ def first_text(x: Column) -> Column:
 
 
 # ----------------------------------------------------------------- documents
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per snapshot file: raw text + file metadata."""
-    return spark.read.option("wholetext", "true").text(path).select(
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per snapshot document: raw text + file metadata.
+
+    By default each file is one document; ``lines=True`` reads JSON Lines (one
+    document per line), which splits large files across tasks."""
+    return spark.read.option("wholetext", "false" if lines else "true").text(path).select(
         F.col("value"), F.col("_metadata.file_path").alias("source_url"),
         F.unix_seconds(F.col("_metadata.file_modification_time")).alias("fetched_epoch"),
         F.col("_metadata.file_size").alias("bytes_downloaded"),
     )
 
 
+def export_documents(docs: DataFrame, path: str) -> None:
+    """Write one JSON document per row (column ``doc``) as JSON Lines."""
+    docs.select(F.col("doc").alias("value")).write.mode("overwrite").text(path)
+
+
 def parse_documents(docs: DataFrame, feed: str) -> DataFrame:
     """S19 input: parsed snapshot rows with a deterministic ``snapshot_id``."""
     d = docs.select("*", F.from_json("value", DOCUMENT).alias("doc"))
