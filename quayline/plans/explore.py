@@ -110,8 +110,8 @@ def s07_feed_roundtrip(t):
     spark = t["trip"].sparkSession
     members = {m: t[f"stg_{m}"] for m in MEMBER_COLUMNS}
     root = f"{pipeline.checkpoint_root(spark)}/quayline-feed-export/{uuid.uuid4().hex}"
-    gtfs_feed.export_feed(members, root)
-    _, report, _ = gtfs_feed.staged_members(spark, root)
+    gtfs_feed.export_feed(members, f"{root}/feed")
+    _, report, _ = gtfs_feed.staged_members(spark, f"{root}/feed", stage_dir=f"{root}/records")
     return report.select("member", "staged_rows", F.coalesce("shape_mismatches", F.lit(0).cast("long"))
                          .alias("shape_mismatches"))
 
