@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayline.schemas import MEMBER_COLUMNS, REQUIRED_MEMBERS
+from quayline.shipping import ship_package
 
 RECORD_SCHEMA = "archive string, member string, record_no long, line string"
 CHUNK = 200_000
@@ -77,6 +78,7 @@ def _expand(batches):
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV record of every member: (archive, member, record_no, fields)."""
+    ship_package(spark)  # the expander below runs in Python workers
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
