@@ -346,23 +346,44 @@ def _other_rules(with_duplicate: bool) -> F.Column:
     return rule
 
 
-def accepted_stop_times(screened: DataFrame) -> DataFrame:
+STOP_TIME_COLUMNS = [
+    "trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time", "arrival_secs", "departure_secs",
+    "departure_hour", "arrival_hour", "day_offset", "pickup_type", "drop_off_type", "stop_headsign",
+    "is_boardable", "is_alightable",
+]
+
+
+def with_fact_columns(screened: DataFrame) -> DataFrame:
+    """The screened calls with the fact's derived columns and a ``load_status``.
+
+    Written once, partitioned by ``load_status``: the fact is the pruned read of
+    the ``loaded`` partition (filters on its stored columns still reach the scan)
+    and the quarantine reads the ``rejected`` one, so the largest table is never
+    written twice."""
     dep, arr = F.col("departure_secs"), F.col("arrival_secs")
-    return screened.filter(F.col("reject_rule").isNull()).select(
-        "trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time", "arrival_secs", "departure_secs",
+    return screened.select(
+        "*",
         F.when(dep.isNotNull(), (dep / 3600).cast("int") % 24).alias("departure_hour"),
         F.when(arr.isNotNull(), (arr / 3600).cast("int") % 24).alias("arrival_hour"),
         (F.coalesce(dep, arr) / 86400).cast("int").alias("day_offset"),
-        "pickup_type", "drop_off_type", "stop_headsign",
         F.when(F.col("pickup_type") == 1, 0).otherwise(1).alias("is_boardable"),
         F.when(F.col("drop_off_type") == 1, 0).otherwise(1).alias("is_alightable"),
+        F.when(F.col("reject_rule").isNull(), F.lit("loaded")).otherwise(F.lit("rejected")).alias("load_status"),
     )
 
 
+def accepted_stop_times(screened: DataFrame) -> DataFrame:
+    if "load_status" not in screened.columns:
+        screened = with_fact_columns(screened)
+    return screened.filter(F.col("load_status") == "loaded").select(*STOP_TIME_COLUMNS)
+
+
 def rejected_stop_times(screened: DataFrame) -> DataFrame:
     reason = F.create_map(*[x for code, text in STOP_TIME_RULES for x in (F.lit(code), F.lit(text))])
+    rejected = (screened.filter(F.col("load_status") == "rejected") if "load_status" in screened.columns
+                else screened.filter(F.col("reject_rule").isNotNull()))
     return _reject(
-        screened.filter(F.col("reject_rule").isNotNull()), "stop_times", F.col("reject_rule"),
+        rejected, "stop_times", F.col("reject_rule"),
         reason[F.col("reject_rule")],
         _payload(trip_id=F.col("trip_id"), stop_sequence=F.col("stop_sequence"), stop_id=F.col("stop_id"),
                  arrival_time=F.col("arrival_time"), departure_time=F.col("departure_time")),
@@ -465,9 +486,9 @@ def clean(members: dict[str, DataFrame], put=_keep, rank_after_screening: bool =
     trip, r = trips(members["trips"], route, service)
     trip = put("trip", trip)
     rej.append(r)
-    screened = put("stop_time_screened",
-                   screen_stop_times(members["stop_times"], trip, platform, rank_after_screening))
-    stop_time = put("stop_time", accepted_stop_times(screened))
+    screened = put("stop_time_screened", with_fact_columns(
+        screen_stop_times(members["stop_times"], trip, platform, rank_after_screening)))
+    stop_time = accepted_stop_times(screened)
     rej.append(rejected_stop_times(screened))
     transfer, r = transfers(members["transfers"], platform, trip)
     transfer = put("transfer", transfer)

@@ -23,10 +23,14 @@ from quayline.sources import driver_tables
 
 # name -> columns the written file is sorted by inside each task (min/max pruning)
 LAYOUT = {
-    "stop_time": ["trip_id", "stop_sequence"],
+    "stop_time_screened": ["trip_id", "stop_sequence"],
     "v_departure": ["station_name", "departure_hour"],
     "service_date": ["service_id", "service_date"],
 }
+# name -> directory partition columns (few distinct values, read with pruning)
+PARTITION_BY = {
+    "stop_time_screened": ["load_status"],
+}
 # name -> range-partitioning keys: files then cover disjoint key ranges, so an
 # equality filter on the first key skips whole files. The second key splits a
 # hot first key (one busy station) over several files instead of one.
@@ -117,7 +121,10 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
             w = w.repartitionByRange(*RANGE_LAYOUT[name])  # count left to AQE (coalesces small outputs)
         if name in LAYOUT:
             w = w.sortWithinPartitions(*LAYOUT[name])
-        w.write.mode("overwrite").parquet(path)
+        writer = w.write.mode("overwrite")
+        if name in PARTITION_BY:
+            writer = writer.partitionBy(*PARTITION_BY[name])
+        writer.parquet(path)
         return spark.read.parquet(path)
 
     try:
@@ -203,6 +210,7 @@ def _load(spark: SparkSession, sf_dir: str, pub: dict, base: str) -> dict[str, D
         t[f"stg_{name}"] = df
     for name in pub["tables"]:
         t[name] = spark.read.parquet(f"{pub['root']}/{name}")
+    t["stop_time"] = cleaning.accepted_stop_times(t["stop_time_screened"])
     t["ingestion_run"] = spark.read.parquet(f"{base}/ingestion_run")
     return t
 
@@ -226,8 +234,8 @@ def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, Data
         else:
             root = f"{base}/{uuid.uuid4().hex}"
             t = materialise(spark, sf_dir, root)
-            written = [n for n in t if not n.startswith("stg_") and n != "ingestion_run"]
-            written += ["stg_stop_times", "stg_calendar_dates"]
+            written = [n for n in t if not n.startswith("stg_") and n not in ("ingestion_run", "stop_time")]
+            written += ["stg_stop_times", "stg_calendar_dates", "stop_time_screened"]
             _publish(spark, base, fp, root, sorted(set(written)))
         _CACHE[key] = add_views(t)
     return _CACHE[key]
