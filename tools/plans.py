@@ -30,7 +30,7 @@ def facts(df) -> list[str]:
             out.append(line[:190])
             if "FileScan" in line:
                 pad = " " * (len(line) - len(line.lstrip()) + 6)
-                for key in ("PushedFilters", "ReadSchema"):
+                for key in ("PartitionFilters", "PushedFilters", "ReadSchema"):
                     m = re.search(key + r": (\[[^\]]*\]|struct<[^ ]*)", line)
                     if m:
                         out.append(f"{pad}{key}: {m.group(1)[:150]}")
