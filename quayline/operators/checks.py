@@ -29,13 +29,14 @@ def _anti(child: DataFrame, ccol: str, parent: DataFrame, pcol: str) -> DataFram
 
 def check_rows(t: dict[str, DataFrame]) -> list[tuple[str, str, DataFrame, str, str]]:
     """(id, name, one-row ``value`` DataFrame, predicate on value, severity)."""
+    from quayline.plans.common import beside
     from quayline.plans.explore import d13_fk_violations
 
     st, trip, plat = t["stop_time"], t["trip"], t["platform"]
     staged_calls = t["stg_stop_times"].agg(F.count(F.lit(1)).alias("s"))
     loaded = st.agg(F.count(F.lit(1)).alias("l"))
     rejected = t["rejected_row"].filter(F.col("source_table") == "stg_stop_times").agg(F.count(F.lit(1)).alias("r"))
-    accounting = staged_calls.crossJoin(loaded).crossJoin(rejected).select(
+    accounting = beside(staged_calls, loaded, rejected).select(
         (F.col("s") - F.col("l") - F.col("r")).cast("double").alias("value")
     )
     recomputed_hour = (F.col("departure_secs") / 3600).cast("int") % 24
@@ -43,8 +44,8 @@ def check_rows(t: dict[str, DataFrame]) -> list[tuple[str, str, DataFrame, str,
     origin = t["v_trip_origin"]
     acc_codes = [c for c, *_ in ACCESSIBILITY]
     tu = t["rt_trip_update"]
-    match = tu.join(trip.select("trip_id"), "trip_id").agg(F.count(F.lit(1)).alias("m")).crossJoin(
-        tu.agg(F.count(F.lit(1)).alias("n"))
+    match = beside(
+        tu.join(trip.select("trip_id"), "trip_id").agg(F.count(F.lit(1)).alias("m")), tu.agg(F.count(F.lit(1)).alias("n"))
     ).select((F.lit(100.0) * F.col("m").cast("double") / F.nullif(F.col("n"), F.lit(0)).cast("double")).alias("value"))
     # Row-level checks on the fact in ONE pass; each check reads its own column.
     st_checks = st.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import pct
-from quayline.plans.common import long, weighted
+from quayline.plans.common import beside, long, weighted
 from quayline.schemas import ref_accessibility, ref_route_type
 
 WORST_ROUTES = 30
@@ -151,7 +151,7 @@ def a30_station_accessibility_gap(t):
     acc = ref_accessibility(spark).select(F.col("code").alias("wheelchair_boarding"), "label")
     agg = t["station"].join(acc, "wheelchair_boarding").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = t["station"].agg(F.count(F.lit(1)).alias("total"))
-    return agg.crossJoin(total).select(
+    return beside(agg, total).select(
         F.col("label").alias("wheelchair_boarding"), long("n").alias("stations"),
         pct("n", "total", 2).alias("pct_of_stations"),
     ).orderBy(F.col("stations").desc(), "wheelchair_boarding")

@@ -45,3 +45,14 @@ def long(c) -> F.Column:
 
 def rank_desc(*cols) -> F.Column:
     return F.rank().over(Window.orderBy(*[F.col(c).desc() if isinstance(c, str) else c for c in cols])).cast("long")
+
+
+def beside(df: DataFrame, *scalars: DataFrame) -> DataFrame:
+    """Attach one-row results (global aggregates: exactly one row each) to ``df``.
+
+    This is SQL's uncorrelated scalar subquery. The one-row sides are broadcast,
+    so ``df`` is neither shuffled nor multiplied.
+    """
+    for one in scalars:
+        df = df.join(F.broadcast(one), how="cross")
+    return df

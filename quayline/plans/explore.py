@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import hour_band, pct
 from quayline.plans import platform as platform_plans
-from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, long, weighted
+from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, beside, long, weighted
 from quayline.schemas import ACCESSIBILITY, EXCEPTION_TYPES, MEMBER_COLUMNS, PICKUP_DROP, ROUTE_TYPES
 
 EXPLORER_STATION = HUBS[2]
@@ -24,7 +24,7 @@ def _one_row(t: dict[str, DataFrame], counts: dict[str, tuple[str, F.Column | No
     for alias, (table, cond) in counts.items():
         df = t[table] if cond is None else t[table].filter(cond)
         parts.append(df.agg(F.count(F.lit(1)).cast("long").alias(alias)))
-    return reduce(lambda a, b: a.crossJoin(b), parts)
+    return beside(parts[0], *parts[1:])
 
 
 # ----------------------------------------------------------------------------- B
@@ -47,7 +47,7 @@ def b02_boardable_calls_at_stop(t, stop_id: str = LOOKUP_STOP):
     st = t["stop_time"].filter(F.col("is_boardable") == 1)
     exact = st.filter(F.col("stop_id") == stop_id).agg(F.count(F.lit(1)).alias("n"))
     prefix = st.filter(F.col("stop_id").startswith(stop_id)).agg(F.count(F.lit(1)).alias("p"))
-    return exact.crossJoin(prefix).select(
+    return beside(exact, prefix).select(
         F.lit(stop_id).alias("stop_id"), long("n").alias("boardable_calls"),
         long("p").alias("boardable_calls_prefix_match"),
     )
@@ -141,7 +141,7 @@ def s08_s19_shred_roundtrip(t):
                 F.sum(F.when(F.col("stop_sequence") < 0, 1).otherwise(0)).alias("synthetic_sequences"),
                 F.sum(F.when(F.col("schedule_relationship") == 2, 1).otherwise(0)).alias("no_data_updates")),
     ]
-    one = reduce(lambda a, b: a.crossJoin(b), parts)
+    one = beside(parts[0], *parts[1:])
     return one.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in [
         "snapshots", "trip_updates", "decoded_timestamps", "stop_time_updates", "synthetic_sequences",
         "no_data_updates"]])
@@ -150,7 +150,7 @@ def s08_s19_shred_roundtrip(t):
 # ----------------------------------------------------------------------------- D
 def d01_feed_provenance(t):
     first_agency = t["agency"].agg(F.min_by(F.struct("agency_name", "agency_timezone"), "agency_id").alias("a"))
-    return t["feed_info"].crossJoin(first_agency).select(
+    return beside(t["feed_info"], first_agency).select(
         "feed_publisher_name", "feed_publisher_url", "feed_lang",
         F.col("feed_start_date").cast("string").alias("feed_start_date"),
         F.col("feed_end_date").cast("string").alias("feed_end_date"),
@@ -173,7 +173,7 @@ def d03_headline_counts(t):
         "stop_times": ("stop_time", None), "boardable_calls": ("v_departure", None),
     })
     annual = weighted(t["v_departure"], t).agg(F.sum("operating_days").cast("long").alias("annual_departures"))
-    return counts.crossJoin(annual)
+    return beside(counts, annual)
 
 
 def d04_method_comparison(t):
@@ -264,8 +264,8 @@ def d10_dq_evidence(t):
     rej = t["rejected_row"]
     rej_like = lambda p: rej.filter(F.col("rule_code").startswith(p))
     n = lambda df: df.agg(F.count(F.lit(1)).cast("long").alias("c"))
-    calls_examined = n(t["stop_time"]).crossJoin(
-        n(rej.filter(F.col("source_table") == "stg_stop_times")).withColumnRenamed("c", "r")
+    calls_examined = beside(
+        n(t["stop_time"]), n(rej.filter(F.col("source_table") == "stg_stop_times")).withColumnRenamed("c", "r")
     ).select((F.col("c") + F.col("r")).alias("c"))
     pairs = {
         "DQ-01": (n(t["service"].filter(F.col("has_weekday_pattern") == 0)), n(t["service"])),
@@ -282,8 +282,8 @@ def d10_dq_evidence(t):
     rows = []
     for rule, finding in DQ_FINDINGS:
         affected, examined = pairs[rule]
-        rows.append(affected.withColumnRenamed("c", "rows_affected").crossJoin(
-            examined.withColumnRenamed("c", "rows_examined")
+        rows.append(beside(
+            affected.withColumnRenamed("c", "rows_affected"), examined.withColumnRenamed("c", "rows_examined")
         ).select(F.lit(rule).alias("rule"), F.lit(finding).alias("finding"), "rows_affected", "rows_examined"))
     return reduce(DataFrame.unionByName, rows)
 
@@ -298,7 +298,7 @@ def d11_feed_characteristics(t):
         ("Boardable calls with a published departure", t["v_departure"]),
     ]
     return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).cast("long").alias("calls")).crossJoin(total)
+        beside(df.agg(F.count(F.lit(1)).cast("long").alias("calls")), total)
         .select(F.lit(label).alias("characteristic"), "calls", "of_total_calls")
         for label, df in rows
     ])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import half_up, hour_band, pct, ratio
-from quayline.plans.common import HUBS, everything, long, weighted
+from quayline.plans.common import HUBS, beside, everything, long, weighted
 from quayline.schemas import ref_alert_cause, ref_alert_effect
 
 TOP_STATIONS = 25
@@ -114,7 +114,7 @@ def a34_realtime_coverage(t):
     seen = tu.agg(F.count_distinct("trip_id").alias("distinct_trips_seen"), F.count(F.lit(1)).alias("tu_rows"))
     matched = tu.join(t["trip"].select("trip_id"), "trip_id").agg(F.count(F.lit(1)).alias("matched"))
     # five one-row aggregates side by side
-    return snaps.crossJoin(raw).crossJoin(perf).crossJoin(seen).crossJoin(matched).select(
+    return beside(snaps, raw, perf, seen, matched).select(
         long("trip_update_snapshots").alias("trip_update_snapshots"),
         long("alert_snapshots").alias("alert_snapshots"),
         "first_observation_utc", "last_observation_utc",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayline.functions import half_up, hour_band, pct, ratio
-from quayline.plans.common import FOCUS_STATION, HUBS, everything, long, rank_desc, weighted
+from quayline.plans.common import FOCUS_STATION, HUBS, beside, everything, long, rank_desc, weighted
 
 
 def _station_numbered(t, station):
@@ -104,7 +104,7 @@ def a10_platform_peak_pressure(t, station: str = FOCUS_STATION):
     ).filter(F.col("rk") == 1)
     per_day = F.col("annual").cast("double") / F.nullif(F.col("dates_in_feed"), F.lit(0)).cast("double")
     return (
-        ranked.crossJoin(feed_dates(t))  # one-row side
+        beside(ranked, feed_dates(t))
         .select(
             F.concat(F.lit("Platform "), F.col("platform_code")).alias("platform"),
             hour_band("departure_hour").alias("busiest_hour"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.functions import frequency_class, ratio
-from quayline.plans.common import FOCUS_STATION, long
+from quayline.plans.common import FOCUS_STATION, beside, long
 from quayline.plans.explore import LOOKUP_STOP
 from quayline.schemas import MEMBER_COLUMNS, TRANSLATION_LANGUAGES, WEEKDAYS
 
@@ -28,9 +28,9 @@ def p01_member_accounting(t):
     rej = t["rejected_row"].groupBy("source_table").agg(F.count(F.lit(1)).cast("long").alias("rejected"))
     rows = []
     for member, targets in MEMBER_TARGETS.items():
-        loaded = reduce(lambda a, b: a.crossJoin(b).select((F.col("n") + F.col("m")).alias("n")),
+        loaded = reduce(lambda a, b: beside(a, b).select((F.col("n") + F.col("m")).alias("n")),
                         [_n(t[x]) if i == 0 else _n(t[x], "m") for i, x in enumerate(targets)])
-        rows.append(_n(t[f"stg_{member}"], "staged").crossJoin(loaded.withColumnRenamed("n", "loaded")).select(
+        rows.append(beside(_n(t[f"stg_{member}"], "staged"), loaded.withColumnRenamed("n", "loaded")).select(
             F.lit(f"stg_{member}").alias("source_table"), "staged", "loaded"))
     acc = reduce(DataFrame.unionByName, rows).join(rej, "source_table", "left")
     return acc.select("source_table", "staged", "loaded",
@@ -90,7 +90,7 @@ def p09_empty_wheelchair_values(t):
                     .cast("long").alias("staged_blank"))
     core = t["station"].agg(F.sum(F.when(F.col("wheelchair_boarding") == 0, 1).otherwise(0)).cast("long")
                             .alias("core_no_information"))
-    return blank.crossJoin(core)
+    return beside(blank, core)
 
 
 def p10_bikes_by_mode_base(t):
@@ -118,7 +118,7 @@ def p13_calls_by_day_offset(t):
         F.count(F.lit(1)).cast("long").alias("staged_calls_at_or_after_24h"))
     by_offset = t["stop_time"].groupBy(F.col("day_offset").cast("int").alias("day_offset")).agg(
         F.count(F.lit(1)).cast("long").alias("calls"))
-    return by_offset.crossJoin(staged_late)
+    return beside(by_offset, staged_late)
 
 
 def p14_calls_by_calendar_date(t):
@@ -172,13 +172,17 @@ def p19_translations_by_language(t):
 
 
 def p20_stale_and_missing_translations(t):
-    names = t["station"].select(F.col("station_name").alias("field_value"))
+    """Values translated for no station, and (station, language) pairs without a
+    translation: languages present per station subtracted from the four expected."""
+    names = t["station"].select(F.col("station_name").alias("field_value")).distinct()
     tr = t["text_translation"].filter(F.col("field_name") == "stop_name")
     stale = tr.select("field_value").distinct().join(names, "field_value", "left_anti")
-    langs = t["station"].sparkSession.createDataFrame([(x,) for x in TRANSLATION_LANGUAGES], ["language"])
-    wanted = names.distinct().crossJoin(F.broadcast(langs))  # stations x 4 languages
-    missing = wanted.join(tr.select("field_value", "language"), ["field_value", "language"], "left_anti")
-    return _n(stale, "stale_values").crossJoin(_n(missing, "missing_station_languages"))
+    present = tr.filter(F.col("language").isin(*TRANSLATION_LANGUAGES)).groupBy("field_value").agg(
+        F.count_distinct("language").alias("n"))
+    missing = names.join(present, "field_value", "left").agg(
+        F.sum(F.lit(len(TRANSLATION_LANGUAGES)) - F.coalesce(F.col("n"), F.lit(0))).cast("long")
+        .alias("missing_station_languages"))
+    return beside(_n(stale, "stale_values"), missing)
 
 
 def p21_rejected_joined_to_staged(t):
@@ -202,13 +206,15 @@ def p23_snapshots_per_feed(t):
 def p24_feed_summary(t):
     f = t["feed_info"].select("feed_version", F.col("feed_start_date").cast("string").alias("feed_start_date"),
                               F.col("feed_end_date").cast("string").alias("feed_end_date"))
-    return f.crossJoin(_n(t["stop_time"], "stop_times")).crossJoin(_n(t["trip"], "trips"))
+    return beside(f, _n(t["stop_time"], "stop_times"), _n(t["trip"], "trips"))
 
 
 def p25_last_day_per_trip_grouped(t):
-    j = t["trip"].select("trip_id", "service_id").join(t["service_date"].select("service_id", "service_date"),
-                                                       "service_id")
-    return j.groupBy("trip_id").agg(F.max("service_date").cast("string").alias("last_day"))
+    """Grouped join, aggregated at the service grain first: a trip's last day is its
+    service's, so trips x dates pairs are never formed."""
+    last = t["service_date"].groupBy("service_id").agg(F.max("service_date").alias("last_day"))
+    return t["trip"].select("trip_id", "service_id").join(last, "service_id").select(
+        "trip_id", F.col("last_day").cast("string").alias("last_day"))
 
 
 def p26_last_day_per_trip_correlated(t):
@@ -226,10 +232,12 @@ def p26_last_day_per_trip_correlated(t):
 
 
 def p27_last_day_per_trip_window(t):
-    j = t["trip"].select("trip_id", "service_id").join(t["service_date"].select("service_id", "service_date"),
-                                                       "service_id")
-    w = Window.partitionBy("trip_id")
-    return j.select("trip_id", F.max("service_date").over(w).cast("string").alias("last_day")).distinct()
+    """The window form: every service-date row learns its service's last day; the
+    distinct (service, last day) rows then meet the trips (no trips x dates rows)."""
+    w = Window.partitionBy("service_id")
+    per_service = t["service_date"].select("service_id", F.max("service_date").over(w).alias("last_day")).distinct()
+    return t["trip"].select("trip_id", "service_id").join(per_service, "service_id").select(
+        "trip_id", F.col("last_day").cast("string").alias("last_day"))
 
 
 def p28_latest_row_per_service(t):
@@ -243,7 +251,7 @@ def p28_latest_row_per_service(t):
 def p29_origin_by_min_agrees(t):
     first = t["v_departure"].groupBy("trip_id").agg(F.min("stop_sequence").alias("stop_sequence"))
     agree = first.join(t["v_trip_origin"].select("trip_id", "stop_sequence"), ["trip_id", "stop_sequence"])
-    return _n(first, "trips").crossJoin(_n(agree, "agreeing_with_origin_view"))
+    return beside(_n(first, "trips"), _n(agree, "agreeing_with_origin_view"))
 
 
 def p30_service_days_in_year(t, year: int = 2024):
@@ -251,7 +259,7 @@ def p30_service_days_in_year(t, year: int = 2024):
     ranged = sd.filter((F.col("service_date") >= F.lit(f"{year}-01-01").cast("date"))
                        & (F.col("service_date") < F.lit(f"{year + 1}-01-01").cast("date")))
     by_fn = sd.filter(F.year("service_date") == year)
-    return _n(ranged, "half_open_range").crossJoin(_n(by_fn, "year_function"))
+    return beside(_n(ranged, "half_open_range"), _n(by_fn, "year_function"))
 
 
 def p31_column_emptiness(t, member: str = "stops"):
@@ -312,8 +320,8 @@ def p36_transfer_profile(t):
 
 def p37_transfers_at_stop(t, stop_id: str = LOOKUP_STOP):
     tr = t["transfer"]
-    return _n(tr.filter(F.col("to_stop_id") == stop_id), "transfers_in").crossJoin(
-        _n(tr.filter(F.col("from_stop_id") == stop_id), "transfers_out"))
+    return beside(_n(tr.filter(F.col("to_stop_id") == stop_id), "transfers_in"),
+                  _n(tr.filter(F.col("from_stop_id") == stop_id), "transfers_out"))
 
 
 def p38_distinct_service_dates(t):
