@@ -182,8 +182,13 @@ def _code_version() -> str:
     return h.hexdigest()
 
 
+def _canonical(path: str) -> str:
+    """Local paths made absolute; URIs (``s3://``, ``hdfs://`` ...) kept as given."""
+    return path.rstrip("/") if "://" in path else os.path.abspath(path)
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(_canonical(sf_dir).encode())
     h.update(repr(_list_inputs(spark, sf_dir)).encode())
     h.update(_code_version().encode())
     return h.hexdigest()[:24]
@@ -224,7 +229,7 @@ def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, Data
     instead of rebuilding, and a half-written build is never read.
     ``reuse=False`` always builds (the benchmark does).
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), reuse)
+    key = (spark.sparkContext.applicationId, _canonical(sf_dir), reuse)
     if key not in _CACHE:
         base = f"{checkpoint_root(spark)}/quayline-core"
         fp = fingerprint(spark, sf_dir)
