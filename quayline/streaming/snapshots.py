@@ -13,6 +13,9 @@
   and the match rate is published through ``observe`` (drift is measured, not
   enforced);
 * R05 delay history: tumbling 30-minute event-time windows with a watermark.
+
+Per-snapshot partitions are small; ``compact`` rewrites past days into day
+partitions and ``read_tables`` reads each snapshot from exactly one place.
 """
 
 from __future__ import annotations
@@ -89,15 +92,55 @@ def run_ingest(spark: SparkSession, source_dir: str, feed: str, root: str, check
     return q
 
 
+def _cutoff(spark: SparkSession, root: str) -> int | None:
+    """First snapshot id NOT compacted yet (ids are header ts * 2 + feed bit)."""
+    path = f"{root}/_compacted"
+    if not _exists(spark, path):
+        return None
+    return spark.read.json(path).first()["next_snapshot_id"]
+
+
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The log tables written so far (missing ones are skipped)."""
+    """The log tables written so far (missing ones are skipped).
+
+    Child tables of compacted days come from their day partitions, newer ones
+    from the per-snapshot partitions (pruned on ``snapshot_id``): each snapshot
+    is read exactly once."""
+    cutoff = _cutoff(spark, root)
     out = {}
     for name in ["rt_snapshot", *CHILDREN["trip-update"], *CHILDREN["alert"]]:
-        if _exists(spark, f"{root}/{name}"):
-            out[name] = spark.read.parquet(f"{root}/{name}")
+        if not _exists(spark, f"{root}/{name}"):
+            continue
+        df = spark.read.parquet(f"{root}/{name}")
+        if cutoff is not None and name != "rt_snapshot" and _exists(spark, f"{root}/{name}__by_day"):
+            old = spark.read.parquet(f"{root}/{name}__by_day").drop("day")
+            df = old.unionByName(df.filter(F.col("snapshot_id") >= cutoff))
+        out[name] = df
     return out
 
 
+def compact(spark: SparkSession, root: str, through_day: str) -> int:
+    """Rewrite every snapshot up to and including ``through_day`` (UTC) into day partitions.
+
+    Day partitions are written with dynamic partition overwrite, so rerunning a
+    compaction is idempotent; the marker is written last. The per-snapshot
+    folders of compacted days are no longer read and can be dropped by retention.
+    Returns the first snapshot id left uncompacted."""
+    day_end = spark.range(1).select(
+        ((F.unix_date(F.lit(through_day).cast("date")) + 1).cast("long") * 86400 * 2).alias("c")).first()["c"]
+    for name in [*CHILDREN["trip-update"], *CHILDREN["alert"]]:
+        if not _exists(spark, f"{root}/{name}"):
+            continue
+        old = spark.read.parquet(f"{root}/{name}").filter(F.col("snapshot_id") < day_end)
+        day = F.date_from_unix_date(F.floor(F.col("snapshot_id") / 2 / 86400).cast("int"))
+        # range by (day, snapshot): AQE sizes the files; a busy day spreads over several tasks
+        (old.withColumn("day", day).repartitionByRange("day", "snapshot_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/{name}__by_day"))
+    spark.createDataFrame([(int(day_end),)], "next_snapshot_id long").coalesce(1).write.mode("overwrite").json(
+        f"{root}/_compacted")
+    return int(day_end)
+
+
 # ----------------------------------------------------------------- R05 delay history
 def on_time_by_window(obs: DataFrame, ts_col: str = "feed_ts", width: str = "30 minutes") -> DataFrame:
     """Tumbling event-time windows: observations, scored readings, on-time readings."""

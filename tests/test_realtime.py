@@ -156,3 +156,20 @@ def test_match_rate_is_observed_not_enforced(spark, tmp_path, feed_tables):
                                          trips=feed_tables["trip"])
     assert metrics["trip_updates"] == 2 and metrics["matched"] == 1  # UNKNOWN is kept in the log
     assert snapshots.read_tables(spark, str(tmp_path / "log"))["rt_trip_update"].count() == 2
+
+
+def test_compaction_keeps_every_snapshot_once(spark, tmp_path):
+    src = str(tmp_path / "c_in")
+    root = str(tmp_path / "c_log")
+    write(src, "day1.json", TRIP_DOC)  # 2025-01-06
+    day2 = json.loads(json.dumps(TRIP_DOC))
+    day2["header"]["timestamp"] = 1736150400 + 86400  # 2025-01-07
+    write(src, "day2.json", day2)
+    snapshots.run_ingest(spark, src, "trip-update", root, str(tmp_path / "ck"))
+    before = {k: v.count() for k, v in snapshots.read_tables(spark, root).items()}
+    snapshots.compact(spark, root, "2025-01-06")
+    snapshots.compact(spark, root, "2025-01-06")  # idempotent
+    after = snapshots.read_tables(spark, root)
+    assert {k: v.count() for k, v in after.items()} == before
+    days = spark.read.parquet(str(tmp_path / "c_log" / "rt_stop_time_update__by_day"))
+    assert [str(r["day"]) for r in days.select("day").distinct().collect()] == ["2025-01-06"]
