@@ -509,6 +509,7 @@ def clean(members: dict[str, DataFrame], put=_keep, rank_after_screening: bool =
         "service_date": service_date,
         "trip": trip,
         "stop_time": stop_time,
+        "stop_time_screened": screened,
         "transfer": transfer,
         "text_translation": translation,
     }

@@ -9,6 +9,7 @@ instead of re-running the cleaning jobs, and lineage is cut at that point.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quayline.operators import clean as cleaning
 from quayline.operators import views
@@ -125,7 +127,12 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
         if name in PARTITION_BY:
             writer = writer.partitionBy(*PARTITION_BY[name])
         writer.parquet(path)
-        return spark.read.parquet(path)
+        # we know what we wrote: an explicit schema skips footer inference on read-back
+        schema = w.schema
+        if name in PARTITION_BY:  # partition columns come back last
+            keep = [f for f in schema.fields if f.name not in PARTITION_BY[name]]
+            schema = StructType(keep + [f for f in schema.fields if f.name in PARTITION_BY[name]])
+        return spark.read.schema(schema).parquet(path)
 
     try:
         t = build_core(spark, sf_dir, put)
@@ -200,21 +207,32 @@ def _published(spark: SparkSession, base: str, fp: str) -> dict | None:
         row = spark.read.json(ptr).first()
     except Exception:  # noqa: BLE001 - no pointer yet
         return None
-    return {"root": row["root"], "tables": list(row["tables"])} if row else None
+    if not row:
+        return None
+    pub = {"root": row["root"], "tables": list(row["tables"]), "schemas": list(row["schemas"] or [])}
+    # a build whose folder was removed (retention) is rebuilt rather than half-read
+    jvm = spark.sparkContext._jvm
+    probe = jvm.org.apache.hadoop.fs.Path(f"{pub['root']}/v_rt_departure_performance")
+    fs = probe.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return pub if fs.exists(probe) else None
+
 
+def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: dict[str, DataFrame]) -> None:
+    """Point the fingerprint at a finished build (written only after every table is).
 
-def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: list[str]) -> None:
-    """Point the fingerprint at a finished build (written only after every table is)."""
-    spark.createDataFrame([(root, tables)], "root string, tables array<string>").coalesce(1).write.mode(
-        "overwrite").json(f"{base}/_published/{fp}")
+    The pointer also carries each table's schema, so a reader skips inference."""
+    names = sorted(tables)
+    schemas = [tables[n].schema.json() for n in names]
+    spark.createDataFrame([(root, names, schemas)], "root string, tables array<string>, schemas array<string>") \
+        .coalesce(1).write.mode("overwrite").json(f"{base}/_published/{fp}")
 
 
 def _load(spark: SparkSession, sf_dir: str, pub: dict, base: str) -> dict[str, DataFrame]:
     t: dict[str, DataFrame] = {}
     for name, df in driver_tables.staged_members(spark, sf_dir).items():
         t[f"stg_{name}"] = df
-    for name in pub["tables"]:
-        t[name] = spark.read.parquet(f"{pub['root']}/{name}")
+    for name, schema in zip(pub["tables"], pub["schemas"]):
+        t[name] = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{pub['root']}/{name}")
     t["stop_time"] = cleaning.accepted_stop_times(t["stop_time_screened"])
     t["ingestion_run"] = spark.read.parquet(f"{base}/ingestion_run")
     return t
@@ -241,7 +259,7 @@ def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, Data
             t = materialise(spark, sf_dir, root)
             written = [n for n in t if not n.startswith("stg_") and n not in ("ingestion_run", "stop_time")]
             written += ["stg_stop_times", "stg_calendar_dates", "stop_time_screened"]
-            _publish(spark, base, fp, root, sorted(set(written)))
+            _publish(spark, base, fp, root, {n: t[n] for n in set(written)})
         _CACHE[key] = add_views(t)
     return _CACHE[key]
 
