@@ -37,8 +37,15 @@ ROUTE_SHORT_NAMES = ["", "IC", "L", "S"]  # by brand number % 4; '' = unnamed
 LANGUAGES_STAGED = ["nl", "de", "en", "fr", "xx"]  # 'xx' is outside the whitelist
 
 
+_READS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One DataFrame per input table and session (listing and footer read once)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _READS[key]
 
 
 def _text(c) -> F.Column:
