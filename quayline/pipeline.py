@@ -201,20 +201,22 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:24]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def _published(spark: SparkSession, base: str, fp: str) -> dict | None:
     ptr = f"{base}/_published/{fp}"
-    try:
-        row = spark.read.json(ptr).first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    if not _exists(spark, f"{ptr}/_SUCCESS"):  # no finished pointer yet
         return None
+    row = spark.read.json(ptr).first()
     if not row:
         return None
     pub = {"root": row["root"], "tables": list(row["tables"]), "schemas": list(row["schemas"] or [])}
     # a build whose folder was removed (retention) is rebuilt rather than half-read
-    jvm = spark.sparkContext._jvm
-    probe = jvm.org.apache.hadoop.fs.Path(f"{pub['root']}/v_rt_departure_performance")
-    fs = probe.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return pub if fs.exists(probe) else None
+    return pub if _exists(spark, f"{pub['root']}/v_rt_departure_performance/_SUCCESS") else None
 
 
 def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: dict[str, DataFrame]) -> None:
