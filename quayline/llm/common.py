@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +118,37 @@ def signed(x: np.ndarray) -> np.ndarray:
 def held_out(doc_id, modulus: int, remainder: int):
     """True for rows whose crc32 of the id as text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+BLOOM_BITS = 1 << 24
+NO_ID = -(1 << 63)  # stands for a null id where rows are looked up by id
+
+
+def row_id(column):
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def bloom_filter(ids: DataFrame, bits: int = BLOOM_BITS):
+    """A test of long ids by a Bloom filter of ``ids`` (one long column).
+
+    The filter has a fixed number of bits whatever the number of ids, so it can be
+    broadcast; ids that pass by mistake leave in the exact join that follows.
+    """
+    spark = ids.sparkSession
+    prepare(spark)
+    place = lambda c, i: F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits))
+    ids = ids.toDF("id")
+    places = ids.select(F.explode(F.array(*(place(F.col("id"), i) for i in range(2)))).alias("p"))
+    words = places.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("b"))
+    got = words.toPandas()  # at most bits / 64 rows
+    table_ = np.zeros(bits // 64, np.int64)
+    table_[got["w"].to_numpy()] = got["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+        t = shared.value
+        a, b = a.to_numpy(), b.to_numpy()
+        return pd.Series(((t[a >> 6] >> (a & 63)) & (t[b >> 6] >> (b & 63)) & 1) == 1)
+
+    return lambda column: hit(place(column, 0), place(column, 1))
