@@ -37,12 +37,12 @@ FACTORS = 8
 PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 24_000
 MIN_SAMPLE_DOCS = 3  # terms in fewer sample documents are not learned
-LEAST_CHI2 = 10.0  # nor are terms whose presence is unrelated to the mark
-EPOCHS = 6
+LEAST_CHI2 = 20.0  # nor are terms whose presence is unrelated to the mark
+EPOCHS = 25
 BATCH = 128
-RATE = 0.1
-L1 = 2e-3
-L2 = 1e-5
+RATE = 0.3
+L1 = 1e-5
+L2 = 3e-3
 REJECT = 0.7
 HELD_OUT = (3, 1)
 _KEEP = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
