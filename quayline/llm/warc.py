@@ -4,8 +4,8 @@ Only headers (key, digest, length) are shuffled, grouped by payload digest; the
 record with the smallest key of a digest is the original. Payload rows meet the
 decisions that turn them into revisits on their own key, spread evenly over
 archives of about ``archive_bytes``, and are written as WARC 1.1 text files whose
-record separator is the format's empty lines, so Spark's writer commits them and
-a lost executor leaves no half archive. Archives are read back whole (their size
+record separator is the format's empty lines, gzipped as a whole, so Spark's writer
+commits them and a lost executor leaves no half archive. Archives are read back whole (their size
 is bounded by the writer) and parsed by Content-Length; revisit records found in
 archives get length and original by a join of headers on the digest.
 
@@ -117,7 +117,8 @@ def write_archives(rows: DataFrame, decisions: DataFrame, path: str, total_bytes
         turned.repartition(n, "k"),
         (F.col("spread") == F.col("k")) & F.col("key").isNotNull() & (F.col("payload_digest") == F.col("d")), "left",
     )
-    joined.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    joined.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option(
+        "compression", "gzip").text(path)
 
 
 _NUMBER = re.compile(rb"<" + URN.encode() + rb"(-?\d+)>")
