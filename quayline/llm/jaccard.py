@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import NO_ID, bloom_filter, gram_hashes, mixed, prepare, row_id, signed, texts, without_ids, word_hashes, written
+from quayline.llm.common import NO_ID, bloom_filter, gram_hashes, mixed, prepare, row_id, signed, texts, word_hashes, written
 from quayline.llm.graph import components
 
 SHINGLE = 3
@@ -120,15 +120,16 @@ def _signed_documents(batches, least: int):
         order = np.argsort(who, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(every)))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(signed(nodes), mask=n == 0),
+            [batch.column(0), batch.column(2), pa.array(n), pa.array(signed(nodes), mask=n == 0),
              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(sigs[order])))],
-            names=["doc_id", "n_shingles", "node", "signatures"])
+            names=["doc_id", "mark", "n_shingles", "node", "signatures"])
 
 
 def signed_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _signed_documents(it, least), "doc_id long, n_shingles long, node long, signatures array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(lambda it: _signed_documents(it, least),
+                           "doc_id long, mark long, n_shingles long, node long, signatures array<long>")
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -187,8 +188,8 @@ def _roots(links: DataFrame) -> DataFrame:
     return written(components(links), "jaccard-roots")
 
 
-def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _rooted(docs: DataFrame, least: int) -> DataFrame:
+    """One row per document: doc_id, mark (its text's hash), n_shingles, component_id, root (a node; none if empty)."""
     sets = written(signed_documents(docs, least), "jaccard-signed")
     nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"),
@@ -231,13 +232,31 @@ def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     named = nodes.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
         "node", nodes["doc_id"], F.coalesce("root", "node").alias("root"))
     first = named.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id")
+    named = named.join(first, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id", "root")
     return sets.join(named, F.col("node") == F.col("k"), "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "mark", "n_shingles", "root",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _rooted(docs, least).select("doc_id", "n_shingles", "component_id")
+
+
 def representatives(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents that name their component, as they are: one id of each group stays."""
-    gone = classes(docs, least).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return without_ids(docs, written(gone, "jaccard-gone"))
+    """The rows of ``docs`` without words, and of each component the row with the smallest id, as they are."""
+    rows = _rooted(docs, least).filter(F.col("root").isNotNull()).select(row_id(F.col("doc_id")).alias("id"), "mark", "root")
+    rows = written(rows, "jaccard-rows")
+    first = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "mark")).alias("first"))
+    gone = rows.join(first, F.col("root") == F.col("r")).filter(F.struct("id", "mark") != F.col("first"))
+    gone = written(gone.select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct(), "jaccard-gone")
+    same = (row_id(docs["doc_id"]) == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_mark"))
+    again = rows.groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark"))
+    again = written(again, "jaccard-again")
+    kept = docs.join(gone, same, "left_anti")
+    if not again.take(1):
+        return kept
+    # rows that repeat an id with its text: one of them stays
+    repeated = kept.join(again, same, "left_semi").withColumn("__id", row_id(docs["doc_id"])).dropDuplicates(["__id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(repeated.drop("__id"))

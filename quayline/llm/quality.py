@@ -38,7 +38,7 @@ CHUNK = POOL * STRIDE  # bytes by which chunks advance
 PIECE = 1 << 20  # bytes looked at together
 SAMPLE_ROWS = 5_000
 SAMPLE_TEXT_BYTES = 32 << 10
-EPOCHS = 10
+STEPS = 800
 BATCH = 64
 RATE = 4e-3
 ACCEPT = 0.3
@@ -79,7 +79,8 @@ class Model:
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         hidden = np.maximum(features @ self.hidden + self.hidden_bias, 0)
-        return 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.out_bias[0], -500, 500)))
+        logits = hidden @ self.out + self.out_bias[0]
+        return np.where(logits == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(logits, -500, 500))))
 
 
 def _start(rng) -> Model:
@@ -112,7 +113,7 @@ def fit(texts: list[bytes], marks: np.ndarray, seed: int = 3) -> Model:
     second = {k: np.zeros_like(getattr(model, k)) for k in names}
     model.out_bias[0] = np.log(positive / (n - positive))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // n)):
         order = rng.permutation(n)
         for lo in range(0, n, BATCH):
             pick = order[lo : lo + BATCH]
