@@ -1,8 +1,8 @@
 """X01-X21 integrity checks as one DataFrame: (check_id, check_name, value, passed, severity).
 
-Every check is a one-row aggregate (a count or a share) plus a predicate on it;
-the rows are unioned, so the whole report is one Spark job graph and nothing
-loops over data on the driver.
+Every check is a count or a share and a predicate on it. The counts of a table come
+from one aggregate over it and are turned into rows; the rows are unioned, so the
+whole report is one Spark job graph and nothing loops over data on the driver.
 """
 
 from __future__ import annotations
@@ -18,85 +18,83 @@ from quayline.schemas import ACCESSIBILITY, ROUTE_TYPES
 MATCH_WARNING_PCT = 80.0
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("double").alias("value"))
-
-
-def _anti(child: DataFrame, ccol: str, parent: DataFrame, pcol: str) -> DataFrame:
-    keys = parent.select(F.col(pcol).alias("_k")).distinct()
-    return child.filter(F.col(ccol).isNotNull()).select(F.col(ccol).alias("_k")).join(keys, "_k", "left_anti")
-
-
-def check_rows(t: dict[str, DataFrame]) -> list[tuple[str, str, DataFrame, str, str]]:
-    """(id, name, one-row ``value`` DataFrame, predicate on value, severity)."""
+# id: (name, what the value must be, severity)
+CHECKS = {
+    "X01": ("no foreign-key violations", "= 0", "error"),
+    "X02": ("every platform has a station", "= 0", "error"),
+    "X03": ("every call has a trip and a platform", "= 0", "error"),
+    "X04": ("every trip has a service", "= 0", "error"),
+    "X05": ("loaded + rejected = staged (calls)", "= 0", "warning"),
+    "X06": ("departure_hour agrees with seconds", "= 0", "error"),
+    "X07": ("seconds agree with the clock text", "= 0", "error"),
+    "X08": ("is_boardable agrees with pickup_type", "= 0", "error"),
+    "X09": ("day_of_week agrees with the date", "= 0", "error"),
+    "X10": ("no call at 48 h or later survives", "= 0", "error"),
+    "X11": ("departure view is not empty", "> 0", "error"),
+    "X12": ("origin view is not empty", "> 0", "error"),
+    "X13": ("frequency view covers every operating service", "= 0", "error"),
+    "X14": ("amenity view covers every trip", "= 0", "error"),
+    "X15": ("one origin per trip", "= 0", "error"),
+    "X16": ("accessibility codes are defined", "= 0", "error"),
+    "X17": ("route types are defined", "= 0", "error"),
+    "X19": ("feed info is loaded", "> 0", "error"),
+    "X21": ("realtime trips matching the timetable (%)", f">= {MATCH_WARNING_PCT}", "warning"),
+}
+
+
+def _values(one: DataFrame, **checks) -> DataFrame:
+    """(check_id, value) rows from a one-row result: one column for each check."""
+    rows = [F.struct(F.lit(i).alias("check_id"), F.coalesce(c.cast("double"), F.lit(0.0) if i != "X21" else F.lit(None))
+                     .alias("value")) for i, c in checks.items()]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _hits(cond=None) -> F.Column:
+    return F.count(F.lit(1) if cond is None else F.when(cond, 1))
+
+
+def check_values(t: dict[str, DataFrame]) -> DataFrame:
+    """(check_id, value) of all checks: every table is read once, but for the references."""
     from quayline.plans.common import beside
     from quayline.plans.explore import d13_fk_violations
 
-    st, trip, plat = t["stop_time"], t["trip"], t["platform"]
-    staged_calls = t["stg_stop_times"].agg(F.count(F.lit(1)).alias("s"))
-    loaded = st.agg(F.count(F.lit(1)).alias("l"))
-    rejected = t["rejected_row"].filter(F.col("source_table") == "stg_stop_times").agg(F.count(F.lit(1)).alias("r"))
-    accounting = beside(staged_calls, loaded, rejected).select(
-        (F.col("s") - F.col("l") - F.col("r")).cast("double").alias("value")
-    )
-    recomputed_hour = (F.col("departure_secs") / 3600).cast("int") % 24
-    active = t["service_date"].filter(F.col("exception_type") == 1).select("service_id").distinct()
-    origin = t["v_trip_origin"]
-    acc_codes = [c for c, *_ in ACCESSIBILITY]
-    tu = t["rt_trip_update"]
-    match = beside(
-        tu.join(trip.select("trip_id"), "trip_id").agg(F.count(F.lit(1)).alias("m")), tu.agg(F.count(F.lit(1)).alias("n"))
-    ).select((F.lit(100.0) * F.col("m").cast("double") / F.nullif(F.col("n"), F.lit(0)).cast("double")).alias("value"))
-    # Row-level checks on the fact in ONE pass; each check reads its own column.
-    st_checks = st.agg(
-        F.sum(F.when(F.col("departure_secs").isNotNull() & (F.col("departure_hour") != recomputed_hour), 1)
-              .otherwise(0)).cast("double").alias("x06"),
-        F.sum(F.when(F.col("departure_time").isNotNull()
-                     & ~F.col("departure_secs").eqNullSafe(clock_secs("departure_time")), 1).otherwise(0))
-        .cast("double").alias("x07"),
-        F.sum(F.when(F.col("is_boardable") != F.when(F.col("pickup_type") == 1, 0).otherwise(1), 1).otherwise(0))
-        .cast("double").alias("x08"),
-        F.sum(F.when(F.coalesce("departure_secs", "arrival_secs") >= 172800, 1).otherwise(0)).cast("double")
-        .alias("x10"),
-    )
-    pick = lambda c: st_checks.select(F.coalesce(F.col(c), F.lit(0.0)).alias("value"))
-    return [
-        ("X01", "no foreign-key violations", _count(d13_fk_violations(t)), "= 0", "error"),
-        ("X02", "every platform has a station", _count(_anti(plat, "station_id", t["station"], "station_id")), "= 0",
-         "error"),
-        ("X03", "every call has a trip and a platform",
-         _count(_anti(st, "trip_id", trip, "trip_id").unionByName(_anti(st, "stop_id", plat, "stop_id"))), "= 0",
-         "error"),
-        ("X04", "every trip has a service", _count(_anti(trip, "service_id", t["service"], "service_id")), "= 0",
-         "error"),
-        ("X05", "loaded + rejected = staged (calls)", accounting, "= 0", "warning"),
-        ("X06", "departure_hour agrees with seconds", pick("x06"), "= 0", "error"),
-        ("X07", "seconds agree with the clock text", pick("x07"), "= 0", "error"),
-        ("X08", "is_boardable agrees with pickup_type", pick("x08"), "= 0", "error"),
-        ("X09", "day_of_week agrees with the date",
-         _count(t["service_date"].filter(F.col("day_of_week") != F.dayofweek("service_date") - 1)), "= 0", "error"),
-        ("X10", "no call at 48 h or later survives", pick("x10"), "= 0", "error"),
-        ("X11", "departure view is not empty", _count(t["v_departure"]), "> 0", "error"),
-        ("X12", "origin view is not empty", _count(origin), "> 0", "error"),
-        ("X13", "frequency view covers every operating service",
-         _count(active.join(t["v_service_frequency"].select("service_id"), "service_id", "left_anti")), "= 0",
-         "error"),
-        ("X14", "amenity view covers every trip",
-         _count(trip.select("trip_id").join(t["v_trip_amenity"].select("trip_id"), "trip_id", "left_anti")), "= 0",
-         "error"),
-        ("X15", "one origin per trip",
-         origin.agg((F.count(F.lit(1)) - F.count_distinct("trip_id")).cast("double").alias("value")), "= 0",
-         "error"),
-        ("X16", "accessibility codes are defined",
-         _count(trip.filter(~F.col("bikes_allowed").isin(*acc_codes) | ~F.col("wheelchair_accessible").isin(*acc_codes))
-                .select("trip_id").unionByName(
-                    t["station"].filter(~F.col("wheelchair_boarding").isin(*acc_codes)).select(
-                        F.col("station_id").alias("trip_id")))), "= 0", "error"),
-        ("X17", "route types are defined",
-         _count(t["route"].filter(~F.col("route_type").isin(*[c for c, _ in ROUTE_TYPES]))), "= 0", "error"),
-        ("X19", "feed info is loaded", _count(t["feed_info"]), "> 0", "error"),
-        ("X21", "realtime trips matching the timetable (%)", match, f">= {MATCH_WARNING_PCT}", "warning"),
+    codes = [c for c, *_ in ACCESSIBILITY]
+    dep, arr, col = F.col("departure_secs"), F.col("arrival_secs"), F.col
+    is_ref = lambda child, *cols: (col("child_table") == child) & col("fk_column").isin(*cols)
+    refs = d13_fk_violations(t).agg(
+        _hits().alias("all"), _hits(is_ref("platform", "station_id")).alias("platform"),
+        _hits(is_ref("stop_time", "trip_id", "stop_id")).alias("call"), _hits(is_ref("trip", "service_id")).alias("trip"))
+    calls = beside(
+        t["stop_time"].agg(
+            _hits().alias("loaded"), _hits(dep.isNotNull() & (col("departure_hour") != (dep / 3600).cast("int") % 24)).alias("x06"),
+            _hits(col("departure_time").isNotNull() & ~dep.eqNullSafe(clock_secs("departure_time"))).alias("x07"),
+            _hits(col("is_boardable") != F.when(col("pickup_type") == 1, 0).otherwise(1)).alias("x08"),
+            _hits(F.coalesce(dep, arr) >= 172800).alias("x10")),
+        t["stg_stop_times"].agg(_hits().alias("staged")),
+        t["rejected_row"].agg(_hits(col("source_table") == "stg_stop_times").alias("rejected")))
+    uncovered = lambda child, view, key: child.select(key).distinct().join(
+        t[view].select(key), key, "left_anti").agg(_hits().alias("n"))
+    matched = t["rt_trip_update"].join(t["trip"].select(col("trip_id").alias("_k"), F.lit(1).alias("_known")),
+                                       col("trip_id") == col("_k"), "left").agg(_hits(col("_known") == 1).alias("m"), _hits().alias("n"))
+    active = t["service_date"].filter(col("exception_type") == 1)
+    parts = [
+        _values(refs, X01=col("all"), X02=col("platform"), X03=col("call"), X04=col("trip")),
+        _values(calls, X05=col("staged") - col("loaded") - col("rejected"), X06=col("x06"), X07=col("x07"), X08=col("x08"),
+                X10=col("x10")),
+        _values(t["service_date"].agg(_hits(col("day_of_week") != F.dayofweek("service_date") - 1).alias("n")), X09=col("n")),
+        _values(t["v_departure"].agg(_hits().alias("n")), X11=col("n")),
+        _values(t["v_trip_origin"].agg(_hits().alias("n"), F.count_distinct("trip_id").alias("d")),
+                X12=col("n"), X15=col("n") - col("d")),
+        _values(uncovered(active, "v_service_frequency", "service_id"), X13=col("n")),
+        _values(uncovered(t["trip"], "v_trip_amenity", "trip_id"), X14=col("n")),
+        _values(beside(
+            t["trip"].agg(_hits(~col("bikes_allowed").isin(*codes) | ~col("wheelchair_accessible").isin(*codes)).alias("a")),
+            t["station"].agg(_hits(~col("wheelchair_boarding").isin(*codes)).alias("b"))), X16=col("a") + col("b")),
+        _values(t["route"].agg(_hits(~col("route_type").isin(*[c for c, _ in ROUTE_TYPES])).alias("n")), X17=col("n")),
+        _values(t["feed_info"].agg(_hits().alias("n")), X19=col("n")),
+        _values(matched, X21=F.lit(100.0) * col("m").cast("double") / F.nullif(col("n"), F.lit(0)).cast("double")),
     ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _passed(pred: str) -> F.Column:
@@ -106,14 +104,15 @@ def _passed(pred: str) -> F.Column:
 
 
 def check_table(t: dict[str, DataFrame]) -> DataFrame:
-    rows = [
-        df.select(
-            F.lit(cid).alias("check_id"), F.lit(name).alias("check_name"), F.col("value"),
-            F.coalesce(_passed(pred), F.lit(False)).alias("passed"), F.lit(sev).alias("severity"),
-        )
-        for cid, name, df, pred, sev in check_rows(t)
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    said = lambda k: F.create_map(*[x for i, c in CHECKS.items() for x in (F.lit(i), F.lit(c[k]))])[F.col("check_id")]
+    passed = reduce(lambda x, i: x.when(F.col("check_id") == i, _passed(CHECKS[i][1])), CHECKS, F)
+    return check_values(t).select(
+        "check_id", said(0).alias("check_name"), "value", F.coalesce(passed, F.lit(False)).alias("passed"),
+        said(2).alias("severity"))
+
+
+def _count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
 def run_log_checks(t: dict[str, DataFrame]) -> DataFrame:

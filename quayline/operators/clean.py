@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions import blank_to_null, clock_secs, code_or_default, gtfs_date, is_digits
-from quayline.schemas import STOP_TIME_RULES, TRANSLATION_LANGUAGES, TRANSLATION_TABLES, WEEKDAYS
+from quayline.schemas import REJECT_REASONS, STOP_TIME_RULES, TRANSLATION_LANGUAGES, TRANSLATION_TABLES, WEEKDAYS
 
 REJECT_COLUMNS = ["source_table", "src_line_no", "rule_code", "reason", "payload"]
 
@@ -27,9 +27,10 @@ def _payload(**cols) -> F.Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in cols.items()]), {"ignoreNullFields": "false"})
 
 
-def _reject(df: DataFrame, table: str, rule, reason, payload: F.Column) -> DataFrame:
+def _reject(df: DataFrame, table: str, rule, payload: F.Column) -> DataFrame:
     rule_c = rule if isinstance(rule, F.Column) else F.lit(rule)
-    reason_c = reason if isinstance(reason, F.Column) else F.lit(reason)
+    known = F.create_map(*[F.lit(x) for pair in REJECT_REASONS[table].items() for x in pair])
+    reason_c = known[rule_c]
     return df.select(
         F.lit(f"stg_{table}").alias("source_table"),
         F.col("src_line_no").cast("long").alias("src_line_no"),
@@ -73,7 +74,7 @@ def agency(stg: DataFrame):
         blank_to_null("agency_lang").alias("agency_lang"),
         blank_to_null("agency_phone").alias("agency_phone"),
     )
-    rej = _reject(stg.filter(~ok), "agency", "DQ-08-BLANK-AGENCY-ID-QL", "agency_id is blank",
+    rej = _reject(stg.filter(~ok), "agency", "DQ-08-BLANK-AGENCY-ID-QL",
                   _payload(agency_name=F.col("agency_name")))
     return core, rej
 
@@ -108,13 +109,12 @@ def platforms(stg: DataFrame, station: DataFrame):
     )
     orphan = _reject(
         screened.filter(F.col("_has_parent").isNull()), "stops", "DQ-04-ORPHAN-PLATFORM",
-        "location_type=0 row references a parent_station that is not in the feed",
         _payload(stop_id=F.col("stop_id"), parent_station=F.col("parent_station"), stop_name=F.col("stop_name")),
     )
     loc = _location_type()
     other = _reject(
         stg.filter(loc.isNull() | ~loc.isin(0, 1)), "stops",
-        "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL", "location_type is blank, unknown or not a station/platform",
+        "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL",
         _payload(stop_id=F.col("stop_id"), location_type=F.col("location_type")),
     )
     return platform, orphan.unionByName(other)
@@ -138,8 +138,6 @@ def routes(stg: DataFrame, agency_df: DataFrame):
     rej = _reject(
         s.filter(~good), "routes",
         F.when(F.col("_ok").isNull(), F.lit("DQ-04-ORPHAN-ROUTE-QL")).otherwise(F.lit("DQ-08-BAD-CODE-QL")),
-        F.when(F.col("_ok").isNull(), F.lit("route references an agency_id absent from the feed"))
-        .otherwise(F.lit("route_type is not an integer")),
         _payload(route_id=F.col("route_id"), agency_id=F.col("agency_id"), route_type=F.col("route_type")),
     )
     return core, rej
@@ -148,21 +146,23 @@ def routes(stg: DataFrame, agency_df: DataFrame):
 # --------------------------------------------------------------------------- T09
 def services(stg: DataFrame):
     flags = {d: code_or_default(d) for d in WEEKDAYS}
-    start, end = _t("start_date"), _t("end_date")
-    good = (F.length(start) == 8) & (F.length(end) == 8)
+    dated = gtfs_date("start_date").isNotNull() & gtfs_date("end_date").isNotNull()
+    flagged = F.lit(True)
+    for d in WEEKDAYS:
+        flagged = flagged & F.col(f"_{d}").isNotNull()
     s = stg.select("*", *[c.alias(f"_{d}") for d, c in flags.items()])
-    core = s.filter(good).select(
+    core = s.filter(dated & flagged).select(
         _t("service_id").alias("service_id"),
         gtfs_date("start_date").alias("start_date"),
         gtfs_date("end_date").alias("end_date"),
-        *[F.coalesce(F.col(f"_{d}"), F.lit(0)).alias(d) for d in WEEKDAYS],
-        F.when(sum(F.coalesce(F.col(f"_{d}"), F.lit(0)) for d in WEEKDAYS) > 0, 1).otherwise(0).alias(
+        *[F.col(f"_{d}").alias(d) for d in WEEKDAYS],
+        F.when(sum(F.col(f"_{d}") for d in WEEKDAYS) > 0, 1).otherwise(0).alias(
             "has_weekday_pattern"
         ),
     )
     rej = _reject(
-        s.filter(~good | good.isNull()), "calendar", "DQ-06-BAD-SERVICE-DATE-QL",
-        "calendar row without an 8-character start_date and end_date",
+        s.filter(~(dated & flagged)), "calendar",
+        F.when(dated, F.lit("DQ-08-BAD-CODE-QL")).otherwise(F.lit("DQ-06-BAD-SERVICE-DATE-QL")),
         _payload(service_id=F.col("service_id"), start_date=F.col("start_date"), end_date=F.col("end_date")),
     )
     return core, rej
@@ -191,12 +191,11 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
     orphan = _reject(
         s.filter(F.col("_ok").isNull() | (F.length(_t("date")) != 8) | _t("date").isNull()),
         "calendar_dates", "DQ-04-ORPHAN-SERVICE-DATE",
-        "calendar_dates row references a service_id absent from calendar.txt",
         _payload(service_id=F.col("service_id"), date=F.col("date")),
     )
     invalid = _reject(
         s.filter((F.col("_ok") == 1) & (F.length(_t("date")) == 8) & (F.col("_date").isNull() | exc.isNull())),
-        "calendar_dates", "DQ-06-INVALID-DATE-QL", "8-character date that is not a calendar date, or bad type",
+        "calendar_dates", "DQ-06-INVALID-DATE-QL",
         _payload(service_id=F.col("service_id"), date=F.col("date"), exception_type=F.col("exception_type")),
     )
     # One summary row per duplicated key, counted over every staged line (orphans too).
@@ -206,7 +205,7 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
         .filter(F.col("_n") > 1)
     )
     dup = _reject(
-        dups, "calendar_dates", "DQ-05-DUPLICATE-SERVICE-DATE", "duplicate (service_id, date); first occurrence kept",
+        dups, "calendar_dates", "DQ-05-DUPLICATE-SERVICE-DATE",
         _payload(service_id=F.col("_s"), date=F.col("_d"), occurrences=F.col("_n")),
     )
     return kept, orphan.unionByName(invalid).unionByName(dup)
@@ -247,7 +246,8 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
     bikes, chair = code_or_default("bikes_allowed"), code_or_default("wheelchair_accessible")
     direction = blank_to_null("direction_id").try_cast("int")
     linked = (F.col("_rok") == 1) & (F.col("_sok") == 1)
-    codes_ok = bikes.isNotNull() & chair.isNotNull()
+    codes_ok = (bikes.isNotNull() & chair.isNotNull()
+                & (blank_to_null("direction_id").isNull() | direction.isNotNull()))
     core = s.filter(linked & codes_ok).select(
         _t("trip_id").alias("trip_id"),
         F.col("_rid").alias("route_id"),
@@ -262,9 +262,6 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
     rej = _reject(
         s.filter(~linked | linked.isNull() | ~codes_ok), "trips",
         F.when(linked, F.lit("DQ-08-BAD-CODE-QL")).otherwise(F.lit("DQ-09-ORPHAN-TRIP")),
-        F.when(linked, F.lit("bikes_allowed or wheelchair_accessible is not an integer")).otherwise(
-            F.lit("trip references a route_id or service_id absent from the feed")
-        ),
         _payload(trip_id=F.col("trip_id"), route_id=F.col("route_id"), service_id=F.col("service_id")),
     )
     return core, rej
@@ -287,7 +284,8 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         _t("trip_id").alias("trip_id"),
         _t("stop_id").alias("stop_id"),
         _t("stop_sequence").try_cast("int").alias("stop_sequence"),
-        is_digits("stop_sequence").alias("stop_sequence_is_valid"),
+        # digits alone are not enough: eleven of them are no integer
+        (is_digits("stop_sequence") == 1).alias("_digits"),
         blank_to_null("arrival_time").alias("arrival_time"),
         blank_to_null("departure_time").alias("departure_time"),
         clock_secs("arrival_time").alias("arrival_secs"),
@@ -295,9 +293,9 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         code_or_default("pickup_type").alias("pickup_type"),
         code_or_default("drop_off_type").alias("drop_off_type"),
         blank_to_null("stop_headsign").alias("stop_headsign"),
-    )
-    trips_k = trip_df.select("trip_id", F.lit(1).alias("fk_trip"))
-    plats_k = platform_df.select("stop_id", F.lit(1).alias("fk_platform"))
+    ).withColumn("is_numbered", F.col("_digits") & F.col("stop_sequence").isNotNull()).drop("_digits")
+    trips_k = trip_df.select("trip_id", F.lit(True).alias("trip_known"))
+    plats_k = platform_df.select("stop_id", F.lit(True).alias("platform_known"))
     if rank_after_screening:
         # the other rules must be known before the first line can be chosen
         looked_up = parsed.join(trips_k, "trip_id", "left").join(plats_k, "stop_id", "left")
@@ -311,10 +309,8 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         # shuffled once, for the single null-safe join back (AQE splits a hot key).
         firsts = (parsed.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
                   .join(trips_k, "trip_id", "left"))
-        keyed = _join_firsts(parsed, firsts, extra=["fk_trip"]).join(plats_k, "stop_id", "left")
-    screened = keyed.withColumn(
-        "dup_rank", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2)
-    )
+        keyed = _join_firsts(parsed, firsts, extra=["trip_known"]).join(plats_k, "stop_id", "left")
+    screened = keyed.withColumn("is_first_copy", F.col("src_line_no").eqNullSafe(F.col("_first_line")))
     return screened.withColumn("reject_rule", _other_rules(with_duplicate=True))
 
 
@@ -329,13 +325,13 @@ def _join_firsts(rows: DataFrame, firsts: DataFrame, extra: list[str]) -> DataFr
 def _other_rules(with_duplicate: bool) -> F.Column:
     """The first-match cascade; without the duplicate rule when ranking after screening."""
     conds = [
-        F.col("fk_trip").isNull(),
-        F.col("fk_platform").isNull(),
-        F.col("stop_sequence_is_valid") == 0,
+        F.col("trip_known").isNull(),
+        F.col("platform_known").isNull(),
+        ~F.col("is_numbered"),
         F.col("pickup_type").isNull() | F.col("drop_off_type").isNull(),
         F.col("departure_secs").isNull() & F.col("arrival_secs").isNull(),
         F.coalesce("departure_secs", "arrival_secs") >= 172800,
-        F.col("dup_rank") > 1,
+        ~F.col("is_first_copy"),
     ]
     rule = None
     pairs = list(zip(conds, STOP_TIME_RULES))
@@ -379,12 +375,10 @@ def accepted_stop_times(screened: DataFrame) -> DataFrame:
 
 
 def rejected_stop_times(screened: DataFrame) -> DataFrame:
-    reason = F.create_map(*[x for code, text in STOP_TIME_RULES for x in (F.lit(code), F.lit(text))])
     rejected = (screened.filter(F.col("load_status") == "rejected") if "load_status" in screened.columns
                 else screened.filter(F.col("reject_rule").isNotNull()))
     return _reject(
         rejected, "stop_times", F.col("reject_rule"),
-        reason[F.col("reject_rule")],
         _payload(trip_id=F.col("trip_id"), stop_sequence=F.col("stop_sequence"), stop_id=F.col("stop_id"),
                  arrival_time=F.col("arrival_time"), departure_time=F.col("departure_time")),
     )
@@ -401,7 +395,10 @@ def transfers(stg: DataFrame, platform_df: DataFrame, trip_df: DataFrame):
         .withColumn("_ftrip", blank_to_null("from_trip_id")).withColumn("_ttrip", blank_to_null("to_trip_id"))
         .join(pf, "_from", "left").join(pt, "_to", "left")
     )
-    good = (F.col("_fok") == 1) & (F.col("_tok") == 1)
+    linked = (F.col("_fok") == 1) & (F.col("_tok") == 1)
+    wait = blank_to_null("min_transfer_time")
+    coded = code_or_default("transfer_type").isNotNull() & (wait.isNull() | wait.try_cast("int").isNotNull())
+    good = linked & coded
     core = (
         s.filter(good).join(ft, "_ftrip", "left").join(tt, "_ttrip", "left")
         .select(
@@ -414,8 +411,8 @@ def transfers(stg: DataFrame, platform_df: DataFrame, trip_df: DataFrame):
         )
     )
     rej = _reject(
-        s.filter(~good | good.isNull()), "transfers", "DQ-04-ORPHAN-TRANSFER-QL",
-        "transfer end is not a known platform",
+        s.filter(~good | good.isNull()), "transfers",
+        F.when(linked, F.lit("DQ-08-BAD-CODE-QL")).otherwise(F.lit("DQ-04-ORPHAN-TRANSFER-QL")),
         _payload(from_stop_id=F.col("from_stop_id"), to_stop_id=F.col("to_stop_id")),
     )
     return core, rej
@@ -439,11 +436,9 @@ def translations(stg: DataFrame):
     ).withColumn("_rn", F.when(F.col("src_line_no") == F.col("_first_line"), 1).otherwise(2))
     rej = _reject(
         typed.filter(~F.col("_good")), "translations", "DQ-07-TRANSLATION-FILTERED-QL",
-        "blank value or translation, or language/table outside the whitelist",
         _payload(table_name=F.col("table_name"), language=F.col("language"), field_value=F.col("field_value")),
     ).unionByName(
         _reject(ranked.filter(F.col("_rn") > 1), "translations", "DQ-05-DUPLICATE-TRANSLATION-QL",
-                "duplicate translation key; first occurrence kept",
                 _payload(table_name=F.col("table_name"), language=F.col("language"),
                          field_value=F.col("field_value")))
     )

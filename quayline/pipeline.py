@@ -62,14 +62,21 @@ def build_core(spark: SparkSession, sf_dir: str, put=None) -> dict[str, DataFram
     return t
 
 
-def feed_core(spark: SparkSession, path: str, put=None) -> dict[str, DataFrame]:
-    """Core model from a schedule feed on storage (zip archives or extracted members)."""
+def feed_core(spark: SparkSession, path: str, put=None, stage_dir: str | None = None,
+              fail_on_error: bool = False) -> dict[str, DataFrame]:
+    """Core model from a schedule feed on storage (zip archives or extracted members).
+
+    ``put`` writes each table (see ``build_feed``); ``fail_on_error`` raises if a
+    table that was built breaks a constraint."""
+    from quayline.operators import constraints
     from quayline.sources import gtfs_feed
 
     put = put or (lambda name, df: df)
-    members, report, listing = gtfs_feed.staged_members(spark, path)
+    members, report, listing = gtfs_feed.staged_members(spark, path, stage_dir)
     out = cleaning.clean(members, put)
     t = dict(out.tables)
+    if fail_on_error:
+        constraints.enforce(t)
     t["rejected_row"] = out.rejected
     t["member_report"] = report
     t["unknown_columns"] = listing["unknown_columns"]
@@ -95,9 +102,30 @@ def add_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return t
 
 
+def build_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool = False) -> dict[str, DataFrame]:
+    """Read the feed under ``path`` and write the core, quarantine and timetable views under ``root``.
+
+    Returns DataFrames that read the written tables; the run is logged beside them."""
+    run_id, started = uuid.uuid4().hex, _now()
+    put = _writer(spark, root, run_id)
+    try:
+        t = feed_core(spark, path, put, f"{root}/_records", fail_on_error)
+        _write_timetable_views(t, put)
+    except Exception:
+        log_run(spark, None, f"{root}/ingestion_run", run_id, path, started, "failed")
+        raise
+    t["ingestion_run"] = log_run(spark, t, f"{root}/ingestion_run", run_id, path, started)
+    return t
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private temp folder only when unset (tests)."""
+    """The session's checkpoint folder, which driver and executors share.
+
+    Only where tasks run inside the driver (``local[...]``: tests) an unset folder
+    is replaced by a private one; on a cluster executors could not see it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="quayline-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
@@ -111,8 +139,35 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
     Quarantine rows are stamped with ``run_id``; one run-log row is appended to
     ``<root>/../ingestion_run`` once every table is written (status ``success``).
     """
-    run_id = run_id or uuid.uuid4().hex
-    started = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    run_id, started = run_id or uuid.uuid4().hex, _now()
+    put = _writer(spark, root, run_id)
+    try:
+        t = build_core(spark, sf_dir, put)
+        _write_timetable_views(t, put)
+        t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
+    except Exception:
+        log_run(spark, None, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started, "failed")
+        raise
+    t["ingestion_run"] = log_run(spark, t, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started)
+    return t
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _write_timetable_views(t: dict[str, DataFrame], put) -> None:
+    """Write the semantic layer over the timetable: small views that many analyses read."""
+    t["v_departure"] = put("v_departure", views.departures(t))
+    t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
+    t["service_days"] = put("service_days", views.service_days(t))
+    t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
+    t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
+    t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
+
+
+def _writer(spark: SparkSession, root: str, run_id: str):
+    """A function that writes a table under ``root`` and returns a DataFrame reading it back."""
 
     def put(name: str, df: DataFrame) -> DataFrame:
         path = f"{root}/{name}"
@@ -134,21 +189,7 @@ def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None
             schema = StructType(keep + [f for f in schema.fields if f.name in PARTITION_BY[name]])
         return spark.read.schema(schema).parquet(path)
 
-    try:
-        t = build_core(spark, sf_dir, put)
-        t["v_departure"] = put("v_departure", views.departures(t))
-        t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
-        t["service_days"] = put("service_days", views.service_days(t))
-        # the rest of the semantic layer: small, reused by many analyses
-        t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
-        t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
-        t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
-        t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
-    except Exception:
-        log_run(spark, None, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started, "failed")
-        raise
-    t["ingestion_run"] = log_run(spark, t, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started)
-    return t
+    return put
 
 
 def log_run(spark, t, path, run_id, source, started, status: str = "success") -> DataFrame:
@@ -158,7 +199,7 @@ def log_run(spark, t, path, run_id, source, started, status: str = "success") ->
         loaded = sum(t[n].count() for n in ("station", "platform", "route", "service", "service_date", "trip",
                                               "stop_time", "transfer", "text_translation", "agency", "feed_info"))
         rejected = t["rejected_row"].count()
-    finished = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    finished = _now()
     row = [(run_id, source, started, finished, status, loaded, rejected)]
     schema = ("run_id string, source string, started_at_utc string, finished_at_utc string, status string, "
               "rows_loaded long, rows_rejected long")
@@ -167,13 +208,17 @@ def log_run(spark, t, path, run_id, source, started, status: str = "success") ->
 
 
 def _list_inputs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
-    """(name, size, modification time) of every input file, through the Hadoop FS (any store)."""
+    """(path, size, modification time) of every input file at any depth, through the Hadoop FS (any store).
+
+    A table may be a folder of parts; stores do not change a folder's own time with its files."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = []
-    for st in fs.listStatus(path):
-        out.append((st.getPath().getName(), int(st.getLen()), int(st.getModificationTime())))
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        st = files.next()
+        out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
     return sorted(out)
 
 

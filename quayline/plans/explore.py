@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from quayline.functions import hour_band, pct
 from quayline.plans import platform as platform_plans
 from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, beside, long, weighted
-from quayline.schemas import ACCESSIBILITY, EXCEPTION_TYPES, MEMBER_COLUMNS, PICKUP_DROP, ROUTE_TYPES
+from quayline.schemas import (
+    ACCESSIBILITY,
+    ALERT_CAUSES,
+    ALERT_EFFECTS,
+    EXCEPTION_TYPES,
+    MEMBER_COLUMNS,
+    PICKUP_DROP,
+    ROUTE_TYPES,
+    STOP_SCHEDULE_RELATIONSHIP,
+    TRANSFER_TYPES,
+    TRIP_SCHEDULE_RELATIONSHIP,
+)
 
 EXPLORER_STATION = HUBS[2]
 LOOKUP_STOP = "P1"
@@ -101,7 +112,8 @@ def b06_table_sizes(t):
 
 def s07_feed_roundtrip(t):
     """S01-S07 on volume: export the staged members as a feed, read it back with the
-    feed reader (by header name, record numbers, shape check) and report per member."""
+    feed reader (by header name, record numbers, shape check) and compare the
+    contents of every member, row for row as a hash, with what was exported."""
     import uuid
 
     from quayline import pipeline
@@ -111,9 +123,16 @@ def s07_feed_roundtrip(t):
     members = {m: t[f"stg_{m}"] for m in MEMBER_COLUMNS}
     root = f"{pipeline.checkpoint_root(spark)}/quayline-feed-export/{uuid.uuid4().hex}"
     gtfs_feed.export_feed(members, f"{root}/feed")
-    _, report, _ = gtfs_feed.staged_members(spark, f"{root}/feed", stage_dir=f"{root}/records")
-    return report.select("member", "staged_rows", F.coalesce("shape_mismatches", F.lit(0).cast("long"))
-                         .alias("shape_mismatches"))
+    back, report, _ = gtfs_feed.staged_members(spark, f"{root}/feed", stage_dir=f"{root}/records")
+    same = None
+    for m in MEMBER_COLUMNS:
+        pair = gtfs_feed.content_digest(members[m], m).unionAll(gtfs_feed.content_digest(back[m], m))
+        one = pair.agg((F.count_distinct("n", "h") == 1).alias("same_contents")).select(F.lit(m).alias("member"), "same_contents")
+        same = one if same is None else same.unionAll(one)
+    zero = F.lit(0).cast("long")
+    return report.join(same, "member").select(
+        "member", "staged_rows", F.coalesce("shape_mismatches", zero).alias("shape_mismatches"),
+        F.coalesce("damaged_records", zero).alias("damaged_records"), "same_contents")
 
 
 def s08_s19_shred_roundtrip(t):
@@ -246,113 +265,140 @@ def d09_station_coverage(t, station: str = EXPLORER_STATION):
     )
 
 
-# rule, finding; counts follow in d10_dq_evidence
+# rule, finding, what the build does about it; counts follow in d10_dq_evidence
 DQ_FINDINGS = [
-    ("DQ-01", "services without a weekly pattern in calendar.txt"),
-    ("DQ-02", "trips whose amenity code is 0 (no information)"),
-    ("DQ-03", "calls 48 h or more into their service day"),
-    ("DQ-04", "rows referencing a parent that does not exist"),
-    ("DQ-05", "duplicate keys"),
-    ("DQ-06", "feed dates parsed to ISO"),
-    ("DQ-07", "translations kept (keyed by value)"),
-    ("DQ-08", "blank platform codes normalised to NULL"),
-    ("DQ-09", "trips referencing an unknown route or service"),
+    ("DQ-01", "services without a weekly pattern in calendar.txt", "days are counted from calendar_dates"),
+    ("DQ-02", "trips whose amenity code is 0 (no information)", "kept; shown as unknown, never as a refusal"),
+    ("DQ-03", "calls 48 h or more into their service day", "quarantined"),
+    ("DQ-04", "rows referencing a parent that does not exist", "quarantined"),
+    ("DQ-05", "duplicate keys", "the first line is loaded, the others are quarantined"),
+    ("DQ-06", "feed dates parsed to ISO", "stored as dates; a date that does not parse is empty"),
+    ("DQ-07", "translations kept (keyed by value)", "looked up by the translated value, not by record"),
+    ("DQ-08", "blank platform codes normalised to NULL", "loaded without a platform number"),
+    ("DQ-09", "trips referencing an unknown route or service", "quarantined"),
 ]
 
 
 def d10_dq_evidence(t):
-    rej = t["rejected_row"]
-    rej_like = lambda p: rej.filter(F.col("rule_code").startswith(p))
-    n = lambda df: df.agg(F.count(F.lit(1)).cast("long").alias("c"))
-    calls_examined = beside(
-        n(t["stop_time"]), n(rej.filter(F.col("source_table") == "stg_stop_times")).withColumnRenamed("c", "r")
-    ).select((F.col("c") + F.col("r")).alias("c"))
+    """One aggregate per table gives all its counts; the one-row results stand side by side."""
+    count = lambda cond=None: F.count(F.lit(1) if cond is None else F.when(cond, 1)).cast("long")
+    rule = lambda code: count(F.col("rule_code").startswith(code))
+    no_info = (F.col("bikes_allowed") == 0) | (F.col("wheelchair_accessible") == 0)
+    one = beside(
+        t["rejected_row"].agg(
+            rule("DQ-03").alias("r3"), rule("DQ-04").alias("r4"), rule("DQ-05").alias("r5"), rule("DQ-09").alias("r9"),
+            count(F.col("source_table") == "stg_stop_times").alias("lost_calls")),
+        t["service"].agg(count(F.col("has_weekday_pattern") == 0).alias("patternless"), count().alias("services")),
+        t["trip"].agg(count(no_info).alias("no_info"), count().alias("trips")),
+        t["stop_time"].agg(count().alias("calls")),
+        t["feed_info"].agg(count(F.col("feed_start_date").isNotNull()).alias("dated"), count().alias("feeds")),
+        t["text_translation"].agg(count().alias("names")),
+        t["platform"].agg(count(F.col("platform_code").isNull()).alias("codeless"), count().alias("platforms")),
+    )
+    calls, lost = F.col("calls"), F.col("lost_calls")
     pairs = {
-        "DQ-01": (n(t["service"].filter(F.col("has_weekday_pattern") == 0)), n(t["service"])),
-        "DQ-02": (n(t["trip"].filter((F.col("bikes_allowed") == 0) | (F.col("wheelchair_accessible") == 0))),
-                  n(t["trip"])),
-        "DQ-03": (n(rej_like("DQ-03")), calls_examined),
-        "DQ-04": (n(rej_like("DQ-04")), n(t["stop_time"])),
-        "DQ-05": (n(rej_like("DQ-05")), n(t["stop_time"])),
-        "DQ-06": (n(t["feed_info"].filter(F.col("feed_start_date").isNotNull())), n(t["feed_info"])),
-        "DQ-07": (n(t["text_translation"]), n(t["text_translation"])),
-        "DQ-08": (n(t["platform"].filter(F.col("platform_code").isNull())), n(t["platform"])),
-        "DQ-09": (n(rej_like("DQ-09")), n(t["trip"])),
+        "DQ-01": ("patternless", F.col("services")), "DQ-02": ("no_info", F.col("trips")), "DQ-03": ("r3", calls + lost),
+        "DQ-04": ("r4", calls), "DQ-05": ("r5", calls), "DQ-06": ("dated", F.col("feeds")),
+        "DQ-07": ("names", F.col("names")), "DQ-08": ("codeless", F.col("platforms")), "DQ-09": ("r9", F.col("trips")),
     }
-    rows = []
-    for rule, finding in DQ_FINDINGS:
-        affected, examined = pairs[rule]
-        rows.append(beside(
-            affected.withColumnRenamed("c", "rows_affected"), examined.withColumnRenamed("c", "rows_examined")
-        ).select(F.lit(rule).alias("rule"), F.lit(finding).alias("finding"), "rows_affected", "rows_examined"))
-    return reduce(DataFrame.unionByName, rows)
+    rows = [F.struct(F.lit(code).alias("rule"), F.lit(finding).alias("finding"), F.col(pairs[code][0]).alias("rows_affected"),
+                     pairs[code][1].alias("rows_examined"), F.lit(handling).alias("handling"))
+            for code, finding, handling in DQ_FINDINGS]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+# what each characteristic means for the analyses
+FEED_EFFECTS = [
+    ("Technical pass-throughs (no boarding, no alighting)", "through", "not a departure; left out of every view of departures"),
+    ("Calls published at 24:00:00 or later", "after_midnight", "belongs to the service day before; its hour is taken modulo 24"),
+    ("Boardable calls with a published departure", "departures", "the calls that count as departures"),
+]
 
 
 def d11_feed_characteristics(t):
-    st = t["stop_time"]
-    total = st.agg(F.count(F.lit(1)).cast("long").alias("of_total_calls"))
-    rows = [
-        ("Technical pass-throughs (no boarding, no alighting)",
-         st.filter((F.col("is_boardable") == 0) & (F.col("is_alightable") == 0))),
-        ("Calls published at 24:00:00 or later", st.filter(F.col("day_offset") > 0)),
-        ("Boardable calls with a published departure", t["v_departure"]),
-    ]
-    return reduce(DataFrame.unionByName, [
-        beside(df.agg(F.count(F.lit(1)).cast("long").alias("calls")), total)
-        .select(F.lit(label).alias("characteristic"), "calls", "of_total_calls")
-        for label, df in rows
-    ])
+    """One pass over the fact; the departure view is the same fact filtered and joined."""
+    hit = lambda cond: F.count(F.when(cond, 1)).cast("long")
+    one = beside(
+        t["stop_time"].agg(
+            hit((F.col("is_boardable") == 0) & (F.col("is_alightable") == 0)).alias("through"),
+            hit(F.col("day_offset") > 0).alias("after_midnight"), F.count(F.lit(1)).cast("long").alias("total")),
+        t["v_departure"].agg(F.count(F.lit(1)).cast("long").alias("departures")))
+    rows = [F.struct(F.lit(label).alias("characteristic"), F.col(c).alias("calls"), F.col("total").alias("of_total_calls"),
+                     F.lit(effect).alias("effect")) for label, c, effect in FEED_EFFECTS]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def d12_rejected_rows(t):
-    return t["rejected_row"].groupBy("rule_code", "source_table").agg(
+    return t["rejected_row"].groupBy("rule_code", "source_table", "reason").agg(
         F.count(F.lit(1)).cast("long").alias("rows_rejected"),
         F.min("src_line_no").cast("long").alias("first_source_line"),
         F.max("src_line_no").cast("long").alias("last_source_line"),
     ).orderBy(F.col("rows_rejected").desc(), "rule_code", "source_table")
 
 
-def foreign_keys(t) -> list[tuple[str, str, DataFrame, str, DataFrame, str]]:
-    """(child, column, child_df, parent, parent_df, parent_column) for every table-to-table FK."""
-    return [
-        ("platform", "station_id", t["platform"], "station", t["station"], "station_id"),
-        ("route", "agency_id", t["route"], "agency", t["agency"], "agency_id"),
-        ("trip", "route_id", t["trip"], "route", t["route"], "route_id"),
-        ("trip", "service_id", t["trip"], "service", t["service"], "service_id"),
-        ("service_date", "service_id", t["service_date"], "service", t["service"], "service_id"),
-        ("stop_time", "trip_id", t["stop_time"], "trip", t["trip"], "trip_id"),
-        ("stop_time", "stop_id", t["stop_time"], "platform", t["platform"], "stop_id"),
-        ("transfer", "from_stop_id", t["transfer"], "platform", t["platform"], "stop_id"),
-        ("transfer", "to_stop_id", t["transfer"], "platform", t["platform"], "stop_id"),
-    ]
-
-
-# FKs onto fixed code lists: a membership test on the column, no join needed.
+# (child, its columns, parent, the parent's key) of every reference between tables.
+FOREIGN_KEYS = [
+    ("platform", ("station_id",), "station", ("station_id",)),
+    ("route", ("agency_id",), "agency", ("agency_id",)),
+    ("trip", ("route_id",), "route", ("route_id",)),
+    ("trip", ("service_id",), "service", ("service_id",)),
+    ("service_date", ("service_id",), "service", ("service_id",)),
+    ("stop_time", ("trip_id",), "trip", ("trip_id",)),
+    ("stop_time", ("stop_id",), "platform", ("stop_id",)),
+    ("transfer", ("from_stop_id",), "platform", ("stop_id",)),
+    ("transfer", ("to_stop_id",), "platform", ("stop_id",)),
+    ("transfer", ("from_trip_id",), "trip", ("trip_id",)),
+    ("transfer", ("to_trip_id",), "trip", ("trip_id",)),
+    ("rt_trip_update", ("snapshot_id",), "rt_snapshot", ("snapshot_id",)),
+    ("rt_stop_time_update", ("snapshot_id", "rt_entity_id"), "rt_trip_update", ("snapshot_id", "rt_entity_id")),
+    ("rt_alert", ("snapshot_id",), "rt_snapshot", ("snapshot_id",)),
+    ("rt_alert_text", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
+    ("rt_alert_informed_entity", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
+    ("rt_alert_active_period", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
+]
+# References to fixed code lists: a membership test on the column, no join needed.
+_ACCESS = [c for c, *_ in ACCESSIBILITY]
 CODE_FKS = [
-    ("station", "wheelchair_boarding", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
-    ("trip", "bikes_allowed", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
-    ("trip", "wheelchair_accessible", "ref_accessibility", [c for c, *_ in ACCESSIBILITY]),
+    ("station", "wheelchair_boarding", "ref_accessibility", _ACCESS),
+    ("trip", "bikes_allowed", "ref_accessibility", _ACCESS),
+    ("trip", "wheelchair_accessible", "ref_accessibility", _ACCESS),
     ("route", "route_type", "ref_route_type", [c for c, _ in ROUTE_TYPES]),
     ("service_date", "exception_type", "ref_exception_type", [c for c, _ in EXCEPTION_TYPES]),
     ("stop_time", "pickup_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
     ("stop_time", "drop_off_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
+    ("transfer", "transfer_type", "ref_transfer_type", [c for c, _ in TRANSFER_TYPES]),
+    ("rt_trip_update", "schedule_relationship", "ref_trip_schedule_relationship", [c for c, _ in TRIP_SCHEDULE_RELATIONSHIP]),
+    ("rt_stop_time_update", "schedule_relationship", "ref_stop_schedule_relationship",
+     [c for c, *_ in STOP_SCHEDULE_RELATIONSHIP]),
+    ("rt_alert", "cause", "ref_alert_cause", [c for c, _ in ALERT_CAUSES]),
+    ("rt_alert", "effect", "ref_alert_effect", [c for c, _ in ALERT_EFFECTS]),
 ]
 
 
-def d13_fk_violations(t):
-    """One row per violating child value, for every FK: anti joins / code tests, unioned."""
-    parts = []
-    for child, col, cdf, parent, pdf, pcol in foreign_keys(t):
-        keys = pdf.select(F.col(pcol).cast("string").alias("_k"))
-        v = cdf.filter(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("_k"))
-        parts.append(v.join(keys, "_k", "left_anti").select(
-            F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"), F.lit(parent).alias("parent_table"),
-            F.col("_k").alias("value"),
-        ))
-    for child, col, parent, codes in CODE_FKS:
-        parts.append(t[child].filter(F.col(col).isNotNull() & ~F.col(col).isin(*codes)).select(
-            F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"), F.lit(parent).alias("parent_table"),
-            F.col(col).cast("string").alias("value"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+def _violations_of(t, child: str) -> DataFrame:
+    """All violated references of one table in one scan: parents' keys are looked up by left
+    joins, and each row gives out as many violations as it has."""
+    keys = [(cols, parent, pcols) for c, cols, parent, pcols in FOREIGN_KEYS if c == child and parent in t]
+    codes = [(col, ref, known) for c, col, ref, known in CODE_FKS if c == child and col in t[child].columns]
+    df = t[child].select(*dict.fromkeys([c for cols, *_ in keys for c in cols] + [c for c, *_ in codes]))
+    faults = []
+    for i, (cols, parent, pcols) in enumerate(keys):
+        parents = t[parent].select(*[F.col(c).alias(f"_k{i}_{j}") for j, c in enumerate(pcols)], F.lit(True).alias(f"_found{i}"))
+        parents = parents.distinct() if len(pcols) > 1 else parents  # a single key is the parent's own
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_k{i}_{j}") for j, c in enumerate(cols)])
+        df = df.join(parents, same, "left")
+        lost = F.col(f"_found{i}").isNull() & reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
+        value = F.concat_ws("/", *[F.col(c).cast("string") for c in cols])
+        faults.append(F.when(lost, F.struct(F.lit(",".join(cols)).alias("fk_column"), F.lit(parent).alias("parent_table"),
+                                            value.alias("value"))))
+    for col, ref, known in codes:
+        faults.append(F.when(F.col(col).isNotNull() & ~F.col(col).isin(*known), F.struct(
+            F.lit(col).alias("fk_column"), F.lit(ref).alias("parent_table"), F.col(col).cast("string").alias("value"))))
+    found = df.select(F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("x"))
+    return found.select(F.lit(child).alias("child_table"), "x.*")
+
 
+def d13_fk_violations(t):
+    """One row per violating child value, for every reference."""
+    children = dict.fromkeys([c for c, *_ in FOREIGN_KEYS] + [c for c, *_ in CODE_FKS])
+    return reduce(DataFrame.unionByName, [_violations_of(t, c) for c in children if c in t])

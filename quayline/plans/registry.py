@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quayline.operators import checks, constraints
 from quayline.streaming import snapshots
-from quayline.plans import amenity, explore, frequency, hub, morning, peak, platform, profile, semantic
+from quayline.plans import amenity, explore, frequency, hub, ingest, morning, peak, platform, profile, semantic
 
 QUERIES = {
     "a01_annualised_departures_by_hour": peak.a01_annualised_departures_by_hour,
@@ -61,6 +61,11 @@ QUERIES = {
     "b06_table_sizes": explore.b06_table_sizes,
     "s07_feed_roundtrip": explore.s07_feed_roundtrip,
     "s08_s19_shred_roundtrip": explore.s08_s19_shred_roundtrip,
+    "s11_s15_alert_shred": ingest.s11_s15_alert_shred,
+    "t21_rejected_rows": ingest.t21_rejected_rows,
+    "r02_replay": ingest.r02_replay,
+    "r02_late_after_compaction": ingest.r02_late_after_compaction,
+    "r05_stream": ingest.r05_stream,
     "d01_feed_provenance": explore.d01_feed_provenance,
     "d02_ingestion_runs": explore.d02_ingestion_runs,
     "d03_headline_counts": explore.d03_headline_counts,

@@ -112,16 +112,52 @@ WEEKDAY_NAMES = [
 
 # Reject rule codes and reasons of the stop-time cascade (first match wins).
 STOP_TIME_RULES = [
-    ("DQ-04-ORPHAN-STOP-TIME-TRIP", "call references an unknown trip_id"),
-    ("DQ-04-ORPHAN-STOP-TIME-PLATFORM", "call references an unknown stop_id"),
-    ("DQ-08-BAD-STOP-SEQUENCE", "stop_sequence is not an integer"),
-    ("DQ-08-BAD-CODE", "pickup_type or drop_off_type is not an integer"),
-    ("DQ-08-NO-TIME", "call carries neither an arrival nor a departure time"),
-    ("DQ-03-IMPLAUSIBLE-DEPARTURE", "call occurs 48 h or more after the start of its service day"),
-    ("DQ-05-DUPLICATE-CALL", "duplicate (trip_id, stop_sequence); first occurrence kept"),
+    ("DQ-04-ORPHAN-STOP-TIME-TRIP", "the call's trip was not loaded"),
+    ("DQ-04-ORPHAN-STOP-TIME-PLATFORM", "the call's stop is not a loaded platform"),
+    ("DQ-08-BAD-STOP-SEQUENCE", "the place in the trip is not a whole number"),
+    ("DQ-08-BAD-CODE", "a boarding code is not a number"),
+    ("DQ-08-NO-TIME", "the call has no usable time"),
+    ("DQ-03-IMPLAUSIBLE-DEPARTURE", "the call lies two days or more after its service day"),
+    ("DQ-05-DUPLICATE-CALL", "another line has this place in the trip; the first line counts"),
 ]
 
 
+# Why a row of a staged table is in quarantine, by rule.
+REJECT_REASONS = {
+    "agency": {"DQ-08-BLANK-AGENCY-ID-QL": "agency without an id"},
+    "stops": {
+        "DQ-04-ORPHAN-PLATFORM": "platform whose parent is not one of the stations read",
+        "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL": "neither a station nor a platform",
+    },
+    "routes": {
+        "DQ-04-ORPHAN-ROUTE-QL": "route of an agency that was not loaded",
+        "DQ-08-BAD-CODE-QL": "the route type is not a number",
+    },
+    "calendar": {
+        "DQ-06-BAD-SERVICE-DATE-QL": "first or last day is missing or no day of the calendar",
+        "DQ-08-BAD-CODE-QL": "a weekday flag is not a number",
+    },
+    "calendar_dates": {
+        "DQ-04-ORPHAN-SERVICE-DATE": "date of a service that was not loaded, or not eight characters long",
+        "DQ-06-INVALID-DATE-QL": "no day of the calendar, or its type is not a number",
+        "DQ-05-DUPLICATE-SERVICE-DATE": "a service has this date more than once; the first line counts",
+    },
+    "trips": {
+        "DQ-09-ORPHAN-TRIP": "trip of a route or service that was not loaded",
+        "DQ-08-BAD-CODE-QL": "a direction or amenity code is not a number",
+    },
+    "stop_times": dict(STOP_TIME_RULES),
+    "transfers": {
+        "DQ-04-ORPHAN-TRANSFER-QL": "transfer end is not a loaded platform",
+        "DQ-08-BAD-CODE-QL": "transfer type or waiting time is not a number",
+    },
+    "translations": {
+        "DQ-07-TRANSLATION-FILTERED-QL": "value or text is blank, or language or table is not one we keep",
+        "DQ-05-DUPLICATE-TRANSLATION-QL": "this value has another text in this language; the first line counts",
+    },
+}
+
+
 def code_list(spark: SparkSession, rows, names: list[str]) -> DataFrame:
     """A literal code list; always tiny, so it carries a broadcast hint."""
     return F.broadcast(spark.createDataFrame(rows, names))

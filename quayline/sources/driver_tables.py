@@ -409,6 +409,51 @@ def realtime_from_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
 # ---------------------------------------------------------------------------
 # Realtime documents derived from events (for the shredder on volume)
 # ---------------------------------------------------------------------------
+def snapshot_documents(tu: DataFrame, stu: DataFrame, keep_id: bool = False) -> DataFrame:
+    """One document per snapshot of the log with all its entities, as JSON text in column ``doc``.
+
+    A document holds one poll of the feed, so what is gathered is as large as one poll."""
+    j = stu.join(tu.select("snapshot_id", "rt_entity_id", "trip_id", "start_date"), ["snapshot_id", "rt_entity_id"])
+    delay = F.when(F.col("departure_delay_s").isNotNull(), F.struct(F.col("departure_delay_s").alias("delay")))
+    update = F.struct(F.col("stop_id").alias("stopId"), F.col("stop_sequence").alias("stopSequence"),
+                      F.col("schedule_relationship").alias("scheduleRelationship"), delay.alias("departure"))
+    trip = F.struct(F.col("trip_id").alias("tripId"), F.regexp_replace("start_date", "-", "").alias("startDate"))
+    entity = F.struct(F.col("rt_entity_id").alias("id"),
+                      F.struct(trip.alias("trip"), F.array(update).alias("stopTimeUpdate")).alias("tripUpdate"))
+    # the log's ids are half-hours; a document carries the half-hour's beginning
+    docs = j.groupBy("snapshot_id").agg(F.to_json(F.struct(
+        F.struct((F.first("snapshot_id") * 900).alias("timestamp")).alias("header"), F.collect_list(entity).alias("entity"))).alias("doc"))
+    return docs if keep_id else docs.select("doc")
+
+
+def alert_documents(alert: DataFrame) -> DataFrame:
+    """One alert document per alert of the log, as JSON text in column ``doc``.
+
+    Quirks on purpose: a language said twice, a text without a language, a blank text,
+    the URL as an object, as bare text or absent, no informed entity, no active
+    period, a period without an end."""
+    eid, text = F.col("rt_entity_id").try_cast("long"), F.col("rt_entity_id")
+    some = lambda cond, s: F.when(cond, s).otherwise(F.lit(""))
+    header = F.concat(
+        F.lit('"headerText":{"translation":[{"language":"fr","text":"Perturbation '), text, F.lit('"},{"language":"nl","text":"Storing '),
+        text, F.lit('"}'), some(eid % 3 == 0, F.lit(',{"language":"fr","text":"autre"}')),
+        some(eid % 4 == 0, F.lit(',{"text":"no language"}')), some(eid % 5 == 0, F.lit(',{"language":"en","text":" "}')), F.lit("]}"))
+    about = some(eid % 2 == 0, F.concat(F.lit(',"descriptionText":{"translation":[{"language":"fr","text":"Cause '),
+                                        _text(F.col("cause")), F.lit('"}]}')))
+    url = F.when(eid % 3 == 0, F.lit(',"url":{"translation":[{"language":"fr","text":"http://u.example"}]}')).when(
+        eid % 3 == 1, F.lit(',"url":"http://bare.example"')).otherwise(F.lit(""))
+    informed = some(eid % 7 != 0, F.concat(
+        F.lit(',"informedEntity":[{"stopId":"P'), _text(eid % 10), F.lit('"}'),
+        some(eid % 2 == 0, F.concat(F.lit(',{"trip":{"tripId":"T'), text, F.lit('"}}'))), F.lit("]")))
+    start = _text(F.lit(DOC_EPOCH) + eid)
+    periods = some(eid % 5 != 0, F.concat(
+        F.lit(',"activePeriod":[{"start":'), start, F.lit(',"end":'), _text(F.lit(DOC_EPOCH + 3600) + eid), F.lit("}"),
+        some(eid % 3 == 0, F.concat(F.lit(',{"start":'), start, F.lit("}"))), F.lit("]")))
+    return alert.select(F.concat(
+        F.lit('{"header":{"timestamp":'), start, F.lit('},"entity":[{"id":"'), text, F.lit('","alert":{"cause":'), _text(F.col("cause")),
+        F.lit(',"effect":'), _text(F.col("effect")), F.lit(","), header, about, url, informed, periods, F.lit("}}]}")).alias("doc"))
+
+
 DOC_EPOCH = 1700000000  # header timestamp = DOC_EPOCH + event_id: one snapshot per event
 
 

@@ -4,17 +4,20 @@
 * S02 columns are found by header name, absent optional columns are NULL,
   unknown columns are reported;
 * S03 records with too many / too few fields are kept best-effort and counted;
-* S04 ``src_line_no`` is the record number (header = 1, data from 2);
-* S05 a UTF-8 byte-order mark on the header is stripped;
-* S06 required members must be present, extra members are reported, an absent
-  optional member yields zero rows (a member may also be a Spark-written
+* S04 ``src_line_no`` numbers a member's records (header = 1, data from 2). Where
+  a member comes from several files, files count in the order of their names and
+  each has a number range of its own, so a line number names one record;
+* S05 a UTF-8 byte-order mark on the header is stripped; records with bytes that
+  are not UTF-8 are kept with U+FFFD and counted as damaged;
+* S06 every feed must have the required members, extra members are reported, an
+  absent optional member yields zero rows (a member may also be a Spark-written
   ``<member>.txt/`` directory of CSV parts, each part with its own header);
 * S07 staged row counts per member.
 
-Spark has no zip codec, so each archive is expanded by one ``mapInPandas`` task
-(archives are independent, so many feeds expand in parallel); everything after
-the expansion is DataFrame code. Records, not physical lines, are numbered,
-so a quoted newline inside a field does not shift later numbers.
+Spark has no zip codec, so files are expanded in ``mapInArrow``, one member file
+after the other as a stream of bounded batches; everything after the expansion is
+DataFrame code. Records, not physical lines, are numbered, so a quoted newline
+inside a field does not shift later numbers.
 """
 
 from __future__ import annotations
@@ -23,62 +26,75 @@ import csv
 import io
 import zipfile
 
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayline.schemas import MEMBER_COLUMNS, REQUIRED_MEMBERS
 from quayline.shipping import ship_package
 
-RECORD_SCHEMA = "archive string, member string, record_no long, line string"
-CHUNK = 200_000
-# Fields of one record travel from Python to the JVM as one string joined by the
-# ASCII unit separator (never part of feed text) and are split JVM-side: a flat
-# string column crosses Arrow far faster than a column of Python lists.
-SEP = "\x1f"
+RECORD_SCHEMA = "feed string, archive string, member string, record_no long, fields array<string>, damaged boolean"
+BATCH_RECORDS = 20_000
+FILE_LINES = 1 << 40  # the range of line numbers of one member file
 
 
 class MissingMemberError(ValueError):
     pass
 
 
-def _records(name: str, member: str, data: bytes):
-    text = data.decode("utf-8-sig", errors="replace")  # S05: BOM stripped here
-    nos, lines = [], []
-    for no, fields in enumerate(csv.reader(io.StringIO(text, newline="")), start=1):
-        nos.append(no)
-        lines.append(SEP.join(fields))
-        if len(nos) >= CHUNK:
-            yield pd.DataFrame({"archive": name, "member": member, "record_no": nos, "line": lines})
-            nos, lines = [], []
-    if nos:
-        yield pd.DataFrame({"archive": name, "member": member, "record_no": nos, "line": lines})
+def _records(feed: str, archive: str, member: str, stream):
+    """Batches of a member file's records, read as the stream goes on."""
+    import pyarrow as pa
+
+    def batch(numbers, rows, damaged):
+        n = len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([feed] * n), pa.array([archive] * n), pa.array([member] * n), pa.array(numbers, pa.int64()),
+             pa.array(rows, pa.list_(pa.string())), pa.array(damaged, pa.bool_())],
+            names=["feed", "archive", "member", "record_no", "fields", "damaged"])
+
+    # bytes that are not UTF-8 become lone surrogates, which no valid text holds
+    text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="surrogateescape", newline="")
+    numbers, rows, damaged = [], [], []
+    for no, fields in enumerate(csv.reader(text), start=1):
+        bad = any("\udc80" <= c <= "\udcff" for f in fields if not f.isascii() for c in f)
+        if bad:
+            fields = ["".join("�" if "\udc80" <= c <= "\udcff" else c for c in f) for f in fields]
+        numbers.append(no)
+        rows.append(fields)
+        damaged.append(bad)
+        if len(rows) >= BATCH_RECORDS:
+            yield batch(numbers, rows, damaged)
+            numbers, rows, damaged = [], [], []
+    if rows:
+        yield batch(numbers, rows, damaged)
 
 
 def _expand(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
+    for files in batches:
+        for path, content in zip(files.column("path").to_pylist(), files.column("content")):
+            data = io.BytesIO(content.as_buffer().to_pybytes())
             if path.lower().endswith(".zip"):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with zipfile.ZipFile(data) as z:
                     for info in z.infolist():
                         if info.is_dir() or not info.filename.lower().endswith(".txt"):
                             continue
                         member = info.filename.rsplit("/", 1)[-1][:-4]
-                        yield from _records(path, member, z.read(info))
+                        with z.open(info) as stream:
+                            yield from _records(path, path, member, stream)
+                continue
+            folder, name = path.rsplit("/", 1)
+            if folder.lower().endswith(".txt"):
+                # a member written by Spark: <member>.txt/part-*.csv, each part with its own header
+                feed, name = folder.rsplit("/", 1)
+                yield from _records(feed, path, name[:-4], data)
             else:
-                parent, name = path.rsplit("/", 1)
-                if parent.lower().endswith(".txt"):
-                    # a member written by Spark: <member>.txt/part-*.csv, each part with its own header
-                    member, archive = parent.rsplit("/", 1)[-1][:-4], path
-                else:
-                    member, archive = name.rsplit(".", 1)[0], parent
-                yield from _records(archive, member, bytes(content))
+                yield from _records(folder, path, name.rsplit(".", 1)[0], data)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV record of every member: (archive, member, record_no, fields)."""
-    ship_package(spark)  # the expander below runs in Python workers
+    """Every CSV record of every member: (feed, archive, member, record_no, fields, damaged)."""
+    ship_package(spark)  # the expander runs in Python workers
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -87,50 +103,58 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 | (F.lower("path").contains(".txt/") & F.lower("path").endswith(".csv")))
         .select("path", "content")
     )
-    raw = files.mapInPandas(_expand, RECORD_SCHEMA)
-    return raw.select("archive", "member", "record_no", F.split("line", SEP, -1).alias("fields"))
+    return files.mapInArrow(_expand, RECORD_SCHEMA)
 
 
 def export_feed(members: dict[str, DataFrame], root: str) -> None:
     """Write staged members as a feed: ``<root>/<member>.txt/part-*.csv`` with headers.
 
-    Each member keeps its declared column order; values are written as text (NULL
-    as an empty field), so reading the feed back stages the same rows.
+    Each member keeps its declared column order. Values are written as they are:
+    outer spaces stay, quotes are doubled, a backslash is a character like any
+    other. NULL becomes an empty field, so reading the feed back stages the same
+    rows but for NULLs, which come back as empty text.
     """
     for member, df in members.items():
         cols = [c for c in MEMBER_COLUMNS[member] if c in df.columns]
         (df.select(*cols).write.mode("overwrite").option("header", "true").option("emptyValue", "")
+         .option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
          .csv(f"{root}/{member}.txt"))
 
 
 def member_listing(records: DataFrame) -> DataFrame:
-    """Header row per (archive, member): tiny, one row per member file."""
+    """One row per member file: its header and the first line number of its range."""
+    nth = F.row_number().over(Window.partitionBy("member").orderBy("archive")) - 1
     return records.filter(F.col("record_no") == 1).select(
-        "archive", "member", F.transform("fields", lambda c: F.trim(c)).alias("header")
+        "feed", "archive", "member", F.transform("fields", lambda c: F.trim(c)).alias("header"),
+        (nth.cast("long") * FILE_LINES).alias("line_offset"),
     )
 
 
 def check_members(headers: DataFrame) -> dict[str, list[str]]:
-    """S06 on the member listing (a few names per archive are collected, never data)."""
-    present = {r["member"] for r in headers.select("member").distinct().collect()}
-    missing = sorted(set(REQUIRED_MEMBERS) - present)
-    extra = sorted(present - set(MEMBER_COLUMNS))
-    if missing:
-        raise MissingMemberError(f"required members missing: {missing}")
-    return {"present": sorted(present), "extra": extra}
+    """Every feed has the required members (member names per feed are collected, never data)."""
+    feeds = headers.groupBy("feed").agg(F.collect_set("member").alias("members")).collect()
+    for r in feeds:
+        missing = sorted(set(REQUIRED_MEMBERS) - set(r["members"]))
+        if missing:
+            raise MissingMemberError(f"required members missing in {r['feed']}: {missing}")
+    if not feeds:
+        raise MissingMemberError(f"required members missing: {sorted(REQUIRED_MEMBERS)}")
+    present = set().union(*(r["members"] for r in feeds))
+    return {"present": sorted(present), "extra": sorted(present - set(MEMBER_COLUMNS))}
 
 
 def staged_member(records: DataFrame, headers: DataFrame, member: str) -> DataFrame:
     """Project one member onto its declared columns by header name."""
-    h = F.broadcast(headers.filter(F.col("member") == member))  # one row per archive
+    h = headers.filter(F.col("member") == member).select("archive", "header", "line_offset")
     data = records.filter((F.col("member") == member) & (F.col("record_no") > 1))
-    j = data.join(h, ["archive", "member"])
+    j = data.join(h, "archive")
     cols = []
     for c in MEMBER_COLUMNS[member]:
         pos = F.array_position(F.col("header"), F.lit(c)).cast("int")
-        cols.append(F.when(pos > 0, F.element_at(F.col("fields"), pos)).cast("string").alias(c))
-    return j.select(*cols, F.col("record_no").alias("src_line_no"),
-                    (F.size("fields") != F.size("header")).alias("_shape_mismatch"))
+        cols.append(F.when(pos > 0, F.try_element_at(F.col("fields"), pos)).cast("string").alias(c))
+    return j.select(*cols, (F.col("record_no") + F.col("line_offset")).alias("src_line_no"),
+                    (F.size("fields") != F.size("header")).alias("_shape_mismatch"),
+                    F.col("damaged").alias("_damaged"))
 
 
 def empty_member(spark: SparkSession, member: str) -> DataFrame:
@@ -140,12 +164,12 @@ def empty_member(spark: SparkSession, member: str) -> DataFrame:
 
 def staged_members(spark: SparkSession, path: str, stage_dir: str | None = None
                    ) -> tuple[dict[str, DataFrame], DataFrame, dict]:
-    """All members as staged text DataFrames, plus a per-member report.
+    """All members as staged text DataFrames, plus a per-member report.
 
     The archives are expanded once: with ``stage_dir`` the records are written
     there as Parquet partitioned by member (each member then reads only its own
     partition, and a lost executor re-reads files instead of re-parsing), without
-    it they are persisted for the per-member projections.
+    it (small feeds, tests) they are persisted for the per-member projections.
     """
     records = read_records(spark, path)
     if stage_dir:
@@ -165,8 +189,9 @@ def staged_members(spark: SparkSession, path: str, stage_dir: str | None = None
         reports.append(df.agg(
             F.count(F.lit(1)).cast("long").alias("staged_rows"),
             F.sum(F.col("_shape_mismatch").cast("int")).cast("long").alias("shape_mismatches"),
-        ).select(F.lit(member).alias("member"), "staged_rows", "shape_mismatches"))
-        out[member] = df.drop("_shape_mismatch")
+            F.sum(F.col("_damaged").cast("int")).cast("long").alias("damaged_records"),
+        ).select(F.lit(member).alias("member"), "staged_rows", "shape_mismatches", "damaged_records"))
+        out[member] = df.drop("_shape_mismatch", "_damaged")
     report = reports[0]
     for r in reports[1:]:
         report = report.unionByName(r)
@@ -176,3 +201,10 @@ def staged_members(spark: SparkSession, path: str, stage_dir: str | None = None
     known = F.create_map(*[x for m, cs in MEMBER_COLUMNS.items() for x in (F.lit(m), F.array(*map(F.lit, cs)))])
     listing["unknown_columns"] = unknown.filter(~F.array_contains(known[F.col("member")], F.col("column")))
     return out, report, listing
+
+
+def content_digest(df: DataFrame, member: str) -> DataFrame:
+    """One row: how many rows and an order-free hash of a staged member's contents (NULL as empty)."""
+    cols = [F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("") for c in MEMBER_COLUMNS[member]]
+    return df.select(F.xxhash64(*cols).cast("decimal(38,0)").alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)")).alias("h"))

@@ -106,10 +106,16 @@ def parse_documents(docs: DataFrame, feed: str) -> DataFrame:
 
 def register_snapshots(parsed: DataFrame, log: DataFrame | None) -> DataFrame:
     """Refuse NULL header timestamps, keep one row per (feed, ts), skip logged ones."""
-    fresh = parsed.filter(F.col("feed_timestamp_epoch").isNotNull()).dropDuplicates(["feed", "feed_timestamp_epoch"])
+    parsed = parsed.filter(F.col("feed_timestamp_epoch").isNotNull())
     if log is not None:
-        fresh = fresh.join(log.select("feed", "feed_timestamp_epoch"), ["feed", "feed_timestamp_epoch"], "left_anti")
-    return fresh
+        parsed = parsed.join(log.select("feed", "feed_timestamp_epoch"), ["feed", "feed_timestamp_epoch"], "left_anti")
+    # of several documents of one snapshot the first fetched counts, by its source and
+    # contents where that is equal: the choice is the same whenever it is made again
+    place = F.struct("fetched_at_utc", "source_url", F.xxhash64("entity").alias("contents"))
+    first = parsed.groupBy("feed", "feed_timestamp_epoch").agg(F.min(place).alias("_first"))
+    chosen = parsed.withColumn("_place", place).join(first, ["feed", "feed_timestamp_epoch"])
+    same = chosen.filter(F.col("_place").eqNullSafe(F.col("_first"))).select(*parsed.columns)
+    return same.dropDuplicates(["feed", "feed_timestamp_epoch"])  # equal documents
 
 
 SNAPSHOT_COLUMNS = ["snapshot_id", "feed", "fetched_at_utc", "feed_timestamp_epoch", "feed_timestamp_utc",
@@ -162,17 +168,18 @@ def shred_trip_updates(snaps: DataFrame, carry: tuple[str, ...] = ()) -> dict[st
         to_long(F.col("x.u.arrival.delay")).cast("int").alias("arrival_delay_s"),
         to_long(F.col("x.u.departure.time")).alias("departure_time_epoch"),
         to_long(F.col("x.u.departure.delay")).cast("int").alias("departure_delay_s"),
-        F.coalesce(to_long(F.col("x.u.scheduleRelationship")), F.lit(0)).cast("int").alias("schedule_relationship"),
+        # absent stays NULL: "not said" and "scheduled" are told apart
+        to_long(F.col("x.u.scheduleRelationship")).cast("int").alias("schedule_relationship"),
     )
     return {"rt_trip_update": trip, "rt_stop_time_update": stu}
 
 
 def _texts(ent: DataFrame, field: str, json_col: str) -> DataFrame:
-    """One row per language; blanks skipped; first occurrence of a language wins."""
+    """One row per language; blank texts and texts without a language are skipped; first occurrence wins."""
     tr = F.from_json(F.col(json_col), TRANSLATED)["translation"]
     keep = F.filter(
         F.transform(tr, lambda x, i: F.struct(x["language"].alias("language"), x["text"].alias("text"), i.alias("i"))),
-        lambda x: F.coalesce(F.trim(x["text"]), F.lit("")) != "",
+        lambda x: (F.coalesce(F.trim(x["text"]), F.lit("")) != "") & (F.coalesce(F.trim(x["language"]), F.lit("")) != ""),
     )
     first = F.filter(keep, lambda x: ~F.exists(keep, lambda y: (y["i"] < x["i"])
                                                & y["language"].eqNullSafe(x["language"])))

@@ -2,28 +2,32 @@
 
 * R01 a directory of snapshot files is a file-source stream; ``availableNow``
   processes what has arrived and stops (the cron poll of the reference);
-* R02 idempotent on (feed, header timestamp): inside ``foreachBatch`` the batch
-  is de-duplicated, anti-joined with the snapshot log, the child tables are
-  written per snapshot with dynamic partition overwrite and the log row is
-  appended *last*. A retried batch therefore rewrites identical partitions and
-  a replayed file is skipped. Late snapshots are history and are kept (no
-  ``dropDuplicatesWithinWatermark``: the log itself is the dedupe state);
+* R02 idempotent on (feed, header timestamp): inside ``foreachBatch`` the batch is
+  anti-joined with the snapshot log, of several documents of a snapshot one is
+  chosen and written down, its child rows are appended under a batch id of their
+  own, and the log rows, which name that batch, are appended *last*. Readers take
+  only rows whose (snapshot, batch) the log names: a batch that failed half-way is
+  never read, its retry writes a new one, and a replayed file is skipped. Late
+  snapshots are history and are kept (no ``dropDuplicatesWithinWatermark``: the log
+  itself is the dedupe state);
 * R03 latest observation per call: ``views.rt_departure_performance`` over the log;
 * R04 soft link to the timetable: trip updates are left-joined to the trip keys
   and the match rate is published through ``observe`` (drift is measured, not
   enforced);
 * R05 delay history: tumbling 30-minute event-time windows with a watermark.
 
-Per-snapshot partitions are small; ``compact`` rewrites past days into day
-partitions and ``read_tables`` reads each snapshot from exactly one place.
+Child tables are partitioned by day and batch. ``compact`` rewrites what past days
+hold as one batch and appends log rows of a higher version that name it, so the
+change takes effect in one commit, whenever a snapshot arrived.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quayline.sources import realtime_json as rj
 
@@ -40,40 +44,64 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+LOG_SCHEMA = ("snapshot_id long, fetched_at_utc string, feed_timestamp_epoch long, feed_timestamp_utc string, "
+              "entity_count int, bytes_downloaded long, source_url string, batch string, version int, feed string")
+
+
 def read_log(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row per snapshot: its row of the highest version, which names the batch that holds it."""
     path = f"{root}/rt_snapshot"
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    if not _exists(spark, path):
+        return None
+    # an empty first batch leaves a folder without files: the schema is ours, not inferred
+    rows = spark.read.schema(LOG_SCHEMA).parquet(path)
+    names = [c for c in rows.columns if c not in ("feed", "snapshot_id")]
+    last = rows.groupBy("feed", "snapshot_id").agg(F.max(F.struct("version", *names[:-1])).alias("r"))
+    return last.select("snapshot_id", *[F.col(f"r.{c}").alias(c) for c in names], "feed")
+
+
+def _day(snapshot_id: str):
+    return F.date_from_unix_date(F.floor(F.col(snapshot_id) / 2 / 86400).cast("int"))
+
+
+def _append(df: DataFrame, batch: str, path: str) -> None:
+    df.withColumns({"day": _day("snapshot_id"), "batch": F.lit(batch)}).write.mode("append").partitionBy(
+        "day", "batch").parquet(path)
+
+
+def _commit(log: DataFrame, batch: str, version: int, root: str) -> None:
+    log.withColumns({"batch": F.lit(batch), "version": F.lit(version)}).write.mode("append").partitionBy(
+        "feed").parquet(f"{root}/rt_snapshot")
 
 
 def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | None = None) -> dict:
     """Register and shred one batch of snapshot documents into the log under ``root``."""
     spark = docs.sparkSession
-    docs = docs.persist()
-    try:
-        fresh = rj.register_snapshots(rj.parse_documents(docs, feed), read_log(spark, root))
-        tables = rj.shred(fresh, feed)
-        metrics = {}
-        for name in CHILDREN[feed]:
-            df = tables[name]
-            if name == "rt_trip_update" and trips is not None:
-                obs = Observation(f"match_{os.getpid()}")
-                linked = df.join(trips.select("trip_id", F.lit(1).alias("_known")), "trip_id", "left")
-                df = linked.observe(obs, F.count(F.lit(1)).alias("trip_updates"),
-                                    F.count("_known").alias("matched")).drop("_known")
-            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("snapshot_id").parquet(f"{root}/{name}"))
-            if name == "rt_trip_update" and trips is not None:
-                metrics = obs.get
-        tables["rt_snapshot"].write.mode("append").partitionBy("feed").parquet(f"{root}/rt_snapshot")
-        return metrics
-    finally:
-        docs.unpersist()
-
-
-def snapshot_stream(spark: SparkSession, source_dir: str) -> DataFrame:
-    """Each new file in ``source_dir`` is one snapshot document."""
+    batch = uuid.uuid4().hex
+    fresh = rj.register_snapshots(rj.parse_documents(docs, feed), read_log(spark, root))
+    fresh.write.parquet(f"{root}/_incoming/{batch}")  # chosen once, read by every child table
+    fresh = spark.read.schema(fresh.schema).parquet(f"{root}/_incoming/{batch}")
+    tables = rj.shred(fresh, feed)
+    metrics = {}
+    for name in CHILDREN[feed]:
+        df = tables[name]
+        if name == "rt_trip_update" and trips is not None:
+            obs = Observation(f"match_{batch}")
+            linked = df.join(trips.select("trip_id", F.lit(1).alias("_known")), "trip_id", "left")
+            df = linked.observe(obs, F.count(F.lit(1)).alias("trip_updates"),
+                                F.count("_known").alias("matched")).drop("_known")
+        _append(df, batch, f"{root}/{name}")
+        if name == "rt_trip_update" and trips is not None:
+            metrics = obs.get
+    _commit(tables["rt_snapshot"], batch, 0, root)
+    return metrics
+
+
+def snapshot_stream(spark: SparkSession, source_dir: str, lines: bool = False) -> DataFrame:
+    """Each new file under ``source_dir`` is one snapshot document, or holds one per line."""
     return (
-        spark.readStream.format("text").option("wholetext", "true").load(source_dir)
+        spark.readStream.format("text").option("wholetext", "false" if lines else "true")
+        .option("recursiveFileLookup", "true").load(source_dir)
         .select("value", F.col("_metadata.file_path").alias("source_url"),
                 F.unix_seconds(F.col("_metadata.file_modification_time")).alias("fetched_epoch"),
                 F.col("_metadata.file_size").alias("bytes_downloaded"))
@@ -81,70 +109,72 @@ def snapshot_stream(spark: SparkSession, source_dir: str) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, source_dir: str, feed: str, root: str, checkpoint: str,
-               trips: DataFrame | None = None):
+               trips: DataFrame | None = None, lines: bool = False):
     """Process every file that has arrived (``availableNow``) and stop; returns the finished query."""
     def batch(df: DataFrame, batch_id: int) -> None:
         append_snapshots(df, feed, root, trips)
 
-    q = (snapshot_stream(spark, source_dir).writeStream.foreachBatch(batch)
+    q = (snapshot_stream(spark, source_dir, lines).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
-def _cutoff(spark: SparkSession, root: str) -> int | None:
-    """First snapshot id NOT compacted yet (ids are header ts * 2 + feed bit)."""
-    path = f"{root}/_compacted"
-    if not _exists(spark, path):
-        return None
-    return spark.read.json(path).first()["next_snapshot_id"]
+def _child_schema(spark: SparkSession, name: str) -> StructType:
+    """A child table's columns as the shredder makes them; a folder without rows has none to infer."""
+    feed = next(f for f, names in CHILDREN.items() if name in names)
+    none = spark.createDataFrame([], "value string, source_url string, fetched_epoch long, bytes_downloaded long")
+    made = rj.shred(rj.parse_documents(none, feed), feed)[name].schema
+    return StructType(made.fields).add("day", "date").add("batch", "string")
+
+
+def _held(spark: SparkSession, root: str, name: str, log: DataFrame) -> DataFrame:
+    """The rows of a child table that the log names."""
+    rows = spark.read.schema(_child_schema(spark, name)).parquet(f"{root}/{name}")
+    return rows.join(log.select("snapshot_id", "batch"), ["snapshot_id", "batch"], "left_semi")
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The log tables written so far (missing ones are skipped).
-
-    Child tables of compacted days come from their day partitions, newer ones
-    from the per-snapshot partitions (pruned on ``snapshot_id``): each snapshot
-    is read exactly once."""
-    cutoff = _cutoff(spark, root)
-    out = {}
-    for name in ["rt_snapshot", *CHILDREN["trip-update"], *CHILDREN["alert"]]:
-        if not _exists(spark, f"{root}/{name}"):
-            continue
-        df = spark.read.parquet(f"{root}/{name}")
-        if cutoff is not None and name != "rt_snapshot" and _exists(spark, f"{root}/{name}__by_day"):
-            old = spark.read.parquet(f"{root}/{name}__by_day").drop("day")
-            df = old.unionByName(df.filter(F.col("snapshot_id") >= cutoff))
-        out[name] = df
+    """The log tables written so far (missing ones are skipped); every snapshot is read once."""
+    log = read_log(spark, root)
+    if log is None:
+        return {}
+    out = {"rt_snapshot": log.drop("batch", "version")}
+    for name in [*CHILDREN["trip-update"], *CHILDREN["alert"]]:
+        if _exists(spark, f"{root}/{name}"):
+            out[name] = _held(spark, root, name, log).drop("day", "batch")
     return out
 
 
 def compact(spark: SparkSession, root: str, through_day: str) -> int:
-    """Rewrite every snapshot up to and including ``through_day`` (UTC) into day partitions.
-
-    Day partitions are written with dynamic partition overwrite, so rerunning a
-    compaction is idempotent; the marker is written last. The per-snapshot
-    folders of compacted days are no longer read and can be dropped by retention.
-    Returns the first snapshot id left uncompacted."""
-    day_end = spark.range(1).select(
-        ((F.unix_date(F.lit(through_day).cast("date")) + 1).cast("long") * 86400 * 2).alias("c")).first()["c"]
-    for name in [*CHILDREN["trip-update"], *CHILDREN["alert"]]:
-        if not _exists(spark, f"{root}/{name}"):
-            continue
-        old = spark.read.parquet(f"{root}/{name}").filter(F.col("snapshot_id") < day_end)
-        day = F.date_from_unix_date(F.floor(F.col("snapshot_id") / 2 / 86400).cast("int"))
-        # range by (day, snapshot): AQE sizes the files; a busy day spreads over several tasks
-        (old.withColumn("day", day).repartitionByRange("day", "snapshot_id").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/{name}__by_day"))
-    spark.createDataFrame([(int(day_end),)], "next_snapshot_id long").coalesce(1).write.mode("overwrite").json(
-        f"{root}/_compacted")
-    return int(day_end)
+    """Rewrite the snapshots up to and including ``through_day`` (UTC) that no compaction holds as one batch.
+
+    The log rows that name the new batch are appended last, in one commit: a failed
+    run is never read and a repeated one finds nothing to do. A late snapshot joins
+    its day with the next compaction. Folders of batches that the log no longer
+    names can be dropped by retention. Returns how many snapshots were rewritten."""
+    log = read_log(spark, root)
+    if log is None:
+        return 0
+    batch = uuid.uuid4().hex
+    todo = log.filter((F.col("version") == 0) & (_day("snapshot_id") <= F.lit(through_day).cast("date")))
+    todo.write.parquet(f"{root}/_compacting/{batch}")  # the list is fixed before anything is rewritten
+    todo = spark.read.schema(todo.schema).parquet(f"{root}/_compacting/{batch}")
+    n = todo.count()
+    if n:
+        for name in read_tables(spark, root):
+            if name != "rt_snapshot":
+                # range by snapshot: AQE sizes the files; a busy day spreads over several tasks
+                rows = _held(spark, root, name, todo).drop("day", "batch").repartitionByRange("snapshot_id")
+                _append(rows, batch, f"{root}/{name}")
+        _commit(todo.drop("batch", "version"), batch, 1, root)
+    return n
 
 
 # ----------------------------------------------------------------- R05 delay history
 def on_time_by_window(obs: DataFrame, ts_col: str = "feed_ts", width: str = "30 minutes") -> DataFrame:
     """Tumbling event-time windows: observations, scored readings, on-time readings."""
-    scored = F.col("departure_delay_s").isNotNull() & (F.col("schedule_relationship") != 1)
+    scored = F.col("departure_delay_s").isNotNull() & (F.coalesce("schedule_relationship", F.lit(0)) != 1)
     return obs.groupBy(F.window(ts_col, width).alias("w")).agg(
         F.count(F.lit(1)).cast("long").alias("observations"),
         F.sum(F.when(scored, 1).otherwise(0)).cast("long").alias("scored"),
@@ -152,14 +182,17 @@ def on_time_by_window(obs: DataFrame, ts_col: str = "feed_ts", width: str = "30
     )
 
 
-def delay_history_stream(spark: SparkSession, source_dir: str, watermark: str = "2 hours") -> DataFrame:
-    """Streaming R05 over trip-update snapshot files. Late rows within the watermark
-    update their window; the log keeps every snapshot regardless."""
-    docs = snapshot_stream(spark, source_dir)
+def delay_history_stream(spark: SparkSession, source_dir: str, watermark: str = "2 hours", lines: bool = False) -> DataFrame:
+    """Streaming R05 over trip-update snapshot files, for output mode append.
+
+    A snapshot that arrives again within the watermark counts once; a window is
+    given out when the watermark has passed it. The log keeps every snapshot."""
+    docs = snapshot_stream(spark, source_dir, lines)
     snaps = (rj.parse_documents(docs, "trip-update").filter(F.col("feed_timestamp_epoch").isNotNull())
-             .withColumn("feed_ts", F.timestamp_seconds("feed_timestamp_epoch")))
+             .withColumn("feed_ts", F.timestamp_seconds("feed_timestamp_epoch"))
+             .withWatermark("feed_ts", watermark).dropDuplicatesWithinWatermark(["feed_timestamp_epoch"]))
     stu = rj.shred_trip_updates(snaps, carry=("feed_ts",))["rt_stop_time_update"]
-    return on_time_by_window(stu.withWatermark("feed_ts", watermark))
+    return on_time_by_window(stu)
 
 
 def delay_history(t: dict[str, DataFrame]) -> DataFrame:

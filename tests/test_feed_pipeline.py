@@ -229,3 +229,77 @@ def test_expand_calendar_option(spark, tmp_path):
     # Mon-Fri 6-10 Jan and 13-17 Jan from the pattern, minus removed 15th, plus added Saturday 18th
     assert dates == ["2025-01-06", "2025-01-07", "2025-01-08", "2025-01-09", "2025-01-10",
                      "2025-01-13", "2025-01-14", "2025-01-16", "2025-01-17", "2025-01-18"]
+
+
+def test_exported_feed_comes_back_as_it_was(spark, tmp_path):
+    rows = [("S1", " Alpha "), ("S2", 'a "q" b\\'), ("S3", "x\ny,\x1fz"), ("S4", None), ("S5", "")]
+    stops = spark.createDataFrame([(i, n, "1") for i, n in rows], "stop_id string, stop_name string, location_type string")
+    gtfs_feed.export_feed({"stops": stops}, str(tmp_path / "f"))
+    recs = gtfs_feed.read_records(spark, str(tmp_path / "f"))
+    back = gtfs_feed.staged_member(recs, gtfs_feed.member_listing(recs), "stops")
+    assert {(r.stop_id, r.stop_name) for r in back.collect()} == {(i, n or "") for i, n in rows}
+
+
+def test_line_numbers_are_unique_over_archives(spark, tmp_path):
+    from quayline.operators import clean as cleaning
+    from tests.conftest import MINI_FEED, write_feed
+
+    write_feed(tmp_path / "a.zip", MINI_FEED)
+    write_feed(tmp_path / "b.zip", MINI_FEED)
+    staged, _, _ = gtfs_feed.staged_members(spark, str(tmp_path))
+    lines = staged["stop_times"].select("src_line_no")
+    assert lines.distinct().count() == lines.count()
+    for name in ("agency", "stops", "trips", "routes", "calendar"):  # the dimensions of one archive
+        staged[name] = staged[name].filter(F.col("src_line_no") < gtfs_feed.FILE_LINES)
+    out = cleaning.clean(staged)
+    calls = out.tables["stop_time"]
+    assert calls.groupBy("trip_id", "stop_sequence").count().filter("count > 1").count() == 0
+    assert calls.count() > 0
+
+
+def test_each_archive_needs_the_required_members(spark, tmp_path):
+    from tests.conftest import MINI_FEED, write_feed
+
+    write_feed(tmp_path / "whole.zip", MINI_FEED)
+    write_feed(tmp_path / "part.zip", {k: v for k, v in MINI_FEED.items() if k != "trips.txt"})
+    with pytest.raises(gtfs_feed.MissingMemberError):
+        gtfs_feed.staged_members(spark, str(tmp_path))
+
+
+def test_bytes_that_are_not_text_are_counted(spark, tmp_path):
+    (tmp_path / "stops.txt").write_bytes(b"stop_id,stop_name\nS1,caf\xe9\nS2,caf\xc3\xa9\n")
+    recs = gtfs_feed.read_records(spark, str(tmp_path))
+    got = {r.stop_id: (r.stop_name, r._damaged) for r in
+           gtfs_feed.staged_member(recs, gtfs_feed.member_listing(recs), "stops").collect()}
+    assert got == {"S1": ("caf�", True), "S2": ("café", False)}
+
+
+def test_feed_is_written_and_read_back(spark, tmp_path):
+    from quayline import pipeline
+    from tests.conftest import MINI_FEED, write_feed
+
+    (tmp_path / "in").mkdir()
+    write_feed(tmp_path / "in" / "feed.zip", MINI_FEED)
+    t = pipeline.build_feed(spark, str(tmp_path / "in"), str(tmp_path / "out"), fail_on_error=True)
+    for name in ("station", "trip", "rejected_row", "v_departure"):
+        assert spark.read.parquet(str(tmp_path / "out" / name)).count() == t[name].count() > 0
+    assert t["ingestion_run"].filter("status = 'success'").count() == 1
+
+
+def test_junk_dates_flags_and_numbers_are_rejected(spark, tmp_path):
+    from quayline.operators import clean as cleaning
+
+    days = "0,0,0,0,0,0,0".split(",")
+    names = ["service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "start_date", "end_date"]
+    rows = [("A", *days, "20250101", "20250131", 2), ("B", *days, "20251345", "20250131", 3), ("C", "x", *days[1:], "20250101", "20250131", 4)]
+    stg = spark.createDataFrame(rows, [*names, "src_line_no"])
+    core, rejected = cleaning.services(stg)
+    assert [r.service_id for r in core.collect()] == ["A"]
+    assert {(r.src_line_no, r.rule_code) for r in rejected.collect()} == {(3, "DQ-06-BAD-SERVICE-DATE-QL"), (4, "DQ-08-BAD-CODE-QL")}
+    calls = spark.createDataFrame(
+        [("T", "08:00:00", "08:00:00", "P", "12345678901", None, "0", "0", 2)],
+        "trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence string, "
+        "stop_headsign string, pickup_type string, drop_off_type string, src_line_no long")
+    screened = cleaning.screen_stop_times(
+        calls, spark.createDataFrame([("T",)], "trip_id string"), spark.createDataFrame([("P",)], "stop_id string"))
+    assert screened.first()["reject_rule"] == "DQ-08-BAD-STOP-SEQUENCE"

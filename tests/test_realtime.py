@@ -141,11 +141,16 @@ def test_latest_observation_wins(spark, tmp_path, feed_tables):
 def test_delay_history_stream(spark, tmp_path):
     src = str(tmp_path / "hist")
     write(src, "s1.json", TRIP_DOC)
+    write(src, "s1_again.json", TRIP_DOC)  # the same snapshot, fetched twice
+    later = json.loads(json.dumps(TRIP_DOC))
+    later["header"]["timestamp"] = 1736150400 + 5 * 86400  # closes the first window
+    write(src, "s2.json", later)
     q = (snapshots.delay_history_stream(spark, src).writeStream.format("memory").queryName("ql_delay_hist")
-         .outputMode("update").option("checkpointLocation", str(tmp_path / "ckh"))
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ckh"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     rows = spark.sql("SELECT * FROM ql_delay_hist").collect()
+    assert len(rows) == 1
     assert sum(r["observations"] for r in rows) == 5
     assert sum(r["on_time"] for r in rows) == 2  # delays 0 and 119; 120 is late, e2 is skipped
 
@@ -171,5 +176,69 @@ def test_compaction_keeps_every_snapshot_once(spark, tmp_path):
     snapshots.compact(spark, root, "2025-01-06")  # idempotent
     after = snapshots.read_tables(spark, root)
     assert {k: v.count() for k, v in after.items()} == before
-    days = spark.read.parquet(str(tmp_path / "c_log" / "rt_stop_time_update__by_day"))
-    assert [str(r["day"]) for r in days.select("day").distinct().collect()] == ["2025-01-06"]
+    log = snapshots.read_log(spark, root)
+    assert {(r["feed_timestamp_epoch"], r["version"]) for r in log.collect()} == {(1736150400, 1), (1736150400 + 86400, 0)}
+
+
+def test_late_snapshot_survives_compaction(spark, tmp_path):
+    src, root, check = str(tmp_path / "l_in"), str(tmp_path / "l_log"), str(tmp_path / "l_ck")
+    write(src, "day1.json", TRIP_DOC)
+    snapshots.run_ingest(spark, src, "trip-update", root, check)
+    snapshots.compact(spark, root, "2025-01-06")
+    late = json.loads(json.dumps(TRIP_DOC))
+    late["header"]["timestamp"] = 1736150400 + 600  # the same day, after its compaction
+    write(src, "late.json", late)
+    snapshots.run_ingest(spark, src, "trip-update", root, check)
+    counts = lambda: {k: v.count() for k, v in snapshots.read_tables(spark, root).items()}
+    want = counts()
+    assert want["rt_snapshot"] == 2 and want["rt_trip_update"] == 4
+    snapshots.compact(spark, root, "2025-01-06")
+    assert counts() == want
+    assert snapshots.compact(spark, root, "2025-01-06") == 0
+    assert {r["version"] for r in snapshots.read_log(spark, root).collect()} == {1}
+
+
+def test_failed_batch_is_never_read(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "f_log")
+    write(tmp_path / "f", "s1.json", TRIP_DOC)
+
+    def broken(*_):
+        raise RuntimeError("lost before the log was written")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_commit", broken)
+        try:
+            snapshots.append_snapshots(docs(spark, str(tmp_path / "f")), "trip-update", root)
+        except RuntimeError:
+            pass
+    snapshots.append_snapshots(docs(spark, str(tmp_path / "f")), "trip-update", root)
+    got = snapshots.read_tables(spark, root)
+    assert got["rt_trip_update"].count() == 2 and got["rt_stop_time_update"].count() == 5
+
+
+def test_first_batch_without_snapshots(spark, tmp_path):
+    src, root, check = str(tmp_path / "e_in"), str(tmp_path / "e_log"), str(tmp_path / "e_ck")
+    write(src, "bad.json", {"header": {}, "entity": []})  # no header timestamp: refused
+    snapshots.run_ingest(spark, src, "trip-update", root, check)
+    write(src, "good.json", TRIP_DOC)
+    snapshots.run_ingest(spark, src, "trip-update", root, check)
+    assert snapshots.read_tables(spark, root)["rt_snapshot"].count() == 1
+
+
+def test_same_snapshot_twice_picks_one_document_for_all_tables(spark, tmp_path):
+    other = json.loads(json.dumps(TRIP_DOC))
+    other["entity"] = other["entity"][:1]
+    write(tmp_path / "w", "b.json", other)
+    write(tmp_path / "w", "a.json", TRIP_DOC)
+    parsed = rj.parse_documents(docs(spark, str(tmp_path / "w")), "trip-update")
+    picks = {rj.register_snapshots(parsed.repartition(n), None).first()["entity_count"] for n in (1, 2, 5)}
+    assert len(picks) == 1
+
+
+def test_texts_without_language_are_skipped(spark, tmp_path):
+    texts = {"translation": [{"text": "no language"}, {"language": "", "text": "blank"}, {"language": "fr", "text": "oui"}]}
+    doc = {"header": {"timestamp": 1736150400}, "entity": [{"id": "a", "alert": {"headerText": texts}}]}
+    write(tmp_path / "t", "a.json", doc)
+    snaps = rj.register_snapshots(rj.parse_documents(docs(spark, str(tmp_path / "t")), "alert"), None)
+    got = rj.shred(snaps, "alert")["rt_alert_text"].collect()
+    assert [(r["language"], r["text"]) for r in got] == [("fr", "oui")]
