@@ -14,9 +14,10 @@ leaves no half shard. The file is (little-endian) the magic, a header of eight
 documents' ids, null marks and ends, then per level its length, chunks, bitmap
 and directory, and a closing CRC-32.
 
-Encoding: a byte-level BPE never joins text across a single space between other
-characters, so pieces cut there are encoded once each by the tokenizers library
-and kept in a bounded cache; whole texts and pieces give the same ids.
+Encoding: a byte-level BPE never joins text across a space that begins or ends a
+run of white space, nor across the words its pattern cuts, so the tokenizers library
+encodes each word once and a bounded cache holds the ids of words and pieces;
+whole texts and pieces give the same ids.
 
 Defined results: a null text is empty and has the end id alone; a null doc_id
 sorts first; rows that repeat an id are kept, ordered by text; an empty table
@@ -28,21 +29,24 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import prepare, shared_path, texts, written
+from quayline.llm.common import prepare, shared_path, written
 
 MAGIC = b"QLDAC001"
 RANK_BITS = 512
 SHARD_TOKENS = 4 << 20
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_200_000  # about 250 MB
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_LONE_SPACE = re.compile(r"(?<! ) (?! )")
+SPACE_IN_A_RUN = r" (?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|$)"
+SEPARATOR = "\x00"
+_RUN_BEGINS_OR_ENDS = re.compile(r"(?<!\s) | (?=\S)")
 
 
 # ---- the code -------------------------------------------------------------
@@ -53,7 +57,8 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     while True:
         more = rest > 0xFF
         bitmap = np.packbits(more, bitorder="little")
-        ranks = np.concatenate(([0], np.cumsum(more, dtype=np.int64)))[:-1:RANK_BITS] if len(more) else np.zeros(0, np.int64)
+        blocks = np.add.reduceat(_POPCOUNT[bitmap], np.arange(0, len(bitmap), RANK_BITS // 8), dtype=np.int64) if len(bitmap) else []
+        ranks = np.cumsum(blocks, dtype=np.int64) - blocks
         levels.append(((rest & 0xFF).astype(np.uint8), bitmap, ranks.astype(np.uint32)))
         if not more.any():
             return levels
@@ -129,33 +134,94 @@ def shard_bytes(part: int, sequence: int, doc_ids: list, documents: list[np.ndar
 # ---- the tokenizer --------------------------------------------------------
 
 class Encoder:
-    """Ids of whole texts through a bounded cache of their pieces."""
+    """Ids of whole texts, many at a time.
+
+    Texts are cut at spaces and their pieces numbered by Arrow, so each distinct
+    piece is looked up once per call in a bounded cache. Unknown pieces are encoded
+    by the tokenizers library as one text, with a separator that it removes before
+    the tokenizer's own pattern applies, and told apart by their lengths in bytes."""
 
     def __init__(self, name: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        found = _LONE_SPACE.split(text) if "  " in text else text.split(" ")
-        return found[:1] + [" " + x for x in found[1:]]
-
-    def __call__(self, text: str) -> np.ndarray:
-        cut, known = self.pieces(text), self.known
-        new = [x for x in dict.fromkeys(cut) if x not in known]
+        self.joined = Tokenizer.from_file(public_tokenizers.path(name))
+        self.joined.encode_special_tokens = True
+        self.joined.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(SEPARATOR, "removed"), self.tokenizer.pre_tokenizer])
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character of a token stands for one byte
+            self.bytes_of[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a piece's number
+        self.pool = np.zeros(0, "<u4")  # ids of a space and the piece, one piece after the other
+        self.ends = np.zeros(1, np.int64)  # piece i has pool[ends[i] : ends[i + 1]]
+
+    def _learn(self, pieces: list[str]) -> None:
+        some = [x for x in pieces if SEPARATOR not in x]
+        found, sizes = [], np.zeros(0, np.int64)
+        if some:
+            lines = [SEPARATOR.join([" " + x for x in some[i : i + 256]]) for i in range(0, len(some), 256)]
+            found = [np.array(self.joined.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in lines]
+            upto = np.cumsum([1 + len(x.encode()) for x in some])
+            sizes = np.diff(1 + np.searchsorted(np.cumsum(self.bytes_of[np.concatenate(found)]), upto), prepend=0)
+        odd = [x for x in pieces if SEPARATOR in x]
+        for e in self.tokenizer.encode_batch_fast([" " + x for x in odd], add_special_tokens=False):
+            found.append(np.array(e.ids, "<u4"))
+            sizes = np.append(sizes, len(e.ids))
+        self.known.update(zip(some + odd, range(len(self.known), len(self.known) + len(pieces))))
+        self.pool = np.concatenate((self.pool, *found))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Each piece's number; unknown pieces are learned."""
+        if len(self.known) > CACHED_PIECES:
+            self._forget()
+        found = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0).tolist()
         if new:
-            if len(known) + len(new) > CACHED_PIECES:
-                known.clear()
-                new = list(dict.fromkeys(cut))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, cut)), "<u4")
+            some = [pieces[i] for i in new]
+            self._learn(some)
+            found[new] = list(map(self.known.__getitem__, some))
+        return found
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts one after the other, and where each text ends."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(texts) == 0:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        # a space within a run of white space may not be cut at
+        runs = pc.match_substring_regex(texts, SPACE_IN_A_RUN).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        if runs.any():
+            cut = lists.to_pylist()
+            for i in np.flatnonzero(runs):
+                cut[i] = _RUN_BEGINS_OR_ENDS.split(texts[int(i)].as_py())
+            lists = pa.array(cut, pa.list_(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        begins = np.asarray(lists.offsets, np.int64)[:-1] - lists.offsets[0].as_py()
+        first = lists.flatten().take(pa.array(begins)).to_pylist()  # no space stands before these
+        begun = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        pool = np.concatenate((self.pool, *begun))
+        extra = np.cumsum([len(x) for x in begun])
+        which = numbers[coded.indices.to_numpy()]
+        start, size = self.ends[which], self.ends[which + 1] - self.ends[which]
+        size[begins] = np.diff(extra, prepend=0)
+        start[begins] = len(self.pool) + extra - size[begins]
+        upto = np.cumsum(size)
+        at = np.repeat(start - upto + size, size) + np.arange(upto[-1])
+        return pool[at], np.append(upto[begins[1:] - 1], upto[-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -170,6 +236,22 @@ def encoder(name: str) -> Encoder:
 
 # ---- Spark ----------------------------------------------------------------
 
+def _gathered(batches, least: int = 8 << 20):
+    """(ids, texts) of some batches together, so that fewer pieces are distinct."""
+    import pyarrow as pa
+
+    ids, held, size = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        held.append(batch.column(1).fill_null(""))
+        size += held[-1].nbytes
+        if size >= least:
+            yield ids, pa.concat_arrays(held)
+            ids, held, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(held)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
                  shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode and write all documents as shards under ``path``, ascending by doc_id."""
@@ -183,9 +265,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         part, sequence, ids, held, n = TaskContext.get().partitionId(), 0, [], [], 0
         encode = encoder(tokenizer)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                held.append(np.concatenate((encode(text.decode()), end)))
+        for doc_ids, some in _gathered(batches):
+            found, ends = encode.batch(some)
+            for doc_id, a, b in zip(doc_ids, (0, *ends[:-1].tolist()), ends.tolist()):
+                held.append(np.concatenate((found[a:b], end)))
                 ids.append(doc_id)
                 n += len(held[-1])
                 if n >= shard_tokens:

@@ -50,10 +50,15 @@ def test_damage_is_noticed():
 
 def test_pieces_give_the_ids_of_whole_texts(encoder):
     rng = random.Random(1)
+    import pyarrow as pa
+
     texts = ["", "  ", "a  b", " a \n b\n\n c", "don't  can't 've", "x<|endoftext|>y", "日本 語   z  q", "é\xa0\xa0 \xa0‍ ", "7\t\t8 \x85   x"]
     texts += ["".join(rng.choice("ab 1'.,\n\t é日\xa0 s t\r　_²") for _ in range(rng.randrange(60))) for _ in range(5000)]
-    for text, got in zip(texts, encoder.batch(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == direct(encoder, text)[:-1], repr(text)
+    texts += ["a\x00b c\x00 \x00", "\x00", " \x00x", "　 x 　", "a \x1c b", "q \x85 r"]
+    for lo in range(0, len(texts), 500):
+        ids, ends = encoder.batch(pa.array(texts[lo : lo + 500]))
+        for text, a, b in zip(texts[lo:], (0, *ends[:-1].tolist()), ends.tolist()):
+            assert ids[a:b].tolist() == direct(encoder, text)[:-1], repr(text)
 
 
 def test_files_match_direct_encoding(spark, encoder):
