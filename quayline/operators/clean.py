@@ -177,11 +177,10 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
     good = (F.col("_ok") == 1) & F.col("_date").isNotNull() & exc.isNotNull()
     # First wins per (service, date) as an aggregate: copies of a hot key collapse
     # map-side (partial aggregation) instead of meeting in one window task.
+    firsts = s.filter(good).groupBy("_sid", "_date").agg(
+        F.min(F.struct("src_line_no", exc.alias("exception_type"))).alias("_first"))
     kept = (
-        s.filter(good)
-        .groupBy("_sid", "_date")
-        .agg(F.min(F.struct("src_line_no", exc.alias("exception_type"))).alias("_first"))
-        .select(
+        firsts.select(
             F.col("_sid").alias("service_id"),
             F.col("_date").alias("service_date"),
             F.col("_first.exception_type").alias("exception_type"),
@@ -208,7 +207,13 @@ def service_dates(stg: DataFrame, service_df: DataFrame):
         dups, "calendar_dates", "DQ-05-DUPLICATE-SERVICE-DATE",
         _payload(service_id=F.col("_s"), date=F.col("_d"), occurrences=F.col("_n")),
     )
-    return kept, orphan.unionByName(invalid).unionByName(dup)
+    # and one row per line that the first one displaced, so that every staged line is accounted for
+    again = s.filter(good).join(
+        firsts.select(F.col("_sid").alias("_s"), F.col("_date").alias("_d"), F.col("_first.src_line_no").alias("_line")),
+        (F.col("_sid") == F.col("_s")) & (F.col("_date") == F.col("_d")) & (F.col("src_line_no") != F.col("_line")))
+    surplus = _reject(again, "calendar_dates", "QL-SURPLUS-SERVICE-DATE",
+                      _payload(service_id=F.col("service_id"), date=F.col("date"), first_line=F.col("_line")))
+    return kept, orphan.unionByName(invalid).unionByName(dup).unionByName(surplus)
 
 
 def expand_weekly_patterns(service_df: DataFrame, service_date_df: DataFrame) -> DataFrame:

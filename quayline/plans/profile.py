@@ -25,7 +25,10 @@ def _n(df, alias="n"):
 
 
 def p01_member_accounting(t):
-    rej = t["rejected_row"].groupBy("source_table").agg(F.count(F.lit(1)).cast("long").alias("rejected"))
+    # the duplicate-date rule has a summary row per date beside a row for every line it displaced
+    summary = F.col("rule_code") == "DQ-05-DUPLICATE-SERVICE-DATE"
+    rej = t["rejected_row"].groupBy("source_table").agg(
+        F.count(F.lit(1)).cast("long").alias("rejected"), F.count(F.when(~summary, 1)).cast("long").alias("lines"))
     rows = []
     for member, targets in MEMBER_TARGETS.items():
         loaded = reduce(lambda a, b: beside(a, b).select((F.col("n") + F.col("m")).alias("n")),
@@ -33,8 +36,9 @@ def p01_member_accounting(t):
         rows.append(beside(_n(t[f"stg_{member}"], "staged"), loaded.withColumnRenamed("n", "loaded")).select(
             F.lit(f"stg_{member}").alias("source_table"), "staged", "loaded"))
     acc = reduce(DataFrame.unionByName, rows).join(rej, "source_table", "left")
-    return acc.select("source_table", "staged", "loaded",
-                      F.coalesce("rejected", F.lit(0).cast("long")).alias("rejected"))
+    zero = F.lit(0).cast("long")
+    return acc.select("source_table", "staged", "loaded", F.coalesce("rejected", zero).alias("rejected"),
+                      (F.col("staged") - F.col("loaded") - F.coalesce("lines", zero)).cast("long").alias("unaccounted"))
 
 
 def p02_stops_by_location_type(t):

@@ -141,6 +141,7 @@ REJECT_REASONS = {
         "DQ-04-ORPHAN-SERVICE-DATE": "date of a service that was not loaded, or not eight characters long",
         "DQ-06-INVALID-DATE-QL": "no day of the calendar, or its type is not a number",
         "DQ-05-DUPLICATE-SERVICE-DATE": "a service has this date more than once; the first line counts",
+        "QL-SURPLUS-SERVICE-DATE": "a further line of a date that the service has already",
     },
     "trips": {
         "DQ-09-ORPHAN-TRIP": "trip of a route or service that was not loaded",
