@@ -13,10 +13,11 @@ them, and two of its three parts are equal: the signatures are the three pairs o
 parts of every partition, each hashed with its band and place. So linked sets
 share a signature, whatever their size, and candidates are verified exactly.
 
-Equal sets are one node. Within a signature, nodes are compared with a pivot;
+Equal sets are one node. Within a signature, nodes are compared with a pivot, first
+by size and by a 512-bit parity sketch, which linked sets cannot fail, then exactly;
 members already in one component need no comparison, and while a signature still
 spans components more pivots follow, until every pair that could add a link
-between components was verified. So no group is expanded into all its pairs, and no
+between components was compared. So no group is expanded into all its pairs, and no
 link between components is missed. The sets of candidates are computed again where
 their texts are, found by a Bloom filter of fixed size, so texts never move.
 
@@ -40,6 +41,7 @@ SHINGLE = 3
 LEAST = 90  # per cent
 GROWTH = 1.5
 SEEN_NODES = 1 << 18
+SKETCH_BITS = 512
 _EDGES = [0, 1]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] * GROWTH)))
@@ -85,6 +87,15 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, bands: np.ndarray, least: in
     return np.concatenate(out), np.tile(who, 3)
 
 
+def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, the parity of its shingles in SKETCH_BITS places, as 64-bit words: two sets'
+    sketches differ in at most as many bits as the sets differ in shingles."""
+    place = (mixed(sets ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(sizes) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), -1)
+
+
 def _concatenated(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in found], np.int64)
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(sizes) - sizes, sizes
@@ -110,6 +121,9 @@ def _signed_documents(batches, least: int):
                 seen.add(node)
                 new.append(i)
         sets, _, sizes = _concatenated([every[i] for i in new])
+        sketch: list = [None] * len(every)
+        for i, words in zip(new, sketches(sets, sizes).tolist()):
+            sketch[i] = words
         band = np.searchsorted(EDGES, sizes, "left") - 1
         sigs, who = signatures(sets, sizes, band, least)
         # a partner of 100 / least times the size may lie in the next band
@@ -121,19 +135,20 @@ def _signed_documents(batches, least: int):
         ends = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(every)))))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(n), pa.array(signed(nodes), mask=n == 0),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(sigs[order])))],
-            names=["doc_id", "mark", "n_shingles", "node", "signatures"])
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(sigs[order]))),
+             pa.array(sketch, pa.list_(pa.int64()))],
+            names=["doc_id", "mark", "n_shingles", "node", "signatures", "sketch"])
 
 
 def signed_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     return rows.mapInArrow(lambda it: _signed_documents(it, least),
-                           "doc_id long, mark long, n_shingles long, node long, signatures array<long>")
+                           "doc_id long, mark long, n_shingles long, node long, signatures array<long>, sketch array<long>")
 
 
 def _groups(sets: DataFrame) -> DataFrame:
-    """(signature, pivot, node, nth) of every node that shares a signature with a smaller one, its pivot.
+    """(signature, pivot, node) of every node that shares a signature with a smaller one, its pivot.
 
     All frames run along the order, so a signature that many nodes share streams by.
     """
@@ -147,11 +162,10 @@ def _groups(sets: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_sets(docs: DataFrame, owners: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the candidate ``nodes``, from the text of the document that owns each."""
+def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes, from the text of the document (owner) of each."""
     import pyarrow as pa
 
-    wanted = written(owners.join(nodes, "node", "left_semi"), "jaccard-owners")
     maybe = bloom_filter(wanted.select("owner"))
 
     def build(batches):
@@ -173,62 +187,94 @@ def _candidate_sets(docs: DataFrame, owners: DataFrame, nodes: DataFrame) -> Dat
     return written(kept.select("node", "shingles").dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, exactly."""
-    a, b = (sizes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}")) for x in "uv")
-    fit = pairs.join(a, "u").join(b, "v").filter(
-        100 * F.least("nu", "nv") >= least * F.greatest("nu", "nv"))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    shared = F.size(F.array_intersect("su", "sv"))
-    return fit.join(right, "v").join(left, "u").withColumn("shared", shared).filter(
-        100 * F.col("shared") >= least * (F.col("nu") + F.col("nv") - F.col("shared"))).select("u", "v")
+    shared, both = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
+    return pairs.select("u", "v").join(right, "v").join(left, "u").withColumn("shared", shared).filter(
+        100 * F.col("shared") >= least * (both - F.col("shared"))).select("u", "v")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return written(components(links), "jaccard-roots")
+def _fits(least: int):
+    """What linked sets must satisfy, by their sizes and sketches alone; few other candidates do."""
+    differ = F.expr("aggregate(zip_with(bu, bv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return (100 * F.least("nu", "nv") >= least * F.greatest("nu", "nv")) & (
+        (100 + least) * differ <= (100 - least) * (F.col("nu") + F.col("nv")))
 
 
-def _rooted(docs: DataFrame, least: int) -> DataFrame:
-    """One row per document: doc_id, mark (its text's hash), n_shingles, component_id, root (a node; none if empty)."""
-    sets = written(signed_documents(docs, least), "jaccard-signed")
-    nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"),
-        F.max("n_shingles").alias("n_shingles"))
-    nodes = written(nodes, "jaccard-nodes")
+def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(node, root) of all linked nodes."""
     groups = written(_groups(sets), "jaccard-groups")
-    candidates = written(groups.select("node").unionAll(groups.select(F.col("pivot").alias("node"))).distinct(), "jaccard-candidates")
-    members = _candidate_sets(docs, nodes.select("owner", "node"), candidates)
-    sizes = written(nodes.join(candidates, "node", "left_semi").select("node", "n_shingles"), "jaccard-sizes")
-
-    tried = written(groups.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "jaccard-pairs")
-    links = written(_links(tried, sizes, members, least), "jaccard-links")
-    roots = _roots(links)
+    named = groups.select("node").unionAll(groups.select("pivot")).distinct()
+    wanted = written(nodes.join(named, "node", "left_semi").select("node", "owner", "n_shingles", "sketch"), "jaccard-wanted")
+    members = _candidate_sets(docs, wanted)
+    n = lambda x: wanted.select(
+        F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"b{x}"))
+
+    # Every node and its pivots, fitting in size and sketch; tried are some more pivots of each node from round to round,
+    # and only while node and pivot lie in different components: a group of copies is linked by its first pivot.
+    pairs = groups.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = written(pairs.join(n("u"), "u").join(n("v"), "v").filter(_fits(least)).select("u", "v"), "jaccard-pairs")
+    by_node = Window.partitionBy("v").orderBy("u")
+    links, roots, left = None, None, pairs
+    for most in (1, 8, None):
+        if roots is not None:
+            left = _apart(left, roots)
+        ranked = left.withColumn("nth", F.row_number().over(by_node))
+        ranked = written(ranked, "jaccard-ranked") if most else left
+        now = ranked.filter(F.col("nth") <= most) if most else ranked
+        found = written(_links(now, members, least), "jaccard-links")
+        links = found if links is None else links.unionAll(found)
+        roots = written(components(links), "jaccard-roots")
+        if not most:
+            break
+        left = ranked.filter(F.col("nth") > most).select("u", "v")
 
     # signatures of three and more nodes: pivots follow while members lie in several components
     along = Window.partitionBy("signature").orderBy("node")
-    rest = groups.select("signature", "node").withColumn("nth", F.row_number().over(along))
-    lo, hi, of = 1, 2, rest
+    of = groups.select("signature", "node").withColumn("nth", F.row_number().over(along))
+    of = of.join(n("v"), F.col("node") == F.col("v")).drop("v")
+    lo, hi, tried = 1, 2, pairs
     while True:
         rooted = of.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
-            "signature", "node", "nth", F.coalesce("root", "node").alias("root"))
+            "signature", "node", "nth", "nv", "bv", F.coalesce("root", "node").alias("root"))
         # only what no pivot before has been compared with
-        open_ = rooted.filter(F.col("nth") >= lo).groupBy("signature").agg(
+        rooted = rooted.filter(F.col("nth") >= lo)
+        open_ = rooted.groupBy("signature").agg(
             F.min("root").alias("least"), F.max("root").alias("most")).filter(F.col("least") != F.col("most"))
-        of = written(rooted.join(open_.select("signature"), "signature", "left_semi").filter(F.col("nth") >= lo), "jaccard-open")
+        of = written(rooted.join(open_.select("signature"), "signature", "left_semi"), "jaccard-open")
         if not of.take(1):
-            break
+            return roots
         pivots = of.filter(F.col("nth") < hi).select(
-            F.col("signature").alias("s"), F.col("node").alias("u"), F.col("nth").alias("k"), F.col("root").alias("r"))
-        pairs = of.join(pivots, (F.col("signature") == F.col("s")) & (F.col("nth") > F.col("k")) & (F.col("root") != F.col("r")))
-        pairs = pairs.select("u", F.col("node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        more = written(_links(pairs, sizes, members, least), "jaccard-links")
-        tried, links = tried.unionAll(pairs), links.unionAll(more)
-        if more.take(1):
-            roots = _roots(links)
-        of = of.select("signature", "node", "nth")
-        lo, hi = hi, hi + 4 * (hi - lo)
+            F.col("signature").alias("s"), F.col("node").alias("u"), F.col("nth").alias("k"), F.col("root").alias("r"),
+            F.col("nv").alias("nu"), F.col("bv").alias("bu"))
+        apart = (F.col("signature") == F.col("s")) & (F.col("nth") > F.col("k")) & (F.col("root") != F.col("r"))
+        more = of.join(pivots, apart & _fits(least)).select("u", F.col("node").alias("v")).distinct()
+        more = written(more.join(tried, ["u", "v"], "left_anti"), "jaccard-pairs")
+        found = written(_links(more, members, least), "jaccard-links")
+        tried = tried.unionAll(more)
+        if found.take(1):
+            links = links.unionAll(found)
+            roots = written(components(links), "jaccard-roots")
+        of = of.drop("root")
+        lo, hi = hi, hi + 16 * (hi - lo)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) that no chain of links joins yet."""
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    joined = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
 
+def _rooted(docs: DataFrame, least: int) -> DataFrame:
+    """One row per document: doc_id, mark (its text's hash), n_shingles, component_id, root (a node; none if empty)."""
+    sets = written(signed_documents(docs, least), "jaccard-signed")
+    nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"),
+        F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    nodes = written(nodes, "jaccard-nodes")
+    roots = _linked(sets, nodes, docs, least)
     named = nodes.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
         "node", nodes["doc_id"], F.coalesce("root", "node").alias("root"))
     first = named.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quayline.llm import jaccard
+from quayline.llm import graph, jaccard
 from quayline.llm.graph import components
 from tests.llm.data import HAVE_DATA, SF, awkward_rows, docs_frame, rows_of
 
@@ -81,6 +81,17 @@ def test_linked_sets_share_a_signature():
         assert got[0] & got[1], (n, drop, swap)
 
 
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        a = rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64)
+        b = np.concatenate((a[int(rng.integers(0, len(a))) :], rng.integers(0, 2**63, int(rng.integers(0, 300))).astype(np.uint64)))
+        one, two = (np.unique(x) for x in (a, b))
+        words = jaccard.sketches(np.concatenate((one, two)), np.array([len(one), len(two)]))
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in words[0] ^ words[1])
+        assert differ <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(spark, seed):
     rows = near_copies(seed)
@@ -124,7 +135,9 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted((-1 if i is None else i, t) for i, t in got if shingle_set(t)) == sorted(first.values())
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 19])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     edges += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(41, 100)]
