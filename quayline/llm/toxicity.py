@@ -35,7 +35,7 @@ from quayline.llm.common import held_out, prepare
 PLACES = 1 << 18
 FACTORS = 8
 PREFIXES = (4, 5, 6)
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 16_000
 MIN_SAMPLE_DOCS = 3  # terms in fewer sample documents are not learned
 LEAST_CHI2 = 20.0  # nor are terms whose presence is unrelated to the mark
 EPOCHS = 25
