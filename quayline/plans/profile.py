@@ -353,17 +353,18 @@ def p40_payload_profile(t):
 
 
 def p41_column_profile(t, table: str = "stop_time"):
+    """Numeric columns of a table from one shuffle: rows are turned into (column, value) and counted
+    map-side, so the figures of a column come from its distinct values."""
     df = t[table]
     num = [c for c, dt in df.dtypes if dt in ("int", "bigint", "double")]
-    agg = df.agg(*[x for c in num for x in (
-        F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d"), F.min(c).cast("double").alias(f"{c}__lo"),
-        F.max(c).cast("double").alias(f"{c}__hi"), F.sum(c).alias(f"{c}__s"))])
-    stacked = agg.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("populated"), F.col(f"{c}__d").alias("distinct_values"),
-        F.col(f"{c}__lo").alias("min_value"), F.col(f"{c}__hi").alias("max_value"), F.col(f"{c}__s").alias("s"))
-        for c in num])).alias("x"))
-    return stacked.select(
-        "x.column_name", long("x.populated").alias("populated"), long("x.distinct_values").alias("distinct_values"),
-        "x.min_value", "x.max_value", ratio("x.s", "x.populated", 4).alias("mean_value"),
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in num])).alias("x"))
+    counts = cells.groupBy("x.column_name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    held = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    agg = counts.groupBy("column_name").agg(
+        F.sum(held).alias("populated"), F.count("v").alias("distinct_values"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.sum(F.col("v") * F.col("n")).alias("s"))
+    return agg.select(
+        "column_name", long("populated").alias("populated"), long("distinct_values").alias("distinct_values"),
+        "min_value", "max_value", ratio("s", "populated", 4).alias("mean_value"),
     )
-
