@@ -15,7 +15,8 @@ batches cost n log n.
 
 Keys that occur twice are resolved exactly. Where a whole stretch occurs twice, all
 its windows do. Stretches that share a key and differ (the ends of a copied
-passage) are compared window by window, one document per distinct stretch. Windows
+passage) are compared, one document per distinct stretch, by blocks of STEP windows
+and, where blocks overlap in part, window by window. Windows
 that occur twice make the runs of bytes to remove, judged on the input. Texts with
 an exact copy leave whole. A text is read again only if it has something to
 resolve, found by a Bloom filter of fixed size.
@@ -40,6 +41,7 @@ from quayline.llm.common import as_bytes, bloom_filter, mixed, prepare, row_id,
 LENGTH = 200
 PREFIX = 48
 BATCHES = 4
+STEP = 32
 PIECE = 1 << 21  # bytes hashed together
 _PLACE = (1 << 24) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -235,35 +237,110 @@ def _unpacked(df: DataFrame) -> DataFrame:
         "width": F.shiftright("packed", 16) % 256, "mark": (F.col("packed") % 65536).cast("int")})
 
 
-def _edge_windows(batches, length: int):
-    """Each window of the listed runs: key, offset from the anchor, hash, and whose it is."""
+def _stretches(text: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the stretches of ``size`` bytes that begin at ``start`` (ascending), piece by piece."""
+    out = np.zeros(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        a = int(start[lo])
+        hi = int(np.searchsorted(start, a + PIECE, "left"))
+        h = Hashes(text[a : int(start[hi - 1]) + size])
+        out[lo:hi] = h.of(start[lo:hi] - a, start[lo:hi] - a + size)
+        lo = hi
+    return out
+
+
+def _listed(batch):
+    """(text, its runs as arrays, doc, mark) of each document of a batch: a run is a key, its
+    anchor's place and the offsets (anchor less start) of its windows, from lo to hi."""
+    raw, ends = as_bytes(batch.column(2))
+    for i, runs in enumerate(batch.column(3).to_pylist()):
+        arrays = [np.array([r[x] for r in runs], np.int64) for x in ("key", "at", "lo", "hi")]
+        alone = np.array([r["alone"] for r in runs], bool)
+        yield raw[ends[i] : ends[i + 1]], *arrays, alone, batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the run, first + 0, 1, 2 ...) for each of ``count`` items of every run."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _blocks(batches, length: int, step: int):
+    """Blocks of up to ``step`` neighbouring windows of each run, with the hash of the bytes that
+    all windows of a whole block share, and that of all bytes of the block's own windows."""
     import pyarrow as pa
 
     for batch in batches:
-        raw, ends = as_bytes(batch.column(2))
-        for i, runs in enumerate(batch.column(3).to_pylist()):
-            text = raw[ends[i] : ends[i + 1]]
-            key = np.array([r["key"] for r in runs], np.int64)
-            at, back, width = (np.array([r[x] for r in runs], np.int64) for x in ("at", "back", "width"))
-            alone = np.array([r["alone"] for r in runs], bool)
-            run = np.repeat(np.arange(len(runs)), width + 1)
-            start = (at - back)[run] + np.arange(len(run)) - np.repeat(np.cumsum(width + 1) - width - 1, width + 1)
+        for text, key, at, lo, hi, alone, doc, mark in _listed(batch):
+            run, off = _spread(lo // step, hi // step - lo // step + 1)
+            off = off * step
+            order = np.argsort(at[run] - off, kind="stable")
+            run, off = run[order], off[order]
+            low, high = np.maximum(lo[run], off), np.minimum(hi[run], off + step - 1)
+            hashes = _stretches(text, at[run] - off, length - step + 1)
+            union = np.zeros(len(run), np.uint64)
+            for size in np.unique(high - low):  # windows from high to low, each a byte further
+                same = np.flatnonzero(high - low == size)
+                same = same[np.argsort((at[run] - high)[same], kind="stable")]
+                union[same] = _stretches(text, (at[run] - high)[same], length + int(size))
+            k = len(run)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[run]), pa.array(off), pa.array(signed(hashes)),
+                 pa.array(signed(mixed(union + (low * 1024 + high).astype(np.uint64)))), pa.array(np.full(k, doc)),
+                 pa.array(np.full(k, mark, np.int32)), pa.array(at[run]), pa.array(low), pa.array(high), pa.array(alone[run])],
+                names=["key", "off", "hash", "whole", "doc", "mark", "at", "lo", "hi", "alone"])
+
+
+def _windows(batches, length: int):
+    """Each window of the listed runs: key, hash, and where it begins."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for text, key, at, lo, hi, alone, doc, mark in _listed(batch):
+            run, off = _spread(lo, hi - lo + 1)
+            start = at[run] - off
             order = np.argsort(start, kind="stable")
             run, start = run[order], start[order]
-            hashes = np.zeros(len(run), np.uint64)
-            lo = 0
-            while lo < len(run):  # texts are hashed piece by piece
-                a = int(start[lo])
-                hi = int(np.searchsorted(start, a + PIECE, "left"))
-                h = Hashes(text[a : int(start[hi - 1]) + length])
-                hashes[lo:hi] = h.of(start[lo:hi] - a, start[lo:hi] - a + length)
-                lo = hi
             k = len(run)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[run]), pa.array((at[run] - start).astype(np.int16)), pa.array(signed(hashes)),
-                 pa.array(np.full(k, batch.column(0)[i].as_py())), pa.array(np.full(k, batch.column(1)[i].as_py(), np.int32)),
-                 pa.array(start.astype(np.int32)), pa.array(alone[run])],
-                names=["key", "off", "hash", "doc", "mark", "start", "alone"])
+                [pa.array(key[run]), pa.array(signed(_stretches(text, start, length))), pa.array(np.full(k, doc)),
+                 pa.array(np.full(k, mark, np.int32)), pa.array(start.astype(np.int32)), pa.array(alone[run])],
+                names=["key", "hash", "doc", "mark", "start", "alone"])
+
+
+_BLOCKS = "key long, off long, hash long, whole long, doc long, mark int, at long, lo long, hi long, alone boolean"
+
+
+def _read_again(docs: DataFrame, runs: DataFrame, tag: str, function, schema: str) -> DataFrame:
+    """``function`` over the texts of the documents that have ``runs``, written down."""
+    lists = runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "alone")).alias("runs"))
+    return written(_with_text(docs, written(lists, f"{tag}-runs")).mapInArrow(function, schema), tag)
+
+
+def _shared_windows(docs: DataFrame, edge: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, a, b): the windows of the ``edge`` runs that another stretch of their key has, too.
+
+    Blocks that occur twice as a whole give all their windows; of blocks that share
+    what their windows have in common and differ, one of each kind is compared
+    window by window; blocks that share less have no window in common."""
+    blocks = _read_again(docs, edge, "suffix-blocks", lambda it: _blocks(it, length, STEP), _BLOCKS)
+    near = ["key", "off", "hash"]
+    # a run that is not alone stands for a stretch that occurs twice and is removed already
+    kinds = blocks.groupBy(*near, "whole").agg(
+        ((F.count("*") > 1) | F.bool_or(~F.col("alone"))).alias("twice"),
+        F.min(F.struct("doc", "mark", "at", "lo", "hi")).alias("one"))
+    kinds = written(kinds, "suffix-kinds")
+    whole = blocks.filter("alone").join(kinds.filter("twice").select(*near, "whole"), [*near, "whole"], "left_semi").select(
+        "doc", "mark", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b"))
+    differ = kinds.groupBy(*near).agg(F.count("*").alias("c")).filter("c > 1").select(*near)
+    runs = kinds.join(differ, near, "left_semi").select("key", "one.*", (~F.col("twice")).alias("alone"))
+    windows = _read_again(docs, runs, "suffix-windows", lambda it: _windows(it, length),
+                          "key long, hash long, doc long, mark int, start int, alone boolean")
+    twice = windows.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
+    same = windows.filter("alone").join(twice, ["key", "hash"], "left_semi")
+    return whole.unionAll(same.select(
+        "doc", "mark", F.col("start").cast("long").alias("a"), (F.col("start") + length).cast("long").alias("b")))
 
 
 def _cut(batches, length: int):
@@ -301,19 +378,10 @@ def repeats(family: IndexFamily, docs: DataFrame) -> DataFrame:
     whole = written(whole, "suffix-whole")
 
     differ = spans.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"))
-    edge = spans.join(differ, F.col("key") == F.col("k"), "left_semi").select(
-        "key", F.col("one.doc").alias("doc"), F.col("one.packed").alias("packed"), (F.col("n") == 1).alias("alone"))
-    edge = written(_unpacked(edge).groupBy("doc", "mark").agg(
-        F.collect_list(F.struct("key", "at", "back", "width", "alone")).alias("runs")), "suffix-edges")
-    windows = _with_text(docs, edge).mapInArrow(
-        lambda it: _edge_windows(it, length),
-        "key long, off short, hash long, doc long, mark int, start int, alone boolean")
-    windows = written(windows, "suffix-windows")
-    shared = windows.groupBy("key", "off", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "off", "hash")
-    # windows of stretches that occur twice as a whole are removed already
-    part = windows.filter("alone").join(shared, ["key", "off", "hash"], "left_semi").select(
-        "doc", "mark", F.col("start").cast("long").alias("a"), (F.col("start") + length).cast("long").alias("b"))
-    return whole.unionAll(part)
+    edge = _unpacked(spans.join(differ, F.col("key") == F.col("k"), "left_semi").select(
+        "key", F.col("one.doc").alias("doc"), F.col("one.packed").alias("packed"), (F.col("n") == 1).alias("alone")))
+    edge = edge.select("key", "doc", "mark", "at", (F.col("back") - F.col("width")).alias("lo"), F.col("back").alias("hi"), "alone")
+    return whole.unionAll(_shared_windows(docs, edge, length))
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
