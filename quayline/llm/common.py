@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quayline.shipping import ship_package
 
 # Rows in one Arrow batch: long texts make rows large, so batches hold few of them.
-ROWS_PER_BATCH = 256
+ROWS_PER_BATCH = 128
 
 
 def prepare(spark: SparkSession) -> None:
@@ -128,27 +128,37 @@ def row_id(column):
     return F.coalesce(column.cast("long"), F.lit(NO_ID))
 
 
-def bloom_filter(ids: DataFrame, bits: int = BLOOM_BITS):
-    """A test of long ids by a Bloom filter of ``ids`` (one long column).
+def bloom_places(column, bits: int = BLOOM_BITS) -> list:
+    """The places of a long column's values in a Bloom filter."""
+    return [F.pmod(F.xxhash64(F.lit(i), column), F.lit(bits)) for i in range(2)]
+
 
-    The filter has a fixed number of bits whatever the number of ids, so it can be
-    broadcast; ids that pass by mistake leave in the exact join that follows.
+def bloom_table(ids: DataFrame, bits: int = BLOOM_BITS):
+    """A broadcast Bloom filter of ``ids`` (one long column).
+
+    It has a fixed number of bits whatever the number of ids; ids that pass by
+    mistake leave in the exact join that follows.
     """
     spark = ids.sparkSession
     prepare(spark)
-    place = lambda c, i: F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits))
-    ids = ids.toDF("id")
-    places = ids.select(F.explode(F.array(*(place(F.col("id"), i) for i in range(2)))).alias("p"))
+    places = ids.toDF("id").select(F.explode(F.array(*bloom_places(F.col("id"), bits))).alias("p"))
     words = places.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("b"))
     got = words.toPandas()  # at most bits / 64 rows
-    table_ = np.zeros(bits // 64, np.int64)
-    table_[got["w"].to_numpy()] = got["b"].to_numpy()
-    shared = spark.sparkContext.broadcast(table_)
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return spark.sparkContext.broadcast(out)
+
+
+def bloom_hits(table_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((table_[a >> 6] >> (a & 63)) & (table_[b >> 6] >> (b & 63)) & 1) == 1
+
+
+def bloom_filter(ids: DataFrame, bits: int = BLOOM_BITS):
+    """A test of a long column by a Bloom filter of ``ids``."""
+    shared = bloom_table(ids, bits)
 
     @F.pandas_udf("boolean")
     def hit(a: pd.Series, b: pd.Series) -> pd.Series:
-        t = shared.value
-        a, b = a.to_numpy(), b.to_numpy()
-        return pd.Series(((t[a >> 6] >> (a & 63)) & (t[b >> 6] >> (b & 63)) & 1) == 1)
+        return pd.Series(bloom_hits(shared.value, a.to_numpy(), b.to_numpy()))
 
-    return lambda column: hit(place(column, 0), place(column, 1))
+    return lambda column: hit(*bloom_places(column, bits))

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import NO_ID, bloom_filter, gram_hashes, mixed, prepare, row_id, signed, texts, word_hashes, written
+from quayline.llm.common import NO_ID, bloom_hits, bloom_places, bloom_table, gram_hashes, mixed, prepare, row_id, signed, texts, word_hashes, written
 from quayline.llm.graph import components
 
 SHINGLE = 3
@@ -166,10 +166,12 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the ``wanted`` nodes, from the text of the document (owner) of each."""
     import pyarrow as pa
 
-    maybe = bloom_filter(wanted.select("owner"))
+    shared = bloom_table(wanted.select("owner"))
 
     def build(batches):
         for batch in batches:
+            hit = bloom_hits(shared.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            batch = batch.filter(pa.array(hit))
             for lo in range(0, batch.num_rows, 32):
                 part = batch.slice(lo, 32)
                 found = [shingles(t) for t in texts(part.column(1))]
@@ -180,7 +182,9 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(np.append(starts, len(sets)), pa.int32()), pa.array(signed(sets)))],
                     names=["doc", "node", "shingles"])
 
-    rows = docs.select(row_id(F.col("doc_id")).alias("doc_id"), "text").filter(maybe(F.col("doc_id")))
+    # the test runs where the sets are made: a second Python step would double the workers of a task
+    doc_id = row_id(F.col("doc_id"))
+    rows = docs.select(doc_id.alias("doc_id"), "text", *(p.alias(f"p{i}") for i, p in enumerate(bloom_places(doc_id))))
     sets = rows.mapInArrow(build, "doc long, node long, shingles array<long>")
     named = wanted.select(F.col("owner").alias("o"), F.col("node").alias("n"))
     kept = sets.join(named, (F.col("doc") == F.col("o")) & (F.col("node") == F.col("n")))
