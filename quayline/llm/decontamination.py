@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-case runs of ASCII letters and digits and all non-ASCII bytes. Every
-word 3-gram of the test items is counted over all training documents (one row per
-gram and task before the shuffle). Seeds are the rare ones: grams in at most
-``RARE_DOCS`` documents and, so that a passage copied into many documents is found
-too, the rarest gram of every ``SPAN`` consecutive grams of each item. Any stretch
-of SPAN + 2 unchanged words holds a seed.
+Every word 3-gram of a test item is a seed, however many documents hold it: any
+stretch of three unchanged words joins an edited copy to its item, beside any number
+of other copies. What common grams join is kept cheap by bounds that lose no pair:
+an alignment scores at most two for each word of the item that it matches, so an
+item is passed over where a document holds too few of its words at all, and a
+passage where no stretch as long as such an alignment can be holds enough of them.
 
-Seeds join training passages to items where they occur: hits of an item near one
-diagonal make a passage, which is aligned with the whole item by Smith-Waterman
-over words (match 2, mismatch -1, gap -1). The score is the best local alignment
-over what the item scores with itself, so edited copies lose in proportion to
-their edits; a pair counts from ``LEAST_SCORE``.
+Hits of an item near one diagonal make a passage, which is aligned with the whole
+item by Smith-Waterman over words (match 2, mismatch -1, gap -1). The score is the
+best local alignment over what the item scores with itself, so edited copies lose in
+proportion to their edits; a pair counts from ``LEAST_SCORE``. A copy with every
+third word changed has no unchanged three words and is not joined.
 
 The documents never move: items are broadcast in blocks whose texts hold at most
-``BLOCK_BYTES``, and every block reads the documents twice (counts, alignment).
+``BLOCK_BYTES``, and every block reads the documents once.
 
 Defined results: null and empty texts and items without words match nothing; an
 item of one or two words is its own seed; items with equal texts are each
@@ -29,11 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import gram_hashes, prepare, signed, texts, without_ids, word_hashes, written
+from quayline.llm.common import gram_hashes, prepare, texts, without_ids, word_hashes, written
 
 N = 3
-SPAN = 4
-RARE_DOCS = 16
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 4 << 20
@@ -73,7 +71,7 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items: their words, grams, and (once counted) seeds."""
+    """A block of test items: their words and, as seeds, their grams in ascending order."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, grams, owner, place = [], [], [], [], []
@@ -86,24 +84,26 @@ class Items:
                 place.append(np.arange(len(g)))
                 self.ids.append(item_id)
                 self.words.append(h)
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.grams = every[order]
+        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
+        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.sizes = sorted({min(N, len(w)) for w in self.words})
-        self.known = np.unique(self.grams)
-
-    def keep_seeds(self, counts: dict[int, int]) -> None:
-        """Keep as seeds the grams that are rare, by the number of documents that hold each."""
-        held = np.array([counts.get(int(g), 0) for g in self.grams], np.int64)
-        seed = (held > 0) & (held <= RARE_DOCS)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero(self.owner == k)
-            for lo in range(max(1, len(mine) - SPAN + 1)):
-                run = mine[lo : lo + SPAN]
-                seed[run[held[run].argmin()]] = True
-        order = np.argsort(self.grams[seed], kind="stable")
-        self.grams, self.owner, self.place = (x[seed][order] for x in (self.grams, self.owner, self.place))
-        self.known = np.unique(self.grams)
+        self.known, self.coded = np.unique(np.concatenate(self.words) if self.words else every, return_inverse=True)
+
+    def within_reach(self, h: np.ndarray, items: np.ndarray, least: float) -> np.ndarray:
+        """Which of ``items`` have so many of their words in a document that they can reach ``least``."""
+        at = np.searchsorted(self.known, h)
+        at[at == len(self.known)] = 0
+        present = np.zeros(len(self.known), bool)
+        present[at[self.known[at] == h]] = True
+        sizes = self.lengths[items]
+        begin = np.cumsum(sizes) - sizes
+        word = np.arange(sizes.sum()) + np.repeat(self.starts[items] - begin, sizes)
+        return np.add.reduceat(present[self.coded[word]].astype(np.int64), begin) / sizes >= least
 
 
 def _doc_grams(h: np.ndarray, sizes: list[int]):
@@ -113,24 +113,9 @@ def _doc_grams(h: np.ndarray, sizes: list[int]):
             yield gram_hashes(h, n)
 
 
-def _counts(batches, items: Items):
-    """Per task: each item gram and the number of documents that hold it."""
-    import pyarrow as pa
-
-    held = np.zeros(len(items.known), np.int64)
-    for batch in batches:
-        for text in texts(batch.column(0)):
-            h = word_hashes(words(text))
-            for g in _doc_grams(h, items.sizes):
-                at = np.searchsorted(items.known, g)
-                at[at == len(items.known)] = 0
-                held[np.unique(at[items.known[at] == g])] += 1
-    some = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(signed(items.known[some])), pa.array(held[some])], names=["gram", "n"])
-
-
-def passages(h: np.ndarray, items: Items):
-    """Yield (item, first word, last word + 1, seeds) of the passages of a document that seeds join."""
+def passages(h: np.ndarray, items: Items, least: float):
+    """Yield (item, first word, last word + 1, seeds) of the passages of a document that seeds join
+    and that can reach ``least``."""
     hits = []
     for g in _doc_grams(h, items.sizes):
         lo = np.searchsorted(items.grams, g, "left")
@@ -142,9 +127,14 @@ def passages(h: np.ndarray, items: Items):
     if not hits:
         return
     owner, begin = np.concatenate(hits, axis=1)
+    named, which = np.unique(owner, return_inverse=True)
+    some = items.within_reach(h, named, least)[which]
+    owner, begin = owner[some], begin[some]
+    if not len(owner):
+        return
     order = np.lexsort((begin, owner))
     owner, begin = owner[order], begin[order]
-    size = np.array([len(items.words[k]) for k in owner])
+    size = items.lengths[owner]
     # hits whose diagonals lie within an item's length of each other share a passage
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (begin[1:] - begin[:-1] > size[1:])
@@ -152,7 +142,16 @@ def passages(h: np.ndarray, items: Items):
     for lo, hi in zip(starts, [*starts[1:], len(owner)]):
         slack = size[lo] // 2 + N
         first, last = max(0, begin[lo] - slack), min(len(h), begin[hi - 1] + size[lo] + slack)
-        yield int(owner[lo]), int(first), int(last), int(hi - lo)
+        if _dense(h[first:last], items.words[owner[lo]], least):
+            yield int(owner[lo]), int(first), int(last), int(hi - lo)
+
+
+def _dense(passage: np.ndarray, item: np.ndarray, least: float) -> bool:
+    """Whether some stretch of the passage, as long as an alignment of that score can be, holds enough
+    of the item's words: at most every word matches, and what that scores beyond ``least`` pays for gaps."""
+    longest = int(np.ceil(len(item) * (1 + MATCH * max(0.0, 1 - least)))) + 1
+    upto = np.concatenate(([0], np.cumsum(np.isin(passage, item))))
+    return bool((upto[np.minimum(np.arange(len(upto)) + longest, len(passage))] - upto).max() / len(item) >= least)
 
 
 def aligned_pieces(h: np.ndarray, item: np.ndarray, first: int, last: int):
@@ -174,7 +173,7 @@ def _align(batches, items: Items, least: float):
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
             h = word_hashes(words(text))
             best: dict[int, tuple] = {}
-            for k, first, last, n in passages(h, items):
+            for k, first, last, n in passages(h, items, least):
                 score, a, b = aligned_pieces(h, items.words[k], first, last)
                 share = score / (MATCH * len(items.words[k]))
                 if share >= least and share > best.get(items.ids[k], (0.0,))[0]:
@@ -207,14 +206,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -
     schema = "doc_id long, item_id long, score double, n_seeds long, first_word long, end_word long"
     found = None
     for rows in item_blocks(benchmark):
-        items = Items(rows)
-        shared = spark.sparkContext.broadcast(items)
-        counted = docs.select("text").mapInArrow(lambda it, s=shared: _counts(it, s.value), "gram long, n long")
-        counts = counted.groupBy("gram").agg(F.sum("n").alias("n"))  # at most one row per gram of the block
-        items.keep_seeds({r[0] & (2**64 - 1): r[1] for r in counts.collect()})
-        seeded = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Items(rows))
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            lambda it, s=seeded: _align(it, s.value, least), schema)
+            lambda it, s=shared: _align(it, s.value, least), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quayline.llm import decontamination as d
 from tests.llm.data import awkward_rows, docs_frame, rows_of
@@ -101,3 +102,31 @@ def test_awkward_rows(spark):
     assert d.matches(docs.limit(0), bench(spark, items)).count() == 0
     assert d.matches(docs, bench(spark, items).limit(0)).count() == 0
     assert d.clean_documents(docs, bench(spark, [])).count() == docs.count()
+
+
+@pytest.mark.parametrize("every,copies", [(4, 0), (5, 0), (6, 0), (4, 40), (6, 40)])
+def test_edited_copies_in_many_documents(spark, every, copies):
+    rng = random.Random(every)
+    item = made_words(rng, 30)
+    edited = " ".join(made_words(rng, 1)[0] + "x" if i % every == every - 1 else x for i, x in enumerate(item))
+    rows = [(i, " ".join(made_words(rng, 20)) + " " + edited) for i in range(20)]
+    rows += [(100 + i, " ".join(made_words(rng, 20)) + " " + " ".join(item)) for i in range(copies)]
+    for i in range(20):  # each with words of its own
+        w = [made_words(rng, 1)[0] + "y" if (j + i) % every == 0 else x for j, x in enumerate(item)]
+        rows.append((200 + i, " ".join(w)))
+    docs = docs_frame(spark, rows + [(999, " ".join(made_words(rng, 50)))])
+    got = d.matches(docs, bench(spark, [(1, " ".join(item)), (2, " ".join(made_words(rng, 30)))]))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i, _ in rows}
+
+
+def test_bounds_lose_no_alignment():
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 14)))) for i in range(40)]
+    items = d.Items(rows)
+    for _ in range(150):
+        text = " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 90))).encode()
+        h = d.word_hashes(d.words(text))
+        best = lambda least: {
+            (k, s) for k, a, b, _ in d.passages(h, items, least)
+            if (s := d.alignment(h[a:b], items.words[k])[0] / (2 * len(items.words[k]))) >= 0.6}
+        assert best(0.6) == best(0.0)
