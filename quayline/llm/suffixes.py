@@ -5,7 +5,8 @@ that begins at the window's anchor is kept, the ``PREFIX``-byte stretch with the
 least hash (the leftmost, if several). Equal windows have equal anchors, so any
 match of LENGTH bytes meets in the array, at one suffix for about 80 bytes. An
 entry is sorted by the hash of the suffix's first PREFIX bytes and carries the hash
-of the whole stretch of windows that share the anchor, the document and the place.
+of the whole stretch of windows that share the anchor, the document (its id and a
+64-bit hash of its text, as ids may be null or repeat) and the place.
 
 New batches get such an array and are merge-scanned against the levels there are:
 levels are tables bucketed and sorted by the key, so the scan is a sort-merge join
@@ -141,13 +142,13 @@ def _pieces(raw: np.ndarray, ends: np.ndarray, length: int):
 
 
 def _entries(batches, length: int, prefix: int):
-    """Per run of windows: key, span, doc_id, and place | back | width | mark in one number."""
+    """Per run of windows: key, span, doc_id, mark, and place | back | width in one number."""
     import pyarrow as pa
 
     seen: set[bytes] = set()
     for batch in batches:
         raw, ends = as_bytes(batch.column(2))
-        doc_ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+        doc_ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(ends[:-1], ends[1:])]
         if len(seen) > 1 << 18:
             seen.clear()
@@ -161,16 +162,17 @@ def _entries(batches, length: int, prefix: int):
             keep = fresh[numbers[text]] if len(text) else np.zeros(0, bool)
             text, first, last, anchor, key, span = (x[keep] for x in (text, first, last, anchor, key, span))
             at = anchor - cuts[text] + moved[text]
-            packed = (at << 32) | ((anchor - first) << 24) | ((last - first) << 16) | marks[numbers[text]]
+            packed = (at << 16) | ((anchor - first) << 8) | (last - first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(key)), pa.array(signed(span)), pa.array(doc_ids[numbers[text]]), pa.array(packed)],
-                names=["key", "span", "doc", "packed"])
+                [pa.array(signed(key)), pa.array(signed(span)), pa.array(doc_ids[numbers[text]]), pa.array(marks[numbers[text]]),
+                 pa.array(packed)],
+                names=["key", "span", "doc", "mark", "packed"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc, mark, text): a row's id and 16 bits of its text's hash, which tell rows apart that share an id."""
+    """(doc, mark, text): a row's id and 64-bit hash of its text, which tell rows apart that share an id."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(row_id(F.col("doc_id")).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("mark"),
+    return docs.select(row_id(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("mark"),
                        text.alias("text"))
 
 
@@ -195,7 +197,7 @@ class IndexFamily:
     def add(self, docs: DataFrame) -> None:
         """Index a batch, scan it against all levels, and merge levels of equal size."""
         length, prefix = self.length, self.prefix
-        rows = identified(docs).mapInArrow(lambda it: _entries(it, length, prefix), "key long, span long, doc long, packed long")
+        rows = identified(docs).mapInArrow(lambda it: _entries(it, length, prefix), "key long, span long, doc long, mark long, packed long")
         batch = self._save(rows.repartition(self.buckets, "key"), "key", "span")
         keys = self.spark.table(batch).select("key")
         twice = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -233,8 +235,7 @@ class IndexFamily:
 
 def _unpacked(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "at": F.shiftright("packed", 32), "back": F.shiftright("packed", 24) % 256,
-        "width": F.shiftright("packed", 16) % 256, "mark": (F.col("packed") % 65536).cast("int")})
+        "at": F.shiftright("packed", 16), "back": F.shiftright("packed", 8) % 256, "width": F.col("packed") % 256})
 
 
 def _stretches(text: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -288,7 +289,7 @@ def _blocks(batches, length: int, step: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[run]), pa.array(off), pa.array(signed(hashes)),
                  pa.array(signed(mixed(union + (low * 1024 + high).astype(np.uint64)))), pa.array(np.full(k, doc)),
-                 pa.array(np.full(k, mark, np.int32)), pa.array(at[run]), pa.array(low), pa.array(high), pa.array(alone[run])],
+                 pa.array(np.full(k, mark)), pa.array(at[run]), pa.array(low), pa.array(high), pa.array(alone[run])],
                 names=["key", "off", "hash", "whole", "doc", "mark", "at", "lo", "hi", "alone"])
 
 
@@ -305,11 +306,11 @@ def _windows(batches, length: int):
             k = len(run)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[run]), pa.array(signed(_stretches(text, start, length))), pa.array(np.full(k, doc)),
-                 pa.array(np.full(k, mark, np.int32)), pa.array(start.astype(np.int32)), pa.array(alone[run])],
+                 pa.array(np.full(k, mark)), pa.array(start.astype(np.int32)), pa.array(alone[run])],
                 names=["key", "hash", "doc", "mark", "start", "alone"])
 
 
-_BLOCKS = "key long, off long, hash long, whole long, doc long, mark int, at long, lo long, hi long, alone boolean"
+_BLOCKS = "key long, off long, hash long, whole long, doc long, mark long, at long, lo long, hi long, alone boolean"
 
 
 def _read_again(docs: DataFrame, runs: DataFrame, tag: str, function, schema: str) -> DataFrame:
@@ -336,7 +337,7 @@ def _shared_windows(docs: DataFrame, edge: DataFrame, length: int) -> DataFrame:
     differ = kinds.groupBy(*near).agg(F.count("*").alias("c")).filter("c > 1").select(*near)
     runs = kinds.join(differ, near, "left_semi").select("key", "one.*", (~F.col("twice")).alias("alone"))
     windows = _read_again(docs, runs, "suffix-windows", lambda it: _windows(it, length),
-                          "key long, hash long, doc long, mark int, start int, alone boolean")
+                          "key long, hash long, doc long, mark long, start int, alone boolean")
     twice = windows.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
     same = windows.filter("alone").join(twice, ["key", "hash"], "left_semi")
     return whole.unionAll(same.select(
@@ -360,7 +361,7 @@ def _cut(batches, length: int):
             out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int(gone.sum()), runs,
                         hashlib.sha256(text[~gone].tobytes()).hexdigest()))
         cols = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                          names=["d", "m", "n_removed", "n_spans", "kept_sha256"])
 
@@ -369,7 +370,7 @@ def repeats(family: IndexFamily, docs: DataFrame) -> DataFrame:
     """(doc, mark, a, b): stretches of bytes whose every window occurs elsewhere, too."""
     length = family.length
     spans = family.entries().groupBy("key", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "packed")).alias("one"))
+        F.count("*").alias("n"), F.min(F.struct("doc", "mark", "packed")).alias("one"))
     spans = written(spans, "suffix-spans")  # one row for each distinct stretch of a repeated key
     full = spans.filter("n > 1").select("key", "span")
     whole = _unpacked(family.entries().join(full, ["key", "span"], "left_semi")).select(
@@ -379,7 +380,8 @@ def repeats(family: IndexFamily, docs: DataFrame) -> DataFrame:
 
     differ = spans.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"))
     edge = _unpacked(spans.join(differ, F.col("key") == F.col("k"), "left_semi").select(
-        "key", F.col("one.doc").alias("doc"), F.col("one.packed").alias("packed"), (F.col("n") == 1).alias("alone")))
+        "key", F.col("one.doc").alias("doc"), F.col("one.mark").alias("mark"),
+        F.col("one.packed").alias("packed"), (F.col("n") == 1).alias("alone")))
     edge = edge.select("key", "doc", "mark", "at", (F.col("back") - F.col("width")).alias("lo"), F.col("back").alias("hi"), "alone")
     return whole.unionAll(_shared_windows(docs, edge, length))
 
@@ -400,7 +402,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
         family.add(docs.filter(F.pmod(F.xxhash64(row_id(F.col("doc_id"))), F.lit(batches)) == b))
     text = F.coalesce("text", F.lit(""))
     base = written(docs.select(
-        F.col("doc_id"), row_id(F.col("doc_id")).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("mark"),
+        F.col("doc_id"), row_id(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("mark"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "suffix-base")
     copied = base.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("c")).filter("c > 1").select(
         F.col("sha").alias("s"), F.lit(True).alias("copied"))
@@ -412,7 +414,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
     found = found.join(kept, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
     found = written(found.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("found")), "suffix-found")
     cut = _with_text(docs, found).mapInArrow(
-        lambda it: _cut(it, length), "d long, m int, n_removed long, n_spans long, kept_sha256 string")
+        lambda it: _cut(it, length), "d long, m long, n_removed long, n_spans long, kept_sha256 string")
     cut = written(cut, "suffix-cut")
     family.close()
     nothing = hashlib.sha256(b"").hexdigest()

@@ -109,3 +109,14 @@ def test_driver_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert rows_of(suffixes.deduplicated(docs), *COLUMNS) == brute(rows)
+
+
+def test_rows_with_null_or_repeated_ids_keep_their_own_cuts(spark):
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))
+    shared = [letters[k * 400 : k * 400 + 210 + k] for k in range(60)]
+    rows = []
+    for i in range(3000):
+        at, cut = rng.randrange(150_000), rng.randrange(0, 60)
+        rows.append((None if i % 3 else 7 if i % 2 else i, f"{i} {letters[at : at + cut]}{shared[i % 60]}" + f" {i} end" * (i % 5)))
+    assert rows_of(suffixes.deduplicated(docs_frame(spark, rows), batches=2), *COLUMNS) == brute(rows)
