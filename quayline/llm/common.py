@@ -52,12 +52,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (its only column); null ids stay."""
-    gone = ids.toDF("__gone_id")
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
-
-
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array and its offsets (null: empty), without copies per row."""
     import pyarrow as pa

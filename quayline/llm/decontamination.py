@@ -20,7 +20,8 @@ Defined results: null and empty texts and items without words match nothing; an
 item of one or two words is its own seed; items with equal texts are each
 reported; an item id that repeats with other texts is aligned with each and takes
 the best score; repeated document rows give repeated result rows; items with a
-null id are left out. Other columns are not looked at.
+null id are left out. Documents are removed by id (a null id is one) and text, so rows
+that share an id stay or go by their own texts. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import gram_hashes, prepare, texts, without_ids, word_hashes, written
+from quayline.llm.common import gram_hashes, prepare, texts, word_hashes, written
 
 N = 3
 LEAST_SCORE = 0.5
@@ -170,7 +171,7 @@ def _align(batches, items: Items, least: float):
 
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+        for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
             h = word_hashes(words(text))
             best: dict[int, tuple] = {}
             for k, first, last, n in passages(h, items, least):
@@ -178,11 +179,11 @@ def _align(batches, items: Items, least: float):
                 share = score / (MATCH * len(items.words[k]))
                 if share >= least and share > best.get(items.ids[k], (0.0,))[0]:
                     best[items.ids[k]] = (share, n, a, b)
-            out += [(doc_id, item, *x) for item, x in sorted(best.items())]
-        cols = list(zip(*out)) if out else [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            out += [(doc_id, mark, item, *x) for item, x in sorted(best.items())]
+        cols = list(zip(*out)) if out else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                         names=["doc_id", "item_id", "score", "n_seeds", "first_word", "end_word"])
+                                         names=["doc_id", "mark", "item_id", "score", "n_seeds", "first_word", "end_word"])
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -199,20 +200,28 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds, first_word, end_word) of each contaminated pair."""
+def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """The rows of ``matches`` with mark, the hash of the document's text."""
     spark = docs.sparkSession
     prepare(spark)
-    schema = "doc_id long, item_id long, score double, n_seeds long, first_word long, end_word long"
+    schema = "doc_id long, mark long, item_id long, score double, n_seeds long, first_word long, end_word long"
     found = None
     for rows in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Items(rows))
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
             lambda it, s=shared: _align(it, s.value, least), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds, first_word, end_word) of each contaminated pair."""
+    return _found(docs, benchmark, least).drop("mark")
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents that hold no test item, as they are."""
-    return without_ids(docs, written(matches(docs, benchmark, least).select("doc_id").distinct(), "leaks"))
+    gone = _found(docs, benchmark, least).select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark"))
+    gone = written(gone.distinct(), "leaks")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_mark"))
+    return docs.join(gone, same, "left_anti")

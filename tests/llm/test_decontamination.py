@@ -130,3 +130,12 @@ def test_bounds_lose_no_alignment():
             (k, s) for k, a, b, _ in d.passages(h, items, least)
             if (s := d.alignment(h[a:b], items.words[k])[0] / (2 * len(items.words[k]))) >= 0.6}
         assert best(0.6) == best(0.0)
+
+
+def test_rows_go_by_their_own_text(spark):
+    rng = random.Random(8)
+    item = " ".join(made_words(rng, 20))
+    rows = [(None, f"before {item} after"), (None, "clean words of a row without id"), (5, item), (5, "clean words beside a leak"),
+            (5, None), (6, "other clean words"), (None, None), (7, item), (7, item)]
+    kept = d.clean_documents(docs_frame(spark, rows), bench(spark, [(1, item)]))
+    assert rows_of(kept, "doc_id", "text") == sorted((r for r in rows if not r[1] or item not in r[1]), key=repr)
