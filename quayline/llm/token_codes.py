@@ -152,15 +152,15 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.joined = Tokenizer.from_file(public_tokenizers.path(name))
-        self.joined.encode_special_tokens = True
         self.joined.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(SEPARATOR, "removed"), self.tokenizer.pre_tokenizer])
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of a token stands for one byte
             self.bytes_of[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():  # stands for its literal
+            self.bytes_of[i] = len(token.content.encode())
         self._forget()
 
     def _forget(self) -> None:

@@ -87,3 +87,22 @@ def test_awkward_rows(spark, encoder):
     docs = docs_frame(spark, rows)
     assert rows_of(codes.encode_documents(docs), *COLUMNS) == brute(encoder, rows)
     assert codes.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_special_literals_have_the_ids_of_the_tokenizer_as_it_is(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(codes.TOKENIZER))
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "x", "y.", "é", "\n", "\x00", "'s", "7"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(2000)]
+    rows += [(9000, "x<|endoftext|>y"), (9001, "<|endoftext|>" * 3), (9002, "a <|endoftext|> b"), (9003, "a  <|endoftext|>  b ")]
+    want = {i: fresh.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert want[9000] == [87, 50256, 88]
+    ids, ends = codes.Encoder(codes.TOKENIZER).batch(pa.array([t for _, t in rows]))
+    for (i, t), a, b in zip(rows, (0, *ends[:-1].tolist()), ends.tolist()):
+        assert ids[a:b].tolist() == want[i], repr(t)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in codes.encode_documents(docs_frame(spark, rows)).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, codes.END_ID], "<u4").tobytes())) for i, x in want.items()}
