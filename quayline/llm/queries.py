@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from quayline.llm import (
     decontamination,
+    html_text,
     jaccard,
     licenses,
+    merkle,
     mixing,
+    prefix_trie,
     quality,
     suffixes,
     token_codes,
@@ -62,9 +65,22 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_toxicity, op3_exact_topk, op4_license_scan, op5_decontamination, op6_quality,
-    op7_suffix_dedup, op8_jaccard_join, op9_source_mixing, op10_token_codes)}
+    op7_suffix_dedup, op8_jaccard_join, op9_source_mixing, op10_token_codes,
+    op11_prefix_trie, op12_merkle_manifest, op13_html_text)}
 
 # The others are tested against brute force in tests/llm.
 ORACLE_SQL = {
@@ -72,4 +88,6 @@ ORACLE_SQL = {
     "op3_exact_topk": topk.oracle_sql(),
     "op4_license_scan": licenses.oracle_sql(),
     "op9_source_mixing": mixing.oracle_sql(),
+    "op11_prefix_trie": prefix_trie.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }
