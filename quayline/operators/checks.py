@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions import clock_secs
+from quayline.operators import references
 from quayline.schemas import ACCESSIBILITY, ROUTE_TYPES
 
 MATCH_WARNING_PCT = 80.0
@@ -56,14 +57,13 @@ def _hits(cond=None) -> F.Column:
 def check_values(t: dict[str, DataFrame]) -> DataFrame:
     """(check_id, value) of all checks: every table is read once, but for the references."""
     from quayline.plans.common import beside
-    from quayline.plans.explore import d13_fk_violations
 
     codes = [c for c, *_ in ACCESSIBILITY]
     dep, arr, col = F.col("departure_secs"), F.col("arrival_secs"), F.col
-    is_ref = lambda child, *cols: (col("child_table") == child) & col("fk_column").isin(*cols)
-    refs = d13_fk_violations(t).agg(
-        _hits().alias("all"), _hits(is_ref("platform", "station_id")).alias("platform"),
-        _hits(is_ref("stop_time", "trip_id", "stop_id")).alias("call"), _hits(is_ref("trip", "service_id")).alias("trip"))
+    lost = lambda child, *cols: F.sum(F.when((col("child_table") == child) & col("fk_column").isin(*cols), col("violating_rows")))
+    refs = references.report(t).agg(
+        F.sum("violating_rows").alias("all"), lost("platform", "station_id").alias("platform"),
+        lost("stop_time", "trip_id", "stop_id").alias("call"), lost("trip", "service_id").alias("trip"))
     calls = beside(
         t["stop_time"].agg(
             _hits().alias("loaded"), _hits(dep.isNotNull() & (col("departure_hour") != (dep / 3600).cast("int") % 24)).alias("x06"),

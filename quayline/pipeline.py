@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -22,6 +21,7 @@ from pyspark.sql.types import StructType
 from quayline.operators import clean as cleaning
 from quayline.operators import views
 from quayline.sources import driver_tables
+from quayline.storage import checkpoint_root, exists, list_files
 
 # name -> columns the written file is sorted by inside each task (min/max pruning)
 LAYOUT = {
@@ -109,7 +109,7 @@ def build_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool =
     run_id, started = uuid.uuid4().hex, _now()
     put = _writer(spark, root, run_id)
     try:
-        t = feed_core(spark, path, put, f"{root}/_records", fail_on_error)
+        t = feed_core(spark, path, put, f"{root}/_lines", fail_on_error)
         _write_timetable_views(t, put)
     except Exception:
         log_run(spark, None, f"{root}/ingestion_run", run_id, path, started, "failed")
@@ -118,21 +118,6 @@ def build_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool =
     return t
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share.
-
-    Only where tasks run inside the driver (``local[...]``: tests) an unset folder
-    is replaced by a private one; on a cluster executors could not see it."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not d:
-        d = tempfile.mkdtemp(prefix="quayline-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-        d = spark.sparkContext.getCheckpointDir() or d
-    return d.rstrip("/")
-
-
 def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None = None) -> dict[str, DataFrame]:
     """Write the core, quarantine and semantic layer; return DataFrames reading them back.
 
@@ -207,21 +192,6 @@ def log_run(spark, t, path, run_id, source, started, status: str = "success") ->
     return spark.read.parquet(path)
 
 
-def _list_inputs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
-    """(path, size, modification time) of every input file at any depth, through the Hadoop FS (any store).
-
-    A table may be a folder of parts; stores do not change a folder's own time with its files."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    files = fs.listFiles(path, True)
-    while files.hasNext():
-        st = files.next()
-        out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
-    return sorted(out)
-
-
 def _code_version() -> str:
     h = hashlib.sha1()
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -241,27 +211,21 @@ def _canonical(path: str) -> str:
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(_canonical(sf_dir).encode())
-    h.update(repr(_list_inputs(spark, sf_dir)).encode())
+    h.update(repr(list_files(spark, sf_dir)).encode())
     h.update(_code_version().encode())
     return h.hexdigest()[:24]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
 def _published(spark: SparkSession, base: str, fp: str) -> dict | None:
     ptr = f"{base}/_published/{fp}"
-    if not _exists(spark, f"{ptr}/_SUCCESS"):  # no finished pointer yet
+    if not exists(spark, f"{ptr}/_SUCCESS"):  # no finished pointer yet
         return None
     row = spark.read.json(ptr).first()
     if not row:
         return None
     pub = {"root": row["root"], "tables": list(row["tables"]), "schemas": list(row["schemas"] or [])}
     # a build whose folder was removed (retention) is rebuilt rather than half-read
-    return pub if _exists(spark, f"{pub['root']}/v_rt_departure_performance/_SUCCESS") else None
+    return pub if exists(spark, f"{pub['root']}/v_rt_departure_performance/_SUCCESS") else None
 
 
 def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: dict[str, DataFrame]) -> None:

@@ -8,20 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.functions import hour_band, pct
+from quayline.operators import references
 from quayline.plans import platform as platform_plans
 from quayline.plans.common import FOCUS_STATION, HUBS, MORNING_SECS, beside, long, weighted
-from quayline.schemas import (
-    ACCESSIBILITY,
-    ALERT_CAUSES,
-    ALERT_EFFECTS,
-    EXCEPTION_TYPES,
-    MEMBER_COLUMNS,
-    PICKUP_DROP,
-    ROUTE_TYPES,
-    STOP_SCHEDULE_RELATIONSHIP,
-    TRANSFER_TYPES,
-    TRIP_SCHEDULE_RELATIONSHIP,
-)
+from quayline.schemas import MEMBER_COLUMNS
 
 EXPLORER_STATION = HUBS[2]
 LOOKUP_STOP = "P1"
@@ -112,8 +102,9 @@ def b06_table_sizes(t):
 
 def s07_feed_roundtrip(t):
     """S01-S07 on volume: export the staged members as a feed, read it back with the
-    feed reader (by header name, record numbers, shape check) and compare the
-    contents of every member, row for row as a hash, with what was exported."""
+    feed reader (by header name, record numbers, shape check), compare the
+    contents of every member, row for row as a hash, with what was exported, and
+    check that the records of every file are numbered without a gap."""
     import uuid
 
     from quayline import pipeline
@@ -123,16 +114,63 @@ def s07_feed_roundtrip(t):
     members = {m: t[f"stg_{m}"] for m in MEMBER_COLUMNS}
     root = f"{pipeline.checkpoint_root(spark)}/quayline-feed-export/{uuid.uuid4().hex}"
     gtfs_feed.export_feed(members, f"{root}/feed")
-    back, report, _ = gtfs_feed.staged_members(spark, f"{root}/feed", stage_dir=f"{root}/records")
-    same = None
-    for m in MEMBER_COLUMNS:
-        pair = gtfs_feed.content_digest(members[m], m).unionAll(gtfs_feed.content_digest(back[m], m))
-        one = pair.agg((F.count_distinct("n", "h") == 1).alias("same_contents")).select(F.lit(m).alias("member"), "same_contents")
-        same = one if same is None else same.unionAll(one)
-    zero = F.lit(0).cast("long")
-    return report.join(same, "member").select(
-        "member", "staged_rows", F.coalesce("shape_mismatches", zero).alias("shape_mismatches"),
-        F.coalesce("damaged_records", zero).alias("damaged_records"), "same_contents")
+    records = gtfs_feed.read_records(spark, f"{root}/feed", f"{root}/lines")
+    headers = gtfs_feed.member_listing(gtfs_feed.staged_records(spark, f"{root}/lines", first_only=True))
+    gtfs_feed.check_members(headers)
+    back = gtfs_feed.aligned_records(records, headers)
+    out = gtfs_feed.member_digests(members).withColumnsRenamed({"n": "n_out", "h": "h_out"})
+    both = out.join(gtfs_feed.content_digests(back), "member", "left")
+    same = both.select("member", (F.col("n").eqNullSafe(F.col("n_out")) & F.col("h").eqNullSafe(F.col("h_out"))).alias("same_contents"))
+    return gtfs_feed.member_report(back).join(same, "member").join(gtfs_feed.numbers_without_gaps(back), "member").select(
+        "member", "staged_rows", "shape_mismatches", "damaged_records", "same_contents", "numbers_without_gaps")
+
+
+RAGGED_HEADER = ["shape_dist_traveled", "trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence",
+                 "stop_headsign", "pickup_type", "drop_off_type"]
+
+
+def ragged_calls(staged: DataFrame) -> DataFrame:
+    """The staged calls as lines of a CSV file, in the order of their staged number, each file with its header.
+
+    Every 7th record has a field too many, every other 11th two too few; every 5th has
+    a headsign with quotes, a comma and a line break. The first field is the staged number."""
+    k = F.col("src_line_no")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    headsign = F.when(k % 5 == 0, F.concat(F.lit('"to ""'), text("stop_id"), F.lit('"",\nvia"'))).otherwise(F.lit(""))
+    body = F.concat_ws(",", k.cast("string"), *[text(c) for c in RAGGED_HEADER[1:6]], headsign)
+    codes = F.concat(F.lit(","), text("pickup_type"), F.lit(","), text("drop_off_type"))
+    line = F.when(k % 7 == 0, F.concat(body, codes, F.lit(",surplus"))).when(k % 11 == 0, body).otherwise(F.concat(body, codes))
+    rows = staged.repartitionByRange("src_line_no").sortWithinPartitions("src_line_no")
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    return rows.select(F.when(first, F.concat(F.lit(",".join(RAGGED_HEADER) + "\n"), line)).otherwise(line).alias("value"))
+
+
+def s03_s04_ragged_records(t):
+    """S03, S04 on volume: ragged records with quoted line breaks, read in many byte ranges of each file."""
+    import uuid
+
+    from quayline import pipeline
+    from quayline.sources import gtfs_feed
+
+    spark = t["trip"].sparkSession
+    root = f"{pipeline.checkpoint_root(spark)}/quayline-ragged/{uuid.uuid4().hex}"
+    ragged_calls(t["stg_stop_times"]).write.option("lineSep", "\n").text(f"{root}/feed/stop_times.txt")
+    records = gtfs_feed.read_records(spark, f"{root}/feed", f"{root}/lines", ranges=4 * spark.sparkContext.defaultParallelism)
+    headers = gtfs_feed.member_listing(gtfs_feed.staged_records(spark, f"{root}/lines", first_only=True))
+    back = gtfs_feed.staged_member(records, headers, "stop_times").withColumns({
+        "key": F.col("shape_dist_traveled").cast("long"), "file": F.floor(F.col("src_line_no") / gtfs_feed.FILE_LINES)})
+    # a file is a stretch of the staged order: its records' places follow their keys
+    place = F.row_number().over(Window.partitionBy("file").orderBy("key")) + 1
+    back = back.withColumn("place", place)
+    hits = lambda c: F.count(F.when(c, 1)).cast("long")
+    spread = F.concat(F.lit('to "'), F.col("stop_id"), F.lit('",\nvia'))
+    return back.agg(
+        F.count(F.lit(1)).cast("long").alias("records"), hits(F.col("_surplus_fields") > 0).alias("too_many_fields"),
+        hits(F.col("_surplus_fields") < 0).alias("too_few_fields"), hits(F.col("_shape_mismatch")).alias("shape_mismatches"),
+        hits(F.contains(F.col("stop_headsign"), F.lit("\n"))).alias("records_over_lines"),
+        hits(F.col("stop_headsign") == F.when(F.col("key") % 5 == 0, spread).otherwise(F.lit(""))).alias("headsigns_intact"),
+        hits(F.col("place") == F.col("src_line_no") % gtfs_feed.FILE_LINES).alias("numbers_in_order"),
+        F.sum(F.coalesce(F.col("pickup_type").try_cast("long"), F.lit(0))).cast("long").alias("pickup_codes"))
 
 
 def s08_s19_shred_roundtrip(t):
@@ -336,69 +374,11 @@ def d12_rejected_rows(t):
     ).orderBy(F.col("rows_rejected").desc(), "rule_code", "source_table")
 
 
-# (child, its columns, parent, the parent's key) of every reference between tables.
-FOREIGN_KEYS = [
-    ("platform", ("station_id",), "station", ("station_id",)),
-    ("route", ("agency_id",), "agency", ("agency_id",)),
-    ("trip", ("route_id",), "route", ("route_id",)),
-    ("trip", ("service_id",), "service", ("service_id",)),
-    ("service_date", ("service_id",), "service", ("service_id",)),
-    ("stop_time", ("trip_id",), "trip", ("trip_id",)),
-    ("stop_time", ("stop_id",), "platform", ("stop_id",)),
-    ("transfer", ("from_stop_id",), "platform", ("stop_id",)),
-    ("transfer", ("to_stop_id",), "platform", ("stop_id",)),
-    ("transfer", ("from_trip_id",), "trip", ("trip_id",)),
-    ("transfer", ("to_trip_id",), "trip", ("trip_id",)),
-    ("rt_trip_update", ("snapshot_id",), "rt_snapshot", ("snapshot_id",)),
-    ("rt_stop_time_update", ("snapshot_id", "rt_entity_id"), "rt_trip_update", ("snapshot_id", "rt_entity_id")),
-    ("rt_alert", ("snapshot_id",), "rt_snapshot", ("snapshot_id",)),
-    ("rt_alert_text", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
-    ("rt_alert_informed_entity", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
-    ("rt_alert_active_period", ("snapshot_id", "rt_entity_id"), "rt_alert", ("snapshot_id", "rt_entity_id")),
-]
-# References to fixed code lists: a membership test on the column, no join needed.
-_ACCESS = [c for c, *_ in ACCESSIBILITY]
-CODE_FKS = [
-    ("station", "wheelchair_boarding", "ref_accessibility", _ACCESS),
-    ("trip", "bikes_allowed", "ref_accessibility", _ACCESS),
-    ("trip", "wheelchair_accessible", "ref_accessibility", _ACCESS),
-    ("route", "route_type", "ref_route_type", [c for c, _ in ROUTE_TYPES]),
-    ("service_date", "exception_type", "ref_exception_type", [c for c, _ in EXCEPTION_TYPES]),
-    ("stop_time", "pickup_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
-    ("stop_time", "drop_off_type", "ref_pickup_drop", [c for c, _ in PICKUP_DROP]),
-    ("transfer", "transfer_type", "ref_transfer_type", [c for c, _ in TRANSFER_TYPES]),
-    ("rt_trip_update", "schedule_relationship", "ref_trip_schedule_relationship", [c for c, _ in TRIP_SCHEDULE_RELATIONSHIP]),
-    ("rt_stop_time_update", "schedule_relationship", "ref_stop_schedule_relationship",
-     [c for c, *_ in STOP_SCHEDULE_RELATIONSHIP]),
-    ("rt_alert", "cause", "ref_alert_cause", [c for c, _ in ALERT_CAUSES]),
-    ("rt_alert", "effect", "ref_alert_effect", [c for c, _ in ALERT_EFFECTS]),
-]
-
-
-def _violations_of(t, child: str) -> DataFrame:
-    """All violated references of one table in one scan: parents' keys are looked up by left
-    joins, and each row gives out as many violations as it has."""
-    keys = [(cols, parent, pcols) for c, cols, parent, pcols in FOREIGN_KEYS if c == child and parent in t]
-    codes = [(col, ref, known) for c, col, ref, known in CODE_FKS if c == child and col in t[child].columns]
-    df = t[child].select(*dict.fromkeys([c for cols, *_ in keys for c in cols] + [c for c, *_ in codes]))
-    faults = []
-    for i, (cols, parent, pcols) in enumerate(keys):
-        parents = t[parent].select(*[F.col(c).alias(f"_k{i}_{j}") for j, c in enumerate(pcols)], F.lit(True).alias(f"_found{i}"))
-        parents = parents.distinct() if len(pcols) > 1 else parents  # a single key is the parent's own
-        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_k{i}_{j}") for j, c in enumerate(cols)])
-        df = df.join(parents, same, "left")
-        lost = F.col(f"_found{i}").isNull() & reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
-        value = F.concat_ws("/", *[F.col(c).cast("string") for c in cols])
-        faults.append(F.when(lost, F.struct(F.lit(",".join(cols)).alias("fk_column"), F.lit(parent).alias("parent_table"),
-                                            value.alias("value"))))
-    for col, ref, known in codes:
-        faults.append(F.when(F.col(col).isNotNull() & ~F.col(col).isin(*known), F.struct(
-            F.lit(col).alias("fk_column"), F.lit(ref).alias("parent_table"), F.col(col).cast("string").alias("value"))))
-    found = df.select(F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("x"))
-    return found.select(F.lit(child).alias("child_table"), "x.*")
+def d13_fk_violations(t):
+    """One row per violating child row, for every reference."""
+    return references.violations(t)
 
 
-def d13_fk_violations(t):
-    """One row per violating child value, for every reference."""
-    children = dict.fromkeys([c for c, *_ in FOREIGN_KEYS] + [c for c, *_ in CODE_FKS])
-    return reduce(DataFrame.unionByName, [_violations_of(t, c) for c in children if c in t])
+def d13_reference_report(t):
+    """One row per reference, whether it is violated or not."""
+    return references.report(t)

@@ -59,6 +59,7 @@ QUERIES = {
     "b04_annualised_by_hour_base_tables": explore.b04_annualised_by_hour_base_tables,
     "b05_station_platform_calls": explore.b05_station_platform_calls,
     "b06_table_sizes": explore.b06_table_sizes,
+    "s03_s04_ragged_records": explore.s03_s04_ragged_records,
     "s07_feed_roundtrip": explore.s07_feed_roundtrip,
     "s08_s19_shred_roundtrip": explore.s08_s19_shred_roundtrip,
     "s11_s15_alert_shred": ingest.s11_s15_alert_shred,
@@ -79,6 +80,7 @@ QUERIES = {
     "d11_feed_characteristics": explore.d11_feed_characteristics,
     "d12_rejected_rows": explore.d12_rejected_rows,
     "d13_fk_violations": explore.d13_fk_violations,
+    "d13_reference_report": explore.d13_reference_report,
     "x01_x21_integrity_checks": checks.check_table,
     "x18_x20_run_log_checks": checks.run_log_checks,
     "r05_delay_history": snapshots.delay_history,

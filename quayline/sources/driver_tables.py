@@ -374,7 +374,7 @@ def realtime_from_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         (F.col("snapshot_id") + 1).alias("snapshot_id"), "feed_timestamp_epoch", "fetched_at_utc", "rt_entity_id",
         (eid % 12 + 1).cast("int").alias("cause"),
         ((eid / 12).cast("long") % 11 + 1).cast("int").alias("effect"),
-        F.col("trip_id"),
+        F.col("trip_id"), eid,
     )
     alert_snapshots = alert_rows.groupBy("snapshot_id", "feed_timestamp_epoch", "fetched_at_utc").agg(
         F.count(F.lit(1)).alias("entity_count")
@@ -396,16 +396,38 @@ def realtime_from_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
     return {
         "rt_snapshot": trip_snapshots.unionByName(alert_snapshots),
         # one entity per event, so (snapshot_id, rt_entity_id) is already unique
-        "rt_trip_update": obs.select("snapshot_id", "rt_entity_id", "trip_id", "start_date"),
+        "rt_trip_update": obs.select(
+            "snapshot_id", "rt_entity_id", "trip_id", "start_date",
+            # every 23rd trip is cancelled, every 29th carries a code that no list has
+            F.when(eid % 29 == 28, 4).when(eid % 23 == 22, 3).otherwise(0).cast("int").alias("schedule_relationship")),
         "rt_stop_time_update": obs.select(
             "snapshot_id", "rt_entity_id", "stop_sequence", "stop_id", "departure_delay_s", "arrival_delay_s",
             "schedule_relationship",
         ),
         "rt_alert": alert_rows.select("snapshot_id", "rt_entity_id", "cause", "effect"),
         "rt_alert_text": texts,
+        "rt_alert_informed_entity": _alert_parts(alert_rows, [
+            (F.col("event_id") % 7 != 0, F.struct(F.concat(F.lit("P"), _text(F.col("event_id") % 10)).alias("stop_id"),
+                                                  F.lit(None).cast("string").alias("trip_id"))),
+            ((F.col("event_id") % 7 != 0) & (F.col("event_id") % 2 == 0), F.struct(
+                F.lit(None).cast("string").alias("stop_id"), F.col("trip_id").alias("trip_id"))),
+        ]),
+        "rt_alert_active_period": _alert_parts(alert_rows, [
+            (F.col("event_id") % 5 != 0, F.struct(F.col("feed_timestamp_epoch").alias("start_epoch"),
+                                                  (F.col("feed_timestamp_epoch") + 3600).alias("end_epoch"))),
+            ((F.col("event_id") % 5 != 0) & (F.col("event_id") % 3 == 0), F.struct(
+                F.col("feed_timestamp_epoch").alias("start_epoch"), F.lit(None).cast("long").alias("end_epoch"))),
+        ]),
     }
 
 
+def _alert_parts(alerts: DataFrame, parts: list) -> DataFrame:
+    """Child rows of alerts: (condition, fields) in order; the place among an alert's own rows is ``seq``."""
+    rows = F.filter(F.array(*[F.when(cond, fields) for cond, fields in parts]), lambda x: x.isNotNull())
+    out = alerts.select("snapshot_id", "rt_entity_id", F.posexplode(rows).alias("seq", "x"))
+    return out.select("snapshot_id", "rt_entity_id", F.col("seq").cast("int").alias("seq"), "x.*")
+
+
 # ---------------------------------------------------------------------------
 # Realtime documents derived from events (for the shredder on volume)
 # ---------------------------------------------------------------------------

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quayline.sources import realtime_json as rj
+from quayline.storage import exists
 
 CHILDREN = {
     "trip-update": ["rt_trip_update", "rt_stop_time_update"],
@@ -37,13 +38,6 @@ CHILDREN = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 LOG_SCHEMA = ("snapshot_id long, fetched_at_utc string, feed_timestamp_epoch long, feed_timestamp_utc string, "
               "entity_count int, bytes_downloaded long, source_url string, batch string, version int, feed string")
 
@@ -51,7 +45,7 @@ LOG_SCHEMA = ("snapshot_id long, fetched_at_utc string, feed_timestamp_epoch lon
 def read_log(spark: SparkSession, root: str) -> DataFrame | None:
     """One row per snapshot: its row of the highest version, which names the batch that holds it."""
     path = f"{root}/rt_snapshot"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     # an empty first batch leaves a folder without files: the schema is ours, not inferred
     rows = spark.read.schema(LOG_SCHEMA).parquet(path)
@@ -141,7 +135,7 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         return {}
     out = {"rt_snapshot": log.drop("batch", "version")}
     for name in [*CHILDREN["trip-update"], *CHILDREN["alert"]]:
-        if _exists(spark, f"{root}/{name}"):
+        if exists(spark, f"{root}/{name}"):
             out[name] = _held(spark, root, name, log).drop("day", "batch")
     return out
 
