@@ -174,23 +174,37 @@ def rt_departure_performance(t: dict[str, DataFrame], rt: dict[str, DataFrame])
     entity id: the reference's insertion order made explicit and replay-proof.
     Trips unknown to the timetable drop out (inner join); places are optional.
     """
-    spark = t["trip"].sparkSession
-    obs = (
-        rt["rt_stop_time_update"]
+    return performance_of(t, newest_of(observations(rt)))
+
+
+OBSERVED_CALL = ["trip_id", "start_date", "stop_sequence"]
+OBSERVATION_ORDER = ["feed_timestamp_epoch", "fetched_at_utc", "rt_entity_id"]
+OBSERVATION_PAYLOAD = ["stop_id", "departure_delay_s", "arrival_delay_s", "schedule_relationship"]
+
+
+def observations(rt: dict[str, DataFrame]) -> DataFrame:
+    """Every observation of a call in the log: the call, what orders its observations, and what was observed."""
+    joined = (
+        rt["rt_stop_time_update"].select("snapshot_id", "rt_entity_id", "stop_sequence", *OBSERVATION_PAYLOAD)
         .join(rt["rt_trip_update"].select("snapshot_id", "rt_entity_id", "trip_id", "start_date"),
               ["snapshot_id", "rt_entity_id"])
         .join(rt["rt_snapshot"].select("snapshot_id", "feed_timestamp_epoch", "fetched_at_utc"), "snapshot_id")
-        .filter(F.col("trip_id").isNotNull())
-    )
-    # Latest wins as an aggregate: max of (feed ts, fetch time, entity, payload)
-    # per call; repeated observations of a hot call collapse map-side.
-    payload = ["stop_id", "departure_delay_s", "arrival_delay_s", "schedule_relationship"]
-    o = (
-        obs.groupBy("trip_id", "start_date", "stop_sequence")
-        .agg(F.max(F.struct("feed_timestamp_epoch", "fetched_at_utc", "rt_entity_id", *payload)).alias("_l"))
-        .select("trip_id", "start_date", "stop_sequence", *[F.col(f"_l.{c}").alias(c) for c in
-                                                            ["fetched_at_utc", *payload]])
     )
+    return joined.filter(F.col("trip_id").isNotNull()).select(*OBSERVED_CALL, *OBSERVATION_ORDER, *OBSERVATION_PAYLOAD)
+
+
+def newest_of(observed: DataFrame) -> DataFrame:
+    """The newest observation of each call: the maximum of (feed time, fetch, entity, payload) as an
+    aggregate, so repeated observations of a hot call collapse map-side."""
+    fields = [*OBSERVATION_ORDER, *OBSERVATION_PAYLOAD]
+    newest = observed.groupBy(*OBSERVED_CALL).agg(F.max(F.struct(*fields)).alias("_l"))
+    return newest.select(*OBSERVED_CALL, *[F.col(f"_l.{c}").alias(c) for c in fields])
+
+
+def performance_of(t: dict[str, DataFrame], newest: DataFrame) -> DataFrame:
+    """Newest observations joined to the timetable."""
+    spark = t["trip"].sparkSession
+    o = newest.drop("feed_timestamp_epoch", "rt_entity_id")
     ssr = ref_stop_schedule_relationship(spark).select(
         F.col("code").alias("schedule_relationship"), F.col("label").alias("stop_status"), "is_cancellation"
     )

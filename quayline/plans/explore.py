@@ -115,7 +115,7 @@ def s07_feed_roundtrip(t):
     root = f"{pipeline.checkpoint_root(spark)}/quayline-feed-export/{uuid.uuid4().hex}"
     gtfs_feed.export_feed(members, f"{root}/feed")
     records = gtfs_feed.read_records(spark, f"{root}/feed", f"{root}/lines")
-    headers = gtfs_feed.member_listing(gtfs_feed.staged_records(spark, f"{root}/lines", first_only=True))
+    headers = gtfs_feed.member_listing(gtfs_feed.staged_headers(spark, f"{root}/lines"))
     gtfs_feed.check_members(headers)
     back = gtfs_feed.aligned_records(records, headers)
     out = gtfs_feed.member_digests(members).withColumnsRenamed({"n": "n_out", "h": "h_out"})
@@ -156,7 +156,7 @@ def s03_s04_ragged_records(t):
     root = f"{pipeline.checkpoint_root(spark)}/quayline-ragged/{uuid.uuid4().hex}"
     ragged_calls(t["stg_stop_times"]).write.option("lineSep", "\n").text(f"{root}/feed/stop_times.txt")
     records = gtfs_feed.read_records(spark, f"{root}/feed", f"{root}/lines", ranges=4 * spark.sparkContext.defaultParallelism)
-    headers = gtfs_feed.member_listing(gtfs_feed.staged_records(spark, f"{root}/lines", first_only=True))
+    headers = gtfs_feed.member_listing(gtfs_feed.staged_headers(spark, f"{root}/lines"))
     back = gtfs_feed.staged_member(records, headers, "stop_times").withColumns({
         "key": F.col("shape_dist_traveled").cast("long"), "file": F.floor(F.col("src_line_no") / gtfs_feed.FILE_LINES)})
     # a file is a stretch of the staged order: its records' places follow their keys

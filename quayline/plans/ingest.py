@@ -11,10 +11,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayline.functions import pct
+from quayline.operators import views
+from quayline.plans import semantic
 from quayline.plans.common import beside
 from quayline.sources import driver_tables
 from quayline.sources import realtime_json as rj
-from quayline.streaming import snapshots
+from quayline.streaming import lateness, latest, snapshots
 
 EVERY_DAY = "9999-12-31"
 
@@ -104,6 +107,72 @@ def r05_stream(t) -> DataFrame:
                       "observations", "scored", "on_time")
 
 
+def r03_latest_stream(t) -> DataFrame:
+    """V07 from the table that the stream keeps, after snapshots out of order and a repeat of all of them."""
+    spark = t["trip"].sparkSession
+    path = _folder(t, "latest")
+    docs = driver_tables.snapshot_documents(t["rt_trip_update"], t["rt_stop_time_update"], keep_id=True)
+    half = F.floor(F.col("snapshot_id") / 2)
+    for name, part in (("newer", docs.filter(half % 3 != 0)), ("older", docs.filter(half % 3 == 0)), ("again", docs)):
+        rj.export_documents(part, f"{path}/in/{name}")
+        latest.run_latest(spark, f"{path}/in", f"{path}/table", f"{path}/checkpoint", lines=True)
+    latest.remove_replaced(spark, f"{path}/table")
+    perf = views.performance_of(t, latest.read_latest(spark, f"{path}/table"))
+    return semantic.v07_rt_departure_performance({"v_rt_departure_performance": perf})
+
+
+_LEDGERS: dict = {}
+
+
+def _ledger(t) -> DataFrame:
+    """Both feeds ingested in two deliveries and once more as a whole, with the ledger of it; once per session and build."""
+    spark = t["trip"].sparkSession
+    key = (spark.sparkContext.applicationId, id(t["trip"]))
+    if key not in _LEDGERS:
+        path = _folder(t, "ledger")
+        first = F.pmod(F.floor(F.col("snapshot_id") / 2), F.lit(5)) != 0
+        docs = driver_tables.snapshot_documents(t["rt_trip_update"], t["rt_stop_time_update"], keep_id=True)
+        alerts = driver_tables.alert_documents(t["rt_alert"])
+        bad = spark.createDataFrame([('{"header":{},"entity":[]}',), ("no document",)], "doc string")
+        for name, part in (("first", docs.filter(first).select("doc").unionAll(bad)), ("rest", docs.filter(~first)), ("again", docs)):
+            rj.export_documents(part, f"{path}/tu/{name}")
+            snapshots.run_ingest(spark, f"{path}/tu", "trip-update", f"{path}/log", f"{path}/c1", trips=t["trip"], lines=True)
+        for name in ("first", "again"):
+            rj.export_documents(alerts, f"{path}/al/{name}")
+            snapshots.run_ingest(spark, f"{path}/al", "alert", f"{path}/log", f"{path}/c2", lines=True)
+        _LEDGERS[key] = (t["trip"], snapshots.read_ledger(spark, f"{path}/log"))
+    return _LEDGERS[key][1]
+
+
+def s20_rows_written(t) -> DataFrame:
+    """Per table, batches, documents taken in and refused, and rows written."""
+    return _ledger(t).groupBy("feed", "table_name").agg(
+        F.count(F.lit(1)).cast("long").alias("batches"), F.sum("documents").alias("documents"), F.sum("refused").alias("refused"),
+        F.sum("already_held").alias("already_held"), F.sum("rows_written").alias("rows_written"))
+
+
+def r04_match_rate(t) -> DataFrame:
+    """How many trip updates name a trip of the timetable, from the ledger."""
+    one = _ledger(t).filter(F.col("table_name") == "rt_trip_update").agg(
+        F.sum("rows_written").alias("trip_updates"), F.sum("rows_matched").alias("matched"))
+    return one.select("trip_updates", "matched", pct("matched", "trip_updates", 2).alias("match_rate_pct"))
+
+
+HISTORY_DELAY = 86400
+
+
+def r05_late_rows(t) -> DataFrame:
+    """Every eleventh snapshot arrives last, most of them after their window was closed."""
+    spark = t["trip"].sparkSession
+    path = _folder(t, "lateness")
+    docs = driver_tables.snapshot_documents(t["rt_trip_update"], t["rt_stop_time_update"], keep_id=True)
+    held_back = F.pmod(F.floor(F.col("snapshot_id") / 2), F.lit(11)) == 0
+    for name, part in (("in_time", docs.filter(~held_back)), ("late", docs.filter(held_back)), ("again", docs)):
+        rj.export_documents(part, f"{path}/in/{name}")
+        lateness.run_history(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", HISTORY_DELAY, lines=True)
+    return lateness.history(spark, f"{path}/out", HISTORY_DELAY)
+
+
 def t21_rejected_rows(t) -> DataFrame:
     """Every quarantined row: table, line, rule, reason."""
     return t["rejected_row"].select("source_table", "src_line_no", "rule_code", "reason")

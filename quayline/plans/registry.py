@@ -66,7 +66,11 @@ QUERIES = {
     "t21_rejected_rows": ingest.t21_rejected_rows,
     "r02_replay": ingest.r02_replay,
     "r02_late_after_compaction": ingest.r02_late_after_compaction,
+    "r03_latest_stream": ingest.r03_latest_stream,
+    "r04_match_rate": ingest.r04_match_rate,
+    "s20_rows_written": ingest.s20_rows_written,
     "r05_stream": ingest.r05_stream,
+    "r05_late_rows": ingest.r05_late_rows,
     "d01_feed_provenance": explore.d01_feed_provenance,
     "d02_ingestion_runs": explore.d02_ingestion_runs,
     "d03_headline_counts": explore.d03_headline_counts,

@@ -80,6 +80,8 @@ def stage_lines(spark: SparkSession, path: str, stage_dir: str, ranges: int | No
     finally:
         spark.conf.set(setting, before)
     byte_ranges.range_starts(_lines(spark, stage_dir)).write.mode("overwrite").parquet(f"{stage_dir}/starts")
+    first = staged_records(spark, stage_dir, first_only=True).coalesce(1)  # one header per file
+    first.write.mode("overwrite").parquet(f"{stage_dir}/headers")
 
 
 def _lines(spark: SparkSession, stage_dir: str) -> DataFrame:
@@ -132,6 +134,11 @@ def read_records(spark: SparkSession, path: str, stage_dir: str | None = None, r
     return staged_records(spark, stage_dir)
 
 
+def staged_headers(spark: SparkSession, stage_dir: str) -> DataFrame:
+    """The first record of every file."""
+    return spark.read.parquet(f"{stage_dir}/headers")
+
+
 def staged_records(spark: SparkSession, stage_dir: str, first_only: bool = False) -> DataFrame:
     """The records of staged lines; ``first_only``: the headers, without reading the rest."""
     lines, starts = _lines(spark, stage_dir), spark.read.parquet(f"{stage_dir}/starts")
@@ -239,7 +246,7 @@ def staged_members(spark: SparkSession, path: str, stage_dir: str | None = None,
     records = read_records(spark, path, stage_dir, ranges)
     if keep:
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
-    headers = member_listing(staged_records(spark, stage_dir, first_only=True))
+    headers = member_listing(staged_headers(spark, stage_dir))
     listing = check_members(headers)
     out: dict[str, DataFrame] = {}
     for member in MEMBER_COLUMNS:

@@ -10,11 +10,13 @@
   never read, its retry writes a new one, and a replayed file is skipped. Late
   snapshots are history and are kept (no ``dropDuplicatesWithinWatermark``: the log
   itself is the dedupe state);
-* R03 latest observation per call: ``views.rt_departure_performance`` over the log;
-* R04 soft link to the timetable: trip updates are left-joined to the trip keys
-  and the match rate is published through ``observe`` (drift is measured, not
-  enforced);
-* R05 delay history: tumbling 30-minute event-time windows with a watermark.
+* R03 latest observation per call: ``views.rt_departure_performance`` over the log, or
+  kept up to date by the stream itself (``streaming.latest``);
+* R04, S20 soft link to the timetable and rows written: trip updates are left-joined to
+  the trip keys, and what is observed while the child tables are written goes to a
+  ledger, one row per table and batch (drift is measured, not enforced);
+* R05 delay history: tumbling 30-minute event-time windows with a watermark
+  (``streaming.lateness`` keeps and counts what the watermark shuts out).
 
 Child tables are partitioned by day and batch. ``compact`` rewrites what past days
 hold as one batch and appends log rows of a higher version that name it, so the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quayline.sources import realtime_json as rj
-from quayline.storage import exists
+from quayline.storage import delete, exists
 
 CHILDREN = {
     "trip-update": ["rt_trip_update", "rt_stop_time_update"],
@@ -68,29 +70,66 @@ def _commit(log: DataFrame, batch: str, version: int, root: str) -> None:
         "feed").parquet(f"{root}/rt_snapshot")
 
 
+LEDGER_SCHEMA = ("feed string, table_name string, documents long, refused long, already_held long, rows_written long, "
+                 "rows_matched long")
+
+
 def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | None = None) -> dict:
-    """Register and shred one batch of snapshot documents into the log under ``root``."""
+    """Register and shred one batch of snapshot documents into the log under ``root``.
+
+    The ledger gets a row per child table: documents in the batch, those refused for
+    want of a header timestamp, those the log held already (or the batch held twice),
+    rows written and, for trip updates, rows whose trip the timetable knows (R04; the
+    others are kept: drift is measured, not enforced). Counts are observed while the
+    rows are written. A batch without a new snapshot writes nothing, so a replay
+    leaves log and ledger as they are.
+    """
     spark = docs.sparkSession
     batch = uuid.uuid4().hex
-    fresh = rj.register_snapshots(rj.parse_documents(docs, feed), read_log(spark, root))
+    seen = Observation(f"documents_{batch}")
+    parsed = rj.parse_documents(docs, feed).observe(
+        seen, F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("feed_timestamp_epoch").isNull(), 1)).alias("refused"))
+    parsed.write.parquet(f"{root}/_parsed/{batch}")  # parsed once; the choice below reads it twice
+    parsed = spark.read.schema(parsed.schema).parquet(f"{root}/_parsed/{batch}")
+    fresh = rj.register_snapshots(parsed, read_log(spark, root))
     fresh.write.parquet(f"{root}/_incoming/{batch}")  # chosen once, read by every child table
     fresh = spark.read.schema(fresh.schema).parquet(f"{root}/_incoming/{batch}")
-    tables = rj.shred(fresh, feed)
-    metrics = {}
-    for name in CHILDREN[feed]:
-        df = tables[name]
-        if name == "rt_trip_update" and trips is not None:
-            obs = Observation(f"match_{batch}")
-            linked = df.join(trips.select("trip_id", F.lit(1).alias("_known")), "trip_id", "left")
-            df = linked.observe(obs, F.count(F.lit(1)).alias("trip_updates"),
-                                F.count("_known").alias("matched")).drop("_known")
-        _append(df, batch, f"{root}/{name}")
-        if name == "rt_trip_update" and trips is not None:
-            metrics = obs.get
-    _commit(tables["rt_snapshot"], batch, 0, root)
+    new = fresh.count()
+    metrics, ledger = {}, []
+    if new:
+        said = seen.get
+        counts = [said["documents"], said["refused"], said["documents"] - said["refused"] - new]
+        tables = rj.shred(fresh, feed)
+        for name in CHILDREN[feed]:
+            df, matched = tables[name], None
+            obs = Observation(f"{name}_{batch}")
+            known = F.lit(None).cast("int")
+            if name == "rt_trip_update" and trips is not None:
+                df = df.join(trips.select("trip_id", F.lit(1).alias("_known")), "trip_id", "left")
+                known = F.col("_known")
+            df = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count(known).alias("matched")).drop("_known")
+            _append(df, batch, f"{root}/{name}")
+            if name == "rt_trip_update" and trips is not None:
+                matched = obs.get["matched"]
+                metrics = {"trip_updates": obs.get["rows"], "matched": matched}
+            ledger.append((feed, name, *counts, obs.get["rows"], matched))
+        spark.createDataFrame(ledger, LEDGER_SCHEMA).withColumn("batch", F.lit(batch)).coalesce(1).write.mode(
+            "append").parquet(f"{root}/_ledger")
+        _commit(tables["rt_snapshot"], batch, 0, root)
+    for folder in ("_parsed", "_incoming"):  # read by this batch only
+        delete(spark, f"{root}/{folder}/{batch}")
     return metrics
 
 
+def read_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The ledger rows of the batches that were committed (a failed batch has rows, but no log names it)."""
+    schema = f"{LEDGER_SCHEMA}, batch string"
+    if not exists(spark, f"{root}/_ledger"):
+        return spark.createDataFrame([], schema)
+    committed = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/rt_snapshot").filter("version = 0").select("batch").distinct()
+    return spark.read.schema(schema).parquet(f"{root}/_ledger").join(committed, "batch", "left_semi")
+
+
 def snapshot_stream(spark: SparkSession, source_dir: str, lines: bool = False) -> DataFrame:
     """Each new file under ``source_dir`` is one snapshot document, or holds one per line."""
     return (
@@ -162,6 +201,7 @@ def compact(spark: SparkSession, root: str, through_day: str) -> int:
                 rows = _held(spark, root, name, todo).drop("day", "batch").repartitionByRange("snapshot_id")
                 _append(rows, batch, f"{root}/{name}")
         _commit(todo.drop("batch", "version"), batch, 1, root)
+    delete(spark, f"{root}/_compacting/{batch}")
     return n
 
 
