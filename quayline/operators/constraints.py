@@ -55,20 +55,45 @@ def _rules() -> dict[str, list[tuple[str, Column]]]:
                      ("min_transfer_time >= 0", F.coalesce(_c("min_transfer_time") >= 0, F.lit(True)))],
         "text_translation": [("table_name in (stops, trips)", _c("table_name").isin("stops", "trips")),
                              ("language in (nl, de, en, fr)", _c("language").isin("nl", "de", "en", "fr"))],
+        "agency": [nn("agency_id"), nn("agency_name"), nn("agency_timezone")],
+        "feed_info": [nn("feed_publisher_name"),
+                      ("feed_end_date >= feed_start_date", F.coalesce(_c("feed_end_date") >= _c("feed_start_date"), F.lit(True)))],
+        "rt_snapshot": [nn("snapshot_id"), nn("fetched_at_utc"), nn("feed_timestamp_epoch"),
+                        ("feed in (trip-update, alert)", _c("feed").isin("trip-update", "alert")), ("entity_count >= 0", _c("entity_count") >= 0)],
+        "rt_trip_update": [nn("snapshot_id"), nn("rt_entity_id")],
+        "rt_stop_time_update": [nn("snapshot_id"), nn("rt_entity_id"), nn("stop_sequence")],
+        "rt_alert": [nn("snapshot_id"), nn("rt_entity_id")],
+        "rt_alert_text": [nn("snapshot_id"), nn("rt_entity_id"), nn("language"), nn("text"),
+                          ("field_name in (header, description)", _c("field_name").isin("header", "description"))],
+        "rt_alert_informed_entity": [nn("snapshot_id"), nn("rt_entity_id"), ("seq >= 0", _c("seq") >= 0)],
+        "rt_alert_active_period": [nn("snapshot_id"), nn("rt_entity_id"), ("seq >= 0", _c("seq") >= 0),
+                                   ("end_epoch >= start_epoch", F.coalesce(_c("end_epoch") >= _c("start_epoch"), F.lit(True)))],
     }
 
 
+_ENTITY = ["snapshot_id", "rt_entity_id"]
 KEYS = {
+    "agency": ["agency_id"], "rt_snapshot": ["snapshot_id"], "rt_trip_update": _ENTITY,
+    "rt_stop_time_update": [*_ENTITY, "stop_sequence"], "rt_alert": _ENTITY, "rt_alert_text": [*_ENTITY, "field_name", "language"],
+    "rt_alert_informed_entity": [*_ENTITY, "seq"], "rt_alert_active_period": [*_ENTITY, "seq"],
     "station": ["station_id"], "platform": ["stop_id"], "route": ["route_id"], "service": ["service_id"],
     "service_date": ["service_id", "service_date"], "trip": ["trip_id"], "stop_time": ["trip_id", "stop_sequence"],
     "text_translation": ["table_name", "field_name", "field_value", "language"],
 }
-UNIQUE = {"platform": [["station_id", "platform_code"]]}  # NULL codes are exempt, as in SQL UNIQUE
+UNIQUE = {"platform": [["station_id", "platform_code"]], "rt_snapshot": [["feed", "feed_timestamp_epoch"]]}  # NULL codes are exempt, as in SQL UNIQUE
 
 
 def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
     parts = []
+    # a table that was not built (a feed without realtime) has a row that says so, with no count
+    absent = [table for table in _rules() if table not in t]
+    if absent:
+        spark = next(iter(t.values())).sparkSession
+        parts.append(spark.createDataFrame([(x, "table is built", None) for x in absent],
+                                           "table_name string, constraint_name string, violations long"))
     for table, rules in _rules().items():
+        if table in absent:
+            continue
         agg = t[table].agg(*[F.sum(F.when(F.coalesce(p, F.lit(False)), 0).otherwise(1)).alias(f"c{i}")
                              for i, (_, p) in enumerate(rules)])
         stacked = agg.select(F.explode(F.array(*[
@@ -76,6 +101,8 @@ def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
                      .alias("violations")) for i, (name, _) in enumerate(rules)])).alias("x"))
         parts.append(stacked.select(F.lit(table).alias("table_name"), "x.constraint_name", "x.violations"))
     for table, keys in [*[(k, v) for k, v in KEYS.items()], *[(k, u) for k, us in UNIQUE.items() for u in us]]:
+        if table in absent:
+            continue
         dup = (t[table].filter(reduce(lambda a, b: a & b, [_c(k).isNotNull() for k in keys]))
                .groupBy(*keys).count().filter(F.col("count") > 1))
         parts.append(dup.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations")).select(

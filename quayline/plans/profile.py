@@ -266,18 +266,21 @@ def p30_service_days_in_year(t, year: int = 2024):
     return beside(_n(ranged, "half_open_range"), _n(by_fn, "year_function"))
 
 
-def p31_column_emptiness(t, member: str = "stops"):
-    stg = t[f"stg_{member}"]
-    cols = MEMBER_COLUMNS[member]
-    agg = stg.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.sum(F.when(F.coalesce(F.trim(c), F.lit("")) == "", 1).otherwise(0)).alias(c) for c in cols])
-    stacked = agg.select("_rows", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("blank")) for c in cols])).alias("x"))
-    return stacked.select(
-        F.col("x.column_name").alias("column_name"), long("x.blank").alias("blank_rows"), long("_rows").alias("rows"),
-        F.when(F.col("x.blank") == F.col("_rows"), F.lit("blank on every row"))
-        .when(F.col("x.blank") == 0, F.lit("populated")).otherwise(F.lit("partly blank")).alias("status"),
-    )
+def p31_column_emptiness(t):
+    """Every declared column of every member, one pass per member: a column that is NULL on every row is not in
+    the header (the reader fills absent columns with NULL and blank fields with empty text)."""
+    parts = []
+    for member, cols in MEMBER_COLUMNS.items():
+        stg = t[f"stg_{member}"]
+        agg = stg.agg(F.count(F.lit(1)).alias("_rows"), *[x for c in cols for x in (
+            F.count(F.when(F.coalesce(F.trim(c), F.lit("")) == "", 1)).alias(f"b_{c}"), F.count(c).alias(f"n_{c}"))])
+        stacked = agg.select("_rows", F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.col(f"b_{c}").alias("blank"), F.col(f"n_{c}").alias("given")) for c in cols])).alias("x"))
+        parts.append(stacked.select(F.lit(member).alias("member"), "x.*", F.col("_rows").alias("rows")))
+    status = (F.when(F.col("rows") == 0, "no rows").when(F.col("given") == 0, "absent from the header")
+              .when(F.col("blank") == F.col("rows"), "blank on every row").when(F.col("blank") == 0, "populated").otherwise("partly blank"))
+    return reduce(DataFrame.unionByName, parts).select(
+        "member", "column_name", F.col("blank").alias("blank_rows"), "rows", status.alias("status"))
 
 
 def p32_child_name_matches_parent(t):
@@ -322,6 +325,28 @@ def p36_transfer_profile(t):
     )
 
 
+def p36_transfer_types(t):
+    """Transfers by type and minimum time, how many of them bound to trips."""
+    return t["transfer"].groupBy("transfer_type", "min_transfer_time").agg(
+        F.count(F.lit(1)).alias("transfers"),
+        F.count(F.when(F.col("from_trip_id").isNotNull() | F.col("to_trip_id").isNotNull(), 1)).alias("trip_scoped"))
+
+
+def p36_pairs_both_ways(t):
+    """Unordered pairs of stops with a transfer, within and across stations: one aggregate by (least, greatest)
+    and a mask of the directions that occur, no self-join."""
+    at = lambda end: t["platform"].select(F.col("stop_id").alias(f"{end}_stop_id"), F.col("station_id").alias(f"{end}_station"))
+    ends = t["transfer"].select("from_stop_id", "to_stop_id").filter(F.col("from_stop_id") != F.col("to_stop_id"))
+    forward = F.col("from_stop_id") < F.col("to_stop_id")
+    pairs = ends.join(at("from"), "from_stop_id").join(at("to"), "to_stop_id").groupBy(
+        F.least("from_stop_id", "to_stop_id"), F.greatest("from_stop_id", "to_stop_id"),
+        (F.col("from_station") != F.col("to_station")).alias("crosses_stations")).agg(
+        F.bit_or(F.when(forward, 1).otherwise(2)).alias("directions"))
+    return pairs.groupBy("crosses_stations").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("directions") == 3, 1)).alias("stored_both_ways"),
+        F.count(F.when(F.col("directions") != 3, 1)).alias("stored_one_way"))
+
+
 def p37_transfers_at_stop(t, stop_id: str = LOOKUP_STOP):
     tr = t["transfer"]
     return beside(_n(tr.filter(F.col("to_stop_id") == stop_id), "transfers_in"),
@@ -333,23 +358,45 @@ def p38_distinct_service_dates(t):
 
 
 def p39_stop_status_distribution(t):
+    """Stop-level status: updates, those that carry no time at all, and the range of delays."""
     u = t["rt_stop_time_update"]
+    times = [c for c in ("arrival_time_epoch", "arrival_delay_s", "departure_time_epoch", "departure_delay_s") if c in u.columns]
     return u.groupBy(F.col("schedule_relationship").cast("int").alias("schedule_relationship")).agg(
         F.count(F.lit(1)).cast("long").alias("updates"),
         F.sum(F.when(F.col("departure_delay_s").isNull(), 1).otherwise(0)).cast("long").alias("without_delay"),
+        F.count(F.when(F.coalesce(*times).isNull(), 1)).alias("without_any_time"),
         F.min("departure_delay_s").cast("long").alias("min_delay_s"),
         F.max("departure_delay_s").cast("long").alias("max_delay_s"),
     )
 
 
 def p40_payload_profile(t):
-    ent = t["rt_trip_update"].groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("entities"))
-    upd = t["rt_stop_time_update"].groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("updates"))
-    langs = t["rt_alert_text"].groupBy("snapshot_id").agg(F.count_distinct("language").alias("languages"))
-    snaps = t["rt_snapshot"].select("snapshot_id", "feed")
-    j = snaps.join(ent, "snapshot_id", "left").join(upd, "snapshot_id", "left").join(langs, "snapshot_id", "left")
-    return j.select("snapshot_id", "feed", *[F.coalesce(long(c), F.lit(0).cast("long")).alias(c)
-                                             for c in ("entities", "updates", "languages")])
+    """Per snapshot: entities, updates, alerts, languages per text block, alerts without an active period.
+
+    The tables' rows are counted under their snapshot in one aggregate; a text's language counts once,
+    and an alert meets its periods by (snapshot, entity) before."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    names = ["entities", "updates", "alerts", "alerts_without_period"]
+
+    def counted(df, **values):
+        return df.select("snapshot_id", *[values.get(n, none).alias(n) for n in names],
+                         values.get("header", F.lit(None).cast("string")).alias("header"),
+                         values.get("description", F.lit(None).cast("string")).alias("description"))
+
+    periods = t["rt_alert_active_period"].select("snapshot_id", "rt_entity_id", F.lit(1).alias("_has")).distinct()
+    alerts = t["rt_alert"].join(periods, ["snapshot_id", "rt_entity_id"], "left")
+    text = lambda field: F.when(F.col("field_name") == field, F.col("language"))
+    rows = reduce(DataFrame.unionByName, [
+        counted(t["rt_trip_update"], entities=one), counted(t["rt_stop_time_update"], updates=one),
+        counted(alerts, alerts=one, alerts_without_period=F.when(F.col("_has").isNull(), one).otherwise(none)),
+        counted(t["rt_alert_text"].select("snapshot_id", "field_name", "language").distinct(), header=text("header"),
+                description=text("description"))])
+    per = rows.groupBy("snapshot_id").agg(
+        *[F.sum(n).alias(n) for n in names], F.count("header").alias("header_languages"),
+        F.count("description").alias("description_languages"))
+    return t["rt_snapshot"].select("snapshot_id", "feed").join(per, "snapshot_id", "left").select(
+        "snapshot_id", "feed", *[F.coalesce(c, none).alias(c) for c in (
+            "entities", "updates", "alerts", "header_languages", "description_languages", "alerts_without_period")])
 
 
 def p41_column_profile(t, table: str = "stop_time"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quayline.operators.views import ORIGIN_COLUMNS
 from quayline.plans.common import long
 
 
@@ -12,10 +13,12 @@ def _dates(df, *cols):
 
 
 def v01_departures(t):
+    """All 23 columns of the view."""
     return t["v_departure"].select(
         "trip_id", "stop_sequence", "stop_id", "station_id", "station_name", "platform_code", "has_platform_code",
-        "departure_time", "departure_secs", "departure_hour", "day_offset", "route_id", "service_id",
-        "trip_headsign", "route_short_name", "route_long_name", "route_type",
+        "departure_time", "departure_secs", "departure_hour", "day_offset", "pickup_type", "drop_off_type",
+        "route_id", "service_id", "trip_headsign", "trip_short_name", "bikes_allowed", "wheelchair_accessible",
+        "route_short_name", "route_long_name", "route_type", "route_type_label",
     )
 
 
@@ -26,10 +29,8 @@ def v02_trip_service_days(t):
 
 
 def v03_trip_origin(t):
-    return t["v_trip_origin"].select(
-        "trip_id", "stop_sequence", "stop_id", "station_name", "departure_time", "departure_secs",
-        "departure_hour", "day_offset", "trip_headsign",
-    )
+    """All 17 columns of the view."""
+    return t["v_trip_origin"].select("trip_id", *ORIGIN_COLUMNS)
 
 
 def v04_service_frequency(t):
@@ -44,9 +45,11 @@ def v04_service_frequency(t):
 
 
 def v05_trip_amenity(t):
+    """All 17 columns of the view."""
     return t["v_trip_amenity"].select(
-        "trip_id", "route_id", "route_type", "bikes_allowed", long("guarantees_bikes").alias("guarantees_bikes"),
-        "bikes_is_unknown", "wheelchair_accessible", long("guarantees_wheelchair").alias("guarantees_wheelchair"),
+        "trip_id", "route_id", "service_id", "trip_headsign", "route_short_name", "route_long_name", "route_type",
+        "bikes_allowed", "bikes_allowed_label", long("guarantees_bikes").alias("guarantees_bikes"), "bikes_is_unknown",
+        "wheelchair_accessible", "wheelchair_label", long("guarantees_wheelchair").alias("guarantees_wheelchair"),
         "wheelchair_is_unknown", "guarantees_any_amenity", "guarantees_both_amenities",
     )
 
@@ -55,11 +58,16 @@ def v06_station_daily_departures(t):
     return t["v_station_daily_departures"]
 
 
+PERFORMANCE_COLUMNS = [
+    "trip_id", "start_date", "stop_sequence", "stop_id", "station_id", "station_name", "platform_code", "route_id",
+    "route_short_name", "trip_headsign", "scheduled_departure_time", "scheduled_departure_hour", "departure_delay_s",
+    "arrival_delay_s", "schedule_relationship", "fetched_at_utc", "stop_status", "is_skipped", "has_no_data", "is_on_time",
+]
+
+
 def v07_rt_departure_performance(t):
-    return t["v_rt_departure_performance"].select(
-        "trip_id", "start_date", "stop_sequence", "stop_id", "station_id", "station_name", "platform_code",
-        "departure_delay_s", "schedule_relationship", "is_skipped", "has_no_data", "is_on_time",
-    )
+    """All 20 columns of the view."""
+    return t["v_rt_departure_performance"].select(*PERFORMANCE_COLUMNS)
 
 
 def t21_reject_counts(t):

@@ -436,9 +436,10 @@ def snapshot_documents(tu: DataFrame, stu: DataFrame, keep_id: bool = False) ->
 
     A document holds one poll of the feed, so what is gathered is as large as one poll."""
     j = stu.join(tu.select("snapshot_id", "rt_entity_id", "trip_id", "start_date"), ["snapshot_id", "rt_entity_id"])
-    delay = F.when(F.col("departure_delay_s").isNotNull(), F.struct(F.col("departure_delay_s").alias("delay")))
+    delay = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("delay")))
     update = F.struct(F.col("stop_id").alias("stopId"), F.col("stop_sequence").alias("stopSequence"),
-                      F.col("schedule_relationship").alias("scheduleRelationship"), delay.alias("departure"))
+                      F.col("schedule_relationship").alias("scheduleRelationship"),
+                      delay("arrival_delay_s").alias("arrival"), delay("departure_delay_s").alias("departure"))
     trip = F.struct(F.col("trip_id").alias("tripId"), F.regexp_replace("start_date", "-", "").alias("startDate"))
     entity = F.struct(F.col("rt_entity_id").alias("id"),
                       F.struct(trip.alias("trip"), F.array(update).alias("stopTimeUpdate")).alias("tripUpdate"))
