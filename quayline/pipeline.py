@@ -102,19 +102,61 @@ def add_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return t
 
 
-def build_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool = False) -> dict[str, DataFrame]:
+def build_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool = False, run_id: str | None = None,
+               log: str | None = None) -> dict[str, DataFrame]:
     """Read the feed under ``path`` and write the core, quarantine and timetable views under ``root``.
 
-    Returns DataFrames that read the written tables; the run is logged beside them."""
-    run_id, started = uuid.uuid4().hex, _now()
+    Returns DataFrames that read the written tables; the run is logged beside them, or in ``log``."""
+    run_id, started, log = run_id or uuid.uuid4().hex, _now(), log or f"{root}/ingestion_run"
     put = _writer(spark, root, run_id)
     try:
         t = feed_core(spark, path, put, f"{root}/_lines", fail_on_error)
         _write_timetable_views(t, put)
     except Exception:
-        log_run(spark, None, f"{root}/ingestion_run", run_id, path, started, "failed")
+        log_run(spark, None, log, run_id, path, started, "failed")
         raise
-    t["ingestion_run"] = log_run(spark, t, f"{root}/ingestion_run", run_id, path, started)
+    t["ingestion_run"] = log_run(spark, t, log, run_id, path, started)
+    return t
+
+
+POINTER_SCHEMA = "version long, run_id string, root string, tables array<string>, schemas array<string>"
+
+
+def publish_feed(spark: SparkSession, path: str, root: str, fail_on_error: bool = False) -> dict[str, DataFrame]:
+    """Build a feed beside the builds that exist and make it the current one in one step.
+
+    Every run writes a folder of its own. Its quarantine rows go to ``<root>/quarantine`` under the
+    run, beside those of earlier runs, and a pointer row of the next version, written last, names
+    the build: until then, and if the run fails or breaks a constraint, readers keep the one before."""
+    run_id = uuid.uuid4().hex
+    t = build_feed(spark, path, f"{root}/builds/{run_id}", fail_on_error, run_id, f"{root}/ingestion_run")
+    t["rejected_row"].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(
+        f"{root}/quarantine")
+    names = sorted(n for n in t if exists(spark, f"{root}/builds/{run_id}/{n}/_SUCCESS"))
+    before = _pointer(spark, root)
+    row = ((before["version"] if before else 0) + 1, run_id, f"{root}/builds/{run_id}", names, [t[n].schema.json() for n in names])
+    spark.createDataFrame([row], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_published")
+    return read_published(spark, root)
+
+
+def _pointer(spark: SparkSession, root: str):
+    if not exists(spark, f"{root}/_published"):
+        return None
+    return spark.read.schema(POINTER_SCHEMA).json(f"{root}/_published").orderBy(F.col("version").desc()).first()
+
+
+def read_published(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the current build (or of an earlier ``version``), the quarantine of every run, and the run log."""
+    if version is None:
+        p = _pointer(spark, root)
+    else:
+        p = spark.read.schema(POINTER_SCHEMA).json(f"{root}/_published").filter(F.col("version") == version).first()
+    if p is None:
+        raise ValueError(f"nothing is published under {root}")
+    t = {n: spark.read.schema(StructType.fromJson(json.loads(s))).parquet(f"{p['root']}/{n}") for n, s in zip(p["tables"], p["schemas"])}
+    t["stop_time"] = cleaning.accepted_stop_times(t["stop_time_screened"])
+    t["rejected_row"] = spark.read.parquet(f"{root}/quarantine")
+    t["ingestion_run"] = spark.read.parquet(f"{root}/ingestion_run")
     return t
 
 

@@ -288,6 +288,32 @@ def test_feed_is_written_and_read_back(spark, tmp_path):
     assert t["ingestion_run"].filter("status = 'success'").count() == 1
 
 
+def test_a_failed_build_leaves_the_published_one(spark, tmp_path):
+    from quayline import pipeline
+    from tests.conftest import MINI_FEED, write_feed
+
+    (tmp_path / "in").mkdir()
+    root = str(tmp_path / "out")
+    write_feed(tmp_path / "in" / "feed.zip", MINI_FEED)
+    first = pipeline.publish_feed(spark, str(tmp_path / "in"), root, fail_on_error=True)
+    calls, lost = first["stop_time"].count(), first["rejected_row"].count()
+    broken = {k: v for k, v in MINI_FEED.items() if k != "calendar_dates.txt"}
+    broken["routes.txt"] = MINI_FEED["routes.txt"] + "AGX,,,R1,twice,IC,,2,\n"  # breaks a key, after tables were written
+    write_feed(tmp_path / "in" / "feed.zip", broken)
+    with pytest.raises(ValueError, match="constraint"):
+        pipeline.publish_feed(spark, str(tmp_path / "in"), root, fail_on_error=True)
+    now = pipeline.read_published(spark, root)
+    assert now["stop_time"].count() == calls and now["service_date"].count() == 8 and now["rejected_row"].count() == lost
+    less = dict(MINI_FEED, **{"stop_times.txt": "\n".join(MINI_FEED["stop_times.txt"].split("\n")[:-2]) + "\n"})
+    write_feed(tmp_path / "in" / "feed.zip", less)
+    second = pipeline.publish_feed(spark, str(tmp_path / "in"), root)
+    runs = second["rejected_row"].groupBy("run_id").count().collect()
+    assert sorted(r["count"] for r in runs) == [lost - 1, lost]  # both runs' rows, side by side
+    assert sorted(r.status for r in second["ingestion_run"].collect()) == ["failed", "success", "success"]
+    assert pipeline.read_published(spark, root, version=1)["stop_time_screened"].count() == 12
+    assert second["stop_time_screened"].count() == 11
+
+
 def test_junk_dates_flags_and_numbers_are_rejected(spark, tmp_path):
     from quayline.operators import clean as cleaning
 
