@@ -8,13 +8,14 @@ clamped sources are a prefix, so the repeated re-sharing is two running sums.
 
 A source's rate is target / size. Each of its documents is taken floor(rate)
 times, and the rest of the target is filled by one more repetition of documents
-in the order of a seeded hash of their id, up to the document whose middle passes
+in the order of a seeded hash of their id and text, up to the document whose middle passes
 the rest. The order is cut by hash buckets: sums of buckets place the cut, and
 only the bucket that holds it is put in order, so no source is sorted as a whole.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; rows that repeat an id share its hash and so their decision; a null
-id hashes as the text "null"; a source of size 0 has target 0 and takes nothing;
+last in order; the order goes by id and text together, so rows without an id, or with
+the same id, are told apart by their texts, and only rows that repeat both share one
+decision; a null id hashes as the text "null"; a source of size 0 has target 0 and takes nothing;
 an empty table gives no rows. Other columns are not looked at.
 """
 
@@ -33,9 +34,10 @@ HASH_BITS = 60  # 15 hexadecimal digits of an MD5
 BUCKET_BITS = 10
 
 
-def order_hash(doc_id: Column, seed: int) -> Column:
-    """The seeded place of a document: the first 60 bits of MD5("seed:doc_id")."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def order_hash(doc_id: Column, text: Column, seed: int) -> Column:
+    """The seeded place of a document: the first 60 bits of MD5("seed:doc_id:MD5(text)")."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), body)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -45,7 +47,7 @@ def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        order_hash(F.col("doc_id"), seed).alias("place"),
+        order_hash(F.col("doc_id"), F.col("text"), seed).alias("place"),
     )
 
 
@@ -142,7 +144,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     _, per = plan(docs, weights, max_epochs, seed)
     per = per.select(*(F.col(c).alias(f"__mix_{c}") for c in ("source", "whole", "last")))
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0))
-    times = repetitions(F.col("__mix_whole"), order_hash(docs["doc_id"], seed), F.col("__mix_last"), size)
+    times = repetitions(F.col("__mix_whole"), order_hash(docs["doc_id"], docs["text"], seed), F.col("__mix_last"), size)
     joined = docs.join(per, docs["source"].eqNullSafe(F.col("__mix_source")))
     return joined.withColumn("__mix_n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
 
@@ -151,7 +153,7 @@ def oracle_sql(seed: int = SEED) -> str:
     return f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight,

@@ -87,3 +87,15 @@ def test_driver_documents(spark):
     got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))
     con = duck(documents=f"{SF}/documents.parquet")
     assert rounded(rows_of(got, *COLUMNS)) == rounded(oracle_rows(con, mixing.oracle_sql(), *COLUMNS))
+
+
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_rows_without_an_id_of_their_own_still_meet_the_target(spark, shared_id):
+    """A third of the ids null, or all the same: taken words lie within one document of each target."""
+    rows = [(shared_id if i % 3 == 0 else i, f"t{i} " + "w " * (5 + i % 40), ["a", "b", None][i % 3 if i % 2 else 0]) for i in range(3000)]
+    docs = docs_frame(spark, rows)
+    got = mixing.mix(docs).groupBy("source_size", "target").agg(
+        F.sum("taken").alias("taken"), F.max("size").alias("longest")).collect()
+    assert len(got) == 3 and all(abs(r.taken - r.target) <= r.longest for r in got)
+    con = duck(documents=docs.select("doc_id", "text", "source"))
+    assert rounded(rows_of(mixing.mix(docs), *COLUMNS)) == rounded(oracle_rows(con, mixing.oracle_sql(), *COLUMNS))
