@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayline.shipping import ship_package
+from quayline.storage import delete
 
 # Rows in one Arrow batch: long texts make rows large, so batches hold few of them.
 ROWS_PER_BATCH = 128
@@ -49,7 +50,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once what is read from them is itself written."""
+    for df in tables:
+        delete(df.sparkSession, df.written_path)
 
 
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm.common import as_bytes, bloom_filter, mixed, prepare, row_id, signed, written
+from quayline.llm.common import as_bytes, bloom_filter, discard, mixed, prepare, row_id, signed, written
 
 LENGTH = 200
 PREFIX = 48
@@ -230,7 +230,9 @@ class IndexFamily:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def close(self) -> None:
+        """Drop all tables of the family; closing it again does nothing."""
         self._drop([*self.levels.values(), *self.repeated])
+        self.levels, self.repeated = {}, []
 
 
 def _unpacked(df: DataFrame) -> DataFrame:
@@ -316,10 +318,13 @@ _BLOCKS = "key long, off long, hash long, whole long, doc long, mark long, at lo
 def _read_again(docs: DataFrame, runs: DataFrame, tag: str, function, schema: str) -> DataFrame:
     """``function`` over the texts of the documents that have ``runs``, written down."""
     lists = runs.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "alone")).alias("runs"))
-    return written(_with_text(docs, written(lists, f"{tag}-runs")).mapInArrow(function, schema), tag)
+    lists = written(lists, f"{tag}-runs")
+    out = written(_with_text(docs, lists).mapInArrow(function, schema), tag)
+    discard(lists)
+    return out
 
 
-def _shared_windows(docs: DataFrame, edge: DataFrame, length: int) -> DataFrame:
+def _shared_windows(docs: DataFrame, edge: DataFrame, length: int, scratch: list[DataFrame]) -> DataFrame:
     """(doc, mark, a, b): the windows of the ``edge`` runs that another stretch of their key has, too.
 
     Blocks that occur twice as a whole give all their windows; of blocks that share
@@ -338,6 +343,7 @@ def _shared_windows(docs: DataFrame, edge: DataFrame, length: int) -> DataFrame:
     runs = kinds.join(differ, near, "left_semi").select("key", "one.*", (~F.col("twice")).alias("alone"))
     windows = _read_again(docs, runs, "suffix-windows", lambda it: _windows(it, length),
                           "key long, hash long, doc long, mark long, start int, alone boolean")
+    scratch += [blocks, kinds, windows]
     twice = windows.groupBy("key", "hash").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hash")
     same = windows.filter("alone").join(twice, ["key", "hash"], "left_semi")
     return whole.unionAll(same.select(
@@ -366,8 +372,11 @@ def _cut(batches, length: int):
                                          names=["d", "m", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(family: IndexFamily, docs: DataFrame) -> DataFrame:
-    """(doc, mark, a, b): stretches of bytes whose every window occurs elsewhere, too."""
+def repeats(family: IndexFamily, docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(doc, mark, a, b): stretches of bytes whose every window occurs elsewhere, too.
+
+    The family is closed as soon as its entries are read for the last time; the tables
+    that the result still reads are added to ``scratch``."""
     length = family.length
     spans = family.entries().groupBy("key", "span").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "mark", "packed")).alias("one"))
@@ -377,13 +386,15 @@ def repeats(family: IndexFamily, docs: DataFrame) -> DataFrame:
         "doc", "mark", (F.col("at") - F.col("back")).alias("a"),
         (F.col("at") - F.col("back") + F.col("width") + length).alias("b"))
     whole = written(whole, "suffix-whole")
+    family.close()
+    scratch += [spans, whole]
 
     differ = spans.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"))
     edge = _unpacked(spans.join(differ, F.col("key") == F.col("k"), "left_semi").select(
         "key", F.col("one.doc").alias("doc"), F.col("one.mark").alias("mark"),
         F.col("one.packed").alias("packed"), (F.col("n") == 1).alias("alone")))
     edge = edge.select("key", "doc", "mark", "at", (F.col("back") - F.col("width")).alias("lo"), F.col("back").alias("hi"), "alone")
-    return whole.unionAll(_shared_windows(docs, edge, length))
+    return whole.unionAll(_shared_windows(docs, edge, length, scratch))
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -396,27 +407,31 @@ def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    family = IndexFamily(spark, length)
-    for b in range(batches):
-        family.add(docs.filter(F.pmod(F.xxhash64(row_id(F.col("doc_id"))), F.lit(batches)) == b))
     text = F.coalesce("text", F.lit(""))
-    base = written(docs.select(
+    rows = written(docs.select(
         F.col("doc_id"), row_id(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("mark"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "suffix-base")
-    copied = base.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("c")).filter("c > 1").select(
+    copied = rows.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("c")).filter("c > 1").select(
         F.col("sha").alias("s"), F.lit(True).alias("copied"))
-    base = written(base.join(copied, F.col("sha") == F.col("s"), "left").drop("s"), "suffix-copies")
-
-    found = repeats(family, docs)
+    base = written(rows.join(copied, F.col("sha") == F.col("s"), "left").drop("s"), "suffix-copies")
+    discard(rows)
     # copies leave whole: nothing of them is left to cut
     kept = base.filter(F.col("copied").isNull()).select(F.col("doc").alias("d"), F.col("mark").alias("m"))
+
+    family, scratch = IndexFamily(docs.sparkSession, length), []
+    try:
+        for b in range(batches):
+            family.add(docs.filter(F.pmod(F.xxhash64(row_id(F.col("doc_id"))), F.lit(batches)) == b))
+        found = repeats(family, docs, scratch)
+    finally:
+        family.close()
     found = found.join(kept, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
-    found = written(found.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("found")), "suffix-found")
-    cut = _with_text(docs, found).mapInArrow(
+    lists = written(found.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b")).alias("found")), "suffix-found")
+    discard(*scratch)
+    cut = _with_text(docs, lists).mapInArrow(
         lambda it: _cut(it, length), "d long, m long, n_removed long, n_spans long, kept_sha256 string")
     cut = written(cut, "suffix-cut")
-    family.close()
+    discard(lists)
     nothing = hashlib.sha256(b"").hexdigest()
     return base.join(cut, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")), "left").select(
         "doc_id", "n_bytes",
