@@ -20,7 +20,7 @@ def test_every_operator_has_its_query():
 
     names = set(entry.queries())
     assert {*queries.QUERIES, "pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
