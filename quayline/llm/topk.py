@@ -15,11 +15,13 @@ Vectors stay in their partitions: queries come in blocks of ``QUERY_BLOCK`` rows
 (a proven bound for the broadcast), cutoffs are one number per query, and each
 block reads the vectors twice.
 
-Scores are integers and exact up to 2^53 in doubles; larger products go
-through 64-bit integers. Defined results: vectors that are null or hold a null or
-non-finite component take no part; vectors of different lengths are compared as if
-the shorter ended in zeros; of rows that repeat a vec_id the smallest vector
-counts once; rows with a null vec_id take no part; ties go to the smaller vec_id;
+Scores are integers: products below 2^53 go through doubles, below 2^63 through
+64-bit integers, larger ones through integers of any size. Defined results: vectors
+that are null or hold a null or non-finite component take no part; vectors of
+different lengths are compared as if the shorter ended in zeros; rows that repeat a
+vec_id are queries and candidates of their own, for each other too, equal rows
+included; rows with a null vec_id take no part; ties go to the smaller vec_id; a
+quantised component or a score beyond 64 bits counts as the nearest 64-bit number;
 an empty table gives no rows. Other columns are not looked at.
 """
 
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import prepare, written
+from quayline.llm.common import prepare, shared_path, written
 
 SCALE = 64
 K = 20
@@ -37,16 +39,18 @@ LISTS = 2
 QUERY_BLOCK = 2048
 ROWS = 2048  # rows of vectors looked at together
 EVERY = 20
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as arrays of floor(64 x)."""
+    """(row, vec_id, v): the vectors that take part, as arrays of floor(64 x), each row with a number of its own
+    that holds once the rows are written."""
     x = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     finite = F.forall("x", lambda e: F.coalesce((F.abs(e) < F.lit(float("inf"))) & ~F.isnan(e), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
-    rows = rows.select("vec_id", F.transform("x", lambda e: F.floor(e * SCALE).cast("long")).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = F.transform("x", lambda e: F.floor(e * SCALE).cast("long"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", v.alias("v"))
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -64,12 +68,22 @@ def matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all queries (rows) with all rows (columns)."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+def products(queries: np.ndarray, rows: np.ndarray, parts: int = 1) -> np.ndarray:
+    """Exact inner products of all queries (rows) with all rows (columns), in a type that holds sums of ``parts`` of them."""
+    q, r = queries.astype(np.float64), rows.astype(np.float64)
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * max(1, queries.shape[1]) * parts
     if most < 2**53:
-        return (queries.astype(np.float64) @ rows.T.astype(np.float64))
-    return queries @ rows.T
+        return q @ r.T
+    if most < 2**62:
+        return queries @ rows.T
+    return queries.astype(object) @ rows.T.astype(object)
+
+
+def saturated(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers, the nearest ones where they lie beyond."""
+    if scores.dtype == object:
+        return np.array([min(max(int(x), LOWEST), HIGHEST) for x in scores.ravel()], np.int64).reshape(scores.shape)
+    return scores.astype(np.int64)
 
 
 def slices(width: int, lists: int) -> list[slice]:
@@ -78,25 +92,24 @@ def slices(width: int, lists: int) -> list[slice]:
 
 
 class Block:
-    """A block of queries with, after the first phase, their cutoffs."""
+    """A block of queries (row numbers, ids, vectors) with, after the first phase, their cutoffs (LOWEST: none)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: int, k: int):
-        self.ids, self.vectors, self.lists, self.k = ids, vectors, lists, k
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, lists: int, k: int):
+        self.numbers, self.ids, self.vectors, self.lists, self.k = numbers, ids, vectors, lists, k
         self.cutoffs: np.ndarray | None = None
 
 
 def _parts(batches, width: int):
-    """(ids, vectors) of a task's rows, some thousand at a time."""
-    ids, held, n = [], [], 0
+    """(row numbers, ids, vectors) of a task's rows, some thousand at a time."""
+    held, n = [], 0
     for batch in batches:
-        ids.append(batch.column(0).to_numpy())
-        held.append(matrix(batch.column(1), width))
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), width)))
         n += batch.num_rows
         if n >= ROWS:
-            yield np.concatenate(ids), np.concatenate(held)
-            ids, held, n = [], [], 0
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
     if n:
-        yield np.concatenate(ids), np.concatenate(held)
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _gather(batches, block: Block):
@@ -104,21 +117,20 @@ def _gather(batches, block: Block):
     import pyarrow as pa
 
     width, q = block.vectors.shape[1], len(block.ids)
-    best = [np.zeros(0)] * q
-    for ids, rows in _parts(batches, width):
-        take = min(block.k + 1, len(ids))  # the query itself may be among them
-        local = [products(block.vectors[:, s], rows[:, s]) for s in slices(width, block.lists)]
+    best = [np.zeros(0, np.int64)] * q
+    for numbers, _, rows in _parts(batches, width):
+        take = min(block.k + 1, len(numbers))  # the query itself may be among them
+        local = [products(block.vectors[:, s], rows[:, s], block.lists) for s in slices(width, block.lists)]
         heads = np.concatenate([np.argpartition(-x, take - 1, axis=1)[:, :take] for x in local], axis=1)
         heads.sort(axis=1)
-        score = sum(np.take_along_axis(x, heads, axis=1) for x in local)
+        score = saturated(sum(np.take_along_axis(x, heads, axis=1) for x in local))
         fresh = np.ones(heads.shape, bool)
         fresh[:, 1:] = heads[:, 1:] != heads[:, :-1]
-        fresh &= ids[heads] != block.ids[:, None]
+        fresh &= numbers[heads] != block.numbers[:, None]
         for i in range(q):
             both = np.concatenate((best[i], score[i][fresh[i]]))
             best[i] = np.sort(both)[::-1][: block.k]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(q)), pa.array([x.astype(np.int64) for x in best], pa.list_(pa.int64()))], names=["query", "best"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(q)), pa.array(best, pa.list_(pa.int64()))], names=["query", "best"])
 
 
 def _collect(batches, block: Block):
@@ -126,28 +138,30 @@ def _collect(batches, block: Block):
     import pyarrow as pa
 
     width = block.vectors.shape[1]
-    for ids, rows in _parts(batches, width):
-        local = [products(block.vectors[:, s], rows[:, s]) for s in slices(width, block.lists)]
-        share = (block.cutoffs / block.lists)[:, None]
-        entry = np.logical_or.reduce([x >= share for x in local])
-        entry &= ids[None, :] != block.ids[:, None]
+    share = (block.cutoffs // block.lists)[:, None]
+    for numbers, ids, rows in _parts(batches, width):
+        local = [products(block.vectors[:, s], rows[:, s], block.lists) for s in slices(width, block.lists)]
+        entry = np.logical_or.reduce([(x >= share).astype(bool) for x in local])
+        entry |= (block.cutoffs == LOWEST)[:, None]
+        entry &= numbers[None, :] != block.numbers[:, None]
         who, row = np.nonzero(entry)
-        score = sum(x[who, row] for x in local)
+        score = saturated(sum(x[who, row] for x in local))
         keep = score >= block.cutoffs[who]
+        who, row = who[keep], row[keep]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block.ids[who[keep]]), pa.array(ids[row[keep]]), pa.array(score[keep].astype(np.int64))],
-            names=["query_id", "vec_id", "score"])
+            [pa.array(block.numbers[who]), pa.array(block.ids[who]), pa.array(ids[row]), pa.array(score[keep])],
+            names=["query", "query_id", "vec_id", "score"])
 
 
 def query_blocks(rows: DataFrame, every: int = EVERY, size: int = QUERY_BLOCK):
-    """Yield (ids, vectors) of the queries, one block of bounded size at a time in the driver."""
+    """Yield (row numbers, ids, vectors) of the queries, one block of bounded size at a time in the driver."""
     queries = rows.filter(F.col("vec_id") % every == 0)
     n = queries.count()
     blocks = -(-n // size)
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        part = queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
         if part.num_rows:
-            yield part.column("vec_id").to_numpy(), part.column("v").combine_chunks()
+            yield part.column("row").to_numpy(), part.column("vec_id").to_numpy(), part.column("v").combine_chunks()
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS) -> DataFrame:
@@ -156,32 +170,33 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, lists: int = LIST
     prepare(spark)
     rows = written(quantised(vectors), "topk-vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    found = None
-    for ids, queries in query_blocks(rows, every):
-        block = Block(ids, matrix(queries, width), max(1, min(lists, width)), k)
-        shared = spark.sparkContext.broadcast(block)
-        heads = rows.mapInArrow(lambda it, s=shared: _gather(it, s.value), "query long, best array<long>")
+    kind, path = "query long, query_id long, vec_id long, score long", shared_path(spark, "topk-entries")
+    spark.createDataFrame([], kind).write.parquet(path)
+    for numbers, ids, queries in query_blocks(rows, every):
+        block = Block(numbers, ids, matrix(queries, width), max(1, min(lists, width)), k)
+        first = spark.sparkContext.broadcast(block)
+        heads = rows.mapInArrow(lambda it, s=first: _gather(it, s.value), "query long, best array<long>")
         # every task sends k numbers per query; their k-th best is the cutoff (all rows, where fewer)
-        kth = F.try_element_at(F.sort_array(F.flatten(F.collect_list("best")), asc=False), F.lit(k))
-        cut = heads.groupBy("query").agg(
-            F.when(F.sum(F.size("best")) >= k, kth).alias("cutoff")).toPandas().sort_values("query")
-        block.cutoffs = cut["cutoff"].astype("float64").fillna(-np.inf).to_numpy()
-        shared = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(lambda it, s=shared: _collect(it, s.value), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        best = Window.partitionBy("query").orderBy(F.col("score").desc())
+        cut = heads.select("query", F.explode("best").alias("score")).withColumn("nth", F.row_number().over(best)).filter(
+            F.col("nth") == k).select("query", "score").toPandas()
+        block.cutoffs = np.full(len(ids), LOWEST, np.int64)
+        block.cutoffs[cut["query"].to_numpy(np.int64)] = cut["score"].to_numpy(np.int64)
+        second = spark.sparkContext.broadcast(block)
+        rows.mapInArrow(lambda it, s=second: _collect(it, s.value), kind).write.mode("append").parquet(path)
+        first.unpersist()
+        second.unpersist()
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    return spark.read.schema(kind).parquet(path).withColumn("rank", F.row_number().over(order)).filter(
+        F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(k: int = K, every: int = EVERY) -> str:
     return f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH e AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % {every} = 0 AND c.n <> q.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {k}"""
