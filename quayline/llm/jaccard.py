@@ -1,8 +1,9 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set are its distinct word 3-shingles. Documents link when
-100 * intersection >= 90 * union, which bounds the Hamming distance of sets of
-at most R shingles by k = floor(2 R (100 - 90) / (100 + 90)). Sizes are cut into
+A document's set are its distinct shingles of W words (3 in ``classes``, 5 in
+``representatives``). Documents link when 100 * intersection >= T * union (T is 90,
+or 80), which bounds the Hamming distance of sets of at most R shingles by
+k = floor(2 R (100 - T) / (100 + T)). Sizes are cut into
 bands that grow by half; a set is signed for its own band and, if a partner could
 be larger than that band's R, for the next one, so any linked pair meets in the
 larger set's band.
@@ -22,7 +23,7 @@ link between components is missed. The sets of candidates are computed again whe
 their texts are, found by a Bloom filter of fixed size, so texts never move.
 
 Defined results: a text without words, or null, has an empty set, links with nothing
-and is its own component; fewer than three words are one shingle; rows that repeat
+and is its own component; fewer than W words are one shingle; rows that repeat
 an id are documents of their own with that id, and equal rows link; a null id never
 names a component unless all its ids are null; an empty table gives no rows. Other
 columns are not looked at.
@@ -39,6 +40,7 @@ from quayline.llm.graph import components
 
 SHINGLE = 3
 LEAST = 90  # per cent
+NEAR_SHINGLE, NEAR_LEAST = 5, 80  # of near copies, where one document of each group stays
 GROWTH = 1.5
 SEEN_NODES = 1 << 18
 SKETCH_BITS = 512
@@ -49,9 +51,9 @@ EDGES = np.array(_EDGES)
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct hashed 3-shingles of a text, ascending."""
-    return np.unique(gram_hashes(word_hashes(text.lower().split()), SHINGLE))
+def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The distinct hashed shingles of ``words`` words of a text, ascending."""
+    return np.unique(gram_hashes(word_hashes(text.lower().split()), words))
 
 
 def node_of(sets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -101,13 +103,13 @@ def _concatenated(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(sizes) - sizes, sizes
 
 
-def _signed_documents(batches, least: int):
+def _signed_documents(batches, least: int, words: int):
     """Per document: its set's size and node, and the signatures where a task meets the node first."""
     import pyarrow as pa
 
     seen: set[int] = set()
     for batch in batches:
-        every = [shingles(t) for t in texts(batch.column(1))]
+        every = [shingles(t, words) for t in texts(batch.column(1))]
         n = np.array([len(x) for x in every], np.int64)
         full = np.flatnonzero(n)
         sets, starts, sizes = _concatenated([every[i] for i in full])
@@ -122,8 +124,8 @@ def _signed_documents(batches, least: int):
                 new.append(i)
         sets, _, sizes = _concatenated([every[i] for i in new])
         sketch: list = [None] * len(every)
-        for i, words in zip(new, sketches(sets, sizes).tolist()):
-            sketch[i] = words
+        for i, bits in zip(new, sketches(sets, sizes).tolist()):
+            sketch[i] = bits
         band = np.searchsorted(EDGES, sizes, "left") - 1
         sigs, who = signatures(sets, sizes, band, least)
         # a partner of 100 / least times the size may lie in the next band
@@ -140,10 +142,10 @@ def _signed_documents(batches, least: int):
             names=["doc_id", "mark", "n_shingles", "node", "signatures", "sketch"])
 
 
-def signed_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def signed_documents(docs: DataFrame, least: int = LEAST, words: int = SHINGLE) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    return rows.mapInArrow(lambda it: _signed_documents(it, least),
+    return rows.mapInArrow(lambda it: _signed_documents(it, least, words),
                            "doc_id long, mark long, n_shingles long, node long, signatures array<long>, sketch array<long>")
 
 
@@ -162,7 +164,7 @@ def _groups(sets: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the ``wanted`` nodes, from the text of the document (owner) of each."""
     import pyarrow as pa
 
@@ -174,7 +176,7 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(hit))
             for lo in range(0, batch.num_rows, 32):
                 part = batch.slice(lo, 32)
-                found = [shingles(t) for t in texts(part.column(1))]
+                found = [shingles(t, words) for t in texts(part.column(1))]
                 full = [i for i, x in enumerate(found) if len(x)]
                 sets, starts, sizes = _concatenated([found[i] for i in full])
                 yield pa.RecordBatch.from_arrays(
@@ -206,12 +208,12 @@ def _fits(least: int):
         (100 + least) * differ <= (100 - least) * (F.col("nu") + F.col("nv")))
 
 
-def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, words: int) -> DataFrame:
     """(node, root) of all linked nodes."""
     groups = written(_groups(sets), "jaccard-groups")
     named = groups.select("node").unionAll(groups.select("pivot")).distinct()
     wanted = written(nodes.join(named, "node", "left_semi").select("node", "owner", "n_shingles", "sketch"), "jaccard-wanted")
-    members = _candidate_sets(docs, wanted)
+    members = _candidate_sets(docs, wanted, words)
     n = lambda x: wanted.select(
         F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"b{x}"))
 
@@ -271,14 +273,14 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
-def _rooted(docs: DataFrame, least: int) -> DataFrame:
+def _rooted(docs: DataFrame, least: int, words: int) -> DataFrame:
     """One row per document: doc_id, mark (its text's hash), n_shingles, component_id, root (a node; none if empty)."""
-    sets = written(signed_documents(docs, least), "jaccard-signed")
+    sets = written(signed_documents(docs, least, words), "jaccard-signed")
     nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"),
         F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
-    roots = _linked(sets, nodes, docs, least)
+    roots = _linked(sets, nodes, docs, least, words)
     named = nodes.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
         "node", nodes["doc_id"], F.coalesce("root", "node").alias("root"))
     first = named.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
@@ -288,14 +290,14 @@ def _rooted(docs: DataFrame, least: int) -> DataFrame:
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def classes(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def classes(docs: DataFrame, least: int = LEAST, words: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    return _rooted(docs, least).select("doc_id", "n_shingles", "component_id")
+    return _rooted(docs, least, words).select("doc_id", "n_shingles", "component_id")
 
 
-def representatives(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def representatives(docs: DataFrame, least: int = NEAR_LEAST, words: int = NEAR_SHINGLE) -> DataFrame:
     """The rows of ``docs`` without words, and of each component the row with the smallest id, as they are."""
-    rows = _rooted(docs, least).filter(F.col("root").isNotNull()).select(row_id(F.col("doc_id")).alias("id"), "mark", "root")
+    rows = _rooted(docs, least, words).filter(F.col("root").isNotNull()).select(row_id(F.col("doc_id")).alias("id"), "mark", "root")
     rows = written(rows, "jaccard-rows")
     first = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "mark")).alias("first"))
     gone = rows.join(first, F.col("root") == F.col("r")).filter(F.struct("id", "mark") != F.col("first"))

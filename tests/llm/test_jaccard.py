@@ -8,13 +8,13 @@ from quayline.llm.graph import components
 from tests.llm.data import HAVE_DATA, SF, awkward_rows, docs_frame, rows_of
 
 
-def shingle_set(text):
+def shingle_set(text, words=3):
     w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
 
 
-def brute(rows, least=90):
-    sets = [shingle_set(r[1]) for r in rows]
+def brute(rows, least=90, words=3):
+    sets = [shingle_set(r[1], words) for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -57,17 +57,18 @@ def near_copies(seed, texts=25):
     return [(1000 + i, t) for i, t in enumerate(rows)]
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("least", [90, 80])
+def test_linked_sets_share_a_signature(least):
     """PartEnum's promise, for pairs at the threshold across sizes and band borders."""
     rng = np.random.default_rng(0)
     for _ in range(300):
         n = int(rng.integers(2, 1500))
-        most = (100 - 90) * n // 100  # |B| >= 90 % of |A|: drop some, and replace some
+        most = (100 - least) * n // 100  # |B| >= least % of |A|: drop some, and replace some
         drop = int(rng.integers(0, most + 1))
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = a[: n - drop].copy()
         swap = 0
-        while 100 * (len(b) - swap - 1) >= 90 * (n + swap + 1) and rng.random() < 0.9:
+        while 100 * (len(b) - swap - 1) >= least * (n + swap + 1) and rng.random() < 0.9:
             swap += 1
         b[:swap] = rng.integers(0, 2**63, swap)
         shared = len(set(a.tolist()) & set(b.tolist()))
@@ -76,8 +77,8 @@ def test_linked_sets_share_a_signature():
         got = []
         for x in (a, b):
             band = int(np.searchsorted(jaccard.EDGES, len(x), "left")) - 1
-            bands = [band] + [band + 1] * int(len(x) * 100 // 90 > jaccard.EDGES[band + 1])
-            got.append({int(s) for k in bands for s in jaccard.signatures(np.unique(x), np.array([len(x)]), np.array([k]))[0]})
+            bands = [band] + [band + 1] * int(len(x) * 100 // least > jaccard.EDGES[band + 1])
+            got.append({int(s) for k in bands for s in jaccard.signatures(np.unique(x), np.array([len(x)]), np.array([k]), least)[0]})
         assert got[0] & got[1], (n, drop, swap)
 
 
@@ -98,15 +99,24 @@ def test_matches_brute_force(spark, seed):
     assert rows_of(jaccard.classes(docs_frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_five_words_and_four_fifths(spark, seed):
+    rows = near_copies(seed)
+    got = jaccard.classes(docs_frame(spark, rows), least=80, words=5)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(rows, 80, 5)
+    kept = {r.doc_id for r in jaccard.representatives(docs_frame(spark, rows)).collect()}
+    assert kept == {c for _, _, c in brute(rows, 80, 5)}
+
+
 def test_pivots_go_on_until_no_link_is_missed(spark, monkeypatch):
     """With few signatures many sets share each, and most of them are not similar."""
     rows = near_copies(4, 40)
     plain = jaccard.signed_documents
 
-    def coarse(docs, least):
+    def coarse(docs, least, words):
         from pyspark.sql import functions as F
 
-        return plain(docs, least).withColumn("signatures", F.array_distinct(F.transform("signatures", lambda s: F.pmod(s, F.lit(3)))))
+        return plain(docs, least, words).withColumn("signatures", F.array_distinct(F.transform("signatures", lambda s: F.pmod(s, F.lit(3)))))
 
     monkeypatch.setattr(jaccard, "signed_documents", coarse)
     assert rows_of(jaccard.classes(docs_frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute(rows)

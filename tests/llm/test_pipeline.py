@@ -47,7 +47,7 @@ def test_stages_match_brute_force(spark):
     before = docs.collect()
     docs = written(corpus_pipeline.STAGES[1][1](spark, docs, SF), "test")
     assert docs.columns == columns
-    classes = jaccard_classes([(r.doc_id, r.text) for r in before])
+    classes = jaccard_classes([(r.doc_id, r.text) for r in before], 80, 5)
     assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in classes})
 
     before = docs.collect()
