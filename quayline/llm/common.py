@@ -61,6 +61,26 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.written_path)
 
 
+class Scratch:
+    """Tables that the steps of one operator write, deleted when their last reader is itself written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(written(df, tag))
+        return self.tables[-1]
+
+    def discard(self, *tables: DataFrame) -> None:
+        discard(*tables)
+        self.tables = [t for t in self.tables if not any(t is x for x in tables)]
+
+    def close(self, *kept: DataFrame) -> None:
+        """Delete what is left but for the tables that are handed on."""
+        discard(*[t for t in self.tables if not any(t is x for x in kept)])
+        self.tables = []
+
+
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array and its offsets (null: empty), without copies per row."""
     import pyarrow as pa

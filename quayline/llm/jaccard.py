@@ -35,7 +35,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import NO_ID, bloom_hits, bloom_places, bloom_table, gram_hashes, mixed, prepare, row_id, signed, texts, word_hashes, written
+from quayline.llm.common import (
+    NO_ID, Scratch, bloom_filter, bloom_hits, bloom_places, bloom_table, gram_hashes, mixed, prepare, row_id, signed, texts, word_hashes, written)
 from quayline.llm.graph import components
 
 SHINGLE = 3
@@ -164,7 +165,7 @@ def _groups(sets: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int, made: Scratch) -> DataFrame:
     """(node, shingles) of the ``wanted`` nodes, from the text of the document (owner) of each."""
     import pyarrow as pa
 
@@ -190,12 +191,15 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame
     sets = rows.mapInArrow(build, "doc long, node long, shingles array<long>")
     named = wanted.select(F.col("owner").alias("o"), F.col("node").alias("n"))
     kept = sets.join(named, (F.col("doc") == F.col("o")) & (F.col("node") == F.col("n")))
-    return written(kept.select("node", "shingles").dropDuplicates(["node"]), "jaccard-sets")
+    return made.written(kept.select("node", "shingles").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, exactly."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    """The pairs (u, v) whose sets reach the threshold, exactly.
+
+    A Bloom filter of the nodes on each side keeps all other sets where they are."""
+    left, right = (sets.filter(bloom_filter(pairs.select(x))(F.col("node"))).select(
+        F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     shared, both = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
     return pairs.select("u", "v").join(right, "v").join(left, "u").withColumn("shared", shared).filter(
         100 * F.col("shared") >= least * (both - F.col("shared"))).select("u", "v")
@@ -208,30 +212,38 @@ def _fits(least: int):
         (100 + least) * differ <= (100 - least) * (F.col("nu") + F.col("nv")))
 
 
-def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, words: int) -> DataFrame:
-    """(node, root) of all linked nodes."""
-    groups = written(_groups(sets), "jaccard-groups")
+def _linked(groups: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, words: int) -> DataFrame:
+    """(node, root) of all linked nodes, as a written table; no other table of the search stays."""
+    made, roots = Scratch(), None
+    try:
+        roots = _searched(groups, nodes, docs, least, words, made)
+        return roots
+    finally:
+        made.close(*([] if roots is None else [roots]))
+
+
+def _searched(groups: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, words: int, made: Scratch) -> DataFrame:
     named = groups.select("node").unionAll(groups.select("pivot")).distinct()
-    wanted = written(nodes.join(named, "node", "left_semi").select("node", "owner", "n_shingles", "sketch"), "jaccard-wanted")
-    members = _candidate_sets(docs, wanted, words)
+    wanted = made.written(nodes.join(named, "node", "left_semi").select("node", "owner", "n_shingles", "sketch"), "jaccard-wanted")
+    members = _candidate_sets(docs, wanted, words, made)
     n = lambda x: wanted.select(
         F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"b{x}"))
 
     # Every node and its pivots, fitting in size and sketch; tried are some more pivots of each node from round to round,
     # and only while node and pivot lie in different components: a group of copies is linked by its first pivot.
     pairs = groups.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = written(pairs.join(n("u"), "u").join(n("v"), "v").filter(_fits(least)).select("u", "v"), "jaccard-pairs")
+    pairs = made.written(pairs.join(n("u"), "u").join(n("v"), "v").filter(_fits(least)).select("u", "v"), "jaccard-pairs")
     by_node = Window.partitionBy("v").orderBy("u")
     links, roots, left = None, None, pairs
     for most in (1, 8, None):
         if roots is not None:
             left = _apart(left, roots)
         ranked = left.withColumn("nth", F.row_number().over(by_node))
-        ranked = written(ranked, "jaccard-ranked") if most else left
+        ranked = made.written(ranked, "jaccard-ranked") if most else left
         now = ranked.filter(F.col("nth") <= most) if most else ranked
-        found = written(_links(now, members, least), "jaccard-links")
+        found = made.written(_links(now, members, least), "jaccard-links")
         links = found if links is None else links.unionAll(found)
-        roots = written(components(links), "jaccard-roots")
+        roots = made.written(components(links), "jaccard-roots")
         if not most:
             break
         left = ranked.filter(F.col("nth") > most).select("u", "v")
@@ -248,7 +260,7 @@ def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, word
         rooted = rooted.filter(F.col("nth") >= lo)
         open_ = rooted.groupBy("signature").agg(
             F.min("root").alias("least"), F.max("root").alias("most")).filter(F.col("least") != F.col("most"))
-        of = written(rooted.join(open_.select("signature"), "signature", "left_semi"), "jaccard-open")
+        of = made.written(rooted.join(open_.select("signature"), "signature", "left_semi"), "jaccard-open")
         if not of.take(1):
             return roots
         pivots = of.filter(F.col("nth") < hi).select(
@@ -256,12 +268,12 @@ def _linked(sets: DataFrame, nodes: DataFrame, docs: DataFrame, least: int, word
             F.col("nv").alias("nu"), F.col("bv").alias("bu"))
         apart = (F.col("signature") == F.col("s")) & (F.col("nth") > F.col("k")) & (F.col("root") != F.col("r"))
         more = of.join(pivots, apart & _fits(least)).select("u", F.col("node").alias("v")).distinct()
-        more = written(more.join(tried, ["u", "v"], "left_anti"), "jaccard-pairs")
-        found = written(_links(more, members, least), "jaccard-links")
+        more = made.written(more.join(tried, ["u", "v"], "left_anti"), "jaccard-pairs")
+        found = made.written(_links(more, members, least), "jaccard-links")
         tried = tried.unionAll(more)
         if found.take(1):
             links = links.unionAll(found)
-            roots = written(components(links), "jaccard-roots")
+            roots = made.written(components(links), "jaccard-roots")
         of = of.drop("root")
         lo, hi = hi, hi + 16 * (hi - lo)
 
@@ -275,12 +287,17 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame, least: int, words: int) -> DataFrame:
     """One row per document: doc_id, mark (its text's hash), n_shingles, component_id, root (a node; none if empty)."""
-    sets = written(signed_documents(docs, least, words), "jaccard-signed")
-    nodes = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(
+    made = Scratch()
+    signed_ = made.written(signed_documents(docs, least, words), "jaccard-signed")
+    sets = written(signed_.select("doc_id", "mark", "n_shingles", "node"), "jaccard-documents")
+    nodes = signed_.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"),
         F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
-    roots = _linked(sets, nodes, docs, least, words)
+    groups = made.written(_groups(signed_), "jaccard-groups")
+    made.discard(signed_)
+    roots = _linked(groups, nodes, docs, least, words)
+    made.close()
     named = nodes.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
         "node", nodes["doc_id"], F.coalesce("root", "node").alias("root"))
     first = named.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
