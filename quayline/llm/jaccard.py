@@ -1,8 +1,7 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set are its distinct shingles of W words (3 in ``classes``, 5 in
-``representatives``). Documents link when 100 * intersection >= T * union (T is 90,
-or 80), which bounds the Hamming distance of sets of at most R shingles by
+A document's set are its distinct shingles of W words (3 by default). Documents link
+when 100 * intersection >= T * union (T is 90 by default), which bounds the Hamming distance of sets of at most R shingles by
 k = floor(2 R (100 - T) / (100 + T)). Sizes are cut into
 bands that grow by half; a set is signed for its own band and, if a partner could
 be larger than that band's R, for the next one, so any linked pair meets in the
@@ -41,7 +40,6 @@ from quayline.llm.graph import components
 
 SHINGLE = 3
 LEAST = 90  # per cent
-NEAR_SHINGLE, NEAR_LEAST = 5, 80  # of near copies, where one document of each group stays
 GROWTH = 1.5
 SEEN_NODES = 1 << 18
 SKETCH_BITS = 512
@@ -312,7 +310,7 @@ def classes(docs: DataFrame, least: int = LEAST, words: int = SHINGLE) -> DataFr
     return _rooted(docs, least, words).select("doc_id", "n_shingles", "component_id")
 
 
-def representatives(docs: DataFrame, least: int = NEAR_LEAST, words: int = NEAR_SHINGLE) -> DataFrame:
+def representatives(docs: DataFrame, least: int = LEAST, words: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without words, and of each component the row with the smallest id, as they are."""
     rows = _rooted(docs, least, words).filter(F.col("root").isNotNull()).select(row_id(F.col("doc_id")).alias("id"), "mark", "root")
     rows = written(rows, "jaccard-rows")

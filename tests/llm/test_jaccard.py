@@ -104,7 +104,7 @@ def test_five_words_and_four_fifths(spark, seed):
     rows = near_copies(seed)
     got = jaccard.classes(docs_frame(spark, rows), least=80, words=5)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(rows, 80, 5)
-    kept = {r.doc_id for r in jaccard.representatives(docs_frame(spark, rows)).collect()}
+    kept = {r.doc_id for r in jaccard.representatives(docs_frame(spark, rows), least=80, words=5).collect()}
     assert kept == {c for _, _, c in brute(rows, 80, 5)}
 
 
