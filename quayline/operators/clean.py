@@ -84,8 +84,18 @@ def _location_type() -> F.Column:
     return blank_to_null("location_type").try_cast("int")
 
 
+def _junk_stop() -> F.Column:
+    """A coordinate, or the boarding code of a station, that is given but no number."""
+    def junk(c, kind):
+        given = blank_to_null(c)
+        return given.isNotNull() & given.try_cast(kind).isNull()
+
+    return junk("stop_lat", "double") | junk("stop_lon", "double") | (
+        (_location_type() == 1) & junk("wheelchair_boarding", "int"))
+
+
 def stations(stg: DataFrame) -> DataFrame:
-    return stg.filter(_location_type() == 1).select(
+    return stg.filter((_location_type() == 1) & ~_junk_stop()).select(
         _t("stop_id").alias("station_id"),
         _t("stop_name").alias("station_name"),
         blank_to_null("stop_lat").try_cast("double").alias("latitude"),
@@ -98,7 +108,7 @@ def platforms(stg: DataFrame, station: DataFrame):
     candidates = stg.filter(_location_type() == 0).withColumn("_parent", _t("parent_station"))
     parents = station.select(F.col("station_id").alias("_parent"), F.lit(1).alias("_has_parent"))
     screened = candidates.join(parents, "_parent", "left")
-    platform = screened.filter(F.col("_has_parent") == 1).select(
+    platform = screened.filter((F.col("_has_parent") == 1) & ~_junk_stop()).select(
         _t("stop_id").alias("stop_id"),
         F.col("_parent").alias("station_id"),
         blank_to_null("platform_code").alias("platform_code"),
@@ -117,7 +127,16 @@ def platforms(stg: DataFrame, station: DataFrame):
         "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL",
         _payload(stop_id=F.col("stop_id"), location_type=F.col("location_type")),
     )
-    return platform, orphan.unionByName(other)
+    # a station with junk, or a platform of a station read: every line has one rule
+    kept_place = ["src_line_no", "stop_id", "stop_lat", "stop_lon", "wheelchair_boarding"]
+    junk = _reject(
+        stg.filter((loc == 1) & _junk_stop()).select(kept_place).unionByName(
+            screened.filter((F.col("_has_parent") == 1) & _junk_stop()).select(kept_place)),
+        "stops", "DQ-08-BAD-CODE-QL",
+        _payload(stop_id=F.col("stop_id"), stop_lat=F.col("stop_lat"), stop_lon=F.col("stop_lon"),
+                 wheelchair_boarding=F.col("wheelchair_boarding")),
+    )
+    return platform, orphan.unionByName(other).unionByName(junk)
 
 
 # --------------------------------------------------------------------------- T08

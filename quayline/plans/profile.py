@@ -415,3 +415,39 @@ def p41_column_profile(t, table: str = "stop_time"):
         "column_name", long("populated").alias("populated"), long("distinct_values").alias("distinct_values"),
         "min_value", "max_value", ratio("s", "populated", 4).alias("mean_value"),
     )
+
+
+CORE_TABLES = ["feed_info", "agency", "station", "platform", "route", "service", "service_date", "trip", "stop_time",
+               "transfer", "text_translation"]
+KINDS = {"string": "text", "date": "date", "int": "integer", "bigint": "integer", "double": "real"}
+
+
+def p41_typed_profile(t):
+    """Every column of every core table, texts, dates and numbers in one shuffle of distinct values.
+
+    A cell holds its value as a number or as text (dates in ISO form, which sorts by time), so columns of all kinds are
+    counted map-side under (table, column, value). A column of an empty table has its row too. Means are of whole
+    numbers, whose sums are exact."""
+    none, parts = F.lit(None), []
+    for name in CORE_TABLES:
+        typed = [(c, KINDS[kind]) for c, kind in t[name].dtypes]
+        cells = lambda value: F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.lit(kind).alias("kind"),
+            (value(c) if kind in ("text", "date") else none).cast("string").alias("words"),
+            (value(c) if kind in ("integer", "real") else none).cast("double").alias("number")) for c, kind in typed]))
+        held = t[name].select(cells(F.col).alias("x"), F.lit(1).alias("one"))
+        listed = t[name].sparkSession.range(1).select(cells(lambda c: none).alias("x"), F.lit(0).alias("one"))
+        parts.append(held.unionByName(listed).select(F.lit(name).alias("table_name"), "x.*", "one"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name", "kind", "words", "number").agg(
+        F.sum("one").alias("n"))
+    given = F.col("words").isNotNull() | F.col("number").isNotNull()
+    agg = counts.groupBy("table_name", "column_name", "kind").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(given, F.col("n")).otherwise(0)).alias("populated"),
+        F.sum(F.when(F.trim("words") == "", F.col("n")).otherwise(0)).alias("blank"),
+        (F.count("words") + F.count("number")).alias("distinct_values"),
+        F.min("words").alias("min_text"), F.max("words").alias("max_text"),
+        F.min("number").alias("min_number"), F.max("number").alias("max_number"),
+        F.sum(F.when(F.col("kind") == "integer", F.col("number") * F.col("n"))).alias("s"))
+    return agg.select(
+        "table_name", "column_name", "kind", "rows", "populated", "blank", "distinct_values", "min_text", "max_text",
+        "min_number", "max_number", ratio("s", "populated", 4).alias("mean_value"))

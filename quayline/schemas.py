@@ -128,6 +128,7 @@ REJECT_REASONS = {
     "stops": {
         "DQ-04-ORPHAN-PLATFORM": "platform whose parent is not one of the stations read",
         "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL": "neither a station nor a platform",
+        "DQ-08-BAD-CODE-QL": "boarding code or coordinate that is no number",
     },
     "routes": {
         "DQ-04-ORPHAN-ROUTE-QL": "route of an agency that was not loaded",

@@ -194,6 +194,23 @@ def test_result_csv_sink(spark, feed_tables, tmp_path):
     assert len([p for p in (tmp_path / "a02").iterdir() if p.name.endswith(".csv")]) == 1
 
 
+def test_junk_codes_and_coordinates_of_stops_are_quarantined(spark):
+    from quayline.operators import clean as cleaning
+
+    rows = [(1, "S1", "A", "50.1", "4.1", "1", "", "1"), (2, "S2", "B", "north", "4.2", "1", "", "1"), (3, "S3", "C", " ", "", "1", "", "yes"),
+            (4, "P1", "A1", "50.1", "4.1", "0", "S1", "junk"), (5, "P2", "A2", "50.1", "east", "0", "S1", ""),
+            (6, "P3", "B1", "50.1", "4.1", "0", "S2", ""), (7, "X", "X", "x", "x", "3", "", "")]
+    stg = spark.createDataFrame(rows, "src_line_no long, stop_id string, stop_name string, stop_lat string, stop_lon string, "
+                                      "location_type string, parent_station string, wheelchair_boarding string").selectExpr(
+        "*", "'' AS platform_code", "'' AS stop_desc")
+    station = cleaning.stations(stg)
+    platform, rejected = cleaning.platforms(stg, station)
+    assert [r.station_id for r in station.collect()] == ["S1"] and [r.stop_id for r in platform.collect()] == ["P1"]
+    assert sorted((r.src_line_no, r.rule_code, r.reason is not None) for r in rejected.collect()) == [
+        (2, "DQ-08-BAD-CODE-QL", True), (3, "DQ-08-BAD-CODE-QL", True), (5, "DQ-08-BAD-CODE-QL", True),
+        (6, "DQ-04-ORPHAN-PLATFORM", True), (7, "DQ-08-UNSUPPORTED-LOCATION-TYPE-QL", True)]
+
+
 def _variant_feed(spark, tmp_path, **options):
     from quayline import pipeline
     from quayline.operators import clean as cleaning
