@@ -293,7 +293,7 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
 
 # --------------------------------------------------------------------------- T15-T21
 def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame,
-                      rank_after_screening: bool = False) -> DataFrame:
+                      rank_after_screening: bool = False, put=None) -> DataFrame:
     """Parse, look up and rank every staged call; ``reject_rule`` NULL = accepted.
 
     The existence look-ups are left joins on key projections. "Duplicate" means
@@ -318,6 +318,7 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         code_or_default("drop_off_type").alias("drop_off_type"),
         blank_to_null("stop_headsign").alias("stop_headsign"),
     ).withColumn("is_numbered", F.col("_digits") & F.col("stop_sequence").isNotNull()).drop("_digits")
+    put = put or _keep
     trips_k = trip_df.select("trip_id", F.lit(True).alias("trip_known"))
     plats_k = platform_df.select("stop_id", F.lit(True).alias("platform_known"))
     if rank_after_screening:
@@ -327,13 +328,13 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
                   .groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line")))
         keyed = _join_firsts(looked_up, firsts, extra=[])
     else:
-        # Strict (reference order): every staged copy competes. The first line per
-        # (trip, sequence) is an aggregate (copies collapse map-side); the trip
-        # look-up rides on that one-row-per-key table, so the wide staged rows are
-        # shuffled once, for the single null-safe join back (AQE splits a hot key).
-        firsts = (parsed.groupBy("trip_id", "stop_sequence").agg(F.min("src_line_no").alias("_first_line"))
-                  .join(trips_k, "trip_id", "left"))
-        keyed = _join_firsts(parsed, firsts, extra=["trip_known"]).join(plats_k, "stop_id", "left")
+        # Strict (reference order): every staged copy competes. Only keys that repeat need
+        # their first line (an aggregate: copies collapse map-side), so they are put: few
+        # of them are broadcast, and the wide staged rows are shuffled once, by trip.
+        repeated = put("stop_time_repeated", parsed.groupBy("trip_id", "stop_sequence").agg(
+            F.min("src_line_no").alias("_first_line"), F.count(F.lit(1)).alias("_lines")).filter("_lines > 1").drop("_lines"))
+        keyed = _join_firsts(parsed.join(trips_k, "trip_id", "left"), repeated, extra=[]).withColumn(
+            "_first_line", F.coalesce("_first_line", "src_line_no")).join(plats_k, "stop_id", "left")
     screened = keyed.withColumn("is_first_copy", F.col("src_line_no").eqNullSafe(F.col("_first_line")))
     return screened.withColumn("reject_rule", _other_rules(with_duplicate=True))
 
@@ -474,6 +475,43 @@ def _keep(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+def rules(members, t, put=_keep, rank_after_screening: bool = False, expand_calendar: bool = False) -> dict:
+    """Table -> (its rows, its member's quarantine or None), each as a function that builds the plan.
+
+    ``members`` gives staged members and ``t`` the tables they rest on, in the order of
+    this dictionary; both are asked only for what a table needs."""
+    def dates():
+        return service_dates(members["calendar_dates"], t["service"])
+
+    return {
+        "agency": (lambda: agency(members["agency"])[0], lambda: agency(members["agency"])[1]),
+        "station": (lambda: stations(members["stops"]), None),
+        "platform": (lambda: platforms(members["stops"], t["station"])[0], lambda: platforms(members["stops"], t["station"])[1]),
+        "route": (lambda: routes(members["routes"], t["agency"])[0], lambda: routes(members["routes"], t["agency"])[1]),
+        "service": (lambda: services(members["calendar"])[0], lambda: services(members["calendar"])[1]),
+        "service_date": (
+            lambda: expand_weekly_patterns(t["service"], dates()[0]) if expand_calendar else dates()[0], lambda: dates()[1]),
+        "trip": (lambda: trips(members["trips"], t["route"], t["service"])[0],
+                 lambda: trips(members["trips"], t["route"], t["service"])[1]),
+        "stop_time_screened": (
+            lambda: with_fact_columns(screen_stop_times(members["stop_times"], t["trip"], t["platform"], rank_after_screening, put)),
+            lambda: rejected_stop_times(t["stop_time_screened"])),
+        "transfer": (lambda: transfers(members["transfers"], t["platform"], t["trip"])[0],
+                     lambda: transfers(members["transfers"], t["platform"], t["trip"])[1]),
+        "text_translation": (lambda: translations(members["translations"])[0], lambda: translations(members["translations"])[1]),
+        "feed_info": (lambda: feed_info(members["feed_info"]), None),
+    }
+
+
+def quarantine(found: dict) -> DataFrame:
+    """The quarantine of all members from their ``rules``."""
+    parts = [rejected() for _, rejected in found.values() if rejected]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def clean(members: dict[str, DataFrame], put=_keep, rank_after_screening: bool = False,
           expand_calendar: bool = False) -> Cleaned:
     """Run every rule in dependency order.
@@ -483,53 +521,9 @@ def clean(members: dict[str, DataFrame], put=_keep, rank_after_screening: bool =
     The screened calls (every staged call with its reject rule) are put once
     and split into the fact and its quarantine.
     """
-    rej = []
-    agency_df, r = agency(members["agency"])
-    agency_df = put("agency", agency_df)
-    rej.append(r)
-    station = put("station", stations(members["stops"]))
-    platform, r = platforms(members["stops"], station)
-    platform = put("platform", platform)
-    rej.append(r)
-    route, r = routes(members["routes"], agency_df)
-    route = put("route", route)
-    rej.append(r)
-    service, r = services(members["calendar"])
-    service = put("service", service)
-    rej.append(r)
-    service_date, r = service_dates(members["calendar_dates"], service)
-    if expand_calendar:
-        service_date = expand_weekly_patterns(service, service_date)
-    service_date = put("service_date", service_date)
-    rej.append(r)
-    trip, r = trips(members["trips"], route, service)
-    trip = put("trip", trip)
-    rej.append(r)
-    screened = put("stop_time_screened", with_fact_columns(
-        screen_stop_times(members["stop_times"], trip, platform, rank_after_screening)))
-    stop_time = accepted_stop_times(screened)
-    rej.append(rejected_stop_times(screened))
-    transfer, r = transfers(members["transfers"], platform, trip)
-    transfer = put("transfer", transfer)
-    rej.append(r)
-    translation, r = translations(members["translations"])
-    translation = put("text_translation", translation)
-    rej.append(r)
-    rejected = rej[0]
-    for x in rej[1:]:
-        rejected = rejected.unionByName(x)
-    tables = {
-        "feed_info": put("feed_info", feed_info(members["feed_info"])),
-        "agency": agency_df,
-        "station": station,
-        "platform": platform,
-        "route": route,
-        "service": service,
-        "service_date": service_date,
-        "trip": trip,
-        "stop_time": stop_time,
-        "stop_time_screened": screened,
-        "transfer": transfer,
-        "text_translation": translation,
-    }
-    return Cleaned(tables, put("rejected_row", rejected))
+    tables: dict[str, DataFrame] = {}
+    found = rules(members, tables, put, rank_after_screening, expand_calendar)
+    for name, (rows, _) in found.items():
+        tables[name] = put(name, rows())
+    tables["stop_time"] = accepted_stop_times(tables["stop_time_screened"])
+    return Cleaned(tables, put("rejected_row", quarantine(found)))

@@ -1,9 +1,10 @@
-"""Build the core model once per session and serve it to every query.
+"""Build the core model once and serve it to every query.
 
-``build_core`` runs staging -> cleaning -> views lazily; ``core`` materialises
-the tables as Parquet under the session's checkpoint directory (a shared,
-durable folder on a cluster) so the analyses read a written semantic layer
-instead of re-running the cleaning jobs, and lineage is cut at that point.
+``build_core`` runs staging -> cleaning -> views lazily; ``core`` gives the tables
+by name. A table is built, with those it rests on, when a query first asks for it
+and written as Parquet under the session's checkpoint directory (a shared, durable
+folder on a cluster), so the analyses read a written semantic layer instead of
+re-running the cleaning jobs, and lineage is cut at that point.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import hashlib
 import json
 import os
 import uuid
+from collections.abc import Mapping
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,24 +36,20 @@ LAYOUT = {
 PARTITION_BY = {
     "stop_time_screened": ["load_status"],
 }
-# name -> range-partitioning keys: files then cover disjoint key ranges, so an
-# equality filter on the first key skips whole files. The second key splits a
-# hot first key (one busy station) over several files instead of one.
-RANGE_LAYOUT = {
-    "v_departure": ["station_name", "trip_id"],
-}
+# the large members, read by several rules: staged once, one scan and one shuffle of the source
+STAGED_ONCE = ("stop_times", "calendar_dates")
+# input tables that the core is built from, and how much of them (compressed) a shuffle partition is to hold
+INPUTS = ("customer", "supplier", "part", "orders", "lineitem", "events")
+PARTITION_INPUT = 4 << 20
 
-_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_CACHE: dict[tuple, Mapping[str, DataFrame]] = {}
 
 
 def build_core(spark: SparkSession, sf_dir: str, put=None) -> dict[str, DataFrame]:
     """Core tables, quarantine, realtime log; written through ``put`` when given."""
     put = put or (lambda name, df: df)
     members = driver_tables.staged_members(spark, sf_dir)
-    # The two large members are read by several rules (the first-line aggregate
-    # and the screening pass, the kept dates and the duplicate summary); staging
-    # them once means one scan and one shuffle of the source instead of two.
-    for big in ("stop_times", "calendar_dates"):
+    for big in STAGED_ONCE:
         members[big] = put(f"stg_{big}", members[big])
     out = cleaning.clean(members, put)
     t = dict(out.tables)
@@ -160,37 +159,145 @@ def read_published(spark: SparkSession, root: str, version: int | None = None) -
     return t
 
 
-def materialise(spark: SparkSession, sf_dir: str, root: str, run_id: str | None = None) -> dict[str, DataFrame]:
-    """Write the core, quarantine and semantic layer; return DataFrames reading them back.
-
-    Quarantine rows are stamped with ``run_id``; one run-log row is appended to
-    ``<root>/../ingestion_run`` once every table is written (status ``success``).
-    """
-    run_id, started = run_id or uuid.uuid4().hex, _now()
-    put = _writer(spark, root, run_id)
+class Core(Mapping):
+    """The tables of one source by name; a table is built and written when it is first asked for.
+
+    A written table is published by a pointer of its own, so other sessions read it. Quarantine
+    rows are stamped with the run; asking for ``ingestion_run`` builds what is missing and logs the run."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = True):
+        self._spark, self._sf_dir, self._reuse = spark, sf_dir, reuse
+        self._base = f"{checkpoint_root(spark)}/quayline-core"
+        self._pointers = f"{self._base}/_published/{fingerprint(spark, sf_dir)}"
+        self._run_id, self._started = uuid.uuid4().hex, _now()
+        self._root = f"{self._base}/{uuid.uuid4().hex}"
+        self._writer = _writer(spark, self._root, self._run_id)
+        self._partitions = _input_partitions(spark, sf_dir)
+        self._known: dict[str, DataFrame] = {}
+        self._depth = 0
+        staged, found = driver_tables.staged_members(spark, sf_dir), cleaning.rules(_Members(self), self, self._put)
+        self._plain = {f"stg_{m}": lambda df=df: df for m, df in staged.items() if m not in STAGED_ONCE} | {
+            "stop_time": lambda: cleaning.accepted_stop_times(self["stop_time_screened"]),
+            "v_station_daily_departures": lambda: views.station_daily_departures(
+                self, self["v_departure"], self["v_trip_service_days"]),
+            "ingestion_run": self._logged,
+        }
+        self._written = {f"stg_{m}": lambda df=staged[m]: df for m in STAGED_ONCE} | {
+            name: rows for name, (rows, _) in found.items()} | {"rejected_row": lambda: cleaning.quarantine(found)} | {
+            name: lambda df=df: df for name, df in driver_tables.realtime_from_events(spark, sf_dir).items()} | {
+            name: lambda view=view: view(self) for name, view in VIEWS.items()} | {
+            "v_rt_departure_performance": lambda: views.rt_departure_performance(self, self)}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            if name not in self:
+                raise KeyError(name)
+            self._known[name] = self._plain[name]() if name in self._plain else self._built(name)
+        return self._known[name]
+
+    def __contains__(self, name) -> bool:
+        return name in self._plain or name in self._written
+
+    def __iter__(self):
+        return iter([*self._plain, *self._written])
+
+    def __len__(self) -> int:
+        return len(self._plain) + len(self._written)
+
+    def build(self) -> Core:
+        """Build every table that is missing and log the run."""
+        for name in self:
+            self[name]
+        return self
+
+    def _built(self, name: str) -> DataFrame:
+        self._depth += 1
+        try:
+            there = self._published(name)
+            return self._put(name, self._written[name]()) if there is None else there
+        except Exception:
+            if self._depth == 1:
+                log_run(self._spark, None, f"{self._base}/ingestion_run", self._run_id, self._sf_dir, self._started, "failed")
+            raise
+        finally:
+            self._depth -= 1
+
+    def _published(self, name: str) -> DataFrame | None:
+        return _published(self._spark, self._pointers, name) if self._reuse else None
+
+    def _put(self, name: str, df: DataFrame) -> DataFrame:
+        with _partitions(self._spark, self._partitions):
+            out = self._writer(name, df)
+        if self._reuse:
+            _publish(self._spark, self._pointers, name, out, f"{self._root}/{name}")
+        return out
+
+    def _logged(self) -> DataFrame:
+        log = f"{self._base}/ingestion_run"
+        if self._published("ingestion_run") is None:
+            for name in self._written:
+                self[name]
+            # rows that an earlier session quarantined carry its run
+            first = self["rejected_row"].select("run_id").first()
+            run = log_run(self._spark, self, log, first["run_id"] if first else self._run_id, self._sf_dir, self._started)
+            if self._reuse:
+                _publish(self._spark, self._pointers, "ingestion_run", run, log)
+        return self._spark.read.parquet(log)
+
+
+class _Members(Mapping):
+    """The staged members of a ``Core`` by member name."""
+
+    def __init__(self, core: Core):
+        self._core = core
+
+    def __getitem__(self, member: str) -> DataFrame:
+        return self._core[f"stg_{member}"]
+
+    def __iter__(self):
+        return (name[4:] for name in self._core if name.startswith("stg_"))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
+def _input_partitions(spark: SparkSession, sf_dir: str) -> int:
+    size = sum(n for path, n, _ in list_files(spark, sf_dir) if any(f"/{t}.parquet" in path for t in INPUTS))
+    return -(-size // PARTITION_INPUT)
+
+
+@contextmanager
+def _partitions(spark: SparkSession, least: int):
+    """Shuffles begin with at least so many partitions: a task's sort then fits its memory at any size,
+    and AQE joins small ones."""
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(max(least, int(before or spark.conf.get("spark.sql.shuffle.partitions")))))
     try:
-        t = build_core(spark, sf_dir, put)
-        _write_timetable_views(t, put)
-        t["v_rt_departure_performance"] = put("v_rt_departure_performance", views.rt_departure_performance(t, t))
-    except Exception:
-        log_run(spark, None, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started, "failed")
-        raise
-    t["ingestion_run"] = log_run(spark, t, f"{root.rsplit('/', 1)[0]}/ingestion_run", run_id, sf_dir, started)
-    return t
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
 def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+# the semantic layer over the timetable: small views that many analyses read, in the order they are built
+VIEWS = {
+    "v_departure": views.departures,
+    "v_trip_service_days": views.trip_service_days,
+    "service_days": views.service_days,
+    "v_trip_origin": lambda t: views.trip_origin(t["v_departure"]),
+    "v_service_frequency": views.service_frequency,
+    "v_trip_amenity": views.trip_amenity,
+}
+
+
 def _write_timetable_views(t: dict[str, DataFrame], put) -> None:
-    """Write the semantic layer over the timetable: small views that many analyses read."""
-    t["v_departure"] = put("v_departure", views.departures(t))
-    t["v_trip_service_days"] = put("v_trip_service_days", views.trip_service_days(t))
-    t["service_days"] = put("service_days", views.service_days(t))
-    t["v_trip_origin"] = put("v_trip_origin", views.trip_origin(t["v_departure"]))
-    t["v_service_frequency"] = put("v_service_frequency", views.service_frequency(t))
-    t["v_trip_amenity"] = put("v_trip_amenity", views.trip_amenity(t))
+    """Write the semantic layer over the timetable."""
+    for name, view in VIEWS.items():
+        t[name] = put(name, view(t))
 
 
 def _writer(spark: SparkSession, root: str, run_id: str):
@@ -201,8 +308,6 @@ def _writer(spark: SparkSession, root: str, run_id: str):
         if name == "rejected_row":
             df = df.withColumn("run_id", F.lit(run_id))
         w = df
-        if name in RANGE_LAYOUT:
-            w = w.repartitionByRange(*RANGE_LAYOUT[name])  # count left to AQE (coalesces small outputs)
         if name in LAYOUT:
             w = w.sortWithinPartitions(*LAYOUT[name])
         writer = w.write.mode("overwrite")
@@ -258,62 +363,35 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:24]
 
 
-def _published(spark: SparkSession, base: str, fp: str) -> dict | None:
-    ptr = f"{base}/_published/{fp}"
-    if not exists(spark, f"{ptr}/_SUCCESS"):  # no finished pointer yet
+def _published(spark: SparkSession, pointers: str, name: str) -> DataFrame | None:
+    if not exists(spark, f"{pointers}/{name}/_SUCCESS"):  # no finished pointer yet
         return None
-    row = spark.read.json(ptr).first()
-    if not row:
+    row = spark.read.json(f"{pointers}/{name}").first()
+    # a table whose folder was removed (retention) is rebuilt rather than half-read
+    if not row or not exists(spark, f"{row['path']}/_SUCCESS"):
         return None
-    pub = {"root": row["root"], "tables": list(row["tables"]), "schemas": list(row["schemas"] or [])}
-    # a build whose folder was removed (retention) is rebuilt rather than half-read
-    return pub if exists(spark, f"{pub['root']}/v_rt_departure_performance/_SUCCESS") else None
-
-
-def _publish(spark: SparkSession, base: str, fp: str, root: str, tables: dict[str, DataFrame]) -> None:
-    """Point the fingerprint at a finished build (written only after every table is).
+    return spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(row["path"])
 
-    The pointer also carries each table's schema, so a reader skips inference."""
-    names = sorted(tables)
-    schemas = [tables[n].schema.json() for n in names]
-    spark.createDataFrame([(root, names, schemas)], "root string, tables array<string>, schemas array<string>") \
-        .coalesce(1).write.mode("overwrite").json(f"{base}/_published/{fp}")
 
-
-def _load(spark: SparkSession, sf_dir: str, pub: dict, base: str) -> dict[str, DataFrame]:
-    t: dict[str, DataFrame] = {}
-    for name, df in driver_tables.staged_members(spark, sf_dir).items():
-        t[f"stg_{name}"] = df
-    for name, schema in zip(pub["tables"], pub["schemas"]):
-        t[name] = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{pub['root']}/{name}")
-    t["stop_time"] = cleaning.accepted_stop_times(t["stop_time_screened"])
-    t["ingestion_run"] = spark.read.parquet(f"{base}/ingestion_run")
-    return t
+def _publish(spark: SparkSession, pointers: str, name: str, df: DataFrame, path: str) -> None:
+    """Point at a finished table (written only after it is); the pointer carries its schema, so a reader skips inference."""
+    spark.createDataFrame([(path, df.schema.json())], "path string, schema string").coalesce(1).write.mode(
+        "overwrite").json(f"{pointers}/{name}")
 
 
-def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> dict[str, DataFrame]:
-    """Materialised core + views for ``sf_dir``.
+def core(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Mapping[str, DataFrame]:
+    """Core + views for ``sf_dir``, each table built when a query first asks for it.
 
-    A build is keyed by a fingerprint of the input files and of this package's
+    A table is keyed by a fingerprint of the input files and of this package's
     code; it is written into a fresh folder and then published by a small
-    pointer table, so a later session (or process) reads the finished build
-    instead of rebuilding, and a half-written build is never read.
-    ``reuse=False`` always builds (the benchmark does).
+    pointer, so a later session (or process) reads the finished table instead
+    of rebuilding, and a half-written one is never read.
+    ``reuse=False`` always builds, and all of it (the benchmark does).
     """
     key = (spark.sparkContext.applicationId, _canonical(sf_dir), reuse)
     if key not in _CACHE:
-        base = f"{checkpoint_root(spark)}/quayline-core"
-        fp = fingerprint(spark, sf_dir)
-        pub = _published(spark, base, fp) if reuse else None
-        if pub is not None:
-            t = _load(spark, sf_dir, pub, base)
-        else:
-            root = f"{base}/{uuid.uuid4().hex}"
-            t = materialise(spark, sf_dir, root)
-            written = [n for n in t if not n.startswith("stg_") and n not in ("ingestion_run", "stop_time")]
-            written += ["stg_stop_times", "stg_calendar_dates", "stop_time_screened"]
-            _publish(spark, base, fp, root, {n: t[n] for n in set(written)})
-        _CACHE[key] = add_views(t)
+        t = Core(spark, sf_dir, reuse)
+        _CACHE[key] = t if reuse else t.build()
     return _CACHE[key]
 
 

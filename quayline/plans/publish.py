@@ -4,7 +4,7 @@
   layout: a result is a folder of as many files as Spark's writers make, or one file for
   the labels in ``single`` (``True``: all), for results known to be a few rows.
 * S22 core tables are replaced per build (overwrite), logs are appended
-  partitioned by run (see ``pipeline.materialise`` and ``streaming.snapshots``).
+  partitioned by run (see ``pipeline.Core`` and ``streaming.snapshots``).
 """
 
 from __future__ import annotations
