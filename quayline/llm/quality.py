@@ -78,8 +78,9 @@ class Model:
         return total / chunks
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        hidden = np.maximum(features @ self.hidden + self.hidden_bias, 0)
-        logits = hidden @ self.out + self.out_bias[0]
+        # row by row: in a product of matrices the last digit of a row hangs on the rows beside it
+        hidden = [np.maximum(x @ self.hidden + self.hidden_bias, 0) for x in features]
+        logits = np.array([h @ self.out for h in hidden]) + self.out_bias[0]
         return np.where(logits == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(logits, -500, 500))))
 
 
