@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from quayline.operators import clean as cleaning
 from quayline.operators import views
 from quayline.sources import driver_tables
+from quayline.session import settings
 from quayline.storage import checkpoint_root, exists, list_files
 
 # name -> columns the written file is sorted by inside each task (min/max pruning)
@@ -41,6 +42,7 @@ STAGED_ONCE = ("stop_times", "calendar_dates")
 # input tables that the core is built from, and how much of them (compressed) a shuffle partition is to hold
 INPUTS = ("customer", "supplier", "part", "orders", "lineitem", "events")
 PARTITION_INPUT = 4 << 20
+TASK_SHUFFLE = 16 << 20  # compressed; several times that as rows to sort
 
 _CACHE: dict[tuple, Mapping[str, DataFrame]] = {}
 
@@ -268,15 +270,15 @@ def _input_partitions(spark: SparkSession, sf_dir: str) -> int:
 
 @contextmanager
 def _partitions(spark: SparkSession, least: int):
-    """Shuffles begin with at least so many partitions: a task's sort then fits its memory at any size,
-    and AQE joins small ones."""
-    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, str(max(least, int(before or spark.conf.get("spark.sql.shuffle.partitions")))))
-    try:
+    """Shuffles begin with at least so many partitions and AQE joins small ones only up to ``TASK_SHUFFLE``:
+    a task's sort then fits its memory at any size."""
+    first, joined = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    with settings(spark, {
+        first: max(least, int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions"))),
+        joined: f"{min(TASK_SHUFFLE, as_bytes(spark.conf.get(joined)))}b",
+    }):
         yield
-    finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
 def _now() -> str:

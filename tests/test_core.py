@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quayline import pipeline
+from quayline import pipeline, session
 from quayline.operators import clean as cleaning
 from quayline.plans import registry
 from quayline.storage import list_folders
@@ -91,11 +91,34 @@ def test_a_failed_table_is_logged_once_and_not_published(spark, source):
 
 
 def test_shuffles_begin_with_partitions_by_input(spark):
-    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    before = spark.conf.get(setting, None)
+    first, joined = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = [spark.conf.get(k, None) for k in (first, joined)]
     with pipeline._partitions(spark, 1000):
-        assert spark.conf.get(setting) == "1000"
-    assert spark.conf.get(setting, None) == before
+        assert spark.conf.get(first) == "1000" and spark.conf.get(joined) == f"{16 << 20}b"
+    with session.settings(spark, {joined: "16k"}), pipeline._partitions(spark, 1):  # a smaller one stays
+        assert spark.conf.get(joined) == "16384b" and spark.conf.get(first) == spark.conf.get("spark.sql.shuffle.partitions")
+    assert [spark.conf.get(k, None) for k in (first, joined)] == before
+
+
+def test_lines_are_written_without_a_sort(spark, tmp_path):
+    from quayline.sources import gtfs_feed
+
+    (tmp_path / "feed").mkdir()
+    for m in ("stops", "trips"):
+        (tmp_path / "feed" / f"{m}.txt").write_text("id,name\n" + "".join(f"{k},x\n" for k in range(2000)))
+    writers, real = [], gtfs_feed.byte_ranges.plain_lines
+
+    def seen(*args):
+        writers.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return real(*args)
+
+    gtfs_feed.byte_ranges.plain_lines = seen
+    try:
+        records = gtfs_feed.read_records(spark, str(tmp_path / "feed"), str(tmp_path / "lines"))
+    finally:
+        gtfs_feed.byte_ranges.plain_lines = real
+    assert writers == ["16"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert {r["member"]: r["count"] for r in records.groupBy("member").count().collect()} == {"stops": 2001, "trips": 2001}
 
 
 def calls(spark, rows):
