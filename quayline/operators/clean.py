@@ -330,15 +330,35 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
     else:
         # Strict (reference order): every staged copy competes. Only keys that repeat need
         # their first line (an aggregate: copies collapse map-side), so they are put: few
-        # of them are broadcast, and the wide staged rows are shuffled once, by trip.
+        # of them are broadcast. The wide staged rows are shuffled once, by trip, for both
+        # look-ups and for the fact's layout.
         repeated = put("stop_time_repeated", parsed.groupBy("trip_id", "stop_sequence").agg(
             F.min("src_line_no").alias("_first_line"), F.count(F.lit(1)).alias("_lines")).filter("_lines > 1").drop("_lines"))
-        keyed = _join_firsts(parsed.join(trips_k, "trip_id", "left"), repeated, extra=[]).withColumn(
+        keyed = _join_first_by_trip(parsed, trips_k, repeated).withColumn(
             "_first_line", F.coalesce("_first_line", "src_line_no")).join(plats_k, "stop_id", "left")
     screened = keyed.withColumn("is_first_copy", F.col("src_line_no").eqNullSafe(F.col("_first_line")))
     return screened.withColumn("reject_rule", _other_rules(with_duplicate=True))
 
 
+def _trip_key(rows: DataFrame) -> DataFrame:
+    """``_trip`` and ``_no_trip`` stand for a trip that may be NULL; rows without one are spread by their sequence."""
+    return rows.withColumns({"_trip": F.coalesce("trip_id", F.col("stop_sequence").cast("string"), F.lit("")),
+                             "_no_trip": F.col("trip_id").isNull()})
+
+
+def _join_first_by_trip(parsed: DataFrame, trips_k: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The calls with ``trip_known`` and the first line of their key, both met in the calls' shuffle by trip.
+
+    Spark takes the shuffle by trip for the second join too where
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is off, as in the core's build."""
+    p, t, f = _trip_key(parsed).repartition("_trip").alias("p"), trips_k.alias("t"), _trip_key(repeated).alias("f")
+    known = p.join(t, (F.col("p._trip") == F.col("t.trip_id")) & ~F.col("p._no_trip"), "left").select("p.*", "t.trip_known").alias("p")
+    same = ((F.col("p._trip") == F.col("f._trip")) & (F.col("p._no_trip") == F.col("f._no_trip"))
+            & F.col("p.stop_sequence").eqNullSafe(F.col("f.stop_sequence")))
+    columns = ["trip_id", *[c for c in parsed.columns if c != "trip_id"], "trip_known"]
+    return known.join(f, same, "left").select(*[f"p.{c}" for c in columns], "f._first_line")
+
+
 def _join_firsts(rows: DataFrame, firsts: DataFrame, extra: list[str]) -> DataFrame:
     f = firsts.alias("f")
     p = rows.alias("p")

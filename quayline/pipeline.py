@@ -271,12 +271,13 @@ def _input_partitions(spark: SparkSession, sf_dir: str) -> int:
 @contextmanager
 def _partitions(spark: SparkSession, least: int):
     """Shuffles begin with at least so many partitions and AQE joins small ones only up to ``TASK_SHUFFLE``:
-    a task's sort then fits its memory at any size."""
+    a task's sort then fits its memory at any size. Rows shuffled by some of a join's keys are not shuffled again."""
     first, joined = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     with settings(spark, {
         first: max(least, int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions"))),
         joined: f"{min(TASK_SHUFFLE, as_bytes(spark.conf.get(joined)))}b",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }):
         yield
 
@@ -312,7 +313,7 @@ def _writer(spark: SparkSession, root: str, run_id: str):
         w = df
         if name in LAYOUT:
             w = w.sortWithinPartitions(*LAYOUT[name])
-        writer = w.write.mode("overwrite")
+        writer = w.write.mode("overwrite").option("compression", "zstd")
         if name in PARTITION_BY:
             writer = writer.partitionBy(*PARTITION_BY[name])
         writer.parquet(path)

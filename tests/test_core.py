@@ -158,3 +158,22 @@ def test_headers_are_not_read_by_one_task(spark, tmp_path, monkeypatch):
     headers = spark.read.parquet(str(tmp_path / "lines" / "headers"))
     assert headers.count() == 6 and len(headers.inputFiles()) == 1
     assert coalesced == []  # it would put the scan of all lines into one task
+
+
+def test_staged_calls_are_shuffled_once(spark):
+    staged = calls(spark, [("T", "1", 5), ("T", "1", 3), ("T", "2", 9), (None, "1", 4)])
+    trips = spark.createDataFrame([("T",)], "trip_id string").localCheckpoint()
+    platforms = spark.createDataFrame([("P",)], "stop_id string").localCheckpoint()
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    with session.settings(spark, small), pipeline._partitions(spark, 1):
+        out = cleaning.screen_stop_times(staged.localCheckpoint(), trips, platforms, put=lambda name, df: df.localCheckpoint())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 4
+    # the calls, the trips and the repeated keys by trip; calls and platforms once more where platforms are many
+    assert plan.count("Exchange hashpartitioning(_trip") + plan.count("Exchange hashpartitioning(trip_id") == 3
+    assert plan.count("Exchange hashpartitioning(") == 5
+
+
+def test_core_tables_are_compressed_with_zstd(spark, source):
+    core = pipeline.Core(spark, source, reuse=False)
+    assert all(".zstd." in f for f in core["service"].inputFiles())
