@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,7 +42,9 @@ RANK_BITS = 512
 SHARD_TOKENS = 4 << 20
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 1_000_000  # about 200 MB
+CACHED_PIECES = 1_000_000
+CACHED_BYTES = 32 << 20  # of the known pieces; their ids take about as much
+PIECES_PER_LINE = 256
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 SPACE_IN_A_RUN = r" (?:[\s\p{Z}\x0b\x1c-\x1f\x{85}]|$)"
 SEPARATOR = "\x00"
@@ -140,9 +142,11 @@ class Encoder:
     """Ids of whole texts, many at a time.
 
     Texts are cut at spaces and their pieces numbered by Arrow, so each distinct
-    piece is looked up once per call in a bounded cache. Unknown pieces are encoded
-    by the tokenizers library as one text, with a separator that it removes before
-    the tokenizer's own pattern applies, and told apart by their lengths in bytes."""
+    piece is looked up once per call among those known, which Arrow holds too: no
+    piece becomes a Python object. Unknown pieces are encoded by the tokenizers
+    library many as one text, with a separator that it removes before the
+    tokenizer's own pattern applies, and told apart by their lengths in bytes.
+    Pieces that hold the separator are encoded one by one."""
 
     def __init__(self, name: str):
         import os
@@ -151,50 +155,73 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.joined = Tokenizer.from_file(public_tokenizers.path(name))
+        self.path = public_tokenizers.path(name)
+        self.joined = Tokenizer.from_file(self.path)
         self.joined.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(SEPARATOR, "removed"), self.tokenizer.pre_tokenizer])
-        vocabulary = self.tokenizer.get_vocab()
+            [pre_tokenizers.Split(SEPARATOR, "removed"), self.joined.pre_tokenizer])
+        vocabulary = self.joined.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character of a token stands for one byte
             self.bytes_of[i] = len(token)
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():  # stands for its literal
+        for i, token in self.joined.get_added_tokens_decoder().items():  # stands for its literal
             self.bytes_of[i] = len(token.content.encode())
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # a piece's number
+        import pyarrow as pa
+
+        self.known = pa.array([], pa.string())
         self.pool = np.zeros(0, "<u4")  # ids of a space and the piece, one piece after the other
         self.ends = np.zeros(1, np.int64)  # piece i has pool[ends[i] : ends[i + 1]]
 
-    def _learn(self, pieces: list[str]) -> None:
-        some = [x for x in pieces if SEPARATOR not in x]
-        found, sizes = [], np.zeros(0, np.int64)
-        if some:
-            lines = [SEPARATOR.join([" " + x for x in some[i : i + 256]]) for i in range(0, len(some), 256)]
-            found = [np.array(self.joined.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in lines]
-            upto = np.cumsum([1 + len(x.encode()) for x in some])
-            sizes = np.diff(1 + np.searchsorted(np.cumsum(self.bytes_of[np.concatenate(found)]), upto), prepend=0)
-        odd = [x for x in pieces if SEPARATOR in x]
-        for e in self.tokenizer.encode_batch_fast([" " + x for x in odd], add_special_tokens=False):
-            found.append(np.array(e.ids, "<u4"))
-            sizes = np.append(sizes, len(e.ids))
-        self.known.update(zip(some + odd, range(len(self.known), len(self.known) + len(pieces))))
-        self.pool = np.concatenate((self.pool, *found))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is; rarely needed, and as large as the other."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _encode(self, pieces, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of pieces, each after ``before``, one after the other, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring(pieces, SEPARATOR).to_numpy(zero_copy_only=False)
+        some = pieces.filter(pa.array(~odd))
+        found, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if len(some):
+            cuts = pa.array([*range(0, len(some), PIECES_PER_LINE), len(some)], pa.int32())
+            lines = pc.binary_join(pa.ListArray.from_arrays(cuts, some), SEPARATOR + before).to_pylist()
+            found = np.concatenate([np.array(
+                self.joined.encode_batch_fast([before + x], add_special_tokens=False)[0].ids, "<u4") for x in lines])
+            upto = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + len(before))
+            sizes = np.diff(np.searchsorted(np.cumsum(self.bytes_of[found]), upto, "right"), prepend=0)
+        if not odd.any():
+            return found, sizes
+        ids = np.split(found, np.cumsum(sizes)[:-1]) if len(some) else []
+        alone = self.tokenizer.encode_batch_fast([before + x for x in pieces.filter(pa.array(odd)).to_pylist()], add_special_tokens=False)
+        each = iter(ids), (np.array(e.ids, "<u4") for e in alone)
+        ids = [next(each[int(x)]) for x in odd]
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _numbers(self, pieces) -> np.ndarray:
         """Each piece's number; unknown pieces are learned."""
-        if len(self.known) > CACHED_PIECES:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > CACHED_PIECES or self.known.nbytes > CACHED_BYTES:
             self._forget()
-        found = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(found < 0).tolist()
-        if new:
-            some = [pieces[i] for i in new]
-            self._learn(some)
-            found[new] = list(map(self.known.__getitem__, some))
-        return found
+        found = pc.index_in(pieces, value_set=self.known)
+        new = found.is_null()
+        numbers = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        some = pieces.filter(new)
+        if len(some):
+            ids, sizes = self._encode(some, " ")
+            numbers[numbers < 0] = np.arange(len(self.known), len(self.known) + len(some))
+            self.known = pa.concat_arrays([self.known, some])
+            self.pool = np.concatenate((self.pool, ids))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        return numbers
 
     def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow array of texts one after the other, and where each text ends."""
@@ -211,19 +238,18 @@ class Encoder:
             for i in np.flatnonzero(runs):
                 cut[i] = _RUN_BEGINS_OR_ENDS.split(texts[int(i)].as_py())
             lists = pa.array(cut, pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
+        pieces = lists.flatten()
+        coded = pieces.dictionary_encode()
         begins = np.asarray(lists.offsets, np.int64)[:-1] - lists.offsets[0].as_py()
-        first = lists.flatten().take(pa.array(begins)).to_pylist()  # no space stands before these
-        begun = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
-        numbers = self._numbers(coded.dictionary.to_pylist())
-        pool = np.concatenate((self.pool, *begun))
-        extra = np.cumsum([len(x) for x in begun])
-        which = numbers[coded.indices.to_numpy()]
+        begun, begun_sizes = self._encode(pieces.take(pa.array(begins)), "")  # no space stands before these
+        which = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        pool = np.concatenate((self.pool, begun))
         start, size = self.ends[which], self.ends[which + 1] - self.ends[which]
-        size[begins] = np.diff(extra, prepend=0)
-        start[begins] = len(self.pool) + extra - size[begins]
+        size[begins] = begun_sizes
+        start[begins] = len(self.pool) + np.cumsum(begun_sizes) - begun_sizes
         upto = np.cumsum(size)
-        at = np.repeat(start - upto + size, size) + np.arange(upto[-1])
+        at = np.repeat((start - upto + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         return pool[at], np.append(upto[begins[1:] - 1], upto[-1])
 
 
@@ -239,7 +265,7 @@ def encoder(name: str) -> Encoder:
 
 # ---- Spark ----------------------------------------------------------------
 
-def _gathered(batches, least: int = 8 << 20):
+def _gathered(batches, least: int = 4 << 20):
     """(ids, texts) of some batches together, so that fewer pieces are distinct."""
     import pyarrow as pa
 

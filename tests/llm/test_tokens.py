@@ -106,3 +106,18 @@ def test_special_literals_have_the_ids_of_the_tokenizer_as_it_is(spark):
         assert ids[a:b].tolist() == want[i], repr(t)
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in codes.encode_documents(docs_frame(spark, rows)).collect()}
     assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, codes.END_ID], "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_known_pieces_take_little_memory(monkeypatch):
+    import pyarrow as pa
+
+    encoder = codes.Encoder(codes.TOKENIZER)
+    texts = [" ".join(f"w{i * 50 + k}é" for k in range(50)) for i in range(400)]
+    ids, _ = encoder.batch(pa.array(texts))
+    assert "tokenizer" not in vars(encoder)  # the second one is loaded only for texts with the separator
+    assert len(encoder.known) >= 19_000 and encoder.known.nbytes + encoder.pool.nbytes + encoder.ends.nbytes < 60 * len(encoder.known)
+    held = encoder.known.nbytes
+    monkeypatch.setattr(codes, "CACHED_BYTES", 1000)
+    again, _ = encoder.batch(pa.array(texts[:40]))
+    assert encoder.known.nbytes < held and again.tolist() == ids[: len(again)].tolist()
+    assert again.tolist() == [i for x in texts[:40] for i in direct(encoder, x)[:-1]]
