@@ -179,17 +179,17 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int, made: Scratc
                 full = [i for i, x in enumerate(found) if len(x)]
                 sets, starts, sizes = _concatenated([found[i] for i in full])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(full, pa.int64())), pa.array(signed(node_of(sets, starts, sizes))),
+                    [pa.array(signed(node_of(sets, starts, sizes))),
                      pa.ListArray.from_arrays(pa.array(np.append(starts, len(sets)), pa.int32()), pa.array(signed(sets)))],
-                    names=["doc", "node", "shingles"])
+                    names=["node", "shingles"])
 
     # the test runs where the sets are made: a second Python step would double the workers of a task
     doc_id = row_id(F.col("doc_id"))
     rows = docs.select(doc_id.alias("doc_id"), "text", *(p.alias(f"p{i}") for i, p in enumerate(bloom_places(doc_id))))
-    sets = rows.mapInArrow(build, "doc long, node long, shingles array<long>")
-    named = wanted.select(F.col("owner").alias("o"), F.col("node").alias("n"))
-    kept = sets.join(named, (F.col("doc") == F.col("o")) & (F.col("node") == F.col("n")))
-    return made.written(kept.select("node", "shingles").dropDuplicates(["node"]), "jaccard-sets")
+    sets = rows.mapInArrow(build, "node long, shingles array<long>")
+    # by node alone, which is also what is told apart below: the sets are shuffled once
+    kept = sets.join(wanted.select("node"), "node", "left_semi")
+    return made.written(kept.dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -317,13 +317,16 @@ def representatives(docs: DataFrame, least: int = LEAST, words: int = SHINGLE) -
     first = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "mark")).alias("first"))
     gone = rows.join(first, F.col("root") == F.col("r")).filter(F.struct("id", "mark") != F.col("first"))
     gone = written(gone.select(F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).distinct(), "jaccard-gone")
-    same = (row_id(docs["doc_id"]) == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_mark"))
     again = rows.groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(
         F.col("id").alias("__gone_id"), F.col("mark").alias("__gone_mark"))
     again = written(again, "jaccard-again")
-    kept = docs.join(gone, same, "left_anti")
-    if not again.take(1):
-        return kept
-    # rows that repeat an id with its text: one of them stays
-    repeated = kept.join(again, same, "left_semi").withColumn("__id", row_id(docs["doc_id"])).dropDuplicates(["__id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(repeated.drop("__id"))
+    # only rows that a Bloom filter of these keys lets through are shuffled; the other texts stay where they are
+    key, mark = row_id(docs["doc_id"]), F.xxhash64(docs["text"])
+    same = (key == F.col("__gone_id")) & (mark == F.col("__gone_mark"))
+    asked = bloom_filter(gone.unionAll(again).select(F.xxhash64("__gone_id", "__gone_mark")))(F.xxhash64(key, mark))
+    kept = docs.filter(asked).join(gone, same, "left_anti")
+    if again.take(1):
+        # rows that repeat an id with its text: one of them stays
+        repeated = kept.join(again, same, "left_semi").withColumn("__id", key).dropDuplicates(["__id", "text"])
+        kept = kept.join(again, same, "left_anti").unionByName(repeated.drop("__id"))
+    return docs.filter(~asked).unionByName(kept)

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from quayline.llm import graph, jaccard
+from quayline.llm.common import written
 from quayline.llm.graph import components
+from quayline.session import settings
 from tests.llm.data import HAVE_DATA, SF, awkward_rows, docs_frame, rows_of
 
 
@@ -145,6 +147,33 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted((-1 if i is None else i, t) for i, t in got if shingle_set(t)) == sorted(first.values())
 
 
+def shuffled(node):
+    """Rows that each shuffle of an executed plan wrote."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled(node.plan())
+    own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+    kids = node.children()
+    return own + [n for i in range(kids.size()) for n in shuffled(kids.apply(i))]
+
+
+@pytest.mark.parametrize("again", [0, 3])
+def test_texts_that_stay_are_not_shuffled(spark, again):
+    rng = random.Random(7)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(20))
+    rows = [(i, text()) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)] + [rows[100 + i] for i in range(again)]
+    docs = written(docs_frame(spark, rows), "test")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        kept = jaccard.representatives(docs)
+        got = kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan()
+    assert sorted(r.doc_id for r in got) == list(range(200))
+    assert 5 <= max(shuffled(plan)) <= 20
+
+
 @pytest.mark.parametrize("one_task", [0, 1 << 19])
 def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
     monkeypatch.setattr(graph, "ONE_TASK", one_task)
