@@ -94,7 +94,7 @@ def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     place = (mixed(sets ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
     owner = np.repeat(np.arange(len(sizes)), sizes)
     odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(sizes) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), -1)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), SKETCH_BITS // 64)
 
 
 def _concatenated(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quayline.llm import graph, jaccard
-from quayline.llm.common import written
+from quayline.llm.common import ROWS_PER_BATCH, written
 from quayline.llm.graph import components
 from quayline.session import settings
 from tests.llm.data import HAVE_DATA, SF, awkward_rows, docs_frame, rows_of
@@ -174,6 +174,13 @@ def test_texts_that_stay_are_not_shuffled(spark, again):
     assert 5 <= max(shuffled(plan)) <= 20
 
 
+def test_a_batch_that_holds_nothing_new(spark):
+    """More equal rows than an Arrow batch holds: later batches have no set of their own to sign."""
+    rows = [(i, "the same few words") for i in range(2 * ROWS_PER_BATCH + 9)]
+    got = rows_of(jaccard.classes(docs_frame(spark, rows, 1)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((i, 2, 0) for i, _ in rows), key=repr)
+
+
 @pytest.mark.parametrize("one_task", [0, 1 << 19])
 def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
     monkeypatch.setattr(graph, "ONE_TASK", one_task)
