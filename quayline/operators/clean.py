@@ -4,9 +4,10 @@ Nothing is dropped silently: every staged row either loads or lands in the
 quarantine with a rule code, a reason and a JSON payload (loaded + quarantined
 = staged, per member). Rule codes the reference lacks are marked ``-QL``.
 
-Joins to dimensions are plain equi-joins: Spark broadcasts a side only when its
+Joins to places and lines are plain equi-joins: Spark broadcasts a side when its
 estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks
-at runtime), so no side is forced into memory on the strength of a guess.
+at runtime). The estimate is the size of the files, far below that of the rows,
+so trips and the services they look up are merge-joined (``session.grown``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import blank_to_null, clock_secs, code_or_default, gtfs_date, is_digits
 from quayline.schemas import REJECT_REASONS, STOP_TIME_RULES, TRANSLATION_LANGUAGES, TRANSLATION_TABLES, WEEKDAYS
+from quayline.session import grown
 
 REJECT_COLUMNS = ["source_table", "src_line_no", "rule_code", "reason", "payload"]
 
@@ -265,7 +267,7 @@ def trips(stg: DataFrame, route_df: DataFrame, service_df: DataFrame):
         stg.withColumn("_rid", _t("route_id"))
         .withColumn("_sid", _t("service_id"))
         .join(r, "_rid", "left")
-        .join(sv, "_sid", "left")
+        .join(grown(sv), "_sid", "left")
     )
     bikes, chair = code_or_default("bikes_allowed"), code_or_default("wheelchair_accessible")
     direction = blank_to_null("direction_id").try_cast("int")
@@ -319,7 +321,7 @@ def screen_stop_times(stg: DataFrame, trip_df: DataFrame, platform_df: DataFrame
         blank_to_null("stop_headsign").alias("stop_headsign"),
     ).withColumn("is_numbered", F.col("_digits") & F.col("stop_sequence").isNotNull()).drop("_digits")
     put = put or _keep
-    trips_k = trip_df.select("trip_id", F.lit(True).alias("trip_known"))
+    trips_k = grown(trip_df.select("trip_id", F.lit(True).alias("trip_known")))
     plats_k = platform_df.select("stop_id", F.lit(True).alias("platform_known"))
     if rank_after_screening:
         # the other rules must be known before the first line can be chosen
@@ -445,7 +447,7 @@ def transfers(stg: DataFrame, platform_df: DataFrame, trip_df: DataFrame):
     coded = code_or_default("transfer_type").isNotNull() & (wait.isNull() | wait.try_cast("int").isNotNull())
     good = linked & coded
     core = (
-        s.filter(good).join(ft, "_ftrip", "left").join(tt, "_ttrip", "left")
+        s.filter(good).join(grown(ft), "_ftrip", "left").join(grown(tt), "_ttrip", "left")
         .select(
             F.col("src_line_no").alias("transfer_id"),
             F.col("_from").alias("from_stop_id"),
