@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quayline.session import grown
 from quayline.sources import realtime_json as rj
 from quayline.storage import delete, exists
 
@@ -74,6 +75,14 @@ LEDGER_SCHEMA = ("feed string, table_name string, documents long, refused long,
                  "rows_matched long")
 
 
+DOCUMENTS_AT_ONCE = 1 << 18  # their numbers take about 12 MB as a broadcast relation
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | None = None) -> dict:
     """Register and shred one batch of snapshot documents into the log under ``root``.
 
@@ -83,23 +92,28 @@ def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | N
     others are kept: drift is measured, not enforced). Counts are observed while the
     rows are written. A batch without a new snapshot writes nothing, so a replay
     leaves log and ledger as they are.
+
+    Documents are taken apart as they are parsed: what is written, chosen and shredded
+    are rows of one entity, and the choice among documents sees a row for each.
     """
     spark = docs.sparkSession
     batch = uuid.uuid4().hex
     seen = Observation(f"documents_{batch}")
     parsed = rj.parse_documents(docs, feed).observe(
         seen, F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("feed_timestamp_epoch").isNull(), 1)).alias("refused"))
-    parsed.write.parquet(f"{root}/_parsed/{batch}")  # parsed once; the choice below reads it twice
-    parsed = spark.read.schema(parsed.schema).parquet(f"{root}/_parsed/{batch}")
-    fresh = rj.register_snapshots(parsed, read_log(spark, root))
-    fresh.write.parquet(f"{root}/_incoming/{batch}")  # chosen once, read by every child table
-    fresh = spark.read.schema(fresh.schema).parquet(f"{root}/_incoming/{batch}")
+    rows = _staged(rj.entity_rows(parsed), f"{root}/_parsed/{batch}")  # parsed once, read for the choice and for what is chosen
+    fresh = _staged(rj.choose_documents(rows, read_log(spark, root)), f"{root}/_chosen/{batch}")
     new = fresh.count()
     metrics, ledger = {}, []
     if new:
+        known = fresh.select("doc_no")
+        known = F.broadcast(known) if new <= DOCUMENTS_AT_ONCE else grown(known)
+        # chosen once, read by every child table
+        chosen = _staged(rows.join(known, "doc_no", "left_semi"), f"{root}/_incoming/{batch}")
+        delete(spark, f"{root}/_parsed/{batch}")
         said = seen.get
         counts = [said["documents"], said["refused"], said["documents"] - said["refused"] - new]
-        tables = rj.shred(fresh, feed)
+        tables = rj.shred_entities(chosen, feed)
         for name in CHILDREN[feed]:
             df, matched = tables[name], None
             obs = Observation(f"{name}_{batch}")
@@ -115,8 +129,8 @@ def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | N
             ledger.append((feed, name, *counts, obs.get["rows"], matched))
         spark.createDataFrame(ledger, LEDGER_SCHEMA).withColumn("batch", F.lit(batch)).coalesce(1).write.mode(
             "append").parquet(f"{root}/_ledger")
-        _commit(tables["rt_snapshot"], batch, 0, root)
-    for folder in ("_parsed", "_incoming"):  # read by this batch only
+        _commit(fresh.select(*rj.SNAPSHOT_COLUMNS), batch, 0, root)
+    for folder in ("_parsed", "_chosen", "_incoming"):  # read by this batch only
         delete(spark, f"{root}/{folder}/{batch}")
     return metrics
 
