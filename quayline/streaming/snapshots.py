@@ -119,7 +119,7 @@ def append_snapshots(docs: DataFrame, feed: str, root: str, trips: DataFrame | N
             obs = Observation(f"{name}_{batch}")
             known = F.lit(None).cast("int")
             if name == "rt_trip_update" and trips is not None:
-                df = df.join(trips.select("trip_id", F.lit(1).alias("_known")), "trip_id", "left")
+                df = df.join(grown(trips.select("trip_id", F.lit(1).alias("_known"))), "trip_id", "left")
                 known = F.col("_known")
             df = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count(known).alias("matched")).drop("_known")
             _append(df, batch, f"{root}/{name}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quayline.sources import driver_tables
 from quayline.sources import realtime_json as rj
 from quayline.streaming import snapshots
-from tests.test_grown_joins import joins, realtime
+from tests.test_grown_joins import joins, realtime, trip_table
 from tests.test_realtime import ALERT_DOC, TRIP_DOC, docs, write
 
 
@@ -66,6 +66,14 @@ def test_alerts_without_entities_are_snapshots_too(spark, tmp_path):
     assert len(got["rt_snapshot"]) == 2 and len(got["rt_alert"]) == 2 and len(got["rt_alert_text"]) == 2
 
 
+def test_trips_are_merge_joined_with_their_updates(spark, tmp_path, monkeypatch):
+    kinds, append = [], snapshots._append
+    monkeypatch.setattr(snapshots, "_append", lambda df, *a: (kinds.extend(joins(df, "trip_id")), append(df, *a)))
+    metrics = snapshots.append_snapshots(delivered(spark, tmp_path / "in"), "trip-update", str(tmp_path / "log"),
+                                         trips=trip_table(spark, tmp_path / "trip"))
+    assert kinds == ["SortMergeJoin"] and metrics == {"trip_updates": 4, "matched": 2}
+
+
 def test_documents_are_gathered_one_after_the_other(spark, tmp_path):
     rt = realtime(spark, tmp_path, ["T1", None])
     made = driver_tables.snapshot_documents(rt["rt_trip_update"], rt["rt_stop_time_update"], keep_id=True)
